@@ -1 +1,210 @@
-"""Checked queries (filled in below)."""
+"""Checked queries for the window operators (W1-W11) on the ``steps``/``evals`` views."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from runforge.operators import windows as W
+from runforge.plans.oracle_views import exclusive_cut_sql, with_views
+from runforge.plans.registry import register, rounded
+from runforge.plans.suite_runlog import rsel
+from runforge.sources import fixtures as X
+
+_NN = "CASE WHEN isnan(loss) THEN NULL ELSE loss END"
+
+
+@register("W1_trailing_loss", with_views("steps") + rsel(f"""
+SELECT run_id, step, loss,
+       avg({_NN}) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS loss_100,
+       avg({_NN}) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS loss_1000
+FROM steps""", "loss", "loss_100", "loss_1000"))
+def w1(spark, sf):
+    return rounded(W.trailing_loss(X.steps(spark, sf)))
+
+
+@register("W2_rolling_mean", with_views("steps") + rsel(f"""
+SELECT run_id, step, loss,
+       CASE WHEN count({_NN}) OVER w = 1000 THEN avg({_NN}) OVER w END AS rolling_mean
+FROM steps WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""",
+                                                     "loss", "rolling_mean"))
+def w2(spark, sf):
+    return rounded(W.rolling_mean(X.steps(spark, sf), 1000))
+
+
+@register("W3_rolling_band", with_views("steps") + """, q AS (
+SELECT run_id, step,
+       CASE WHEN count(loss) OVER w = 1000 THEN quantile_cont(loss, 0.05) OVER w END AS q05,
+       CASE WHEN count(loss) OVER w = 1000 THEN quantile_cont(loss, 0.95) OVER w END AS q95
+FROM steps WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
+""" + rsel("""
+SELECT run_id, step,
+       CASE WHEN count(q05) OVER v = 10 THEN avg(q05) OVER v END AS band_q05,
+       CASE WHEN count(q95) OVER v = 10 THEN avg(q95) OVER v END AS band_q95
+FROM q WINDOW v AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
+           "band_q05", "band_q95"))
+def w3(spark, sf):
+    return rounded(W.rolling_band(X.steps(spark, sf), 1000, 10))
+
+
+@register("W4_loss_diff", with_views("steps") + rsel("""
+SELECT run_id, step, loss, loss - lag(loss) OVER (PARTITION BY run_id ORDER BY step) AS loss_diff FROM steps""",
+                                                  "loss", "loss_diff"))
+def w4(spark, sf):
+    return rounded(W.loss_diff(X.steps(spark, sf)))
+
+
+@register("W5_cumulative_tokens", with_views("steps") + rsel("""
+SELECT run_id, step, num_tokens,
+       CAST(sum(num_tokens) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT)
+         AS cumulative_tokens
+FROM steps"""))
+def w5(spark, sf):
+    return W.cumulative_tokens(X.steps(spark, sf))
+
+
+def _timed_log(spark, sf):
+    """Steps with a stand-in session clock: total_time restarts every 700 steps."""
+    s = X.steps(spark, sf)
+    return s.withColumn("total_time", (F.pmod(F.col("step"), F.lit(700)) + 1) * F.lit(0.25))
+
+
+@register("W6_token_rate", with_views("steps") + """, t AS (
+SELECT run_id, step, num_tokens, CAST((step % 700 + 1) AS DOUBLE) * 0.25::DOUBLE AS total_time FROM steps),
+f AS (SELECT *, CASE WHEN total_time < lag(total_time) OVER (PARTITION BY run_id ORDER BY step) THEN 1 ELSE 0 END
+                  AS nf FROM t),
+s AS (SELECT *, sum(nf) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS session FROM f),
+r AS (SELECT run_id, step, CAST(session AS BIGINT) AS session, total_time,
+             CAST(sum(num_tokens) OVER (PARTITION BY run_id, session ORDER BY step ROWS UNBOUNDED PRECEDING)
+                  AS BIGINT) AS session_tokens FROM s)
+""" + rsel("""
+SELECT run_id, step, session, session_tokens, session_tokens / greatest(total_time, 1.0) AS token_rate FROM r""",
+           "token_rate"))
+def w6(spark, sf):
+    return rounded(W.token_rate(_timed_log(spark, sf)))
+
+
+@register("W7_clip_threshold", with_views("steps") + """, h AS (
+SELECT run_id, step, grad_norm,
+       list_sort((list(grad_norm) OVER (PARTITION BY run_id ORDER BY step
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))[2:]) AS xs
+FROM steps)
+""" + rsel(f"""
+SELECT run_id, step, grad_norm, thr AS clip_threshold, grad_norm > thr AS clipped
+FROM (SELECT run_id, step, grad_norm,
+             CASE WHEN step = 0 THEN NULL WHEN len(xs) < 100 THEN 1.0
+                  ELSE {exclusive_cut_sql(90, 'xs', 'len(xs)')} END AS thr
+      FROM h)""", "grad_norm", "clip_threshold"))
+def w7(spark, sf):
+    return rounded(W.clip_threshold(X.steps(spark, sf), max_norm=1.0, pct=90))
+
+
+@register("W8_derive_epoch", with_views("steps") + rsel("""
+SELECT run_id, step, CAST(ceil(step / 1000) AS BIGINT) AS epoch FROM steps"""))
+def w8(spark, sf):
+    return W.derive_epoch(X.steps(spark, sf), 1000).select("run_id", "step", "epoch")
+
+
+@register("W9_resume_state", with_views("steps") + rsel("""
+SELECT run_id, CAST(max(step) + 1 AS BIGINT) AS resume_step,
+       CAST(arg_max(ceil(step / 1000), step) AS BIGINT) AS resume_epoch
+FROM steps GROUP BY run_id"""))
+def w9(spark, sf):
+    return W.resume_state(W.derive_epoch(X.steps(spark, sf), 1000))
+
+
+@register("W10_last_eval_asof", with_views("steps", "evals") + rsel("""
+SELECT s.run_id, s.step, coalesce(e.mean, 0.0) AS last_eval
+FROM steps AS s ASOF LEFT JOIN
+     (SELECT run_id, step, arg_max(mean, line_no) AS mean FROM evals WHERE step > 0 GROUP BY run_id, step) AS e
+ON s.run_id = e.run_id AND s.step >= e.step""", "last_eval"))
+def w10(spark, sf):
+    return rounded(W.last_eval_asof(X.steps(spark, sf), X.evals(spark, sf)))
+
+
+# Schedule settings for the stand-in runs (2,400-2,600 steps each), so
+# that every phase of each schedule is reached.
+LINEAR = dict(peak_lr=2e-4, warmup_steps=500, peak_steps=1000, total_steps=3000, start_lr=1e-5, end_lr=1e-4)
+EXPONENTIAL = dict(start_lr=1e-5, end_lr=1e-7, warmup_factor=2.0, warmup_steps_per_period=100,
+                   warmup_periods=8, constant_steps=100, cooldown_factor=2.0, cooldown_steps_per_period=100)
+SINUSOID = dict(start_lr=1e-5, plateau_lr=2e-4, end_lr=1e-6, warmup_steps=500, plateau_steps=1500,
+                cooldown_steps=1000, period=100, magnitude=0.1)
+
+
+def _f(x: float) -> str:
+    return repr(float(x))
+
+
+def _linear_sql(s: str, p: dict) -> str:
+    start, peak, end = p["start_lr"], p["peak_lr"], p["end_lr"]
+    wu, pk = p["warmup_steps"], p["peak_steps"]
+    cd = p["total_steps"] - wu - pk
+    return (f"CASE WHEN {s} < {wu} THEN {_f(start)} + ({s} / {_f(wu)}) * {_f(peak - start)} "
+            f"WHEN {s} < {wu + pk} THEN {_f(peak)} "
+            f"ELSE greatest({_f(peak)} - (({s} - {_f(wu + pk)}) / {_f(cd)}) * {_f(peak - end)}, {_f(end)}) END")
+
+
+def _exp_sql(n: str, p: dict) -> str:
+    K, M, C, Kc = (p["warmup_steps_per_period"], p["warmup_periods"], p["constant_steps"],
+                   p["cooldown_steps_per_period"])
+    warm = f"(least({n}, {K * M}) + 1)"
+    dbl = f"floor({warm} / {K + 1})"
+    r0 = f"({warm} % {K + 1})"
+    c = f"least(greatest({n} - {K * M}, 0), {C})"
+    r1 = f"(CASE WHEN {c} <= 0 THEN {r0} WHEN {r0} > {C} THEN ({c} - 1) % {C + 1} ELSE ({r0} + {c}) % {C + 1} END)"
+    e = f"greatest({n} - {K * M + C}, 0)"
+    first = f"({e} > 0 AND {r1} > {Kc})"
+    e2 = f"(CASE WHEN {first} THEN {e} - 1 ELSE {e} END)"
+    r2 = f"(CASE WHEN {first} THEN 0 ELSE {r1} END)"
+    halv = f"((CASE WHEN {first} THEN 1 ELSE 0 END) + (CASE WHEN {e2} > 0 THEN floor(({r2} + {e2}) / {Kc + 1}) ELSE 0 END))"
+    lr0 = f"({_f(p['start_lr'])} * pow({_f(p['warmup_factor'])}, {dbl}))"
+    return (f"CASE WHEN {halv} > 0 THEN greatest({lr0} / pow({_f(p['cooldown_factor'])}, {halv}), "
+            f"{_f(p['end_lr'])}) ELSE {lr0} END")
+
+
+def _sin_sql(s: str, p: dict) -> str:
+    st, pl, en = p["start_lr"], p["plateau_lr"], p["end_lr"]
+    wu, ps, cd = p["warmup_steps"], p["plateau_steps"], p["cooldown_steps"]
+    return (f"CASE WHEN {s} < {wu} THEN {_f(st)} + {_f(pl - st)} * {s} / {_f(wu)} "
+            f"WHEN {s} < {wu + ps} THEN {_f(pl)} + {_f(pl * p['magnitude'])} * "
+            f"sin({_f(math.pi)} * ({s} - {_f(wu)}) / {_f(p['period'])}) "
+            f"ELSE {_f(pl)} - {_f(pl - en)} * sqrt(({s} - {_f(wu + ps)}) / {_f(cd)}) END")
+
+
+def _audit_sql(expr_of_s, lag: int) -> str:
+    s = f"CAST(greatest(step - {lag}, 0) AS DOUBLE)" if lag else "CAST(step AS DOUBLE)"
+    n = f"greatest(step - {lag}, 0)"
+    e = expr_of_s(s, n)
+    return with_views("steps") + f""", a AS (
+SELECT run_id, step, {e} AS expected_lr FROM steps),
+b AS (SELECT a.run_id, a.step, a.expected_lr,
+             a.expected_lr * (CASE WHEN s.num_tokens % 17 = 0 THEN 1.01 ELSE 1.0 END) AS lr
+      FROM a JOIN steps AS s ON a.run_id = s.run_id AND a.step = s.step)
+SELECT run_id, step, round(lr * 1e6, 6) AS lr_micro, round(expected_lr * 1e6, 6) AS expected_lr_micro,
+       abs(lr - expected_lr) > 1e-6 * greatest(abs(expected_lr), 1e-30) AS drift
+FROM b"""
+
+
+def _audit(spark, sf, kind, params, lag):
+    s = X.steps(spark, sf)
+    logged = s.withColumn("lr", W.expected_lr(F.col("step"), kind, params, lag) *
+                          F.when(F.col("num_tokens") % 17 == 0, F.lit(1.01)).otherwise(F.lit(1.0)))
+    a = W.lr_audit(logged, kind, params, lag)
+    return a.select("run_id", "step", F.round(F.col("lr") * 1e6, 6).alias("lr_micro"),
+                    F.round(F.col("expected_lr") * 1e6, 6).alias("expected_lr_micro"), "drift")
+
+
+@register("W11_lr_audit_linear", _audit_sql(lambda s, n: _linear_sql(s, LINEAR), 1))
+def w11a(spark, sf):
+    return _audit(spark, sf, "linear", LINEAR, 1)
+
+
+@register("W11_lr_audit_exponential", _audit_sql(lambda s, n: _exp_sql(n, EXPONENTIAL), 1))
+def w11b(spark, sf):
+    return _audit(spark, sf, "exponential", EXPONENTIAL, 1)
+
+
+@register("W11_lr_audit_sinusoid", _audit_sql(lambda s, n: _sin_sql(s, SINUSOID), 0))
+def w11c(spark, sf):
+    return _audit(spark, sf, "sinusoid", SINUSOID, 0)
