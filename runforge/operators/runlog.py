@@ -74,7 +74,8 @@ def tokens_per_step(log: DataFrame, run_id: str = "run_id") -> DataFrame:
 # ---------------------------------------------------------------- A3, A13
 def _last_k(df: DataFrame, group: list[str], order_col: str, k: int) -> DataFrame:
     """Rows among the last ``k`` by ``order_col`` within ``group`` (range-sliced, no hot task)."""
-    ranked = position_within(df, group, [order_col], out="_rf_from_end", descending=True)
+    ranked = position_within(df, group, [order_col], out="_rf_from_end", descending=True,
+                             slice_width=1 << 16)
     return ranked.where(F.col("_rf_from_end") < k)
 
 

@@ -54,7 +54,7 @@ FROM embeddings"""),
     "model_matrices": (("matrices",), """
 SELECT 'a' AS model, matrix_id, row_id, vec FROM matrices
 UNION ALL
-SELECT 'b' AS model, matrix_id, row_id, list_transform(vec, x -> x * CAST(2.0 AS FLOAT)) AS vec FROM matrices
+SELECT 'b' AS model, matrix_id, row_id, list_transform(vec, lambda x: x * CAST(2.0 AS FLOAT)) AS vec FROM matrices
 UNION ALL
 SELECT 'c' AS model, matrix_id, row_id, vec FROM matrices
 WHERE matrix_id <> 'layer.9.intermediate.dense.weight'
@@ -81,7 +81,7 @@ FROM conversations"""),
 }
 
 
-def with_views(*names: str) -> str:
+def with_views(*names: str, recursive: bool = False) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -93,4 +93,5 @@ def with_views(*names: str) -> str:
 
     for n in names:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order) + "\n"
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order) + "\n"

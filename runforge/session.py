@@ -69,3 +69,11 @@ def stream_checkpoint(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "streams", name)
+
+
+def materialize(df):
+    """Cut lineage at a stage boundary: a reliable checkpoint written to the
+    shared folder named by ``spark.checkpoint.dir`` (survives executor loss;
+    never a machine-local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -37,6 +37,10 @@ TRAINING_CONFIG = {
 }
 
 
+# integer ids are spread evenly: cut row-number slices of this many id values
+ID_SLICE = 1 << 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -58,7 +62,8 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 4 == 3, F.col("value") / 2000).alias("optimizer_time"),
         F.col("ts").alias("time"),
     )
-    return position_within(base, ["run_id"], ["event_id"], out="step").drop("event_id")
+    return position_within(base, ["run_id"], ["event_id"], out="step",
+                           slice_width=ID_SLICE).drop("event_id")
 
 
 def eval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +93,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("doc_id") % 5 == 1, "text/markdown")
          .otherwise("text/plain").alias("mime_type"),
         "text")
-    return position_within(d, ["dataset"], ["doc_id"], out="row_idx")
+    return position_within(d, ["dataset"], ["doc_id"], out="row_idx", slice_width=ID_SLICE)
 
 
 def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
