@@ -63,7 +63,11 @@ WHERE matrix_id <> 'layer.9.intermediate.dense.weight'
 SELECT model, matrix_id AS name, [CAST(count(*) AS INTEGER), CAST(max(len(vec)) AS INTEGER)] AS shape,
        CASE WHEN model = 'c' AND matrix_id = 'layer.3.intermediate.dense.weight' THEN 'float16'
             ELSE 'float32' END AS dtype,
-       CAST(count(*) * max(len(vec)) AS BIGINT) AS numel
+       CAST(count(*) * max(len(vec)) AS BIGINT) AS numel, true AS trainable
+FROM model_matrices GROUP BY model, matrix_id
+UNION ALL
+SELECT model, regexp_replace(matrix_id, 'weight$', 'bias') AS name, [CAST(max(len(vec)) AS INTEGER)] AS shape,
+       'float32' AS dtype, CAST(max(len(vec)) AS BIGINT) AS numel, model <> 'b' AS trainable
 FROM model_matrices GROUP BY model, matrix_id"""),
     "results": ((), """
 SELECT p_brand AS model_name, p_type AS task_name, round(avg(p_size) / 50, 6) AS score

@@ -1 +1,121 @@
-"""Checked queries (filled in below)."""
+"""Checked queries for keyed-matrix and manifest operators (K1-K9).
+
+K2-K4 need an eigen solve, which SQL cannot express: they are registered
+without oracle SQL and checked against NumPy in ``tests/test_matrices.py``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from runforge.operators import matrices as K
+from runforge.plans.oracle_views import with_views
+from runforge.plans.registry import register, rounded
+from runforge.plans.suite_runlog import rsel
+from runforge.sources import fixtures as X
+
+
+def _model(spark, sf, name):
+    return X.model_matrices(spark, sf).where(F.col("model") == name).drop("model")
+
+
+@register("K1_matrix_stats", with_views("matrices") + rsel("""
+SELECT matrix_id, count(*) AS parameters, sqrt(sum(x * x)) AS norm, avg(x) AS mean, min(x) AS min, max(x) AS max
+FROM (SELECT matrix_id, CAST(unnest(vec) AS DOUBLE) AS x FROM matrices) GROUP BY matrix_id""",
+                                                           "norm", "mean", "min", "max"))
+def k1(spark, sf):
+    return rounded(K.matrix_stats(X.matrices(spark, sf)))
+
+
+@register("K2_spectral_stats")
+def k2(spark, sf):
+    s = K.spectral_stats(X.matrices(spark, sf))
+    return rounded(s.select("matrix_id", F.size("svd_values").alias("n_singular"), "scree_1", "scree_2",
+                            "mean_ratio_1", "median_ratio_1"))
+
+
+@register("K3_aggregate_spectral")
+def k3(spark, sf):
+    mm = X.model_matrices(spark, sf)
+    return rounded(K.aggregate_spectral(K.layer_stats(mm, ["model", "matrix_id"]), by="model"))
+
+
+@register("K4_spectral_wide")
+def k4(spark, sf):
+    return rounded(K.spectral_wide(K.spectral_stats(X.matrices(spark, sf))))
+
+
+@register("K5_select_matrices", with_views("manifests") + rsel("""
+SELECT model, name FROM manifests WHERE ends_with(name, 'intermediate.dense.weight') AND len(shape) = 2"""))
+def k5(spark, sf):
+    return K.select_matrices(X.manifests(spark, sf)).select("model", "name")
+
+
+@register("K6_manifest_listing", with_views("manifests") + rsel("""
+SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY name) - 1 AS INTEGER) AS ordinal, name,
+       array_to_string(shape, ',') AS shape, dtype FROM manifests"""))
+def k6(spark, sf):
+    m = K.manifest_listing(X.manifests(spark, sf))
+    return m.select("model", "ordinal", "name", F.array_join("shape", ",").alias("shape"), "dtype")
+
+
+def _diff_sql(m1: str, m2: str) -> str:
+    return f""", a AS (SELECT name, shape, dtype FROM {m1}), b AS (SELECT name, shape, dtype FROM {m2}),
+d AS (SELECT 'only_in_1' AS kind, name, shape AS shape_1, NULL AS shape_2, dtype AS dtype_1, NULL AS dtype_2
+      FROM a WHERE name NOT IN (SELECT name FROM b)
+      UNION ALL
+      SELECT 'only_in_2', name, NULL, shape, NULL, dtype FROM b WHERE name NOT IN (SELECT name FROM a)),
+mm AS (SELECT 'mismatch' AS kind, a.name, a.shape AS shape_1, b.shape AS shape_2, a.dtype AS dtype_1,
+              b.dtype AS dtype_2
+       FROM a JOIN b ON a.name = b.name WHERE a.shape <> b.shape OR a.dtype <> b.dtype)
+""" + rsel("""
+SELECT kind, name, array_to_string(shape_1, ',') AS shape_1, array_to_string(shape_2, ',') AS shape_2, dtype_1, dtype_2
+FROM (SELECT * FROM d UNION ALL SELECT * FROM mm WHERE NOT EXISTS (SELECT 1 FROM d))""")
+
+
+def _diff_out(df):
+    return df.select("kind", "name", F.array_join("shape_1", ",").alias("shape_1"),
+                     F.array_join("shape_2", ",").alias("shape_2"), "dtype_1", "dtype_2")
+
+
+_MODEL_D = """, md AS (SELECT * FROM manifests WHERE model = 'c'
+                UNION ALL SELECT * FROM manifests WHERE model = 'a' AND name LIKE 'layer.9.%'),
+ma AS (SELECT * FROM manifests WHERE model = 'a'), mc AS (SELECT * FROM manifests WHERE model = 'c')
+"""
+
+
+@register("K7_diff_manifests_names", with_views("manifests") + _MODEL_D + _diff_sql("ma", "mc"))
+def k7(spark, sf):
+    m = X.manifests(spark, sf)
+    return _diff_out(K.diff_manifests(m.where(F.col("model") == "a"), m.where(F.col("model") == "c")))
+
+
+@register("K7b_diff_manifests_shapes", with_views("manifests") + _MODEL_D + _diff_sql("ma", "md"))
+def k7b(spark, sf):
+    m = X.manifests(spark, sf)
+    d = m.where(F.col("model") == "c").unionByName(
+        m.where((F.col("model") == "a") & F.col("name").startswith("layer.9.")))
+    return _diff_out(K.diff_manifests(m.where(F.col("model") == "a"), d))
+
+
+@register("K8_average_matrices", with_views("model_matrices") + rsel("""
+SELECT a.matrix_id, a.row_id, CAST(i - 1 AS INTEGER) AS dim,
+       CAST(CAST(a.vec[i] AS DOUBLE) * 0.3 + 0.5 * CAST(b.vec[i] AS DOUBLE) AS FLOAT) AS value
+FROM (SELECT *, generate_subscripts(vec, 1) AS i FROM model_matrices WHERE model = 'a') AS a
+JOIN (SELECT * FROM model_matrices WHERE model = 'b') AS b ON a.matrix_id = b.matrix_id AND a.row_id = b.row_id""",
+                                                                   "value"))
+def k8(spark, sf):
+    w = spark.createDataFrame(K.parse_weights(["a:30", "b"]), "model string, weight double, ord int")
+    avg = K.average_matrices(X.model_matrices(spark, sf).where(F.col("model").isin("a", "b")), w)
+    return rounded(avg.select("matrix_id", "row_id", F.posexplode("vec").alias("dim", "value")))
+
+
+@register("K9_model_size", with_views("manifests") + rsel("""
+SELECT model, parameters,
+       CASE WHEN parameters > 1000000000 THEN printf('%.2fB', parameters / 1e9)
+            WHEN parameters > 1000000 THEN printf('%.1fM', parameters / 1e6)
+            WHEN parameters > 1000 THEN printf('%.1fK', parameters / 1e3)
+            ELSE CAST(parameters AS VARCHAR) || 'B' END AS size
+FROM (SELECT model, CAST(sum(numel) AS BIGINT) AS parameters FROM manifests WHERE trainable GROUP BY model)"""))
+def k9(spark, sf):
+    return K.model_size(X.manifests(spark, sf))

@@ -123,19 +123,27 @@ def model_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest rows (model, name, shape, dtype, numel) of :func:`model_matrices`.
+    """Manifest rows (model, name, shape, dtype, numel, trainable) of :func:`model_matrices`.
 
-    Model c also stores ``layer.3`` as float16, so dtype mismatches exist.
+    Every weight matrix also has a 1-D bias entry (``...bias``, shape [cols]).
+    Model c stores ``layer.3`` as float16 (dtype mismatch); model b's biases
+    are frozen (trainable false).
     """
     mm = model_matrices(spark, sf_dir)
     g = mm.groupBy("model", "matrix_id").agg(
         F.count(F.lit(1)).alias("nrows"), F.max(F.size("vec")).alias("ncols"))
-    return g.select(
+    weights = g.select(
         "model", F.col("matrix_id").alias("name"),
         F.array(F.col("nrows").cast("int"), F.col("ncols").cast("int")).alias("shape"),
         F.when((F.col("model") == "c") & (F.col("matrix_id") == "layer.3.intermediate.dense.weight"),
                F.lit("float16")).otherwise(F.lit("float32")).alias("dtype"),
-        (F.col("nrows") * F.col("ncols")).cast("bigint").alias("numel"))
+        (F.col("nrows") * F.col("ncols")).cast("bigint").alias("numel"),
+        F.lit(True).alias("trainable"))
+    biases = g.select(
+        "model", F.regexp_replace("matrix_id", "weight$", "bias").alias("name"),
+        F.array(F.col("ncols").cast("int")).alias("shape"), F.lit("float32").alias("dtype"),
+        F.col("ncols").cast("bigint").alias("numel"), (F.col("model") != "b").alias("trainable"))
+    return weights.unionByName(biases)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
