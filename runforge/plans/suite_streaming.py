@@ -1 +1,94 @@
-"""Checked queries (filled in below)."""
+"""Checked queries for the streaming operators.
+
+Each query writes the stand-in step log as rotated part files (two rotations,
+steps < 1200 first), drives the stream with ``availableNow`` after each
+rotation from the same checkpoint (a restart), and returns the sink contents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from runforge.plans.oracle_views import with_views
+from runforge.plans.registry import register, rounded
+from runforge.plans.suite_runlog import rsel
+from runforge.sources import fixtures as X
+from runforge.sources.logs import scratch_dir
+from runforge.streaming import steplog as T
+
+ROTATE_AT = 1200
+
+
+def _lines(spark, sf):
+    s = X.steps(spark, sf)
+    line = F.to_json(F.struct("step", "task", "loss", "num_tokens",
+                              F.create_map("dataset", "num_tokens").alias("tokens_by_dataset"), "time"))
+    return s.select("run_id", "step", line.alias("value"))
+
+
+def _rotation(lines, root, first: bool):
+    part = lines.where(F.col("step") < ROTATE_AT) if first else lines.where(F.col("step") >= ROTATE_AT)
+    part.select("run_id", "value").write.mode("append").partitionBy("run_id").text(root)
+
+
+def _drive(spark, sf, name, build, mode, duplicate_first=False):
+    root, sink, ckpt = (scratch_dir(spark, f"{name}-in"), scratch_dir(spark, f"{name}-out"),
+                        scratch_dir(spark, f"{name}-ckpt"))
+    lines = _lines(spark, sf)
+    _rotation(lines, root, True)
+    T.run_available(build(T.stream_step_log(spark, root)), sink, ckpt, mode)
+    if duplicate_first:       # a resumed run rewrites steps it had already logged
+        _rotation(lines, root, True)
+    _rotation(lines, root, False)
+    T.run_available(build(T.stream_step_log(spark, root)), sink, ckpt, mode)
+    return sink
+
+
+@register("T1_stream_step_log", with_views("steps") + rsel("""
+SELECT run_id, step, task, loss, num_tokens FROM steps""", "loss"))
+def t1(spark, sf):
+    sink = _drive(spark, sf, "t1", lambda s: s, "append")
+    out = spark.read.parquet(sink)
+    return rounded(out.select(F.col("run_id").cast("bigint").alias("run_id"), "step", "task", "loss", "num_tokens"))
+
+
+@register("T2_stream_totals", with_views("steps") + rsel("""
+SELECT run_id, task, count(*) AS steps, CAST(sum(num_tokens) AS BIGINT) AS total_tokens
+FROM steps GROUP BY run_id, task"""))
+def t2(spark, sf):
+    sink = _drive(spark, sf, "t2", T.stream_totals, "update")
+    out = T.latest(spark, sink, ["run_id", "task"])
+    return out.select(F.col("run_id").cast("bigint").alias("run_id"), "task", "steps", "total_tokens")
+
+
+@register("T2b_stream_dataset_totals", with_views("steps") + rsel("""
+SELECT run_id, dataset, CAST(sum(num_tokens) AS BIGINT) AS total_tokens FROM steps GROUP BY run_id, dataset"""))
+def t2b(spark, sf):
+    sink = _drive(spark, sf, "t2b", T.stream_dataset_totals, "update")
+    out = T.latest(spark, sink, ["run_id", "dataset"])
+    return out.select(F.col("run_id").cast("bigint").alias("run_id"), "dataset", "total_tokens")
+
+
+@register("T3_stream_trailing", with_views("steps") + rsel("""
+SELECT run_id, step, loss_100, loss_1000, total_tokens, steps_seen
+FROM (SELECT run_id, step,
+             avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS loss_100,
+             avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS loss_1000,
+             CAST(sum(num_tokens) OVER (PARTITION BY run_id) AS BIGINT) AS total_tokens,
+             count(*) OVER (PARTITION BY run_id) AS steps_seen,
+             max(step) OVER (PARTITION BY run_id) AS last_step
+      FROM steps) WHERE step = last_step""", "loss_100", "loss_1000"))
+def t3(spark, sf):
+    sink = _drive(spark, sf, "t3", T.stream_trailing, "update")
+    out = T.latest(spark, sink, ["run_id"])
+    return rounded(out.select(F.col("run_id").cast("bigint").alias("run_id"), "step", "loss_100", "loss_1000",
+                              "total_tokens", "steps_seen"))
+
+
+@register("T4_stream_dedup", with_views("steps") + rsel("""
+SELECT run_id, count(*) AS steps, CAST(sum(num_tokens) AS BIGINT) AS total_tokens FROM steps GROUP BY run_id"""))
+def t4(spark, sf):
+    sink = _drive(spark, sf, "t4", T.stream_dedup, "append", duplicate_first=True)
+    out = spark.read.parquet(sink)
+    return out.groupBy(F.col("run_id").cast("bigint").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("steps"), F.sum("num_tokens").cast("bigint").alias("total_tokens"))
