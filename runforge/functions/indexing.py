@@ -74,7 +74,8 @@ def position_within(df: DataFrame, group_cols, order_cols, out: str = "pos",
         sliced = joined.withColumn("_rf_slice", slice_expr).drop("_rf_lo", "_rf_hi", "_rf_cnt", "_rf_k")
     local_w = Window.partitionBy(*groups, "_rf_slice").orderBy(*sort_cols)
     local = sliced.withColumn("_rf_local", F.row_number().over(local_w) - 1)
-    counts = sliced.groupBy(*groups, "_rf_slice").agg(F.count(F.lit(1)).alias("_rf_n"))
+    # counted from the windowed rows so both branches share one shuffle of the input
+    counts = local.groupBy(*groups, "_rf_slice").agg(F.count(F.lit(1)).alias("_rf_n"))
     prefix_w = (Window.partitionBy(*groups) if groups else Window).orderBy("_rf_slice") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*groups, "_rf_slice",

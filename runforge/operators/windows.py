@@ -48,24 +48,44 @@ def _drop_halo(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- W1, W2, W4
+def _trailing_sums(log: DataFrame, ks, run_id: str, pos: str, chunk_rows: int) -> DataFrame:
+    """Per row and k: sum and count of the non-NaN losses among the last k rows.
+
+    Running sums over unbounded-preceding frames are incremental, and the k-row
+    window is cum[t] - cum[t-k] (``lag``), so the cost is O(n) whatever k is;
+    a sliding k-row frame aggregate would re-aggregate k rows per output row.
+    Running sums restart in every chunk; the halo of max(ks) rows keeps
+    cum[t-k] inside the chunk (null only before the run's first row, i.e. 0).
+    """
+    c = with_halo(log.select(run_id, pos, "loss"), run_id, pos, max(ks), chunk_rows)
+    w = _chunk_window(run_id, pos)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = _nan_null("loss")
+    c = c.withColumn("_rf_cs", F.sum(F.coalesce(x, F.lit(0.0))).over(run)) \
+         .withColumn("_rf_cn", F.count(x).over(run))
+    cols = []
+    for k in ks:
+        cols += [(F.col("_rf_cs") - F.coalesce(F.lag("_rf_cs", k).over(w), F.lit(0.0))).alias(f"_rf_s{k}"),
+                 (F.col("_rf_cn") - F.coalesce(F.lag("_rf_cn", k).over(w), F.lit(0))).alias(f"_rf_n{k}")]
+    return c.select(run_id, pos, "loss", *cols, "_rf_halo", "_rf_chunk")
+
+
 def trailing_loss(log: DataFrame, ks=(100, 1000), run_id: str = "run_id", pos: str = "step",
                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Mean of the last k losses with NaN/null dropped after taking the k
     rows; null when none is left. One column ``loss_<k>`` per k."""
-    c = with_halo(log.select(run_id, pos, "loss"), run_id, pos, max(ks) - 1, chunk_rows)
-    w = _chunk_window(run_id, pos)
-    cols = [F.avg(_nan_null("loss")).over(w.rowsBetween(-(k - 1), 0)).alias(f"loss_{k}") for k in ks]
-    return _drop_halo(c.select(run_id, pos, "loss", *cols, "_rf_halo", "_rf_chunk"))
+    t = _trailing_sums(log, ks, run_id, pos, chunk_rows)
+    cols = [F.when(F.col(f"_rf_n{k}") > 0, F.col(f"_rf_s{k}") / F.col(f"_rf_n{k}")).alias(f"loss_{k}")
+            for k in ks]
+    return _drop_halo(t.select(run_id, pos, "loss", *cols, "_rf_halo", "_rf_chunk"))
 
 
 def rolling_mean(log: DataFrame, window: int = 1000, run_id: str = "run_id", pos: str = "step",
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``window``-row rolling mean, null until the frame holds ``window`` non-NaN values."""
-    c = with_halo(log.select(run_id, pos, "loss"), run_id, pos, window - 1, chunk_rows)
-    w = _chunk_window(run_id, pos).rowsBetween(-(window - 1), 0)
-    x = _nan_null("loss")
-    out = F.when(F.count(x).over(w) == window, F.avg(x).over(w)).alias("rolling_mean")
-    return _drop_halo(c.select(run_id, pos, "loss", out, "_rf_halo", "_rf_chunk"))
+    t = _trailing_sums(log, (window,), run_id, pos, chunk_rows)
+    out = F.when(F.col(f"_rf_n{window}") == window, F.col(f"_rf_s{window}") / F.lit(float(window)))
+    return _drop_halo(t.select(run_id, pos, "loss", out.alias("rolling_mean"), "_rf_halo", "_rf_chunk"))
 
 
 def loss_diff(log: DataFrame, run_id: str = "run_id", pos: str = "step",
