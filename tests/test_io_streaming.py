@@ -55,11 +55,11 @@ def test_stream_restart_trailing(spark):
                 f.write(json.dumps({"step": s, "loss": float(s), "num_tokens": 1}) + "\n")
 
     part("p0.json", range(0, 150))
-    T.run_available(T.stream_trailing(T.stream_step_log(spark, root)), sink + "/out", ckpt)
+    T.run_available(T.stream_trailing(T.stream_step_log(spark, root)), sink + "/out", ckpt, "update")
     first = T.latest(spark, sink + "/out", ["run_id"]).collect()[0]
     assert first.loss_100 == 99.5
     part("p1.json", range(150, 200))
-    T.run_available(T.stream_trailing(T.stream_step_log(spark, root)), sink + "/out", ckpt)
+    T.run_available(T.stream_trailing(T.stream_step_log(spark, root)), sink + "/out", ckpt, "update")
     second = T.latest(spark, sink + "/out", ["run_id"]).collect()[0]
     assert second.loss_100 == 149.5 and second.total_tokens == 200
 
