@@ -138,7 +138,8 @@ def contrastive_quads(docs: DataFrame, chunks: DataFrame, by: str = "dataset", d
     a = ranked.select(F.col(by).alias("ds_i"), F.col("_rf_nd").alias("n_i"), F.col("_rf_ord").alias("o_i"))
     b = ranked.select(F.col(by).alias("ds_j"), F.col("_rf_nd").alias("n_j"), F.col("_rf_ord").alias("o_j"))
     pairs = a.join(F.broadcast(b), F.col("o_j") < F.col("o_i"))
-    q = pairs.select("ds_i", "ds_j", "n_i", "n_j", F.explode(F.sequence(F.lit(0), F.lit(num_per_pair - 1))).alias("q"))
+    q = pairs.select("ds_i", "ds_j", "n_i", "n_j",
+                     F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(num_per_pair - 1).cast("bigint"))).alias("q"))
     qk = F.concat_ws(":", F.col("ds_i").cast("string"), F.col("ds_j").cast("string"), F.col("q").cast("string"))
     q = q.select("ds_i", "ds_j", "q",
                  draw_index(F.col("n_i"), seed, qk, "i1").alias("_rf_i1"),

@@ -84,7 +84,7 @@ def io3(spark, sf):
 
 
 @register("IO6_decode_content", rsel("""
-SELECT doc_id, true AS ok, CAST(NULL AS VARCHAR) AS decode_error, length(text) AS n_chars FROM documents"""))
+SELECT doc_id, true AS ok, CAST(NULL AS VARCHAR) AS decode_error, CAST(length(text) AS INTEGER) AS n_chars FROM documents"""))
 def io6(spark, sf):
     docs = X.table(spark, sf, "documents").select("doc_id", F.col("text").alias("original"))
     enc = CIO.encode_content(docs, "original", "content")

@@ -78,7 +78,7 @@ def _trailing(ks):
             losses = list(losses)
         else:
             losses, last_step, tokens, seen = [], -1, 0, 0
-        frames = [p for p in pdfs]
+        frames = [p for p in pdfs if len(p)]
         if not frames:
             return
         batch = pd.concat(frames).sort_values("step")
