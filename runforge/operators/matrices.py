@@ -141,6 +141,11 @@ def spectral_wide(stats: DataFrame, by=None, names: list[str] | None = None, val
 
 
 # ---------------------------------------------------------------- K5, K6, K7
+def manifest(df: DataFrame) -> DataFrame:
+    """K6 (survey name): see :func:`manifest_listing`."""
+    return manifest_listing(df)
+
+
 def select_matrices(manifest: DataFrame, suffix: str = "intermediate.dense.weight", name: str = "name") -> DataFrame:
     """K5: 2-D entries whose name ends with ``suffix`` (the eval roll-up set)."""
     return manifest.where(F.col(name).endswith(suffix) & (F.size("shape") == 2))

@@ -79,7 +79,12 @@ def _last_k(df: DataFrame, group: list[str], order_col: str, k: int) -> DataFram
     return ranked.where(F.col("_rf_from_end") < k)
 
 
-def log_statistics(log: DataFrame, run_id: str = "run_id", tail: int = 100) -> DataFrame:
+def _maybe_exclude(log: DataFrame, steps_per_eval: int | None) -> DataFrame:
+    return exclude_eval_steps(log, steps_per_eval) if steps_per_eval else log
+
+
+def log_statistics(log: DataFrame, run_id: str = "run_id", tail: int = 100,
+                   exclude_eval_steps: int | None = None) -> DataFrame:
     """One row of run statistics per run.
 
     ``total_steps`` is the last step value (not a count); ``final_loss`` the
@@ -87,6 +92,7 @@ def log_statistics(log: DataFrame, run_id: str = "run_id", tail: int = 100) -> D
     losses (NaN propagates); mean/std (ddof 1) of loss propagate NaN, min/max
     skip it; ``total_tokens_b`` = Σ num_tokens / 1e9.
     """
+    log = _maybe_exclude(log, exclude_eval_steps)
     timings = [c for c in TIMING_COLS if c in log.columns]
     main = log.groupBy(run_id).agg(
         F.max("step").alias("total_steps"),
@@ -164,10 +170,12 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by=None) -> DataFrame:
         "count").orderBy(*by, "bin")
 
 
-def loss_hist_by_task(log: DataFrame, bins: int = 50, by=None) -> DataFrame:
+def loss_hist_by_task(log: DataFrame, bins: int = 50, by=None,
+                      exclude_eval_steps: int | None = None) -> DataFrame:
     """Per-task loss histogram on the task's own range, with the shared axis
     (global min and max loss over all tasks) on every row."""
     by = _cols(by)
+    log = _maybe_exclude(log, exclude_eval_steps)
     h = histogram(log, "loss", bins, by=by + ["task"])
     axis = log.groupBy(*by).agg(F.min(_nan_null("loss")).alias("axis_min"),
                                 F.max(_nan_null("loss")).alias("axis_max"))
@@ -241,10 +249,11 @@ def eval_summary(samples: DataFrame, by, value: str = "sample_loss") -> DataFram
 
 # ---------------------------------------------------------------- A12, A14-A17
 def loss_annotations(log: DataFrame, run_id: str = "run_id", x_min: int = 1000,
-                     window: int = 1000) -> DataFrame:
+                     window: int = 1000, exclude_eval_steps: int | None = None) -> DataFrame:
     """Chart annotations per run: min loss, max loss after ``x_min`` (the
     overall max when the run does not pass ``x_min``), y limit 1.1 × that, and
     the last value of the ``window``-row moving average (null when shorter)."""
+    log = _maybe_exclude(log, exclude_eval_steps)
     agg = log.groupBy(run_id).agg(
         F.min(_nan_null("loss")).alias("min_loss"),
         F.max("step").alias("last_step"),
@@ -296,4 +305,7 @@ def flag_eval_steps(log: DataFrame, steps_per_eval: int) -> DataFrame:
 
 
 def exclude_eval_steps(log: DataFrame, steps_per_eval: int) -> DataFrame:
+    """Drop the rows that carry an eval sample's loss (see :func:`flag_eval_steps`).
+    Window operators expect dense positions: re-index with ``position_within``
+    after dropping rows."""
     return flag_eval_steps(log, steps_per_eval).where(~F.col("is_eval_step")).drop("is_eval_step")

@@ -261,14 +261,26 @@ def resume_state(log: DataFrame, run_id: str = "run_id", order_col: str = "step"
 
 # ---------------------------------------------------------------- W10
 def last_eval_asof(log: DataFrame, ev: DataFrame, run_id: str = "run_id", value: str = "mean",
-                   order_col: str = "line_no", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   order_col: str = "line_no", chunk_rows: int = CHUNK_ROWS,
+                   session: str | None = None) -> DataFrame:
     """As-of join — the last eval ``value`` known at each logged step, the
     eval of the same step included; 0.0 before the first one. Step-0 evals are
     start-up evals and do not count; several evals at one step: the last line.
+    With ``session`` (a column of ``log``, e.g. from :func:`token_rate`), the
+    lookup restarts at every session, as the in-memory eval series does after a
+    resume; evals take the session of the logged step they belong to.
 
     Union of both sides on the step axis, then a forward fill: within a chunk
     by ``last(ignorenulls)``, across chunks from a prefix over chunk tails.
     """
+    if session:
+        sess = log.select(run_id, "step", session)
+        ev = ev.join(sess, [run_id, "step"], "inner")
+        key = F.concat_ws("#", F.col(run_id).cast("string"), F.col(session).cast("string"))
+        out = last_eval_asof(log.withColumn("_rf_rs", key), ev.withColumn("_rf_rs", key), "_rf_rs", value,
+                             order_col, chunk_rows)
+        keys = log.select(run_id, "step", key.alias("_rf_rs"))
+        return out.join(keys, ["_rf_rs", "step"], "inner").select(run_id, "step", "last_eval")
     e = (ev.where(F.col("step") > 0).groupBy(run_id, "step")
          .agg(F.max_by(value, order_col).alias("_rf_v"))
          .select(run_id, "step", "_rf_v", F.lit(0).alias("_rf_kind")))

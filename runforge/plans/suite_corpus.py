@@ -312,3 +312,19 @@ def p6b(spark, sf):
     recs = TS.build_training_set(spark, sf, prefix="src", record_size=RECORD_SIZE, vocab_size=VOCAB_SIZE, seed=SEED)
     return TS.build_eval_set(recs, 1000, SEED).select(
         "batch", "record_idx", F.array_join("input_ids", " ").alias("ids"))
+
+
+@register("IO5b_read_selected_partitions", with_views("corpus", "catalog") + rsel("""
+SELECT dataset, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM corpus
+WHERE dataset IN (SELECT dataset_id FROM catalog WHERE starts_with(dataset_id, 'src1')
+                  AND NOT contains(dataset_id, '-eval-'))
+GROUP BY dataset"""))
+def io5b(spark, sf):
+    """Corpus stored partitioned by dataset; the selected datasets are read with
+    dynamic partition pruning from a semi join with the catalog selection."""
+    from runforge.sources.logs import scratch_dir
+    path = scratch_dir(spark, "corpus-by-dataset")
+    CIO.write_corpus(X.corpus(spark, sf).select("dataset", "doc_id", "text"), path)
+    sel = CIO.read_selected(spark, path, CIO.select_corpora(X.catalog(spark, sf), "src1"))
+    return sel.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_docs"),
+                                      F.sum(F.length("text")).cast("bigint").alias("n_chars"))

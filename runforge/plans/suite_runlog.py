@@ -207,3 +207,18 @@ def a16b(spark, sf):
 SELECT run_id, step, step > 0 AND step % 1000 = 0 AS is_eval_step FROM steps"""))
 def a17(spark, sf):
     return R.flag_eval_steps(X.steps(spark, sf), 1000).select("run_id", "step", "is_eval_step")
+
+
+@register("A3b_log_statistics_no_eval_steps", with_views("steps") + rsel("""
+SELECT run_id, max(step) AS total_steps, arg_max(loss, step) AS final_loss, avg(loss) AS mean_loss,
+       stddev_samp(loss) AS std_loss, min(loss) AS min_loss, max(loss) AS max_loss,
+       avg(sample_time) AS mean_sample_time, avg(forward_time) AS mean_forward_time,
+       avg(backward_time) AS mean_backward_time, avg(optimizer_time) AS mean_optimizer_time,
+       sum(num_tokens) / 1e9 AS total_tokens_b,
+       avg(loss) FILTER (WHERE rn <= 100) AS last_100_loss_mean
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rn
+      FROM steps WHERE NOT (step > 0 AND step % 100 = 0))
+GROUP BY run_id""", *_A3_COLS))
+def a3b(spark, sf):
+    """A3 with the eval-step rows (every 100th step here) excluded."""
+    return rounded(R.log_statistics(X.steps(spark, sf), exclude_eval_steps=100))

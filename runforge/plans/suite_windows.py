@@ -208,3 +208,16 @@ def w11b(spark, sf):
 @register("W11_lr_audit_sinusoid", _audit_sql(lambda s, n: _sin_sql(s, SINUSOID), 0))
 def w11c(spark, sf):
     return _audit(spark, sf, "sinusoid", SINUSOID, 0)
+
+
+@register("W10b_last_eval_asof_sessions", with_views("steps", "evals") + rsel("""
+SELECT s.run_id, s.step, coalesce(e.mean, 0.0) AS last_eval
+FROM (SELECT run_id, step, CAST(floor(step / 700) AS BIGINT) AS session FROM steps) AS s ASOF LEFT JOIN
+     (SELECT run_id, step, CAST(floor(step / 700) AS BIGINT) AS session, arg_max(mean, line_no) AS mean
+      FROM evals WHERE step > 0 GROUP BY run_id, step) AS e
+ON s.run_id = e.run_id AND s.session = e.session AND s.step >= e.step""", "last_eval"))
+def w10b(spark, sf):
+    """W10 with the eval lookup restarting at each session (clock restarts every 700 steps)."""
+    sess = W.token_rate(_timed_log(spark, sf)).select("run_id", "step", "session")
+    log = X.steps(spark, sf).join(sess, ["run_id", "step"])
+    return rounded(W.last_eval_asof(log, X.evals(spark, sf), session="session"))

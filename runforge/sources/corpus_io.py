@@ -17,6 +17,20 @@ def select_corpora(catalog: DataFrame, prefix: str, exclude: str = "-eval-",
     return catalog.where(F.col(col).startswith(prefix) & ~F.col(col).contains(exclude)).select(col)
 
 
+def write_corpus(df: DataFrame, path: str, by: str = "dataset") -> None:
+    """Store a corpus partitioned by dataset, so dataset selection prunes files."""
+    df.write.mode("overwrite").partitionBy(by).parquet(path)
+
+
+def read_selected(spark: SparkSession, path: str, selection: DataFrame, by: str = "dataset",
+                  key: str = "dataset_id") -> DataFrame:
+    """Read only the selected datasets of a partitioned corpus: a semi join on
+    the partition column with the (small) catalog selection, which dynamic
+    partition pruning turns into a partition filter on the scan."""
+    corpus = spark.read.parquet(path)
+    return corpus.join(selection.select(F.col(key).alias(by)), by, "left_semi")
+
+
 def read_corpus(spark: SparkSession, paths: list[str], schema: T.StructType | None = None) -> DataFrame:
     """IO5: read one or more parquet corpora (train split) into one frame by column name.
 
