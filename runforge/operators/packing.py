@@ -104,13 +104,22 @@ def pack_records(df: DataFrame, record_size: int, order: str = "position", token
 
 
 # ---------------------------------------------------------------- P2, P3
-def interleave(df: DataFrame, by: str = "dataset", index: str = "row_idx") -> DataFrame:
+ROUND_BLOCK = 1 << 16
+
+
+def interleave(df: DataFrame, by: str = "dataset", index: str = "row_idx",
+               round_block: int = ROUND_BLOCK) -> DataFrame:
     """Round-robin interleave of datasets, oversampling until all are exhausted.
 
     n datasets (ordinal = rank of the name), L = longest length. Row i of
     dataset d appears at logical rows i, i + len_d, ... < L, at position
     logical_row·n + ordinal(d): L·n rows out, no global sort. ``index`` is the
     dense 0-based row index within the dataset.
+
+    A row of a small dataset is repeated about L / len_d times. Rows needing
+    more than ``round_block`` repeats are first cut into blocks of rounds and
+    those (row, block) pairs are spread over tasks by a shuffle that touches
+    only the small datasets, so no task generates a hot dataset's copies alone.
     """
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_rf_len"))
     # one-row totals: longest length, dataset count and the sorted names (one per dataset)
@@ -119,11 +128,25 @@ def interleave(df: DataFrame, by: str = "dataset", index: str = "row_idx") -> Da
     meta = sizes.crossJoin(F.broadcast(totals)).select(
         by, "_rf_len", "_rf_L", "_rf_n", (F.array_position("_rf_names", F.col(by)) - 1).alias("_rf_ord"))
     j = df.join(meta, by, "inner")
-    rows = F.sequence(F.col(index), F.col("_rf_L") - 1, F.col("_rf_len"))
-    out = j.select("*", F.explode(rows).alias("_rf_lr"))
-    return (out.withColumn("position", (F.col("_rf_lr") * F.col("_rf_n") + F.col("_rf_ord")).cast("bigint"))
-            .withColumn("round", F.col("_rf_lr").cast("bigint"))
-            .drop("_rf_len", "_rf_ord", "_rf_L", "_rf_n", "_rf_lr"))
+    # repeats of row i: ceil((L - i) / len)
+    reps = F.floor((F.col("_rf_L") - F.col(index) + F.col("_rf_len") - 1) / F.col("_rf_len"))
+    j = j.withColumn("_rf_reps", reps.cast("bigint"))
+    few = j.where(F.col("_rf_reps") <= round_block).withColumn("_rf_b0", F.lit(0).cast("bigint")) \
+        .withColumn("_rf_b1", F.col("_rf_reps") - 1)
+    many = j.where(F.col("_rf_reps") > round_block)
+    nblk = F.floor((F.col("_rf_reps") + round_block - 1) / round_block).cast("bigint")
+    many = (many.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), nblk - 1)).alias("_rf_blk"))
+            .repartition(by, index, "_rf_blk")
+            .withColumn("_rf_b0", F.col("_rf_blk") * round_block)
+            .withColumn("_rf_b1", F.least(F.col("_rf_b0") + round_block, F.col("_rf_reps")) - 1)
+            .drop("_rf_blk"))
+    both = few.unionByName(many)
+    # logical row = index + m * len for m in [b0, b1]
+    out = both.select("*", F.explode(F.sequence("_rf_b0", "_rf_b1")).alias("_rf_m"))
+    lr = F.col(index) + F.col("_rf_m") * F.col("_rf_len")
+    return (out.withColumn("position", (lr * F.col("_rf_n") + F.col("_rf_ord")).cast("bigint"))
+            .withColumn("round", lr.cast("bigint"))
+            .drop("_rf_len", "_rf_ord", "_rf_L", "_rf_n", "_rf_reps", "_rf_b0", "_rf_b1", "_rf_m"))
 
 
 def concat_corpora(*dfs: DataFrame) -> DataFrame:

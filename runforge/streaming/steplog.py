@@ -112,11 +112,13 @@ def stream_trailing(sdf: DataFrame, ks=(100, 1000)) -> DataFrame:
 def run_available(sdf: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available now, then stop (restartable from ``checkpoint``).
 
-    Each micro-batch is appended to ``sink`` as parquet with its batch id;
-    complete/update outputs are resolved by :func:`latest`.
+    Each micro-batch is written to its own ``batch_id=<id>`` folder of ``sink``
+    with overwrite, so a retried batch replaces its own output instead of
+    adding a second copy (foreachBatch is at-least-once); complete/update
+    outputs are resolved by :func:`latest`.
     """
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(sink)
+        batch_df.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
          .foreachBatch(write).trigger(availableNow=True).start())

@@ -87,3 +87,12 @@ def test_shuffle_is_permutation(spark):
     out = P.shuffle(df, 3, "k")
     assert sorted(r.shuffle_pos for r in out.collect()) == list(range(500))
     assert out.agg(F.countDistinct("k")).collect()[0][0] == 500
+
+
+def test_interleave_block_split_equals_plain(spark):
+    rows = [("big", i) for i in range(40)] + [("small", 0), ("small", 1), ("tiny", 0)]
+    df = spark.createDataFrame(rows, "dataset string, row_idx long")
+    plain = sorted((r.dataset, r.row_idx, r.position) for r in P.interleave(df).collect())
+    split = sorted((r.dataset, r.row_idx, r.position) for r in P.interleave(df, round_block=3).collect())
+    assert plain == split
+    assert [p for _, _, p in sorted(plain, key=lambda t: t[2])] == list(range(40 * 3))
