@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions import schedules as S
+from runforge.functions.indexing import position_within
 
 CHUNK_ROWS = 1 << 16
 
@@ -172,8 +173,40 @@ def token_rate(log: DataFrame, run_id: str = "run_id", pos: str = "step",
 
 
 # ---------------------------------------------------------------- W7
+def _cut_index(n: np.ndarray | int, i: int):
+    """1-based rank of the lower element of exclusive cut point i-1 over n values."""
+    m = i * (np.asarray(n) + 1)
+    return np.clip(m // 100, 1, np.asarray(n) - 1), m
+
+
+class _Fenwick:
+    """Order statistics over a fixed universe of ``size`` sorted slots."""
+
+    def __init__(self, size: int):
+        self.n = size
+        self.t = np.zeros(size + 1, dtype=np.int64)
+        self.top = 1 << max(size, 1).bit_length()
+
+    def add(self, i: int) -> None:  # 0-based slot
+        i += 1
+        while i <= self.n:
+            self.t[i] += 1
+            i += i & (-i)
+
+    def kth(self, k: int) -> int:  # 1-based k -> 0-based slot
+        idx, rem, step = 0, k, self.top
+        while step:
+            nxt = idx + step
+            if nxt <= self.n and self.t[nxt] < rem:
+                idx = nxt
+                rem -= self.t[nxt]
+            step >>= 1
+        return idx
+
+
 def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id: str = "run_id",
-                   pos: str = "step", norm: str = "grad_norm", min_history: int = 100) -> DataFrame:
+                   pos: str = "step", norm: str = "grad_norm", min_history: int = 100,
+                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Expanding-percentile clip threshold per logged step.
 
     Norms are recorded from step 1 on (step 0 records none and logs no
@@ -183,65 +216,101 @@ def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id:
     ``max_norm``: no clipping (null); falsy ``pct``: constant ``max_norm``.
     ``clipped`` = norm > threshold.
 
-    One run is one pandas group: the per-row order statistic over a growing
-    history is sequential. Memory per task is the run's norm series (8 bytes a
-    step); a Fenwick tree over value ranks gives O(n log n).
+    Exact and chunked, never one run per task. With histories cut into chunks
+    of C rows, the k-th smallest of prefix P_a ∪ Q_t (P_a = rows before the
+    chunk, |Q_t| ≤ C) has P_a-rank in [k - C, k]; so each chunk needs only the
+    window of P_a between ranks k_min - C and k_max (about 1.9·C values). That
+    window is found through a (chunk × value-block) count table: prefix counts
+    over chunks, cumulative over blocks, then an equi-join on the covering
+    blocks. Each chunk is finished in one pandas group holding its window and
+    its own rows (a Fenwick tree over their sorted values).
     """
-    schema = f"{run_id} {dict(log.dtypes)[run_id]}, {pos} {dict(log.dtypes)[pos]}, " \
-             f"{norm} double, clip_threshold double, clipped boolean"
-
-    def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos).reset_index(drop=True)
-        x = pdf[norm].astype("float64").to_numpy()
-        steps = pdf[pos].to_numpy()
-        thr = np.full(len(x), np.nan)
-        if max_norm:
-            rec = steps > 0
-            if not pct:
-                thr[rec] = max_norm
-            else:
-                vals = x[rec]
-                order = np.argsort(vals, kind="stable")
-                rank = np.empty(len(vals), dtype=np.int64)
-                rank[order] = np.arange(len(vals))
-                sorted_vals = vals[order]
-                m = len(vals)
-                tree = np.zeros(m + 1, dtype=np.int64)
-                top = 1 << max(m, 1).bit_length()
-
-                def kth(k):  # 1-based k-th smallest among inserted
-                    idx, rem, step = 0, k, top
-                    while step:
-                        nxt = idx + step
-                        if nxt <= m and tree[nxt] < rem:
-                            idx = nxt
-                            rem -= tree[nxt]
-                        step >>= 1
-                    return sorted_vals[idx]
-
-                out = np.empty(m)
-                i = pct + 1
-                for t in range(m):
-                    r = rank[t] + 1
-                    while r <= m:
-                        tree[r] += 1
-                        r += r & (-r)
-                    n = t + 1
-                    if n < min_history:
-                        out[t] = max_norm
-                    else:
-                        mm = i * (n + 1)
-                        j = min(max(mm // 100, 1), n - 1)
-                        d = mm - 100 * j
-                        out[t] = (kth(j) * (100 - d) + kth(j + 1) * d) / 100.0
-                thr[rec] = out
-        res = pd.DataFrame({run_id: pdf[run_id], pos: steps, norm: x, "clip_threshold": thr})
-        res["clip_threshold"] = res["clip_threshold"].where(~np.isnan(thr), None)
-        res["clipped"] = pd.array(np.where(np.isnan(thr), None, x > np.nan_to_num(thr, nan=np.inf)),
-                                  dtype="boolean")
-        return res
-
-    return log.select(run_id, pos, norm).groupBy(run_id).applyInPandas(per_run, schema)
+    C = max(int(chunk_rows), 2)
+    base = log.select(run_id, pos, F.col(norm).cast("double").alias(norm))
+    out_schema = f"{run_id} {dict(log.dtypes)[run_id]}, {pos} {dict(log.dtypes)[pos]}, " \
+                 f"{norm} double, clip_threshold double, clipped boolean"
+    if not max_norm or not pct:
+        thr = F.when(F.col(pos) > 0, F.lit(float(max_norm)) if max_norm else F.lit(None).cast("double"))
+        return base.select(run_id, pos, norm, thr.alias("clip_threshold"),
+                           (F.col(norm) > thr).alias("clipped"))
+    i = pct + 1
+    rec = base.where(F.col(pos) > 0)
+    # p: 0-based history position; g: 0-based global value rank within the run
+    rec = position_within(rec, [run_id], [pos], out="_rf_p", slice_width=C)
+    rec = position_within(rec, [run_id], [norm, "_rf_p"], out="_rf_g")
+    rec = rec.withColumn("_rf_c", F.floor(F.col("_rf_p") / C).cast("bigint")) \
+             .withColumn("_rf_b", F.floor(F.col("_rf_g") / C).cast("bigint"))
+    cnt = rec.groupBy(run_id, "_rf_c", "_rf_b").agg(F.count(F.lit(1)).alias("_rf_n"))
+    nchunks = rec.groupBy(run_id).agg((F.max("_rf_c") + 1).alias("_rf_nc"))
+    grid = (nchunks.select(run_id, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rf_nc") - 1)).alias("_rf_c"),
+                           "_rf_nc")
+            .select(run_id, "_rf_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rf_nc") - 1)).alias("_rf_b")))
+    grid = grid.join(cnt, [run_id, "_rf_c", "_rf_b"], "left").fillna(0, ["_rf_n"])
+    w_prev = Window.partitionBy(run_id, "_rf_b").orderBy("_rf_c").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_rf_pre", F.coalesce(F.sum("_rf_n").over(w_prev), F.lit(0)))
+    w_cum = Window.partitionBy(run_id, "_rf_c").orderBy("_rf_b").rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.withColumn("_rf_cum", F.sum("_rf_pre").over(w_cum))
+    # needed P_a ranks of chunk c (a = c*C rows before it; history sizes n in [a+1, a+C])
+    a = F.col("_rf_c") * C
+    n_lo = F.greatest(a + 1, F.lit(min_history))
+    n_hi = a + C
+
+    def jcol(n):
+        return F.least(F.greatest(F.floor(F.lit(i) * (n + 1) / 100), F.lit(1)), n - 1).cast("bigint")
+
+    lo = F.greatest(jcol(n_lo) - C, F.lit(1))
+    hi = F.least(jcol(n_hi) + 1, a)
+    win = (grid.withColumn("_rf_lo", lo).withColumn("_rf_hi", hi)
+           .groupBy(run_id, "_rf_c", "_rf_lo", "_rf_hi").agg(
+               F.min(F.when(F.col("_rf_cum") >= F.col("_rf_lo"), F.col("_rf_b"))).alias("_rf_b_lo"),
+               F.min(F.when(F.col("_rf_cum") >= F.col("_rf_hi"), F.col("_rf_b"))).alias("_rf_b_hi"),
+               F.coalesce(F.max(F.when(F.col("_rf_cum") < F.col("_rf_lo"), F.col("_rf_cum"))), F.lit(0))
+               .alias("_rf_base"))
+           .where((F.col("_rf_c") * C >= 1) & (F.col("_rf_hi") >= F.col("_rf_lo"))
+                  & ((F.col("_rf_c") + 1) * C >= min_history)))
+    blocks = win.select(run_id, "_rf_c", "_rf_lo", "_rf_hi", "_rf_base",
+                        F.explode(F.sequence("_rf_b_lo", "_rf_b_hi")).alias("_rf_b"))
+    cand = (blocks.join(rec.select(run_id, "_rf_b", F.col("_rf_p").alias("_rf_q"), "_rf_g", norm),
+                        [run_id, "_rf_b"], "inner")
+            .where(F.col("_rf_q") < F.col("_rf_c") * C))
+    rw = Window.partitionBy(run_id, "_rf_c").orderBy("_rf_g")
+    cand = cand.withColumn("_rf_r", F.col("_rf_base") + F.row_number().over(rw))
+    window_rows = cand.where((F.col("_rf_r") >= F.col("_rf_lo")) & (F.col("_rf_r") <= F.col("_rf_hi"))).select(
+        run_id, "_rf_c", F.lit(None).cast(dict(log.dtypes)[pos]).alias(pos), F.lit(-1).cast("bigint").alias("_rf_p"),
+        "_rf_g", norm, (F.col("_rf_lo") - 1).alias("_rf_below"))
+    own = rec.select(run_id, "_rf_c", pos, "_rf_p", "_rf_g", norm, F.lit(None).cast("bigint").alias("_rf_below"))
+    both = window_rows.unionByName(own)
+
+    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf[pdf["_rf_p"] >= 0].sort_values("_rf_p")
+        below = pdf["_rf_below"].dropna()
+        below = int(below.iloc[0]) if len(below) else 0
+        order = pdf.sort_values("_rf_g")
+        slot = {g: k for k, g in enumerate(order["_rf_g"].to_numpy())}
+        vals = order[norm].to_numpy()
+        fw = _Fenwick(len(vals))
+        for g in pdf.loc[pdf["_rf_p"] < 0, "_rf_g"]:
+            fw.add(slot[g])
+        thr = np.empty(len(mine))
+        for idx, (p, g) in enumerate(zip(mine["_rf_p"].to_numpy(), mine["_rf_g"].to_numpy())):
+            fw.add(slot[g])
+            n = int(p) + 1
+            if n < min_history:
+                thr[idx] = max_norm
+                continue
+            j, m = _cut_index(n, i)
+            j, m = int(j), int(m)
+            d = m - 100 * j
+            lo_v, hi_v = vals[fw.kth(j - below)], vals[fw.kth(j + 1 - below)]
+            thr[idx] = (lo_v * (100 - d) + hi_v * d) / 100.0
+        x = mine[norm].to_numpy()
+        return pd.DataFrame({run_id: mine[run_id].to_numpy(), pos: mine[pos].to_numpy(), norm: x,
+                             "clip_threshold": thr, "clipped": x > thr})
+
+    done = both.groupBy(run_id, "_rf_c").applyInPandas(per_chunk, out_schema)
+    first = base.where(F.col(pos) <= 0).select(run_id, pos, norm, F.lit(None).cast("double").alias("clip_threshold"),
+                                                 F.lit(None).cast("boolean").alias("clipped"))
+    return done.unionByName(first)
 
 
 # ---------------------------------------------------------------- W8, W9

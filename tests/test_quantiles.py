@@ -79,3 +79,19 @@ def test_position_within_fixed_width(spark):
         ids = sorted(r.id for r in got if r.g == g)
         pos = {r.id: r.p for r in got if r.g == g}
         assert [pos[i] for i in ids] == list(range(len(ids)))
+
+
+def test_w7_chunked_against_model(spark):
+    rng = random.Random(4)
+    norms = [round(rng.random() * 3, 3) for _ in range(700)]  # rounding makes ties
+    rows = [(r, s, v) for r in (0, 1) for s, v in enumerate(norms if r == 0 else norms[::-1])]
+    df = spark.createDataFrame(rows, "run_id int, step long, grad_norm double")
+    for chunk in (64, 150):
+        got = {(r.run_id, r.step): r.clip_threshold for r in W.clip_threshold(df, 1.0, 90, chunk_rows=chunk).collect()}
+        for run in (0, 1):
+            xs = norms if run == 0 else norms[::-1]
+            assert got[(run, 0)] is None
+            for s in range(1, 700):
+                hist = xs[1:s + 1]
+                want = 1.0 if len(hist) < 100 else statistics.quantiles(hist, n=100)[90]
+                assert abs(got[(run, s)] - want) < 1e-9, (chunk, run, s)
