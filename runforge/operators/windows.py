@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from runforge.functions import schedules as S
 from runforge.functions.indexing import position_within
+from runforge.session import materialize
 
 CHUNK_ROWS = 1 << 16
 
@@ -240,6 +241,8 @@ def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id:
     rec = position_within(rec, [run_id], [norm, "_rf_p"], out="_rf_g")
     rec = rec.withColumn("_rf_c", F.floor(F.col("_rf_p") / C).cast("bigint")) \
              .withColumn("_rf_b", F.floor(F.col("_rf_g") / C).cast("bigint"))
+    # the ranked history feeds four branches below: store it once
+    rec = materialize(rec)
     cnt = rec.groupBy(run_id, "_rf_c", "_rf_b").agg(F.count(F.lit(1)).alias("_rf_n"))
     nchunks = rec.groupBy(run_id).agg((F.max("_rf_c") + 1).alias("_rf_nc"))
     grid = (nchunks.select(run_id, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rf_nc") - 1)).alias("_rf_c"),
