@@ -76,3 +76,18 @@ def test_stream_ingested_file_not_reread(spark):
         f.write(json.dumps({"step": 1, "loss": 1.0}) + "\n")
     T.run_available(T.stream_step_log(spark, root), sink + "/out", ckpt)
     assert spark.read.parquet(sink + "/out").where(F.col("step") == 1).count() == 0
+
+
+def test_describe_run_writes_reports(spark):
+    from runforge.plans import describe as D
+    from runforge.plans.suite_io import _write_step_log
+    from runforge.operators import runlog as R
+
+    from conftest import SF01
+    log_dir = _write_step_log(spark, SF01)
+    out = tempfile.mkdtemp(prefix="rf-describe-")
+    paths = D.describe_run(spark, log_dir, None, out)
+    assert len(paths) >= 12 and all(os.path.isdir(p) for p in paths)
+    stats = spark.read.json(os.path.join(out, "log_statistics"))
+    want = R.log_statistics(L.read_step_log(spark, log_dir))
+    assert stats.count() == want.count() == 4
