@@ -74,11 +74,18 @@ def read_step_log(spark: SparkSession, paths, schema: T.StructType = STEP_SCHEMA
     discovery, or add it from ``_metadata.file_path``. The per-dataset
     counters stay map columns (see ``dataset_proportions``).
     """
-    raw = _read_json(spark, paths, schema)
-    return (raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return (_good_lines(_read_json(spark, paths, schema), schema)
             .withColumn("task", F.coalesce(F.col("task"), F.lit("unknown"))))
 
 
+def _good_lines(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Parsed lines that carry the first schema field (``step``). Testing that
+    field also keeps it in every scan: Spark refuses raw-JSON queries that
+    would read only the corrupt-record column (e.g. a count by partition)."""
+    first = schema.fields[0].name
+    return raw.where(F.col(CORRUPT).isNull() & F.col(first).isNotNull()).drop(CORRUPT)
+
+
 def bad_line_counts(spark: SparkSession, paths, schema: T.StructType = STEP_SCHEMA) -> DataFrame:
     """IO1: bad lines per file: unparsable (e.g. torn) lines, and lines without
     the first schema field (``step``), which cannot be placed in a run.
@@ -98,7 +105,7 @@ def read_eval_log(spark: SparkSession, paths, schema: T.StructType = EVAL_SCHEMA
     which orders rows in file line order (a restart writes a step-0 eval after
     later ones, so step order is not line order)."""
     raw = _read_json(spark, paths, schema)
-    return (raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return (_good_lines(raw, schema)
             .withColumn("line_key", F.struct(F.col("_metadata.file_path").alias("file"),
                                              F.col("_metadata.file_block_start").alias("block"),
                                              F.monotonically_increasing_id().alias("row"))))

@@ -32,7 +32,7 @@ def stream_step_log(spark: SparkSession, root: str, schema: T.StructType = STEP_
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.json(root + "/*")
-    return (raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return (raw.where(F.col(CORRUPT).isNull() & F.col(schema.fields[0].name).isNotNull()).drop(CORRUPT)
             .withColumn("task", F.coalesce(F.col("task"), F.lit("unknown")))
             .withColumn("run_id", F.regexp_extract(F.input_file_name(), "run_id=([^/]+)", 1)))
 
