@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -71,9 +72,17 @@ def stream_checkpoint(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "streams", name)
 
 
-def materialize(df):
-    """Cut lineage at a stage boundary: a reliable checkpoint written to the
-    shared folder named by ``spark.checkpoint.dir`` (survives executor loss;
-    never a machine-local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "stage"):
+    """Cut lineage at a stage boundary: write ``df`` once as a Parquet table in
+    the shared folder named by ``spark.checkpoint.dir`` and read it back.
+
+    One computation (an RDD checkpoint computes the plan, then recomputes it
+    to write unless persisted), columnar storage with column pruning for the
+    later readers (measured faster downstream than a checkpoint), and the data
+    survives executor loss. Never a machine-local checkpoint.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
