@@ -76,15 +76,34 @@ def position_within(df: DataFrame, group_cols, order_cols, out: str = "pos",
     local = sliced.withColumn("_rf_local", F.row_number().over(local_w) - 1)
     # counted from the windowed rows so both branches share one shuffle of the input
     counts = local.groupBy(*groups, "_rf_slice").agg(F.count(F.lit(1)).alias("_rf_n"))
-    prefix_w = (Window.partitionBy(*groups) if groups else Window).orderBy("_rf_slice") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_rf_slice",
-                            F.coalesce(F.sum("_rf_n").over(prefix_w), F.lit(0)).alias("_rf_off"))
+    offsets = _prefix_offsets(counts, groups)
     return (local.join(offsets, groups + ["_rf_slice"], "inner")
             .withColumn(out, (F.col("_rf_off") + F.col("_rf_local")).cast("bigint"))
             .drop("_rf_slice", "_rf_local", "_rf_off"))
 
 
+SUPER = 4096
+
+
+def _prefix_offsets(counts: DataFrame, groups: list) -> DataFrame:
+    """Rows before each slice of its group: a two-level prefix sum.
+
+    Slices are summed within super-slices of ``SUPER`` slices, and
+    super-slice totals are summed per group, so no window partition holds more
+    than ``SUPER`` slice rows or one row per super-slice (rows / 2^28 with
+    65,536-wide slices) — bounded even for a group holding most of the data.
+    """
+    c = counts.withColumn("_rf_sup", F.floor(F.col("_rf_slice") / SUPER).cast("bigint"))
+    w1 = Window.partitionBy(*groups, "_rf_sup").orderBy("_rf_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inner = c.select(*groups, "_rf_sup", "_rf_slice", F.coalesce(F.sum("_rf_n").over(w1), F.lit(0)).alias("_rf_o1"))
+    sup = c.groupBy(*groups, "_rf_sup").agg(F.sum("_rf_n").alias("_rf_t"))
+    w2 = (Window.partitionBy(*groups) if groups else Window).orderBy("_rf_sup") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    outer = sup.select(*groups, "_rf_sup", F.coalesce(F.sum("_rf_t").over(w2), F.lit(0)).alias("_rf_o2"))
+    return (inner.join(outer, [*groups, "_rf_sup"], "inner")
+            .select(*groups, "_rf_slice", (F.col("_rf_o1") + F.col("_rf_o2")).alias("_rf_off")))
+
+
 def exclusive_cut(c: int, n: Column, at: Callable[[Column], Column]) -> Column:
     """Cut point ``c`` (0-based) of Python ``statistics.quantiles(n=100)``.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions import schedules as S
-from runforge.functions.indexing import position_within
+from runforge.functions.indexing import _prefix_offsets, position_within
 from runforge.session import materialize
 
 CHUNK_ROWS = 1 << 16
@@ -132,9 +132,8 @@ def running_sum(df: DataFrame, value: str, out: str, group: list[str], pos: str,
     chunk totals, a prefix over the chunk table, then a local running sum."""
     R = max(chunk_rows, 1)
     c = df.withColumn("_rf_chunk", F.floor(F.col(pos) / R).cast("bigint"))
-    tot = c.groupBy(*group, "_rf_chunk").agg(F.sum(value).alias("_rf_tot"))
-    pw = Window.partitionBy(*group).orderBy("_rf_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*group, "_rf_chunk", F.coalesce(F.sum("_rf_tot").over(pw), F.lit(0)).alias("_rf_off"))
+    tot = c.groupBy(*group, F.col("_rf_chunk").alias("_rf_slice")).agg(F.sum(value).alias("_rf_n"))
+    offs = _prefix_offsets(tot, list(group)).withColumnRenamed("_rf_slice", "_rf_chunk")
     lw = Window.partitionBy(*group, "_rf_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     local = c.withColumn("_rf_run", F.sum(value).over(lw))
     return (local.join(offs, group + ["_rf_chunk"], "inner")

@@ -95,3 +95,16 @@ def test_w7_chunked_against_model(spark):
                 hist = xs[1:s + 1]
                 want = 1.0 if len(hist) < 100 else statistics.quantiles(hist, n=100)[90]
                 assert abs(got[(run, s)] - want) < 1e-9, (chunk, run, s)
+
+
+def test_position_within_two_level_prefix(spark, monkeypatch):
+    import runforge.functions.indexing as I
+    monkeypatch.setattr(I, "SUPER", 3)
+    df = spark.range(0, 3000).withColumn("g", (F.col("id") % 3 == 0).cast("int"))
+    got = I.position_within(df, ["g"], ["id"], out="p", slice_width=7).collect()
+    for g in (0, 1):
+        ids = sorted(r.id for r in got if r.g == g)
+        pos = {r.id: r.p for r in got if r.g == g}
+        assert [pos[i] for i in ids] == list(range(len(ids)))
+    got0 = I.position_within(df, [], ["id"], out="p", slice_width=5).collect()
+    assert sorted((r.id, r.p) for r in got0) == [(i, i) for i in range(3000)]
