@@ -1,0 +1 @@
+"""runforge: Spark-native embedding-corpus and training-run analytics."""

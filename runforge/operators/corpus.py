@@ -39,6 +39,13 @@ def density_ratio(text: str | Column, tokens: str | Column) -> Column:
     return F.try_divide(non_ws_chars(text).cast("double"), F.size(tk).cast("double"))
 
 
+def density_ratio_counted(n_non_ws: str | Column, tokens: str | Column) -> Column:
+    """:func:`density_ratio` from a precomputed non-whitespace character count."""
+    n = F.col(n_non_ws) if isinstance(n_non_ws, str) else n_non_ws
+    tk = F.col(tokens) if isinstance(tokens, str) else tokens
+    return F.try_divide(n.cast("double"), F.size(tk).cast("double"))
+
+
 def density_gate(df: DataFrame, text: str = "text", tokens: str = "tokens",
                  min_ratio: float = 2.5) -> DataFrame:
     """Keep records with ≥ ``min_ratio`` non-whitespace characters per token.
@@ -68,13 +75,14 @@ def build_vocab(df: DataFrame, text: str = "text", size: int | None = None) -> D
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str = "tokens",
-             vocab_size: int | None = None) -> DataFrame:
+             vocab_size: int | None = None, keep_text: bool = True) -> DataFrame:
     """Replace ``text`` words by vocabulary ids (unknown -> UNK) as ``out``.
 
     Words are exploded with their position, looked up by an equi-join on the
     vocabulary (broadcast when its size is bounded by ``vocab_size``), and
     regrouped per document in position order. Documents without words get an
-    empty array.
+    empty array. ``keep_text=False`` leaves the text out of the result, so the
+    join back by key shuffles only the small columns.
     """
     keys = _cols(key)
     ex = df.select(*keys, F.posexplode_outer(word_tokens(text)).alias("_rf_t", "token"))
@@ -87,7 +95,8 @@ def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str
         .alias("_rf_s"))
     ids = grouped.select(*keys, F.transform(F.filter("_rf_s", lambda s: s["_rf_t"].isNotNull()),
                                             lambda s: s["id"]).alias(out))
-    return df.join(ids, keys, "inner")
+    side = df if keep_text else df.drop(text)
+    return side.join(ids, keys, "inner")
 
 
 # ---------------------------------------------------------------- C4

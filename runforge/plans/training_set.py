@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runforge.functions.text import non_ws_chars
 from runforge.operators import corpus as C
-from runforge.session import materialize
 from runforge.operators import packing as P
+from runforge.session import materialize
 from runforge.sources import corpus_io as CIO
 from runforge.sources import fixtures as X
 
@@ -27,13 +28,17 @@ def build_training_set(spark: SparkSession, sf_dir: str, prefix: str = "src", re
     selected = CIO.select_corpora(X.catalog(spark, sf_dir), prefix)
     corp = X.corpus(spark, sf_dir).join(selected.withColumnRenamed("dataset_id", "dataset"), "dataset", "left_semi")
     vocab = C.build_vocab(corp, "text", vocab_size)
+    # the density gate needs only the text's non-whitespace count: take it before
+    # tokenizing so the text never travels through the regroup and the join back
+    counted = corp.withColumn("n_non_ws", non_ws_chars("text"))
     # stage boundary: the tokenized corpus is the reusable artifact; write it once
-    tok = materialize(C.tokenize(corp, vocab, "doc_id", vocab_size=vocab_size))
+    tok = materialize(C.tokenize(counted, vocab, "doc_id", vocab_size=vocab_size, keep_text=False),
+                      "tokenized")
     stream = P.interleave(tok)
     keep = (F.col("mime_type").isin(list(mime_types)) & (F.size("tokens") > 0)
-            & (C.density_ratio("text", "tokens") >= F.lit(min_ratio)))
+            & (C.density_ratio_counted("n_non_ws", "tokens") >= F.lit(min_ratio)))
     recs = materialize(P.pack_records(stream.withColumn("keep", keep), record_size, order="position",
-                                      batch_rows=batch_rows, keep="keep"))
+                                      batch_rows=batch_rows, keep="keep"), "packed")
     return P.shuffle(recs, seed, ["batch", "record_idx"])
 
 
