@@ -398,3 +398,11 @@ def lr_audit(log: DataFrame, kind: str, params: dict, lag: int = 1, rel_tol: flo
     return log.select(run_id, "step", "lr", exp.alias("expected_lr")).withColumn(
         "drift", F.abs(F.col("lr") - F.col("expected_lr")) >
         F.lit(rel_tol) * F.greatest(F.abs(F.col("expected_lr")), F.lit(1e-30)))
+
+
+def lr_audit_config(log: DataFrame, config: dict, rel_tol: float = 1e-6, run_id: str = "run_id") -> DataFrame:
+    """W11 from a training configuration: the schedule the trainer would build
+    (see :func:`runforge.functions.schedules.schedule_from_config`), logged one
+    step late."""
+    kind, params = S.schedule_from_config(config)
+    return lr_audit(log, kind, params, lag=1, rel_tol=rel_tol, run_id=run_id)

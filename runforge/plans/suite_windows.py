@@ -221,3 +221,21 @@ def w10b(spark, sf):
     sess = W.token_rate(_timed_log(spark, sf)).select("run_id", "step", "session")
     log = X.steps(spark, sf).join(sess, ["run_id", "step"])
     return rounded(W.last_eval_asof(log, X.evals(spark, sf), session="session"))
+
+
+def _shipped_linear():
+    from runforge.functions.schedules import schedule_from_config
+    kind, params = schedule_from_config(X.TRAINING_CONFIG)
+    return params
+
+
+@register("W11d_lr_audit_shipped_config", _audit_sql(lambda s, n: _linear_sql(s, _shipped_linear()), 1))
+def w11d(spark, sf):
+    """Audit against the shipped training configuration (linear trapezoid)."""
+    s = X.steps(spark, sf)
+    kind, params = "linear", _shipped_linear()
+    logged = s.withColumn("lr", W.expected_lr(F.col("step"), kind, params, 1) *
+                          F.when(F.col("num_tokens") % 17 == 0, F.lit(1.01)).otherwise(F.lit(1.0)))
+    a = W.lr_audit_config(logged, X.TRAINING_CONFIG)
+    return a.select("run_id", "step", F.round(F.col("lr") * 1e6, 6).alias("lr_micro"),
+                    F.round(F.col("expected_lr") * 1e6, 6).alias("expected_lr_micro"), "drift")
