@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from runforge.functions.draws import draw_index, draw_int, draw_uniform
 from runforge.functions.indexing import position_within
+from runforge.session import materialize
 
 
 def _cols(x) -> list:
@@ -132,7 +133,8 @@ def contrastive_quads(docs: DataFrame, chunks: DataFrame, by: str = "dataset", d
     """
     nchunks = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("_rf_nch"))
     pool = docs.select(by, doc).join(nchunks, doc, "inner")
-    pool = position_within(pool, [by], [doc], out="_rf_di", slice_width=1 << 16)
+    # the indexed pool (one row per document) feeds four branches below: store it once
+    pool = materialize(position_within(pool, [by], [doc], out="_rf_di", slice_width=1 << 16), "quad_pool")
     sizes = pool.groupBy(by).agg(F.count(F.lit(1)).alias("_rf_nd"))
     ranked = sizes.select(by, "_rf_nd", F.dense_rank().over(Window.orderBy(by)).alias("_rf_ord"))
     a = ranked.select(F.col(by).alias("ds_i"), F.col("_rf_nd").alias("n_i"), F.col("_rf_ord").alias("o_i"))

@@ -10,6 +10,7 @@ from runforge.operators import windows as W
 from runforge.plans.oracle_views import exclusive_cut_sql, with_views
 from runforge.plans.registry import register, rounded
 from runforge.plans.suite_runlog import rsel
+from runforge.session import materialize
 from runforge.sources import fixtures as X
 
 _NN = "CASE WHEN isnan(loss) THEN NULL ELSE loss END"
@@ -218,7 +219,7 @@ FROM (SELECT run_id, step, CAST(floor(step / 700) AS BIGINT) AS session FROM ste
 ON s.run_id = e.run_id AND s.session = e.session AND s.step >= e.step""", "last_eval"))
 def w10b(spark, sf):
     """W10 with the eval lookup restarting at each session (clock restarts every 700 steps)."""
-    sess = W.token_rate(_timed_log(spark, sf)).select("run_id", "step", "session")
+    sess = materialize(W.token_rate(_timed_log(spark, sf)).select("run_id", "step", "session"), "sessions")
     log = X.steps(spark, sf).join(sess, ["run_id", "step"])
     return rounded(W.last_eval_asof(log, X.evals(spark, sf), session="session"))
 
