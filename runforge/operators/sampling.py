@@ -98,9 +98,12 @@ def balanced_prefix(df: DataFrame, by: str, min_groups: int = 3, min_per_group:
     Returns the prefix rows with ``sample_pos``; empty when no prefix qualifies.
     """
     keys = _cols(key) or [by]
-    d = df.withColumn("_rf_draw", draw_int(seed, _key(keys), "prefix"))
+    # order positions are computed on the keys only (rows can be wide documents),
+    # stored once, and the chosen prefix is joined back to the rows at the end
+    d = df.select(by, *[k for k in keys if k != by]).withColumn("_rf_draw", draw_int(seed, _key(keys), "prefix"))
     pos = position_within(d, [], ["_rf_draw", *keys], out="sample_pos", slice_width=1 << 16)
-    occ = position_within(pos, [by], ["_rf_draw", *keys], out="_rf_occ", slice_width=1 << 16)
+    occ = materialize(position_within(pos, [by], ["_rf_draw", *keys], out="_rf_occ", slice_width=1 << 16),
+                      "prefix_order")
     groups = occ.groupBy(by).agg(
         F.min("sample_pos").alias("_rf_first"),
         F.min(F.when(F.col("_rf_occ") == min_per_group - 1, F.col("sample_pos"))).alias("_rf_reach"))
@@ -114,8 +117,9 @@ def balanced_prefix(df: DataFrame, by: str, min_groups: int = 3, min_per_group:
     stop = g.where((F.col("_rf_k") >= min_groups) & (F.col("_rf_t") < big)
                    & (F.col("_rf_next").isNull() | (F.col("_rf_t") < F.col("_rf_next")))) \
         .agg(F.min("_rf_t").alias("_rf_stop"))
-    return (occ.crossJoin(F.broadcast(stop)).where(F.col("sample_pos") <= F.col("_rf_stop"))
-            .drop("_rf_stop", "_rf_draw", "_rf_occ"))
+    chosen = (occ.crossJoin(F.broadcast(stop)).where(F.col("sample_pos") <= F.col("_rf_stop"))
+              .select(by, *[k for k in keys if k != by], "sample_pos"))
+    return df.join(chosen, list(dict.fromkeys([by, *keys])), "inner")
 
 
 # ---------------------------------------------------------------- S5

@@ -59,3 +59,27 @@ def test_record_length_check_fails_on_overflow(spark):
         raise AssertionError("expected failure")
     except Exception as e:  # noqa: BLE001
         assert "Record size exceeded" in str(e)
+
+
+def test_balanced_prefix_against_loop(spark):
+    """The shortest qualifying prefix equals the reference's stopping loop."""
+    import random
+    from runforge.operators import sampling as S
+    rng = random.Random(8)
+    rows = [(f"d{rng.choice('aabbbcde')}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "dataset string, doc_id long")
+    got = S.balanced_prefix(df, "dataset", 3, 3, seed=5, key="doc_id").orderBy("sample_pos").collect()
+    # replay: walk rows in the seeded order until the stop condition holds
+    from runforge.functions.draws import draw_int
+    ordered = [(r.dataset, r.doc_id) for r in
+               df.withColumn("d", draw_int(5, F.concat_ws(":", F.col("doc_id").cast("string")), "prefix"))
+               .orderBy("d", "doc_id").collect()]
+    seen = {}
+    stop = None
+    for t, (ds, _) in enumerate(ordered):
+        seen[ds] = seen.get(ds, 0) + 1
+        if len(seen) >= 3 and all(v >= 3 for v in seen.values()):
+            stop = t
+            break
+    assert stop is not None and len(got) == stop + 1
+    assert [(r.dataset, r.doc_id) for r in got] == ordered[:stop + 1]
