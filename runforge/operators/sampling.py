@@ -133,7 +133,9 @@ def contrastive_quads(docs: DataFrame, chunks: DataFrame, by: str = "dataset", d
     ``docs``: (by, doc) pool rows; ``chunks``: (doc, chunk_idx). Documents
     without chunks are left out of the pool. The dataset pair table is a theta
     join over one row per dataset (d·(d-1)/2 pairs, d = number of datasets);
-    document and chunk picks are equi-joins on drawn indexes.
+    document and chunk picks are equi-joins on drawn indexes. Explicit
+    broadcasts in this module are only on one-row aggregates and on the
+    configured task weights.
     """
     nchunks = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("_rf_nch"))
     pool = docs.select(by, doc).join(nchunks, doc, "inner")
@@ -143,7 +145,9 @@ def contrastive_quads(docs: DataFrame, chunks: DataFrame, by: str = "dataset", d
     ranked = sizes.select(by, "_rf_nd", F.dense_rank().over(Window.orderBy(by)).alias("_rf_ord"))
     a = ranked.select(F.col(by).alias("ds_i"), F.col("_rf_nd").alias("n_i"), F.col("_rf_ord").alias("o_i"))
     b = ranked.select(F.col(by).alias("ds_j"), F.col("_rf_nd").alias("n_j"), F.col("_rf_ord").alias("o_j"))
-    pairs = a.join(F.broadcast(b), F.col("o_j") < F.col("o_i"))
+    # one row per dataset on each side; no hint: AQE broadcasts it only when its
+    # measured size is under the threshold, and plans a shuffle join otherwise
+    pairs = a.join(b, F.col("o_j") < F.col("o_i"))
     q = pairs.select("ds_i", "ds_j", "n_i", "n_j",
                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(num_per_pair - 1).cast("bigint"))).alias("q"))
     qk = F.concat_ws(":", F.col("ds_i").cast("string"), F.col("ds_j").cast("string"), F.col("q").cast("string"))
