@@ -44,6 +44,7 @@ def get_session(master: str | None = None, app: str = "runforge",
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
         spark.conf.set(k, conf[k])
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -86,3 +87,31 @@ def materialize(df, name: str = "stage"):
     path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``runforge`` importable in Python workers (once per application).
+
+    UDFs that use module-level helpers are pickled by reference, so workers
+    must import the package; the package is zipped on the driver and shipped
+    with ``SparkContext.addPyFile`` (Spark distributes it to every executor).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="runforge-pyfiles-"), "runforge.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
