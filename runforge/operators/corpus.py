@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runforge.functions.draws import draw_uniform
 from runforge.functions.indexing import position_within
 from runforge.functions.text import (CLS_ID, FIRST_WORD_ID, MASK_ID, PAD_ID, SEP_ID, UNK_ID,
                                      non_ws_chars, word_tokens)
@@ -154,18 +153,30 @@ def mask_tokens(df: DataFrame, key, seed, p: float = 0.15, vocab_size: int = 655
     Each non-special position is selected with probability ``p``; a selected
     token becomes MASK (80 %), a random word id (10 %) or stays (10 %);
     ``labels`` hold the original id where selected and -100 elsewhere.
+    One md5 digest of (seed, key, position, 'mask') per token gives the three
+    draws as disjoint 32-bit slices (hex 1-8 select, 9-16 action, 17-24 word);
+    the digest is built once per element and reused.
     """
     keys = _cols(key)
     kc = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
     spec = F.array(*[F.lit(s) for s in special])
 
-    def sel(x, i):
-        return (draw_uniform(seed, kc, i, "select") < F.lit(p)) & ~F.array_contains(spec, x)
+    def u(h, start):
+        return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") / F.lit(float(2 ** 32))
 
-    def corrupt(x, i):
-        u = draw_uniform(seed, kc, i, "action")
-        rnd = (F.lit(FIRST_WORD_ID) + F.floor(draw_uniform(seed, kc, i, "word") * F.lit(vocab_size))).cast("int")
-        return F.when(~sel(x, i), x).when(u < 0.8, F.lit(MASK_ID)).when(u < 0.9, rnd).otherwise(x)
+    hashed = F.transform(ids, lambda x, i: F.struct(
+        x.alias("x"), F.md5(F.concat_ws("|", F.lit(str(seed)), kc, i.cast("string"), F.lit("mask"))).alias("h")))
 
-    return df.withColumn("labels", F.transform(ids, lambda x, i: F.when(sel(x, i), x).otherwise(F.lit(-100)))) \
-             .withColumn(ids, F.transform(ids, corrupt))
+    def selected(s):
+        return (u(s["h"], 1) < F.lit(p)) & ~F.array_contains(spec, s["x"])
+
+    def corrupt(s):
+        rnd = (F.lit(FIRST_WORD_ID) + F.floor(u(s["h"], 17) * F.lit(vocab_size))).cast("int")
+        act = u(s["h"], 9)
+        return (F.when(~selected(s), s["x"]).when(act < 0.8, F.lit(MASK_ID)).when(act < 0.9, rnd)
+                .otherwise(s["x"]))
+
+    return (df.withColumn("_rf_h", hashed)
+            .withColumn("labels", F.transform("_rf_h", lambda s: F.when(selected(s), s["x"]).otherwise(F.lit(-100))))
+            .withColumn(ids, F.transform("_rf_h", corrupt))
+            .drop("_rf_h"))

@@ -178,13 +178,12 @@ def c7(spark, sf):
 
 @register("C8_mask_tokens", with_views("corpus") + TOK_CTES + f""", ex AS (
 SELECT doc_id, i - 1 AS k, tokens[i] AS x FROM (SELECT doc_id, tokens, generate_subscripts(tokens, 1) AS i FROM tok)),
+hx AS (SELECT doc_id, k, x, md5(concat_ws('|', '7', CAST(doc_id AS VARCHAR), CAST(k AS VARCHAR), 'mask')) AS h FROM ex),
 dr AS (SELECT doc_id, k, x,
-              ({_draw_sql("'7'", "CAST(doc_id AS VARCHAR)", "CAST(k AS VARCHAR)", "'select'")} / 4294967296.0 < 0.15
-               AND x NOT IN (0, 1, 2, 3, 4, 5)) AS sel,
-              {_draw_sql("'7'", "CAST(doc_id AS VARCHAR)", "CAST(k AS VARCHAR)", "'action'")} / 4294967296.0 AS u,
-              CAST(6 + floor({_draw_sql("'7'", "CAST(doc_id AS VARCHAR)", "CAST(k AS VARCHAR)", "'word'")}
-                             / 4294967296.0 * {VOCAB_SIZE}) AS INTEGER) AS rnd
-       FROM ex),
+              (('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0 < 0.15 AND x NOT IN (0, 1, 2, 3, 4, 5)) AS sel,
+              ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0 AS u,
+              CAST(6 + floor(('0x' || substr(h, 17, 8))::BIGINT / 4294967296.0 * {VOCAB_SIZE}) AS INTEGER) AS rnd
+       FROM hx),
 m AS (SELECT doc_id, k, sel, CASE WHEN NOT sel THEN x WHEN u < 0.8 THEN 4 WHEN u < 0.9 THEN rnd ELSE x END AS y,
              CASE WHEN sel THEN x ELSE -100 END AS label FROM dr)
 """ + rsel("""
