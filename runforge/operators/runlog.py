@@ -9,7 +9,7 @@ as the reference's frame library does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions.indexing import (exclusive_cut, exclusive_cut_ranks, pick_order_stats,
@@ -72,11 +72,33 @@ def tokens_per_step(log: DataFrame, run_id: str = "run_id") -> DataFrame:
 
 
 # ---------------------------------------------------------------- A3, A13
-def _last_k(df: DataFrame, group: list[str], order_col: str, k: int) -> DataFrame:
-    """Rows among the last ``k`` by ``order_col`` within ``group`` (range-sliced, no hot task)."""
-    ranked = position_within(df, group, [order_col], out="_rf_from_end", descending=True,
-                             slice_width=1 << 16)
-    return ranked.where(F.col("_rf_from_end") < k)
+LAST_K_SLICE = 1 << 16
+
+
+def _last_k(df: DataFrame, group: list[str], order_col: str, k: int, width: int = LAST_K_SLICE) -> DataFrame:
+    """The last ``k`` rows by ``order_col`` (integer-valued) within ``group``.
+
+    Rows are counted per fixed-width slice of the order key; slices lying
+    wholly within the last k are kept as they are, and only the one boundary
+    slice per group is ordered (a window over at most ``width`` key values).
+    Everything else is an aggregation over the small slice table, so no full
+    sort of the log and no per-group task.
+    """
+    sl = F.floor(F.col(order_col) / F.lit(float(width))).cast("bigint")
+    d = df.withColumn("_rf_sl", sl)
+    cnt = d.groupBy(*group, "_rf_sl").agg(F.count(F.lit(1)).alias("_rf_n"))
+    above = (Window.partitionBy(*group) if group else Window).orderBy(F.desc("_rf_sl")) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    need = (cnt.withColumn("_rf_above", F.coalesce(F.sum("_rf_n").over(above), F.lit(0)))
+            .where(F.col("_rf_above") < k)
+            .select(*group, "_rf_sl", (F.lit(k) - F.col("_rf_above")).alias("_rf_need"), "_rf_n"))
+    rows = d.join(need, [*group, "_rf_sl"], "inner")
+    whole = rows.where(F.col("_rf_n") <= F.col("_rf_need"))
+    edge = rows.where(F.col("_rf_n") > F.col("_rf_need"))
+    ew = Window.partitionBy(*group, "_rf_sl").orderBy(F.desc(order_col))
+    edge = edge.withColumn("_rf_rn", F.row_number().over(ew)).where(F.col("_rf_rn") <= F.col("_rf_need")) \
+        .drop("_rf_rn")
+    return whole.unionByName(edge).drop("_rf_sl", "_rf_need", "_rf_n")
 
 
 def _maybe_exclude(log: DataFrame, steps_per_eval: int | None) -> DataFrame:

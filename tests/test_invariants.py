@@ -83,3 +83,15 @@ def test_balanced_prefix_against_loop(spark):
             break
     assert stop is not None and len(got) == stop + 1
     assert [(r.dataset, r.doc_id) for r in got] == ordered[:stop + 1]
+
+
+def test_last_k_slices(spark):
+    import random
+    from runforge.operators.runlog import _last_k
+    rng = random.Random(11)
+    rows = [(g, s) for g in range(3) for s in rng.sample(range(500), 120 + 30 * g)]
+    df = spark.createDataFrame(rows, "g int, s long")
+    for k, width in ((10, 7), (50, 3), (200, 64)):
+        got = sorted((r.g, r.s) for r in _last_k(df, ["g"], "s", k, width=width).collect())
+        want = sorted((g, s) for g in range(3) for s in sorted([s for gg, s in rows if gg == g])[-k:])
+        assert got == want, (k, width)
