@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runforge.functions.indexing import (exclusive_cut, exclusive_cut_ranks, pick_order_stats,
-                                         position_within)
+from runforge.functions.indexing import exclusive_cut, exclusive_cut_ranks, pick_order_stats
 
 TIMING_COLS = ("sample_time", "forward_time", "backward_time", "optimizer_time", "step_time")
 
