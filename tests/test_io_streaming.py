@@ -91,3 +91,15 @@ def test_describe_run_writes_reports(spark):
     stats = spark.read.json(os.path.join(out, "log_statistics"))
     want = R.log_statistics(L.read_step_log(spark, log_dir))
     assert stats.count() == want.count() == 4
+
+
+def test_stream_dedup_within_watermark(spark):
+    root = tempfile.mkdtemp(prefix="rf-t4w-")
+    ckpt, sink = tempfile.mkdtemp(prefix="rf-t4wc-"), tempfile.mkdtemp(prefix="rf-t4ws-")
+    os.makedirs(os.path.join(root, "run_id=r1"))
+    lines = [json.dumps({"step": s, "loss": 1.0, "time": f"2024-01-01T00:00:{s:02d}"}) + "\n" for s in range(10)]
+    for name in ("p0.json", "p1.json"):  # a resumed run rewrites the same steps
+        with open(os.path.join(root, "run_id=r1", name), "w") as f:
+            f.writelines(lines)
+    T.run_available(T.stream_dedup(T.stream_step_log(spark, root), watermark="1 hour"), sink + "/out", ckpt)
+    assert spark.read.parquet(sink + "/out").count() == 10
