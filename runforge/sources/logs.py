@@ -86,6 +86,15 @@ def _good_lines(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.where(F.col(CORRUPT).isNull() & F.col(first).isNotNull()).drop(CORRUPT)
 
 
+def read_run_logs(spark: SparkSession, paths, schema: T.StructType = STEP_SCHEMA,
+                  pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """IO1 for logs laid out as ``<run>/log.jsonl``: like :func:`read_step_log`,
+    with ``run_id`` taken from each file's path (first group of ``pattern``,
+    by default the parent folder name)."""
+    log = read_step_log(spark, paths, schema)
+    return log.withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+
+
 def bad_line_counts(spark: SparkSession, paths, schema: T.StructType = STEP_SCHEMA) -> DataFrame:
     """IO1: bad lines per file: unparsable (e.g. torn) lines, and lines without
     the first schema field (``step``), which cannot be placed in a run.

@@ -103,3 +103,15 @@ def test_stream_dedup_within_watermark(spark):
             f.writelines(lines)
     T.run_available(T.stream_dedup(T.stream_step_log(spark, root), watermark="1 hour"), sink + "/out", ckpt)
     assert spark.read.parquet(sink + "/out").count() == 10
+
+
+def test_run_id_from_parent_folder(spark):
+    root = tempfile.mkdtemp(prefix="rf-runs-")
+    for run, n in (("alpha", 3), ("beta", 2)):
+        os.makedirs(os.path.join(root, run))
+        with open(os.path.join(root, run, "log.jsonl"), "w") as f:
+            for s in range(n):
+                f.write(json.dumps({"step": s, "loss": 1.0}) + "\n")
+    log = L.read_run_logs(spark, [os.path.join(root, "alpha"), os.path.join(root, "beta")])
+    got = {r.run_id: r["count"] for r in log.groupBy("run_id").count().collect()}
+    assert got == {"alpha": 3, "beta": 2}
