@@ -53,7 +53,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived input view written once per application (reliable checkpoint in
     the shared folder) and reused by every query of the session, the way a
     stored log or corpus table would be."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        app = id(spark)
+    key = (app, sf_dir.rstrip("/"), name)
     df = _STORED.get(key)
     if df is None:
         df = materialize(build())
