@@ -162,7 +162,7 @@ def _stream_by_doc(spark, sf):
     t = tokenized(spark, sf)
     keep = (F.col("mime_type").isin(list(C.DEFAULT_MIME)) & (F.size("tokens") > 0)
             & (C.density_ratio("text", "tokens") >= F.lit(2.5)))
-    return position_within(t.withColumn("keep", keep), [], ["doc_id"], out="pos")
+    return position_within(t.withColumn("keep", keep), [], ["doc_id"], out="pos", slice_width=X.ID_SLICE)
 
 
 _DOCPOS = ", sp AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, tokens, " + _keep_sql() + " AS keep FROM tok)\n"
