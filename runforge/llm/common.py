@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,6 +65,32 @@ def in_blocks(texts: pa.Array, max_bytes: int):
         yield start, len(sizes)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:
+    """The rows in tables of about ``max_bytes`` text (column 1) each; one row at least."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= max_bytes:
+            yield from _cut(held, max_bytes)
+            held, size = [], 0
+    if held:
+        yield from _cut(held, max_bytes)
+
+
+def _cut(held: list[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:
+    whole = pa.Table.from_batches(held).combine_chunks()
+    if whole.num_rows:
+        for a, b in in_blocks(one(whole.column(1)), 2 * max_bytes):
+            yield whole.slice(a, b - a)
+
+
+def one(column: pa.ChunkedArray) -> pa.Array:
+    """A table's column as one array."""
+    column = column.combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Whitespace words (runs free of ``[\\x20\\x09-\\x0D]``) of many texts at once.
 

@@ -87,8 +87,13 @@ def _copies(digest: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
                 .withColumn("group_size", F.lit(1).cast("long")))
     maybe = rows.where("_maybe").select(id_col, "_n", "_sha")
     first = F.struct((-F.col("_n")).alias("n"), F.col(id_col).isNull().alias("null_id"), F.col(id_col).alias("id"))
-    groups = maybe.groupBy("_sha").agg(F.min(first)["id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return straight.select(*out).unionByName(maybe.join(groups, "_sha").select(*out))
+    # a stored table, so that the join has an exchange on either side and a hot group is split
+    groups = materialize(maybe.groupBy("_sha").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("group_size"))
+                         .where("group_size > 1"), "copies")
+    members = (maybe.join(groups, "_sha", "left")
+               .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("_first.id")))
+               .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))))
+    return straight.select(*out).unionByName(members.select(*out))
 
 
 def _filtered(df: DataFrame, bits_per_row: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -109,10 +114,12 @@ def drop_copies(df: DataFrame, bits_per_row: int = 64, id_col: str = "doc_id", t
             .select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_same")).distinct())
     lost = (_copies(digest, known, id_col).where("group_size > 1")
             .select(F.col("text_sha256").alias("_same")).distinct())
-    rows = probed(df.withColumn("_sha", F.sha2(normalised(whole_text(text_col)), 256)), known)
+    own = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"),
+                    F.sha2(normalised(whole_text(text_col)), 256).alias("_sha"))
+    rows = probed(own, known)
     straight, maybe = rows.where(~F.col("_maybe")), rows.where("_maybe")
     same = F.col("_sha") == F.col("_same")
     unique = maybe.join(lost, same, "left_anti")
-    firsts = (maybe.join(kept, same & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-              .dropDuplicates([id_col, "_sha"]))
-    return straight.unionByName(unique).unionByName(firsts).select(*df.columns)
+    firsts = (maybe.join(kept, same & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+              .dropDuplicates(["_doc", "_sha"]))
+    return straight.unionByName(unique).unionByName(firsts).select("_row.*")
