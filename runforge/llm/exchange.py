@@ -1,50 +1,83 @@
 """A join of per-chunk keys with global tables, both packed into arrays.
 
-Documents are dealt to chunks of bounded text. A chunk asks about each of its
-distinct keys once (so a key that every document holds costs one entry a chunk), in
-rows of (chunk, kind, bucket) with the keys of that hash bucket as one array. A
-bucket meets all entries of its keys in one task, which aggregates and answers each
-row with an array in the same order; the answers go back to their chunk. This is the
-join of an exploded key table with its aggregate, at a few bytes a distinct key
-instead of a row for each occurrence. There are never more packed rows than flat ones.
-
-The order of rows within a chunk may differ when a lost task runs again; keys are
-sorted, so requests and answers do not depend on it.
+A chunk is a run of a task's rows with a bounded amount of text, kept as one
+compressed row. It asks about each of its distinct keys once (so a key that every
+document holds costs one entry a chunk), in rows of (chunk, kind, bucket) with the
+keys of that hash bucket as one array. A bucket meets all entries of its keys in one
+task, which aggregates them and answers each row with an array in the same order; the
+answers go back to their chunk. This is the join of an exploded key table with its
+aggregate, at a few bytes a distinct key instead of a row for each occurrence. There
+are never more packed rows than flat ones.
+
+Chunks shuffle once, by number; both the questions and the last step read that
+shuffle. The input must be a table read from storage, or give the same rows to a task
+that runs again.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runforge.llm.common import whole_text
+from runforge.llm.common import blocks, one
 
 REQUEST = "chunk long, kind int, bucket long, keys binary, extra binary"
 ANSWER = "chunk long, kind int, bucket long, answer binary"
 
 
-def chunked(df: DataFrame, chunk_bytes: int, id_col: str, text_col: str, more: list[str] | None = None) -> tuple[DataFrame, int]:
-    """(id, text, more) with the row's chunk, and the number of chunks, which follows the bytes of text."""
-    rows = df.select(F.col(id_col), whole_text(text_col).alias(text_col), *(more or []))
-    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = max(math.ceil(total / chunk_bytes), min(parts, math.ceil(total / (chunk_bytes / 32))), 1)
-    return rows.withColumn("chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(count))), count
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit integers by byte planes: the high planes of small ones compress away."""
+    return squeeze(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unplane(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(data), dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit keys as byte planes of their differences; the high planes compress away."""
-    steps = np.diff(keys, prepend=np.zeros(1, dtype=np.uint64))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as their differences."""
+    return planes(np.diff(keys, prepend=np.zeros(1, dtype=np.uint64)))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unplane(data, np.uint64), dtype=np.uint64)
+
+
+def chunked(rows: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """(chunk, rows) and a number of buckets; ``rows`` has the text, never null, as column 1.
+
+    Both follow the bytes of text; small tables are cut finer, for as many chunks as
+    shuffle partitions.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.octet_length(rows.columns[1]))).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = min(chunk_bytes, max(total // parts, chunk_bytes // 32))
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for block in blocks(batches, size):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(block)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                             names=["chunk", "rows"])
+            chunk += 1
+
+    return rows.mapInArrow(bundle, "chunk long, rows binary"), max(total // size, 1)
 
 
 def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -54,25 +87,13 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([np.searchsorted(keys, edges), [len(keys)]])
 
 
-def requests(chunk: int, kind: int, keys: np.ndarray, extra: np.ndarray | None, buckets: int) -> list[dict]:
-    """One row for each bucket that the sorted distinct ``keys`` reach; ``extra`` has a row a key."""
+def requests(kind: int, keys: np.ndarray, extra, buckets: int) -> list[dict]:
+    """One row for each bucket that the sorted ``keys`` reach; ``extra(a, b)`` are bytes about keys a to b."""
     bounds = bucket_bounds(keys, buckets)
-    return [{"chunk": chunk, "kind": kind, "bucket": k, "keys": pack_keys(keys[a:b]),
-             "extra": b"" if extra is None else extra[a:b].tobytes()}
+    return [{"kind": kind, "bucket": k, "keys": pack_keys(keys[a:b]), "extra": extra(a, b)}
             for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
 
 
-def request_table(rows: list[dict]) -> pa.Table:
-    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()),
-                        ("keys", pa.binary()), ("extra", pa.binary())])
-    return pa.Table.from_pylist(rows, schema=schema)
-
-
-def answer_table(rows: list[dict]) -> pa.Table:
-    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("answer", pa.binary())])
-    return pa.Table.from_pylist(rows, schema=schema)
-
-
 def answers_of(table: pa.Table, kind: int) -> list[bytes]:
     """A chunk's answers of one kind in key order."""
     got = sorted((r["bucket"], r["answer"]) for r in table.select(["kind", "bucket", "answer"]).to_pylist()
@@ -81,16 +102,25 @@ def answers_of(table: pa.Table, kind: int) -> list[bytes]:
 
 
 def ask(chunks: DataFrame, request, answer, finish, schema) -> DataFrame:
-    """``request(table) -> rows``; ``answer(kind, list of (keys, extra)) -> list of bytes``; ``finish(texts, answers) -> table``."""
+    """``request(rows) -> dicts``; ``answer(kind, [(keys, extra)]) -> [bytes]``; ``finish(rows, answers) -> table``."""
+    asked_as = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()),
+                          ("extra", pa.binary())])
+    told_as = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("answer", pa.binary())])
+
+    def rows_of(group: pa.Table) -> pa.Table:
+        return pa.ipc.open_stream(one(group.column("rows"))[0].as_buffer()).read_all()
+
     def questions(group: pa.Table) -> pa.Table:
-        return request_table(request(group))
+        chunk = group.column("chunk")[0].as_py()
+        return pa.Table.from_pylist([r | {"chunk": chunk} for r in request(rows_of(group))], schema=asked_as)
 
     def reply(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        got = answer(rows[0]["kind"], [(unpack_keys(r["keys"]), r["extra"]) for r in rows])
-        return answer_table([{"chunk": r["chunk"], "kind": r["kind"], "bucket": r["bucket"], "answer": x}
-                             for r, x in zip(rows, got)])
+        told = answer(rows[0]["kind"], [(unpack_keys(r["keys"]), r["extra"]) for r in rows])
+        return pa.Table.from_pylist([{k: r[k] for k in ("chunk", "kind", "bucket")} | {"answer": x}
+                                     for r, x in zip(rows, told)], schema=told_as)
 
     asked = chunks.groupBy("chunk").applyInArrow(questions, REQUEST)
     answered = asked.groupBy("kind", "bucket").applyInArrow(reply, ANSWER)
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(finish, schema)
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")) \
+        .applyInArrow(lambda group, told: finish(rows_of(group), told), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runforge.llm import exchange
-from runforge.llm.common import mix, one, prepare, schema_of, word_hashes, words_of
+from runforge.llm.common import mix, one, prepare, schema_of, whole_text, word_hashes, words_of
 
 
 class Grams:
@@ -57,20 +57,11 @@ class Grams:
 def totals(asked: list[tuple[np.ndarray, bytes]]) -> list[bytes]:
     """The sum of each key's counts over all askers, in each one's order."""
     keys, which = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(x, dtype=np.int64) for _, x in asked])
+    counts = np.concatenate([exchange.unplane(x) for _, x in asked])
     summed = np.zeros(len(keys), dtype=np.int64)
     np.add.at(summed, which, counts)
     cuts = np.cumsum([0] + [len(k) for k, _ in asked])
-    return [planes(summed[which[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def planes(x: np.ndarray) -> bytes:
-    """Longs as byte planes, the empty ones of which compress away."""
-    return x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unplane(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return [exchange.planes(summed[which[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def log_scores(grams: Grams, counts: list[np.ndarray], order: int, min_count: int, backoff: float) -> np.ndarray:
@@ -98,19 +89,19 @@ def score_documents(df: DataFrame, order: int = 3, min_count: int = 2, backoff:
                     chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_score, mean_log_score) of each row."""
     prepare(df.sparkSession)
-    chunks, buckets = exchange.chunked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-                                       chunk_bytes, "id", "text")
-    schema = schema_of(chunks, "id", ("n_words", T.LongType()), ("log_score", T.DoubleType()),
+    rows = df.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    chunks, buckets = exchange.chunked(rows, chunk_bytes)
+    schema = schema_of(rows, "id", ("n_words", T.LongType()), ("log_score", T.DoubleType()),
                        ("mean_log_score", T.DoubleType()))
 
     def request(group: pa.Table) -> list[dict]:
-        grams, chunk = Grams(one(group.column("text")), order), group.column("chunk")[0].as_py()
-        return [row for k in range(order + 1)
-                for row in exchange.requests(chunk, k, grams.keys[k], grams.counts[k], buckets)]
+        grams = Grams(one(group.column("text")), order)
+        return [row for k, counts in enumerate(grams.counts)
+                for row in exchange.requests(k, grams.keys[k], lambda a, b: exchange.planes(counts[a:b]), buckets)]  # noqa: B023
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(one(group.column("text")), order)
-        counts = [np.concatenate([np.zeros(0, dtype=np.int64), *map(unplane, exchange.answers_of(answers, k))])
+        counts = [np.concatenate([np.zeros(0, dtype=np.int64), *map(exchange.unplane, exchange.answers_of(answers, k))])
                   for k in range(order + 1)]
         words = np.diff(grams.bounds)
         score = np.zeros(len(words))

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runforge.llm import exchange
-from runforge.llm.common import mix, one, prepare
+from runforge.llm.common import mix, one, prepare, whole_text
 
-#: A sentence with the white space after it.
-SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|$)\s*|\s+", re.S)
+#: What ends a sentence, with the white space after it.
+END = re.compile(r"[.!?]\s+|\n\s*")
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: What a chunk says of a span beside its low hash: the high hash and its first place here.
@@ -41,7 +41,11 @@ PLACE = np.dtype([("high", "<u8"), ("id", "<i8"), ("at", "<i4")])
 
 
 def cut(text: str) -> list[str]:
-    return SENTENCE.findall(text)
+    """The sentences, each with the white space after it; joined they are the text."""
+    ends = [0, *(m.end() for m in END.finditer(text))]
+    if ends[-1] < len(text):
+        ends.append(len(text))
+    return [text[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def minimal_runs(words: np.ndarray, min_sentences: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +112,7 @@ class Spans:
 def elsewhere(asked: list[tuple[np.ndarray, bytes]]) -> list[bytes]:
     """For each asked span whether its first place is another chunk's, as bits, then the ids of those places."""
     keys = np.concatenate([k for k, _ in asked])
-    places = np.concatenate([np.frombuffer(x, dtype=PLACE) for _, x in asked])
+    places = np.concatenate([np.frombuffer(exchange.expand(x), dtype=PLACE) for _, x in asked])
     order = np.lexsort((places["at"], places["id"], places["high"], keys))
     k, p = keys[order], places[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (p["high"][1:] != p["high"][:-1])])
@@ -152,9 +156,9 @@ def remove_repeats(df: DataFrame, min_sentences: int = 3, min_words: int = 20, l
     rule = (min_sentences, min_words, long_words)
     columns = [c for c in df.columns if c != "_spans"]
     others = [F.col(c) for c in columns if c != text_col]
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+    rows = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"),
                      F.struct(*others).alias("row"))
-    chunks, buckets = exchange.chunked(rows, chunk_bytes, "id", "text", ["row"])
+    chunks, buckets = exchange.chunked(rows, chunk_bytes)
     report = T.StructType([T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("removed_chars", T.LongType()),
                            T.StructField("first_ids", T.ArrayType(T.LongType()))])
@@ -164,8 +168,9 @@ def remove_repeats(df: DataFrame, min_sentences: int = 3, min_words: int = 20, l
 
     def request(group: pa.Table) -> list[dict]:
         spans = Spans(group, rule)
-        return exchange.requests(group.column("chunk")[0].as_py(), 0, spans.low[spans.order[spans.starts]],
-                                 spans.places(), buckets)
+        places = spans.places()
+        return exchange.requests(0, spans.low[spans.order[spans.starts]],
+                                 lambda a, b: exchange.squeeze(places[a:b].tobytes()), buckets)
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
         spans = Spans(group, rule)
