@@ -27,6 +27,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runforge.session import materialize
+
 ROWS_PER_SLICE = 1 << 20
 
 
@@ -82,6 +84,35 @@ def position_within(df: DataFrame, group_cols, order_cols, out: str = "pos",
             .drop("_rf_slice", "_rf_local", "_rf_off"))
 
 
+def sorted_positions(df: DataFrame, group_cols, order_cols, out: str = "pos") -> DataFrame:
+    """Add a 0-based bigint ``out`` = row number within ``group_cols`` ordered by ``order_cols``, of any types.
+
+    The rows are sorted by group and order over all tasks, in ranges that Spark cuts
+    from the data, so that a hot group or a heavy tail of values fills many tasks
+    alike (make the order total: equal rows share a range). The sorted rows are
+    written once to the shared folder when this is called, each with its number in
+    its task; what a task's rows add is the total of the tasks before it.
+    """
+    groups, orders = _cols(group_cols), _cols(order_cols)
+    keys = [F.col(c) if isinstance(c, str) else c for c in [*groups, *orders]]
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    number = F.monotonically_increasing_id()
+    rows = materialize(ranged.withColumn("_rf_part", F.shiftright(number, 33))
+                       .withColumn("_rf_local", number.bitwiseAND(F.lit((1 << 33) - 1))), "sorted")
+    # one row a task, whatever the data
+    before = Window.orderBy("_rf_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_rf_part").agg(F.count(F.lit(1)).alias("_rf_n"))
+    offsets = counts.select("_rf_part", F.coalesce(F.sum("_rf_n").over(before), F.lit(0)).alias("_rf_off"))
+    placed = rows.join(F.broadcast(offsets), "_rf_part").withColumn(out, F.col("_rf_off") + F.col("_rf_local"))
+    placed = placed.drop("_rf_part", "_rf_local", "_rf_off")
+    if not groups:
+        return placed.withColumn(out, F.col(out).cast("bigint"))
+    first = placed.groupBy(*groups).agg(F.min(out).alias("_rf_first"))
+    return (placed.join(first, groups).withColumn(out, (F.col(out) - F.col("_rf_first")).cast("bigint"))
+            .drop("_rf_first"))
+
+
 SUPER = 4096
 
 
@@ -130,6 +161,8 @@ def pick_order_stats(df: DataFrame, group_cols, value_col: str,
                      finish: Callable[[Column, Callable[[Column], Column]], Sequence[Column]]) -> DataFrame:
     """Exact order statistics per group by rank-and-pick.
 
+    The ranking is stored when this is called (see :func:`sorted_positions`), in
+    ranges cut from the data, so heavy-tailed values fill all tasks alike.
     ``ranks(n)`` lists the 0-based ranks needed given the group size ``n``;
     only those rows survive the filter, so the final aggregate is tiny.
     ``finish(n, at)`` maps ``at(k1)`` (k1 = 1-based rank -> value) to the
@@ -137,8 +170,8 @@ def pick_order_stats(df: DataFrame, group_cols, value_col: str,
     """
     groups = _cols(group_cols)
     vals = df.select(*groups, F.col(value_col).alias("_rf_v")).where(F.col("_rf_v").isNotNull())
-    ranked = position_within(vals, groups, ["_rf_v"], out="_rf_r")
-    sizes = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rf_cnt"))
+    ranked = sorted_positions(vals, groups, ["_rf_v"], out="_rf_r")
+    sizes = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rf_cnt"))
     joined = ranked.join(sizes, groups, "inner") if groups else ranked.crossJoin(sizes)
     needed = ranks(F.col("_rf_cnt"))
     picked = joined.where(_any_eq(F.col("_rf_r"), needed))

@@ -8,16 +8,14 @@ looked-up token ids by document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runforge.functions.indexing import position_within
+from runforge.functions.indexing import sorted_positions
 from runforge.functions.text import (CLS_ID, FIRST_WORD_ID, MASK_ID, PAD_ID, SEP_ID, UNK_ID,
                                      non_ws_chars, word_tokens)
 
 DEFAULT_MIME = ("text/markdown", "text/plain")
-# A vocabulary at or below this many entries is broadcast (size proven by the ``size`` argument).
-BROADCAST_VOCAB_MAX = 1 << 20
 
 
 def _cols(x) -> list:
@@ -56,46 +54,38 @@ def density_gate(df: DataFrame, text: str = "text", tokens: str = "tokens",
 def build_vocab(df: DataFrame, text: str = "text", size: int | None = None) -> DataFrame:
     """Word vocabulary ranked by (count desc, token asc): (token, count, id).
 
-    ids start after the special ids; ``size`` keeps the top entries. Counting
-    is a partial+final aggregation; the ranking is a sliced row number, not a
-    global single-task window.
+    ids start after the special ids; all words are kept unless ``size`` asks for the
+    top entries. Counting is a partial+final aggregation; the ranking is a sort over
+    all tasks that is stored once, so the long tail of rare words is spread evenly.
     """
     toks = df.select(F.explode(word_tokens(text)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    ranked = sorted_positions(counts, [], [F.desc("count"), "token"], out="_rf_rank")
     if size is not None:
-        # top-``size`` is the feature: a distributed top-k, then ids over at most ``size`` rows
-        top = counts.orderBy(F.desc("count"), "token").limit(size)
-        ranked = top.withColumn("_rf_rank", F.row_number().over(
-            Window.orderBy(F.desc("count"), "token")) - 1)
-    else:
-        ranked = position_within(counts.withColumn("_rf_neg", -F.col("count")), [], ["_rf_neg", "token"],
-                                 out="_rf_rank")
+        ranked = ranked.where(F.col("_rf_rank") < size)
     return ranked.select("token", "count", (F.col("_rf_rank") + FIRST_WORD_ID).cast("int").alias("id"))
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str = "tokens",
-             vocab_size: int | None = None, keep_text: bool = True) -> DataFrame:
+             keep_text: bool = True) -> DataFrame:
     """Replace ``text`` words by vocabulary ids (unknown -> UNK) as ``out``.
 
-    Words are exploded with their position, looked up by an equi-join on the
-    vocabulary (broadcast when its size is bounded by ``vocab_size``), and
-    regrouped per document in position order. Documents without words get an
-    empty array. ``keep_text=False`` leaves the text out of the result, so the
-    join back by key shuffles only the small columns.
+    Each document asks once for each of its distinct words, with the word's positions;
+    the answers are put in position order per document. Documents without words get an
+    empty array. ``keep_text=False`` leaves the text out of the result, so the join
+    back by key shuffles only the small columns.
     """
     keys = _cols(key)
-    ex = df.select(*keys, F.posexplode_outer(word_tokens(text)).alias("_rf_t", "token"))
-    v = vocab.select("token", "id")
-    if vocab_size is not None and vocab_size <= BROADCAST_VOCAB_MAX:
-        v = F.broadcast(v)
-    looked = ex.join(v, "token", "left")
-    grouped = looked.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_rf_t"), F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id"))))
-        .alias("_rf_s"))
-    ids = grouped.select(*keys, F.transform(F.filter("_rf_s", lambda s: s["_rf_t"].isNotNull()),
-                                            lambda s: s["id"]).alias(out))
+    ex = df.select(*keys, F.posexplode(word_tokens(text)).alias("_rf_t", "token"))
+    asked = ex.groupBy(*keys, "token").agg(F.collect_list("_rf_t").alias("_rf_at"))
+    looked = asked.join(vocab.select("token", "id"), "token", "left").select(
+        *keys, "_rf_at", F.coalesce("id", F.lit(UNK_ID)).alias("_rf_id"))
+    placed = F.transform("_rf_s", lambda s: F.transform(
+        s["_rf_at"], lambda p: F.struct(p.alias("p"), s["_rf_id"].alias("id"))))
+    grouped = looked.groupBy(*keys).agg(F.collect_list(F.struct("_rf_at", "_rf_id")).alias("_rf_s"))
+    ids = grouped.select(*keys, F.transform(F.sort_array(F.flatten(placed)), lambda s: s["id"]).alias(out))
     side = df if keep_text else df.drop(text)
-    return side.join(ids, keys, "inner")
+    return side.join(ids, keys, "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
 
 
 # ---------------------------------------------------------------- C4
@@ -140,7 +130,7 @@ def record_length_hist(df: DataFrame, record_size: int, ids: str = "input_ids")
     An empty input gives an empty histogram."""
     h = df.groupBy(F.size(ids).alias("length")).agg(F.count(F.lit(1)).alias("count"))
     return h.select("length", F.when(F.col("length") > record_size,
-                                     F.raise_error(F.concat(F.lit("Record size exceeded: "),
+                                     F.raise_error(F.concat(F.lit("a packed record has more ids than fit: "),
                                                             F.col("length").cast("string"))))
                     .otherwise(F.col("count")).cast("bigint").alias("count"))
 
@@ -167,16 +157,16 @@ def mask_tokens(df: DataFrame, key, seed, p: float = 0.15, vocab_size: int = 655
     hashed = F.transform(ids, lambda x, i: F.struct(
         x.alias("x"), F.md5(F.concat_ws("|", F.lit(str(seed)), kc, i.cast("string"), F.lit("mask"))).alias("h")))
 
-    def selected(s):
-        return (u(s["h"], 1) < F.lit(p)) & ~F.array_contains(spec, s["x"])
+    drawn = F.transform(hashed, lambda s: F.struct(
+        s["x"].alias("x"), ((u(s["h"], 1) < F.lit(p)) & ~F.array_contains(spec, s["x"])).alias("chosen"),
+        u(s["h"], 9).alias("act"),
+        (F.lit(FIRST_WORD_ID) + F.floor(u(s["h"], 17) * F.lit(vocab_size))).cast("int").alias("word")))
 
     def corrupt(s):
-        rnd = (F.lit(FIRST_WORD_ID) + F.floor(u(s["h"], 17) * F.lit(vocab_size))).cast("int")
-        act = u(s["h"], 9)
-        return (F.when(~selected(s), s["x"]).when(act < 0.8, F.lit(MASK_ID)).when(act < 0.9, rnd)
+        return (F.when(~s["chosen"], s["x"]).when(s["act"] < 0.8, F.lit(MASK_ID)).when(s["act"] < 0.9, s["word"])
                 .otherwise(s["x"]))
 
-    return (df.withColumn("_rf_h", hashed)
-            .withColumn("labels", F.transform("_rf_h", lambda s: F.when(selected(s), s["x"]).otherwise(F.lit(-100))))
+    return (df.withColumn("_rf_h", drawn)
+            .withColumn("labels", F.transform("_rf_h", lambda s: F.when(s["chosen"], s["x"]).otherwise(F.lit(-100))))
             .withColumn(ids, F.transform("_rf_h", corrupt))
             .drop("_rf_h"))

@@ -213,7 +213,7 @@ def average_matrices(df: DataFrame, weights: DataFrame, vec: str = "vec") -> Dat
     g = base.join(grouped, ["matrix_id", "row_id"], "inner").crossJoin(F.broadcast(nmodels))
     first = F.col("_rf_parts")[0]
     init = F.transform(first[vec], lambda x: x.cast("double") * first["w"])
-    rest = F.slice(F.col("_rf_parts"), 2, F.lit(1 << 20))
+    rest = F.slice(F.col("_rf_parts"), F.lit(2), F.size("_rf_parts"))
     summed = F.aggregate(rest, init, lambda acc, p: F.zip_with(acc, p[vec], lambda a, x: a + p["w"] * x.cast("double")))
     ok = F.size("_rf_parts") == F.col("_rf_nm")
     out = F.when(ok, F.transform(summed, lambda x: x.cast("float"))).otherwise(

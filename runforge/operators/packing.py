@@ -16,7 +16,7 @@ Record r is emitted when a document ends exactly at (r+1)·B (rule 2) or when
 some token lies at or beyond (r+1)·B (rule 1, SEP appended).
 
 Only document *lengths* are folded per batch (≤ ``batch_rows`` values); token
-arrays never meet in one group larger than one record.
+arrays are cut into one slice a record and meet in groups of one record.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runforge.functions.draws import draw_int
-from runforge.functions.indexing import position_within
+from runforge.functions.indexing import position_within, sorted_positions
 from runforge.functions.text import CLS_ID, EOS_ID, SEP_ID
 
 
@@ -90,14 +90,21 @@ def pack_records(df: DataFrame, record_size: int, order: str = "position", token
     n = F.size("_rf_tok")
     with_eos = F.when(F.pmod(F.col("off") + n, F.lit(B)) != 0,
                       F.concat(F.col("_rf_tok"), F.array(F.lit(eos)))).otherwise(F.col("_rf_tok"))
-    items = placed.select("batch", "off", F.posexplode(with_eos).alias("_rf_k", "id")).select(
-        "batch", (F.col("off") + F.col("_rf_k")).alias("_rf_p"), "id")
-    recs = items.groupBy("batch", (F.floor(F.col("_rf_p") / B)).cast("bigint").alias("record_idx")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_rf_p"), F.col("id")))).alias("_rf_items"))
+    # each document is cut where records end; what shuffles is one slice for each record it touches
+    placed = placed.select("batch", "off", with_eos.alias("_rf_ids"))
+    last = F.col("off") + F.size("_rf_ids") - 1
+    cut = placed.select("*", F.explode(F.sequence(F.floor(F.col("off") / B).cast("bigint"),
+                                                  F.floor(last / B).cast("bigint"))).alias("record_idx"))
+    start = F.greatest(F.col("record_idx") * B, F.col("off"))
+    stop = F.least((F.col("record_idx") + 1) * B, F.col("off") + F.size("_rf_ids"))
+    slices = cut.select("batch", "record_idx", F.struct(
+        start.alias("p"), F.slice("_rf_ids", (start - F.col("off") + 1).cast("int"), (stop - start).cast("int")).alias("ids"))
+        .alias("_rf_x"))
+    recs = slices.groupBy("batch", "record_idx").agg(F.sort_array(F.collect_list("_rf_x")).alias("_rf_items"))
     r = recs.join(folded.select("batch", "tmax", "rule2"), "batch", "inner") \
         .withColumn("_rf_r2", F.array_contains("rule2", F.col("record_idx")))
     emitted = r.where(F.col("_rf_r2") | (F.col("tmax") >= (F.col("record_idx") + 1) * B))
-    body = F.transform("_rf_items", lambda s: s["id"])
+    body = F.flatten(F.transform("_rf_items", lambda s: s["ids"]))
     ids = F.when(F.col("_rf_r2"), F.concat(F.array(F.lit(cls)), body)) \
         .otherwise(F.concat(F.array(F.lit(cls)), body, F.array(F.lit(sep))))
     return emitted.select("batch", "record_idx", ids.alias("input_ids"))
@@ -120,13 +127,13 @@ def interleave(df: DataFrame, by: str = "dataset", index: str = "row_idx",
     more than ``round_block`` repeats are first cut into blocks of rounds and
     those (row, block) pairs are spread over tasks by a shuffle that touches
     only the small datasets, so no task generates a hot dataset's copies alone.
+    The table of dataset ranks is stored when this is called.
     """
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_rf_len"))
-    # one-row totals: longest length, dataset count and the sorted names (one per dataset)
-    totals = sizes.agg(F.max("_rf_len").alias("_rf_L"), F.count(F.lit(1)).alias("_rf_n"),
-                       F.sort_array(F.collect_list(by)).alias("_rf_names"))
-    meta = sizes.crossJoin(F.broadcast(totals)).select(
-        by, "_rf_len", "_rf_L", "_rf_n", (F.array_position("_rf_names", F.col(by)) - 1).alias("_rf_ord"))
+    ranked = sorted_positions(sizes, [], [by], out="_rf_ord")
+    # one row: longest length and dataset count
+    totals = ranked.agg(F.max("_rf_len").alias("_rf_L"), F.count(F.lit(1)).alias("_rf_n"))
+    meta = ranked.crossJoin(F.broadcast(totals))
     j = df.join(meta, by, "inner")
     # repeats of row i: ceil((L - i) / len)
     reps = F.floor((F.col("_rf_L") - F.col(index) + F.col("_rf_len") - 1) / F.col("_rf_len"))

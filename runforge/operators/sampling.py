@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions.draws import draw_index, draw_int, draw_uniform
-from runforge.functions.indexing import position_within
+from runforge.functions.indexing import sorted_positions
 from runforge.session import materialize
 
 
@@ -29,28 +29,30 @@ def _key(cols) -> F.Column:
 def weight_ranges(weights: DataFrame, order: str = "task") -> DataFrame:
     """Cumulative [lo, hi) share of each task in ``order`` (weights are relative).
 
-    One row per task; the running sum is a window over that small table.
-    An empty weights table makes :func:`assign_task` fail, as the reference
-    raises on an empty dict.
+    One row per configured task; the running sum is a window over that table. Each
+    range starts where the one before ends, and the last one ends at 1.
     """
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy(order)
     c = (weights.withColumn("weight", F.col("weight").cast("double"))
-         .withColumn("_rf_hi", F.sum("weight").over(w))
-         .withColumn("_rf_tot", F.sum("weight").over(Window.partitionBy())))
-    return c.select("task", ((F.col("_rf_hi") - F.col("weight")) / F.col("_rf_tot")).alias("lo"),
-                    (F.col("_rf_hi") / F.col("_rf_tot")).alias("hi"))
+         .withColumn("_rf_sum", F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_rf_tot", F.sum("weight").over(Window.partitionBy()))
+         .withColumn("_rf_last", F.lead(order).over(w).isNull()))
+    c = c.withColumn("hi", F.when(F.col("_rf_last"), F.lit(1.0)).otherwise(F.col("_rf_sum") / F.col("_rf_tot")))
+    return c.select("task", F.coalesce(F.lag("hi").over(w), F.lit(0.0)).alias("lo"), "hi")
 
 
 def assign_task(df: DataFrame, weights: DataFrame, seed, key, out: str = "task") -> DataFrame:
     """Weighted task draw per row: u = md5 draw in [0, 1), task whose
     cumulative share range holds u. A broadcast range join against the (one
-    row per task) weights table."""
+    row per task) weights table. The job fails when there are no weights."""
     ranges = weight_ranges(weights)
     u = draw_uniform(seed, _key(key), "task")
     d = df.withColumn("_rf_u", u)
     j = d.join(F.broadcast(ranges.withColumnRenamed("task", "_rf_task")),
                (F.col("_rf_u") >= F.col("lo")) & (F.col("_rf_u") < F.col("hi")), "left")
-    return j.withColumn(out, F.col("_rf_task")).drop("_rf_u", "_rf_task", "lo", "hi")
+    none = F.raise_error(F.lit("no task has a weight"))
+    return j.withColumn(out, F.when(F.col("lo").isNull(), none).otherwise(F.col("_rf_task"))) \
+        .drop("_rf_u", "_rf_task", "lo", "hi")
 
 
 def task_mix_audit(log: DataFrame, config_weights: DataFrame, task: str = "task") -> DataFrame:
@@ -92,34 +94,34 @@ def balanced_prefix(df: DataFrame, by: str, min_groups: int = 3, min_per_group:
     with every seen group at ≥ ``min_per_group`` rows.
 
     With groups ordered by first appearance, the prefix that stops inside the
-    first K groups must reach max_{i≤K} reach_i (the position of each group's
-    ``min_per_group``-th row) before group K+1 appears. Only a table of one
-    row per group is ordered; rows get positions from sliced row numbers.
-    Returns the prefix rows with ``sample_pos``; empty when no prefix qualifies.
+    first K groups must reach max_{i≤K} reach_i (the place of each group's
+    ``min_per_group``-th row) before group K+1 appears. A group's first and
+    ``min_per_group``-th place are its smallest draws: each task keeps that many rows
+    of a group before the shuffle, and only rows up to the stop are ranked (the rank
+    is stored when this is called). Returns the prefix rows with ``sample_pos``; empty
+    when no prefix qualifies.
     """
     keys = _cols(key) or [by]
-    # order positions are computed on the keys only (rows can be wide documents),
-    # stored once, and the chosen prefix is joined back to the rows at the end
-    d = df.select(by, *[k for k in keys if k != by]).withColumn("_rf_draw", draw_int(seed, _key(keys), "prefix"))
-    pos = position_within(d, [], ["_rf_draw", *keys], out="sample_pos", slice_width=1 << 16)
-    occ = materialize(position_within(pos, [by], ["_rf_draw", *keys], out="_rf_occ", slice_width=1 << 16),
-                      "prefix_order")
-    groups = occ.groupBy(by).agg(
-        F.min("sample_pos").alias("_rf_first"),
-        F.min(F.when(F.col("_rf_occ") == min_per_group - 1, F.col("sample_pos"))).alias("_rf_reach"))
-    big = F.lit(2 ** 62)
+    draw = draw_int(seed, _key(keys), "prefix")
+    place = F.struct(draw.alias("draw"), *[F.col(k) for k in keys]).alias("_rf_at")
+    own = Window.partitionBy(by).orderBy("_rf_at")
+    low = (df.select(by, place).withColumn("_rf_nth", F.row_number().over(own))
+           .where(F.col("_rf_nth") <= min_per_group))
+    groups = low.groupBy(by).agg(F.min("_rf_at").alias("_rf_first"),
+                                 F.min(F.when(F.col("_rf_nth") == min_per_group, F.col("_rf_at"))).alias("_rf_reach"))
+    # one row a group; a group that never has enough rows blocks every prefix that holds it
     ow = Window.orderBy("_rf_first")
+    upto = ow.rowsBetween(Window.unboundedPreceding, 0)
     g = groups.select(
-        "_rf_first",
-        F.row_number().over(ow).alias("_rf_k"),
-        F.max(F.coalesce("_rf_reach", big)).over(ow.rowsBetween(Window.unboundedPreceding, 0)).alias("_rf_t"),
-        F.lead("_rf_first").over(ow).alias("_rf_next"))
-    stop = g.where((F.col("_rf_k") >= min_groups) & (F.col("_rf_t") < big)
+        F.row_number().over(ow).alias("_rf_k"), F.max("_rf_reach").over(upto).alias("_rf_t"),
+        F.max(F.col("_rf_reach").isNull()).over(upto).alias("_rf_short"), F.lead("_rf_first").over(ow).alias("_rf_next"))
+    stop = g.where((F.col("_rf_k") >= min_groups) & ~F.col("_rf_short")
                    & (F.col("_rf_next").isNull() | (F.col("_rf_t") < F.col("_rf_next")))) \
         .agg(F.min("_rf_t").alias("_rf_stop"))
-    chosen = (occ.crossJoin(F.broadcast(stop)).where(F.col("sample_pos") <= F.col("_rf_stop"))
-              .select(by, *[k for k in keys if k != by], "sample_pos"))
-    return df.join(chosen, list(dict.fromkeys([by, *keys])), "inner")
+    chosen = (df.select(F.struct("*").alias("_rf_row"), place).crossJoin(F.broadcast(stop))
+              .where(F.col("_rf_at") <= F.col("_rf_stop")))
+    ranked = sorted_positions(chosen.select("_rf_row", "_rf_at"), [], ["_rf_at"], out="sample_pos")
+    return ranked.select("_rf_row.*", "sample_pos")
 
 
 # ---------------------------------------------------------------- S5
@@ -131,23 +133,23 @@ def contrastive_quads(docs: DataFrame, chunks: DataFrame, by: str = "dataset", d
     j of j.
 
     ``docs``: (by, doc) pool rows; ``chunks``: (doc, chunk_idx). Documents
-    without chunks are left out of the pool. The dataset pair table is a theta
-    join over one row per dataset (d·(d-1)/2 pairs, d = number of datasets);
-    document and chunk picks are equi-joins on drawn indexes. Explicit
-    broadcasts in this module are only on one-row aggregates and on the
-    configured task weights.
+    without chunks are left out of the pool. Datasets and their documents may have
+    ids of any type. The dataset pairs (d·(d-1)/2 of them, which is the result's own
+    size) come from listing, for each dataset, the ranks before its own and an
+    equi-join on rank; document and chunk picks are equi-joins on drawn indexes. The
+    indexed pool is stored when this is called.
     """
     nchunks = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("_rf_nch"))
     pool = docs.select(by, doc).join(nchunks, doc, "inner")
     # the indexed pool (one row per document) feeds four branches below: store it once
-    pool = materialize(position_within(pool, [by], [doc], out="_rf_di", slice_width=1 << 16), "quad_pool")
+    pool = materialize(sorted_positions(pool, [by], [doc], out="_rf_di"), "quad_pool")
     sizes = pool.groupBy(by).agg(F.count(F.lit(1)).alias("_rf_nd"))
-    ranked = sizes.select(by, "_rf_nd", F.dense_rank().over(Window.orderBy(by)).alias("_rf_ord"))
-    a = ranked.select(F.col(by).alias("ds_i"), F.col("_rf_nd").alias("n_i"), F.col("_rf_ord").alias("o_i"))
-    b = ranked.select(F.col(by).alias("ds_j"), F.col("_rf_nd").alias("n_j"), F.col("_rf_ord").alias("o_j"))
-    # one row per dataset on each side; no hint: AQE broadcasts it only when its
-    # measured size is under the threshold, and plans a shuffle join otherwise
-    pairs = a.join(b, F.col("o_j") < F.col("o_i"))
+    ranked = sorted_positions(sizes, [], [by], out="_rf_ord")
+    a = ranked.where("_rf_ord > 0").select(
+        F.col(by).alias("ds_i"), F.col("_rf_nd").alias("n_i"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rf_ord") - 1)).alias("_rf_ord"))
+    b = ranked.select(F.col(by).alias("ds_j"), F.col("_rf_nd").alias("n_j"), "_rf_ord")
+    pairs = a.join(b, "_rf_ord")
     q = pairs.select("ds_i", "ds_j", "n_i", "n_j",
                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(num_per_pair - 1).cast("bigint"))).alias("q"))
     qk = F.concat_ws(":", F.col("ds_i").cast("string"), F.col("ds_j").cast("string"), F.col("q").cast("string"))

@@ -1,12 +1,11 @@
 """Window operators over step logs.
 
-Ordered windows are never unpartitioned and never one task per run: rows are
-cut into chunks of ``chunk_rows`` consecutive positions per run, and the last
-``w-1`` rows of each chunk are copied into the next chunk as a halo, so a
-``w``-row frame is complete inside every chunk (requires ``chunk_rows >= w-1``).
-Running sums use per-chunk totals plus a prefix over the (small) chunk table.
-``pos`` must be a dense 0-based position per run (the step of a step log; use
-:func:`runforge.functions.indexing.position_within` otherwise).
+Ordered windows are never unpartitioned and never one task per run. Rows get a
+dense 0-based position per run (``dense``; logs have gaps), are cut into chunks of
+``chunk_rows`` consecutive positions, and the last ``w-1`` rows of each chunk are
+copied into the next chunk as a halo, so a ``w``-row frame is complete inside
+every chunk (requires ``chunk_rows >= w-1``). Running sums use per-chunk totals
+plus a prefix over the (small) chunk table.
 """
 
 from __future__ import annotations
@@ -28,6 +27,11 @@ def _nan_null(c) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def dense(df: DataFrame, run_id: str, pos: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``_rf_pos``: the row's 0-based rank along ``pos`` within its run."""
+    return position_within(df, [run_id], [pos], out="_rf_pos", slice_width=max(chunk_rows, 1))
+
+
 def with_halo(df: DataFrame, run_id: str, pos: str, halo: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Assign ``_rf_chunk`` = pos div R and append halo copies of each chunk's
     last ``halo`` rows to the next chunk (``_rf_halo`` true on copies)."""
@@ -41,35 +45,47 @@ def with_halo(df: DataFrame, run_id: str, pos: str, halo: int, chunk_rows: int =
     return own.unionByName(copies)
 
 
-def _chunk_window(run_id: str, pos: str) -> Window:
-    return Window.partitionBy(run_id, "_rf_chunk").orderBy(pos)
+def _chunk_window(run_id: str) -> Window:
+    return Window.partitionBy(run_id, "_rf_chunk").orderBy("_rf_pos")
+
+
+def _chunked(log: DataFrame, run_id: str, pos: str, halo: int, chunk_rows: int) -> DataFrame:
+    return with_halo(dense(log, run_id, pos, chunk_rows), run_id, "_rf_pos", halo, chunk_rows)
 
 
 def _drop_halo(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("_rf_halo")).drop("_rf_halo", "_rf_chunk")
+    return df.where(~F.col("_rf_halo")).drop("_rf_halo", "_rf_chunk", "_rf_pos")
 
 
 # ---------------------------------------------------------------- W1, W2, W4
 def _trailing_sums(log: DataFrame, ks, run_id: str, pos: str, chunk_rows: int) -> DataFrame:
     """Per row and k: sum and count of the non-NaN losses among the last k rows.
 
-    Running sums over unbounded-preceding frames are incremental, and the k-row
-    window is cum[t] - cum[t-k] (``lag``), so the cost is O(n) whatever k is;
-    a sliding k-row frame aggregate would re-aggregate k rows per output row.
-    Running sums restart in every chunk; the halo of max(ks) rows keeps
-    cum[t-k] inside the chunk (null only before the run's first row, i.e. 0).
+    Positions are cut into segments of k rows. The last k rows of any row are the
+    end of one segment and the beginning of the next, so their sum is a sum from
+    the segment's end plus one from its beginning: O(n) whatever k is, and nothing
+    is subtracted, so an infinite or huge loss reaches just the k rows that hold it.
     """
-    c = with_halo(log.select(run_id, pos, "loss"), run_id, pos, max(ks), chunk_rows)
-    w = _chunk_window(run_id, pos)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    c = _chunked(log.select(run_id, pos, "loss"), run_id, pos, max(ks), chunk_rows)
     x = _nan_null("loss")
-    c = c.withColumn("_rf_cs", F.sum(F.coalesce(x, F.lit(0.0))).over(run)) \
-         .withColumn("_rf_cn", F.count(x).over(run))
     cols = []
     for k in ks:
-        cols += [(F.col("_rf_cs") - F.coalesce(F.lag("_rf_cs", k).over(w), F.lit(0.0))).alias(f"_rf_s{k}"),
-                 (F.col("_rf_cn") - F.coalesce(F.lag("_rf_cn", k).over(w), F.lit(0))).alias(f"_rf_n{k}")]
-    return c.select(run_id, pos, "loss", *cols, "_rf_halo", "_rf_chunk")
+        segment = Window.partitionBy(run_id, "_rf_chunk", F.floor(F.col("_rf_pos") / k)).orderBy("_rf_pos")
+        first = segment.rowsBetween(Window.unboundedPreceding, 0)
+        rest = segment.rowsBetween(0, Window.unboundedFollowing)
+        c = (c.withColumn(f"_rf_a{k}", F.coalesce(F.sum(x).over(first), F.lit(0.0)))
+             .withColumn(f"_rf_b{k}", F.coalesce(F.sum(x).over(rest), F.lit(0.0)))
+             .withColumn(f"_rf_c{k}", F.count(x).over(first)).withColumn(f"_rf_d{k}", F.count(x).over(rest)))
+    w = _chunk_window(run_id)
+    for k in ks:
+        whole = F.pmod(F.col("_rf_pos"), F.lit(k)) == k - 1  # the segment itself
+
+        def before(name, zero):
+            return F.when(whole, zero).otherwise(F.coalesce(F.lag(name, k - 1).over(w), zero))  # noqa: B023
+
+        cols += [(F.col(f"_rf_a{k}") + before(f"_rf_b{k}", F.lit(0.0))).alias(f"_rf_s{k}"),
+                 (F.col(f"_rf_c{k}") + before(f"_rf_d{k}", F.lit(0))).alias(f"_rf_n{k}")]
+    return c.select(run_id, pos, "loss", *cols, "_rf_halo", "_rf_chunk", "_rf_pos")
 
 
 def trailing_loss(log: DataFrame, ks=(100, 1000), run_id: str = "run_id", pos: str = "step",
@@ -93,8 +109,8 @@ def rolling_mean(log: DataFrame, window: int = 1000, run_id: str = "run_id", pos
 def loss_diff(log: DataFrame, run_id: str = "run_id", pos: str = "step",
               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """First difference of loss along the run."""
-    c = with_halo(log.select(run_id, pos, "loss"), run_id, pos, 1, chunk_rows)
-    d = (F.col("loss") - F.lag("loss").over(_chunk_window(run_id, pos))).alias("loss_diff")
+    c = _chunked(log.select(run_id, pos, "loss"), run_id, pos, 1, chunk_rows)
+    d = (F.col("loss") - F.lag("loss").over(_chunk_window(run_id))).alias("loss_diff")
     return _drop_halo(c.select(run_id, pos, "loss", d, "_rf_halo", "_rf_chunk"))
 
 
@@ -109,13 +125,13 @@ def rolling_band(log: DataFrame, window: int = 1000, smooth: int = 10, qs=(0.05,
     keeps a sorted window (O(n log w)), shipped through Arrow.
     """
     halo = window + smooth - 2
-    c = with_halo(log.select(run_id, pos, "loss"), run_id, pos, halo, chunk_rows)
+    c = _chunked(log.select(run_id, pos, "loss"), run_id, pos, halo, chunk_rows)
     names = [f"band_q{int(round(q * 100)):02d}" for q in qs]
     schema = f"{run_id} {dict(log.dtypes)[run_id]}, {pos} {dict(log.dtypes)[pos]}, " + \
         ", ".join(f"{n} double" for n in names)
 
     def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
+        pdf = pdf.sort_values("_rf_pos")
         out = pdf[[run_id, pos]].copy()
         x = pdf["loss"].astype("float64")
         for n, q in zip(names, qs):
@@ -155,11 +171,12 @@ def token_rate(log: DataFrame, run_id: str = "run_id", pos: str = "step",
 
     A session starts where ``total_time`` decreases (a resumed run restarts its
     clock and its counter). Session ids are a running sum of restart flags; the
-    session's token base is the run total just before its first row.
+    session's token base is the run total just before its first row. A null
+    ``num_tokens`` counts as 0.
     """
-    base = log.select(run_id, pos, "num_tokens", "total_time")
-    c = with_halo(base, run_id, pos, 1, chunk_rows)
-    prev = F.lag("total_time").over(_chunk_window(run_id, pos))
+    base = log.select(run_id, pos, F.coalesce("num_tokens", F.lit(0)).alias("num_tokens"), "total_time")
+    c = _chunked(base, run_id, pos, 1, chunk_rows)
+    prev = F.lag("total_time").over(_chunk_window(run_id))
     flagged = _drop_halo(c.withColumn("_rf_new", F.when(F.col("total_time") < prev, 1).otherwise(0)))
     with_sess = running_sum(flagged, "_rf_new", "session", [run_id], pos, chunk_rows)
     with_cum = running_sum(with_sess, "num_tokens", "_rf_cum", [run_id], pos, chunk_rows)

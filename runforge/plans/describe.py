@@ -7,10 +7,9 @@ independent lazy query over it, so Catalyst plans them separately.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
+from runforge.functions.indexing import sorted_positions
 from runforge.operators import runlog as R
 from runforge.operators import windows as W
 from runforge.session import materialize
@@ -41,16 +40,30 @@ def describe_tables(log: DataFrame, ev: DataFrame | None = None) -> dict[str, Da
     return out
 
 
-def describe_run(spark: SparkSession, log_path: str, eval_path: str | None, out_dir: str) -> list[str]:
-    """Read the logs, store them once, write every report table; returns the paths."""
-    log = materialize(L.read_step_log(spark, log_path))
+def describe_run(spark: SparkSession, log_path: str, eval_path: str | None = None, out_dir: str | None = None) -> list[str]:
+    """Read the logs, store them once, write every report table; returns the paths.
+
+    ``log_path`` is one run's ``log.jsonl`` or a folder of ``run_id=<id>`` folders.
+    For a single file the run is named by its folder, and ``eval.jsonl`` beside it is
+    read when it exists; reports go to ``reports`` beside it unless ``out_dir`` is given.
+    """
+    parent = log_path.rstrip("/").rpartition("/")[0]
+    if eval_path is None and log_path.endswith("log.jsonl") and L.exists(spark, f"{parent}/eval.jsonl"):
+        eval_path = f"{parent}/eval.jsonl"
+    log = L.read_step_log(spark, log_path)
+    if "run_id" not in log.columns:
+        log = L.read_run_logs(spark, log_path)
+    log = materialize(log, "log")
     ev = None
     if eval_path:
         raw = L.read_eval_log(spark, eval_path)
-        ev = materialize(raw.withColumn("line_no", raw["line_key"]["row"]).drop("line_key"))
+        if "run_id" not in raw.columns:
+            raw = L.read_run_evals(spark, eval_path)
+        # parts of a log in order of their paths, whatever their sizes
+        ev = sorted_positions(raw, ["run_id"], ["line_key"], out="line_no").drop("line_key")
     written = []
     for name, df in describe_tables(log, ev).items():
-        path = os.path.join(out_dir, name)
+        path = f"{out_dir or f'{parent}/reports'}/{name}"
         if name in ("log_statistics", "eval_statistics"):
             L.write_stats(df, path)
         else:

@@ -26,6 +26,11 @@ SELECT user_id % 4 AS run_id,
        value / 1000 AS sample_time, value / 500 AS forward_time, value / 250 AS backward_time,
        CASE WHEN event_id % 4 = 3 THEN value / 2000 END AS optimizer_time, ts AS time
 FROM events"""),
+    "gapped": (("steps",), """
+SELECT run_id, step, num_tokens, CASE WHEN step = 300 THEN CAST('inf' AS DOUBLE) WHEN step % 41 = 5 THEN CAST('nan' AS DOUBLE)
+       WHEN step = 1500 THEN 1e9 ELSE loss END AS loss,
+       CAST((step % 700 + 1) AS DOUBLE) * 0.25::DOUBLE AS total_time
+FROM steps WHERE step % 3 <> 2 AND step % 256 NOT IN (0, 255) AND step % 700 <> 699"""),
     "eval_losses": (("steps",), """
 SELECT run_id, CAST(floor(step / 100) AS BIGINT) * 100 AS step, loss AS sample_loss
 FROM steps WHERE task = 'purchase'"""),

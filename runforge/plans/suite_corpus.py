@@ -15,13 +15,13 @@ from runforge.plans.suite_runlog import rsel
 from runforge.sources import corpus_io as CIO
 from runforge.sources import fixtures as X
 
-VOCAB_SIZE = 5000
+MASK_VOCAB = 65536         # vocabulary of the shipped model config: random replacements are drawn from it
 RECORD_SIZE = 128          # context length of the shipped model config
 SEED = 42
 
 
 def tokenized(spark, sf):
-    """Corpus with word-id tokens from a 5,000-word vocabulary learned on the corpus.
+    """Corpus with word-id tokens from the vocabulary of all its words.
 
     The tokenized corpus is the reusable artifact of every corpus query: it is
     written once (reliable checkpoint) so later stages scan it, not the raw
@@ -29,8 +29,8 @@ def tokenized(spark, sf):
     """
     def build():
         corp = X.corpus(spark, sf)
-        vocab = C.build_vocab(corp, "text", VOCAB_SIZE)
-        return C.tokenize(corp, vocab, "doc_id", vocab_size=VOCAB_SIZE)
+        vocab = C.build_vocab(corp, "text")
+        return C.tokenize(corp, vocab, "doc_id")
 
     return X.stored(spark, sf, "tokenized", build)
 
@@ -43,7 +43,7 @@ SELECT dataset, row_idx, doc_id, mime_type, text,
 FROM corpus),
 vcounts AS (SELECT token, count(*) AS count FROM (SELECT unnest(w) AS token FROM words) GROUP BY token),
 vocab AS (SELECT token, count, CAST(row_number() OVER (ORDER BY count DESC, token) - 1 + 6 AS INTEGER) AS id
-          FROM vcounts QUALIFY row_number() OVER (ORDER BY count DESC, token) <= {VOCAB_SIZE}),
+          FROM vcounts),
 wpos AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS k FROM words),
 ids AS (SELECT wpos.doc_id, list(coalesce(vocab.id, 5) ORDER BY wpos.k) AS tokens
         FROM wpos LEFT JOIN vocab ON wpos.token = vocab.token GROUP BY wpos.doc_id),
@@ -111,7 +111,7 @@ def c2(spark, sf):
 @register("C3_build_vocab", with_views("corpus") + TOK_CTES + rsel("""
 SELECT token, count, id FROM vocab"""))
 def c3(spark, sf):
-    return C.build_vocab(X.corpus(spark, sf), "text", VOCAB_SIZE)
+    return C.build_vocab(X.corpus(spark, sf), "text")
 
 
 @register("C3b_tokenize", with_views("corpus") + TOK_CTES + rsel("""
@@ -182,7 +182,7 @@ hx AS (SELECT doc_id, k, x, md5(concat_ws('|', '7', CAST(doc_id AS VARCHAR), CAS
 dr AS (SELECT doc_id, k, x,
               (('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0 < 0.15 AND x NOT IN (0, 1, 2, 3, 4, 5)) AS sel,
               ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0 AS u,
-              CAST(6 + floor(('0x' || substr(h, 17, 8))::BIGINT / 4294967296.0 * {VOCAB_SIZE}) AS INTEGER) AS rnd
+              CAST(6 + floor(('0x' || substr(h, 17, 8))::BIGINT / 4294967296.0 * {MASK_VOCAB}) AS INTEGER) AS rnd
        FROM hx),
 m AS (SELECT doc_id, k, sel, CASE WHEN NOT sel THEN x WHEN u < 0.8 THEN 4 WHEN u < 0.9 THEN rnd ELSE x END AS y,
              CASE WHEN sel THEN x ELSE -100 END AS label FROM dr)
@@ -196,7 +196,7 @@ FROM tok LEFT JOIN (SELECT doc_id, CAST(count(*) FILTER (WHERE sel) AS BIGINT) A
                     FROM m GROUP BY doc_id) AS a ON tok.doc_id = a.doc_id"""))
 def c8(spark, sf):
     t = tokenized(spark, sf).select("doc_id", F.col("tokens").alias("input_ids"))
-    m = C.mask_tokens(t, "doc_id", 7, 0.15, vocab_size=VOCAB_SIZE)
+    m = C.mask_tokens(t, "doc_id", 7, 0.15, vocab_size=MASK_VOCAB)
 
     def checksum(col):
         return F.aggregate(F.transform(col, lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"),
@@ -288,7 +288,7 @@ SELECT batch, record_idx, CAST(len(input_ids) AS INTEGER) AS length, array_to_st
                                               "'shuffle'")}, batch, record_idx) - 1 AS shuffle_pos
 FROM packed"""))
 def p6(spark, sf):
-    recs = TS.build_training_set(spark, sf, prefix="src", record_size=RECORD_SIZE, vocab_size=VOCAB_SIZE, seed=SEED)
+    recs = TS.build_training_set(spark, sf, prefix="src", record_size=RECORD_SIZE, seed=SEED)
     return recs.select("batch", "record_idx", F.size("input_ids").alias("length"),
                        F.array_join("input_ids", " ").alias("ids"), "shuffle_pos")
 
@@ -298,7 +298,7 @@ SELECT batch, count(*) AS n_records, count(*) FILTER (WHERE len(input_ids) = 128
        count(*) FILTER (WHERE len(input_ids) = 127) AS n_short, CAST(sum(len(input_ids)) AS BIGINT) AS n_ids
 FROM packed GROUP BY batch"""))
 def p6s(spark, sf):
-    recs = TS.build_training_set(spark, sf, prefix="src", record_size=RECORD_SIZE, vocab_size=VOCAB_SIZE, seed=SEED)
+    recs = TS.build_training_set(spark, sf, prefix="src", record_size=RECORD_SIZE, seed=SEED)
     return TS.summarize(recs, RECORD_SIZE)
 
 
@@ -308,7 +308,7 @@ ORDER BY {_draw_sql("'42'", "CAST(batch AS VARCHAR)", "CAST(record_idx AS VARCHA
 LIMIT 1000"""))
 def p6b(spark, sf):
     """Eval set: shuffle the packed records and keep k = 1000 (the reference's eval build)."""
-    recs = TS.build_training_set(spark, sf, prefix="src", record_size=RECORD_SIZE, vocab_size=VOCAB_SIZE, seed=SEED)
+    recs = TS.build_training_set(spark, sf, prefix="src", record_size=RECORD_SIZE, seed=SEED)
     return TS.build_eval_set(recs, 1000, SEED).select(
         "batch", "record_idx", F.array_join("input_ids", " ").alias("ids"))
 

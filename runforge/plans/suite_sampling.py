@@ -22,8 +22,9 @@ def _draw(*parts: str) -> str:
 _STEP_KEY = "concat_ws(':', CAST(run_id AS VARCHAR), CAST(step AS VARCHAR))"
 _CFG = """, w AS (SELECT task, CAST(weight AS DOUBLE) AS weight
            FROM (VALUES ('mlm', 0.75), ('nsp', 0.1), ('nlp', 0.1), ('mhm', 0.05)) AS t(task, weight)),
-r AS (SELECT task, (sum(weight) OVER (ORDER BY task ROWS UNBOUNDED PRECEDING) - weight) / sum(weight) OVER () AS lo,
-             sum(weight) OVER (ORDER BY task ROWS UNBOUNDED PRECEDING) / sum(weight) OVER () AS hi FROM w),
+h AS (SELECT task, CASE WHEN lead(task) OVER (ORDER BY task) IS NULL THEN 1.0 ELSE
+             sum(weight) OVER (ORDER BY task ROWS UNBOUNDED PRECEDING) / sum(weight) OVER () END AS hi FROM w),
+r AS (SELECT task, coalesce(lag(hi) OVER (ORDER BY task), 0.0) AS lo, hi FROM h),
 assigned AS (SELECT s.run_id, s.step, r.task
              FROM (SELECT run_id, step, """ + _draw("'11'", _STEP_KEY, "'task'") + f""" / {TWO32} AS u FROM steps) AS s
              LEFT JOIN r ON s.u >= r.lo AND s.u < r.hi)

@@ -65,6 +65,70 @@ def w5(spark, sf):
     return W.cumulative_tokens(X.steps(spark, sf))
 
 
+# The same operators on a log with gaps, in chunks of 256 rows: every run crosses many seams.
+@register("W1b_trailing_loss_gaps", with_views("gapped") + f"""
+SELECT run_id, step, CASE WHEN l50 = 'inf' THEN 1e300 ELSE round(l50, 6) END AS loss_50,
+       CASE WHEN l200 = 'inf' THEN 1e300 ELSE round(l200, 6) END AS loss_200
+FROM (SELECT run_id, step, list_avg(list_filter(list(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 49 PRECEDING
+               AND CURRENT ROW), lambda x: NOT isnan(x))) AS l50,
+             list_avg(list_filter(list(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 199 PRECEDING
+               AND CURRENT ROW), lambda x: NOT isnan(x))) AS l200 FROM gapped)""")
+def w1b(spark, sf):
+    t = W.trailing_loss(X.gapped(spark, sf), (50, 200), chunk_rows=256)
+    shown = lambda c: F.when(F.col(c) == float("inf"), F.lit(1e300)).otherwise(F.round(c, 6)).alias(c)
+    return t.select("run_id", "step", shown("loss_50"), shown("loss_200"))
+
+
+@register("W2b_rolling_mean_gaps", with_views("gapped") + f"""
+SELECT run_id, step, CASE WHEN len(xs) = 30 THEN CASE WHEN list_contains(xs, CAST('inf' AS DOUBLE)) THEN 1e300
+       ELSE round(list_avg(xs), 6) END END AS rolling_mean
+FROM (SELECT run_id, step, list_filter(list(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 29 PRECEDING
+               AND CURRENT ROW), lambda x: NOT isnan(x)) AS xs FROM gapped)""")
+def w2b(spark, sf):
+    t = W.rolling_mean(X.gapped(spark, sf), 30, chunk_rows=256)
+    m = F.col("rolling_mean")
+    return t.select("run_id", "step", F.when(m == float("inf"), F.lit(1e300)).otherwise(F.round(m, 6)).alias("rolling_mean"))
+
+
+@register("W3b_rolling_band_gaps", with_views("gapped") + """, f AS (SELECT * FROM gapped WHERE NOT isnan(loss) AND loss < 1e9),
+q AS (SELECT run_id, step,
+       CASE WHEN count(loss) OVER w = 100 THEN quantile_cont(loss, 0.05) OVER w END AS q05,
+       CASE WHEN count(loss) OVER w = 100 THEN quantile_cont(loss, 0.95) OVER w END AS q95
+FROM f WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+""" + rsel("""
+SELECT run_id, step, CASE WHEN count(q05) OVER v = 10 THEN avg(q05) OVER v END AS band_q05,
+       CASE WHEN count(q95) OVER v = 10 THEN avg(q95) OVER v END AS band_q95
+FROM q WINDOW v AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""", "band_q05", "band_q95"))
+def w3b(spark, sf):
+    s = X.gapped(spark, sf).where(~F.isnan("loss") & (F.col("loss") < 1e9))
+    return rounded(W.rolling_band(s, 100, 10, chunk_rows=256))
+
+
+@register("W4b_loss_diff_gaps", with_views("gapped") + """, f AS (SELECT * FROM gapped WHERE NOT isnan(loss) AND loss < 1e9)
+""" + rsel("""
+SELECT run_id, step, loss, loss - lag(loss) OVER (PARTITION BY run_id ORDER BY step) AS loss_diff FROM f""", "loss", "loss_diff"))
+def w4b(spark, sf):
+    s = X.gapped(spark, sf).where(~F.isnan("loss") & (F.col("loss") < 1e9))
+    return rounded(W.loss_diff(s, chunk_rows=256))
+
+
+@register("W6b_token_rate_gaps", with_views("gapped") + """, t AS (
+SELECT run_id, step, CASE WHEN step % 700 > 1 THEN num_tokens END AS num_tokens, total_time FROM gapped),
+f AS (SELECT *, CASE WHEN total_time < lag(total_time) OVER (PARTITION BY run_id ORDER BY step) THEN 1 ELSE 0 END
+                  AS nf FROM t),
+s AS (SELECT *, sum(nf) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS session FROM f),
+r AS (SELECT run_id, step, CAST(session AS BIGINT) AS session, total_time,
+             CAST(coalesce(sum(num_tokens) OVER (PARTITION BY run_id, session ORDER BY step ROWS UNBOUNDED PRECEDING), 0)
+                  AS BIGINT) AS session_tokens FROM s)
+""" + rsel("""
+SELECT run_id, step, session, session_tokens, session_tokens / greatest(total_time, 1.0) AS token_rate FROM r""",
+           "token_rate"))
+def w6b(spark, sf):
+    """The first rows of a session have no token count: they count as 0."""
+    s = X.gapped(spark, sf).withColumn("num_tokens", F.when(F.col("step") % 700 > 1, F.col("num_tokens")))
+    return rounded(W.token_rate(s, chunk_rows=256))
+
+
 def _timed_log(spark, sf):
     """Steps with a stand-in session clock: total_time restarts every 700 steps."""
     s = X.steps(spark, sf)

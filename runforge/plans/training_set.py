@@ -22,7 +22,7 @@ from runforge.sources import fixtures as X
 
 
 def build_training_set(spark: SparkSession, sf_dir: str, prefix: str = "src", record_size: int = 128,
-                       vocab_size: int = 5000, seed=42, batch_rows: int = 1000,
+                       vocab_size: int | None = None, seed=42, batch_rows: int = 1000,
                        min_ratio: float = 2.5, mime_types=C.DEFAULT_MIME) -> DataFrame:
     """Packed, shuffled training records: (batch, record_idx, input_ids, shuffle_pos)."""
     selected = CIO.select_corpora(X.catalog(spark, sf_dir), prefix)
@@ -32,7 +32,7 @@ def build_training_set(spark: SparkSession, sf_dir: str, prefix: str = "src", re
     # tokenizing so the text never travels through the regroup and the join back
     counted = corp.withColumn("n_non_ws", non_ws_chars("text"))
     # stage boundary: the tokenized corpus is the reusable artifact; write it once
-    tok = materialize(C.tokenize(counted, vocab, "doc_id", vocab_size=vocab_size, keep_text=False),
+    tok = materialize(C.tokenize(counted, vocab, "doc_id", keep_text=False),
                       "tokenized")
     stream = P.interleave(tok)
     keep = (F.col("mime_type").isin(list(mime_types)) & (F.size("tokens") > 0)

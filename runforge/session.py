@@ -48,29 +48,33 @@ def get_session(master: str | None = None, app: str = "runforge",
     return spark
 
 
+def _scratch_for(master: str) -> str:
+    """A local folder, when driver and executors are one machine; else an error."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="runforge-ckpt-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) is a scratch folder created and registered. Sessions without
-    a SparkContext (Spark Connect) use the configured value only.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a local
+    master gets a scratch folder and any other one an error. Sessions without a
+    SparkContext (Spark Connect) use the configured value only.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
-            configured = tempfile.mkdtemp(prefix="runforge-ckpt-")
+            configured = _scratch_for(spark.conf.get("spark.master", ""))
             spark.conf.set("spark.checkpoint.dir", configured)
         return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="runforge-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or _scratch_for(sc.master))
+    return sc.getCheckpointDir()
 
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:

@@ -91,6 +91,17 @@ def steps_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
                            slice_width=ID_SLICE).drop("event_id")
 
 
+def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`steps` as a log with gaps, NaN losses, an infinite and a huge one, and a
+    session clock that restarts: what torn lines, skipped steps and resumes leave."""
+    s = steps(spark, sf_dir)
+    loss = (F.when(F.col("step") == 300, F.lit(float("inf"))).when(F.col("step") % 41 == 5, F.lit(float("nan")))
+            .when(F.col("step") == 1500, F.lit(1e9)).otherwise(F.col("loss")))
+    return (s.where((F.col("step") % 3 != 2) & ~(F.col("step") % 256).isin(0, 255) & (F.col("step") % 700 != 699))
+            .select("run_id", "step", "num_tokens", loss.alias("loss"),
+                    ((F.pmod(F.col("step"), F.lit(700)) + 1) * F.lit(0.25)).alias("total_time")))
+
+
 def eval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-sample eval losses: (run_id, step, sample_loss)."""
     s = steps(spark, sf_dir).where(F.col("task") == "purchase")

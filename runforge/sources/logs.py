@@ -112,7 +112,8 @@ def bad_line_counts(spark: SparkSession, paths, schema: T.StructType = STEP_SCHE
 def read_eval_log(spark: SparkSession, paths, schema: T.StructType = EVAL_SCHEMA) -> DataFrame:
     """IO2: eval log rows with ``line_key`` = (file_path, file_block_start, row id),
     which orders rows in file line order (a restart writes a step-0 eval after
-    later ones, so step order is not line order)."""
+    later ones, so step order is not line order). Compare the whole key: row ids
+    follow Spark's packing of files into tasks, not the order of the files."""
     raw = _read_json(spark, paths, schema)
     return (_good_lines(raw, schema)
             .withColumn("line_key", F.struct(F.col("_metadata.file_path").alias("file"),
@@ -120,6 +121,20 @@ def read_eval_log(spark: SparkSession, paths, schema: T.StructType = EVAL_SCHEMA
                                              F.monotonically_increasing_id().alias("row"))))
 
 
+def read_run_evals(spark: SparkSession, paths, schema: T.StructType = EVAL_SCHEMA,
+                   pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """IO2 with ``run_id`` taken from each file's path, like :func:`read_run_logs`."""
+    ev = read_eval_log(spark, paths, schema)
+    return ev.withColumn("run_id", F.regexp_extract("line_key.file", pattern, 1))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def split_objects(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """IO3: move the per-step ``objects`` list to a sidecar (step, objects);
     empty lists are not written."""

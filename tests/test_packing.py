@@ -8,25 +8,33 @@ from runforge.functions.text import CLS_ID, EOS_ID, SEP_ID
 from runforge.operators import packing as P
 
 
-def model_pack(docs, record_size, cls=CLS_ID, sep=SEP_ID, eos=EOS_ID):
-    """Step-by-step statement of the packing rule (one batch)."""
-    out, pending = [], [cls]
-    for toks in docs:
-        if not toks:
-            continue
-        for t in toks:
-            if len(pending) < record_size - 1:
-                pending.append(t)
-            else:
-                pending.append(sep)
-                out.append(pending)
-                pending = [cls, t]
-        if len(pending) < record_size - 1:
-            pending.append(eos)
+def model_pack(docs, record_size):
+    """Records of one batch from where ids are placed.
+
+    Documents lie one after the other on a line of record bodies. One id of space
+    after each holds the end mark, unless the document stops where a body does. A body
+    is a record when a document stops exactly at its end, or when an id of a document
+    lies beyond it (it is then closed with a separator).
+    """
+    body = record_size - 2
+    line, exact, at, reach = {}, set(), 0, -1
+    for doc in filter(None, docs):
+        line.update(zip(range(at, at + len(doc)), doc))
+        at += len(doc)
+        reach = at - 1
+        if at % body == 0:
+            exact.add(at // body - 1)
         else:
-            out.append(pending)
-            pending = [cls]
-    return out
+            line[at] = EOS_ID
+            at += 1
+    records = []
+    for k in range(at // body + 1):
+        ids = [line[p] for p in range(k * body, (k + 1) * body) if p in line]
+        if k in exact:
+            records.append([CLS_ID, *ids])
+        elif reach >= (k + 1) * body:
+            records.append([CLS_ID, *ids, SEP_ID])
+    return records
 
 
 def run_pack(spark, docs, record_size, batch_rows=1000):

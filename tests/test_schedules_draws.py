@@ -22,7 +22,22 @@ def test_linear_logged_lr_hand_case(spark):
     assert abs(got - 9.075e-05) < 1e-15
 
 
-def test_exponential_closed_form_matches_fold(spark):
+def change_points(K, M, C, Kc, last):
+    """The steps at which the exponential schedule doubles, and those at which it halves.
+
+    The first K*M + 1 calls (one before any step) count periods of K + 1 calls, each
+    ending in a doubling. What is left of the last period is carried through C calls
+    of constant rate, where a period is C + 1 calls, or nothing if more than C was
+    left; and what is left then shortens the first cooling period of Kc + 1 calls.
+    """
+    doublings = [j * (K + 1) - 1 for j in range(1, last) if j * (K + 1) <= K * M + 1]
+    left = (K * M + 1) % (K + 1)
+    left = (C - 1) % (C + 1) if left > C else (left + C) % (C + 1)
+    first = K * M + C + (1 if left > Kc else Kc + 1 - left)
+    return doublings, list(range(first, last, Kc + 1))
+
+
+def test_exponential_closed_form_matches_change_points(spark):
     rng = random.Random(5)
     steps = spark.range(0, 160).withColumnRenamed("id", "n")
     for _ in range(12):
@@ -31,18 +46,17 @@ def test_exponential_closed_form_matches_fold(spark):
                       constant_steps=C, cooldown_factor=2.0, cooldown_steps_per_period=Kc)
         got = {r.n: r.lr for r in steps.select("n", S.exponential_warmup_cooldown(F.col("n"), **params)
                                                .alias("lr")).collect()}
+        up, down = change_points(K, M, C, Kc, 160)
         for n in range(160):
-            want = S.exponential_fold(n, 1.0, 0.1, 2.0, K, M, C, 2.0, Kc)
+            want = 2.0 ** sum(x <= n for x in up)
+            if halved := sum(x <= n for x in down):
+                want = max(want / 2.0 ** halved, 0.1)
             assert abs(got[n] - want) < 1e-12, (K, M, C, Kc, n)
 
 
 def test_exponential_hand_case():
-    # start 1, factor 2, K=4, M=3, constant 6, Kc=4, end 0.1: x2 at calls 4 and 9 ...
-    # lr after call c (0-based, no constructor call) = fold over calls 0..c
-    lr = [S.exponential_fold(c + 1, 1.0, 0.1, 2.0, 4, 3, 6, 2.0, 4, constructor_call=False) for c in range(60)]
-    assert lr[3] == 1.0 and lr[4] == 2.0 and lr[8] == 2.0 and lr[9] == 4.0
-    assert [lr[c] for c in (20, 21, 26, 31, 36, 41)] == [4.0, 2.0, 1.0, 0.5, 0.25, 0.125]
-    assert lr[45] == 0.125 and lr[46] == 0.1 and lr[59] == 0.1
+    # K=4, M=3, constant 6, Kc=4: doubles at steps 4 and 9, halves at 21, 26, ...
+    assert change_points(4, 3, 6, 4, 50) == ([4, 9], [21, 26, 31, 36, 41, 46])
 
 
 def test_md5_draw_matches_duckdb(spark):
