@@ -27,33 +27,44 @@ def _cols(x) -> list:
 def matrix_stats(df: DataFrame, by="matrix_id", vec: str = "vec") -> DataFrame:
     """K1: element count, Frobenius norm, mean, min and max per matrix."""
     by = _cols(by)
-    ex = df.select(*by, F.explode(vec).alias("_rf_x")).withColumn("_rf_x", F.col("_rf_x").cast("double"))
-    return ex.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("parameters"),
-        F.sqrt(F.sum(F.col("_rf_x") * F.col("_rf_x"))).alias("norm"),
-        F.avg("_rf_x").alias("mean"), F.min("_rf_x").alias("min"), F.max("_rf_x").alias("max"))
+    x = F.transform(vec, lambda e: e.cast("double"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, e: a + e)
+    rows = df.select(*by, F.size(vec).cast("bigint").alias("_rf_n"), total(x).alias("_rf_s"),
+                     total(F.transform(x, lambda e: e * e)).alias("_rf_q"), F.array_min(x).alias("_rf_lo"), F.array_max(x).alias("_rf_hi"))
+    return rows.groupBy(*by).agg(
+        F.sum("_rf_n").alias("parameters"), F.sqrt(F.sum("_rf_q")).alias("norm"),
+        (F.sum("_rf_s") / F.sum("_rf_n")).alias("mean"), F.min("_rf_lo").alias("min"), F.max("_rf_hi").alias("max"))
 
 
 # ---------------------------------------------------------------- K2
+#: Values of Gram partials that a task holds before it emits them.
+GRAM_HELD = 1 << 23
+
+
 def _gram_partials(by: list[str], vec: str):
+    def rows(acc: dict) -> pd.DataFrame:
+        out = []
+        for key, (gram, n) in acc.items():
+            part = pd.DataFrame({"_rf_i": np.arange(gram.size + 1, dtype=np.int64) - 1,
+                                 "_rf_v": np.concatenate([[float(n)], gram.ravel()])})
+            for c, v in zip(by, key):
+                part[c] = None if pd.isna(v) else v
+            out.append(part)
+        acc.clear()
+        return pd.concat(out, ignore_index=True)
+
     def fn(batches):
         acc: dict = {}
         for pdf in batches:
-            for key, g in pdf.groupby(by, sort=False):
-                key = key if isinstance(key, tuple) else (key,)
+            for key, g in pdf.groupby(by, sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                 m = np.stack([np.asarray(v, dtype=np.float64) for v in g[vec]])
                 gram, n = acc.get(key, (0.0, 0))
                 acc[key] = (gram + m.T @ m, n + m.shape[0])
-        rows = []
-        for key, (gram, n) in acc.items():
-            d = gram.shape[0]
-            out = pd.DataFrame({"_rf_i": np.arange(d * d + 1, dtype=np.int64) - 1,
-                                "_rf_v": np.concatenate([[float(n)], gram.ravel()])})
-            for c, v in zip(by, key):
-                out[c] = v
-            rows.append(out)
-        if rows:
-            yield pd.concat(rows, ignore_index=True)
+                if sum(x.size for x, _ in acc.values()) > GRAM_HELD:
+                    yield rows(acc)
+        if acc:
+            yield rows(acc)
     return fn
 
 
@@ -64,7 +75,8 @@ def spectral_stats(df: DataFrame, by="matrix_id", vec: str = "vec") -> DataFrame
     holds, plus its row count; ``groupBy`` adds the partials (d² values per
     matrix, independent of the row count); one small symmetric eigen solve per
     matrix gives σ = sqrt(max(λ, 0)), sorted descending, first min(n, d) kept.
-    Matrices with fewer than two singular values are left out. The Gram route
+    A task holds partials of ``GRAM_HELD`` values at most, then emits them. Matrices with
+    fewer than two singular values are left out; a null key is a matrix like any other. The Gram route
     squares the condition number: fine for well-conditioned weights, compare
     tiny σ with an absolute tolerance.
     """
@@ -152,8 +164,9 @@ def select_matrices(manifest: DataFrame, suffix: str = "intermediate.dense.weigh
 
 
 def manifest_listing(manifest: DataFrame) -> DataFrame:
-    """K6: ordinal, name, shape and dtype per model (ordinal by name)."""
-    w = Window.partitionBy("model").orderBy("name")
+    """K6: ordinal, name, shape and dtype per model, in the model's own order when
+    the manifest has it (``position``), else by name."""
+    w = Window.partitionBy("model").orderBy("position" if "position" in manifest.columns else "name")
     return manifest.select("model", (F.row_number().over(w) - 1).alias("ordinal"), "name", "shape", "dtype")
 
 

@@ -55,18 +55,26 @@ PAIRS = {"sim_same": ("i1a", "i1b"), "sim_similar_a": ("i1a", "i2"), "sim_simila
          "sim_diff_a": ("i1a", "j"), "sim_diff_b": ("i1b", "j"), "sim_diff_c": ("i2", "j")}
 
 
-def cosine_pairs(quads: DataFrame, vectors: DataFrame, slot_keys: dict[str, str], vec_key: str = "vec_id",
-                 vec: str = "vec") -> DataFrame:
+def _with_slots(quads: DataFrame, vectors: DataFrame, slot_keys: dict, vec_key, vec: str, more=()) -> DataFrame:
+    """The quads with each slot's vector as ``_rf_v_<slot>``: one equi-join a slot on its key columns."""
+    q = quads
+    for slot in QUAD_SLOTS:
+        names = [f"_rf_k{i}" for i in range(len(_cols(vec_key)))]
+        v = vectors.select(*[F.col(c).alias(n) for c, n in zip(_cols(vec_key), names)],
+                           *[F.col(c).alias(f"_rf_m_{c}") for c in more], F.col(vec).alias(f"_rf_v_{slot}"))
+        on = [q[c] == v[n] for c, n in zip(_cols(slot_keys[slot]), names)] + [q[c] == v[f"_rf_m_{c}"] for c in more]
+        q = q.join(v, on, "inner").drop(*names, *[f"_rf_m_{c}" for c in more])
+    return q
+
+
+def cosine_pairs(quads: DataFrame, vectors: DataFrame, slot_keys: dict, vec_key="vec_id", vec: str = "vec") -> DataFrame:
     """The six cosine similarities of each quad.
 
-    ``slot_keys`` maps each quad slot (i1a, i1b, i2, j) to the quad column
-    holding that slot's vector key; each slot is an equi-join on the vector
-    table.
+    ``slot_keys`` maps each quad slot (i1a, i1b, i2, j) to the quad columns that hold
+    its vector's key, in the order of ``vec_key`` (a column or several, such as
+    document and chunk); each slot is an equi-join on the vector table.
     """
-    q = quads
-    for slot in QUAD_SLOTS:
-        v = vectors.select(F.col(vec_key).alias(slot_keys[slot]), F.col(vec).alias(f"_rf_v_{slot}"))
-        q = q.join(v, slot_keys[slot], "inner")
+    q = _with_slots(quads, vectors, slot_keys, vec_key, vec)
     sims = [cosine(F.col(f"_rf_v_{a}"), F.col(f"_rf_v_{b}")).alias(n) for n, (a, b) in PAIRS.items()]
     return q.select(*[c for c in quads.columns], *sims)
 
@@ -114,19 +122,17 @@ def truncate_dims(df: DataFrame, k, vec: str = "vec", binarize: bool = False, hi
     return df.withColumn(out or vec, t)
 
 
-def separation_by_dim(vectors: DataFrame, quads: DataFrame, slot_keys: dict[str, str], ks,
-                      vec_key: str = "vec_id", vec: str = "vec", binarize: bool = False) -> DataFrame:
+def separation_by_dim(vectors: DataFrame, quads: DataFrame, slot_keys: dict, ks,
+                      vec_key="vec_id", vec: str = "vec", binarize: bool = False) -> DataFrame:
     """Contrastive separation at each prefix size k (E5 -> E2 -> E3 -> E4).
 
     The k list is a small constant array exploded onto the vectors (each
     vector replicated len(ks) times), and quads join vectors on (key, k).
     """
-    vk = vectors.select(vec_key, vec, F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
+    vk = vectors.select(*_cols(vec_key), vec, F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
     vk = truncate_dims(vk, "k", vec, binarize=binarize)
     q = quads.select("*", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
-    for slot in QUAD_SLOTS:
-        v = vk.select(F.col(vec_key).alias(slot_keys[slot]), "k", F.col(vec).alias(f"_rf_v_{slot}"))
-        q = q.join(v, [slot_keys[slot], "k"], "inner")
+    q = _with_slots(q, vk, slot_keys, vec_key, vec, more=("k",))
     sims = [cosine(F.col(f"_rf_v_{a}"), F.col(f"_rf_v_{b}")).alias(n) for n, (a, b) in PAIRS.items()]
     scored = contrastive_loss(q.select("k", *sims))
     return contrastive_report(scored, "k")

@@ -24,7 +24,8 @@ SELECT user_id % 4 AS run_id,
        value AS loss, value / 100 AS grad_norm,
        CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS num_tokens,
        value / 1000 AS sample_time, value / 500 AS forward_time, value / 250 AS backward_time,
-       CASE WHEN event_id % 4 = 3 THEN value / 2000 END AS optimizer_time, ts AS time
+       CASE WHEN event_id % 4 = 3 THEN value / 2000 END AS optimizer_time, value / 100 AS step_time,
+       CAST(user_id % 9 + 1 AS DOUBLE) AS lr, ts AS time
 FROM events"""),
     "gapped": (("steps",), """
 SELECT run_id, step, num_tokens, CASE WHEN step = 300 THEN CAST('inf' AS DOUBLE) WHEN step % 41 = 5 THEN CAST('nan' AS DOUBLE)
@@ -33,7 +34,7 @@ SELECT run_id, step, num_tokens, CASE WHEN step = 300 THEN CAST('inf' AS DOUBLE)
 FROM steps WHERE step % 3 <> 2 AND step % 256 NOT IN (0, 255) AND step % 700 <> 699"""),
     "eval_losses": (("steps",), """
 SELECT run_id, CAST(floor(step / 100) AS BIGINT) * 100 AS step, loss AS sample_loss
-FROM steps WHERE task = 'purchase'"""),
+FROM steps"""),
     "eval_sorted": (("eval_losses",), """
 SELECT run_id, step, avg(sample_loss) AS mean, median(sample_loss) AS median,
        coalesce(stddev_samp(sample_loss), 0.0) AS std, min(sample_loss) AS min,

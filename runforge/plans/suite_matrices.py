@@ -45,6 +45,59 @@ def k4(spark, sf):
     return rounded(K.spectral_wide(K.spectral_stats(X.matrices(spark, sf))))
 
 
+# Two columns a row (every value kept) have singular values in closed form.
+_TWO = """, two AS (SELECT matrix_id, CAST(vec[2 * i + 1] AS DOUBLE) AS x, CAST(vec[2 * i + 2] AS DOUBLE) AS y
+FROM (SELECT matrix_id, vec, unnest(range(len(vec) // 2)) AS i FROM matrices)),
+g AS (SELECT matrix_id, sum(x * x) AS a, sum(y * y) AS c, sum(x * y) AS b, count(*) AS n FROM two GROUP BY matrix_id),
+sv AS (SELECT matrix_id, n, sqrt((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2) AS s1,
+              sqrt((a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2) AS s2 FROM g)
+"""
+
+
+def _two_columns(spark, sf):
+    m = X.matrices(spark, sf)
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("vec") / 2).cast("int") - 1), lambda i: F.slice("vec", i * 2 + 1, 2))
+    return m.select("matrix_id", F.explode(pairs).alias("vec"))
+
+
+@register("K2b_spectral_stats_two_columns", with_views("matrices") + _TWO + rsel("""
+SELECT matrix_id, s1, s2, s1 / (s1 + s2) AS scree_1, 1.0 AS scree_2, s1 / ((s1 + s2) / 2) AS mean_ratio_1,
+       s1 / ((s1 + s2) / 2) AS median_ratio_1 FROM sv""", "s1", "s2", "scree_1", "scree_2", "mean_ratio_1", "median_ratio_1"))
+def k2b(spark, sf):
+    s = K.spectral_stats(_two_columns(spark, sf))
+    return rounded(s.select("matrix_id", F.col("svd_values")[0].alias("s1"), F.col("svd_values")[1].alias("s2"), "scree_1",
+                            "scree_2", "mean_ratio_1", "median_ratio_1"))
+
+
+@register("K2c_singular_values_norm", with_views("matrices") + rsel("""
+SELECT matrix_id, sum(x * x) AS squares FROM (SELECT matrix_id, CAST(unnest(vec) AS DOUBLE) AS x FROM matrices)
+GROUP BY matrix_id""", "squares"))
+def k2c(spark, sf):
+    """The squared singular values of the full matrices add up to the squared norm."""
+    s = K.spectral_stats(X.matrices(spark, sf))
+    return rounded(s.select("matrix_id", F.aggregate("svd_values", F.lit(0.0), lambda a, x: a + x * x).alias("squares")))
+
+
+_K3 = ["scree_1", "scree_2", "mean_ratio_1", "median_ratio_1"]
+_K3_OUT = _K3 + [f"{r}_weighted" for r in _K3] + [f"{r}_param_mean" for r in _K3]
+
+
+@register("K3b_aggregate_spectral_two_columns", with_views("matrices") + _TWO + """, r AS (
+SELECT 2 * n AS p, s1 / (s1 + s2) AS scree_1, 1.0 AS scree_2, s1 / ((s1 + s2) / 2) AS mean_ratio_1,
+       s1 / ((s1 + s2) / 2) AS median_ratio_1 FROM sv)
+""" + rsel("SELECT CAST(sum(p) AS BIGINT) AS total_params, " + ", ".join(
+    [f"avg({r}) AS {r}" for r in _K3] + [f"avg({r} * p) / sum(p) AS {r}_weighted" for r in _K3]
+    + [f"sum({r} * p) / sum(p) AS {r}_param_mean" for r in _K3]) + " FROM r", *_K3_OUT))
+def k3b(spark, sf):
+    return rounded(K.aggregate_spectral(K.layer_stats(_two_columns(spark, sf))))
+
+
+@register("K4b_spectral_wide_two_columns", with_views("matrices") + _TWO + rsel("""
+SELECT matrix_id, s1 / ((s1 + s2) / 2) AS mean_ratio_1 FROM sv""", "mean_ratio_1"))
+def k4b(spark, sf):
+    return rounded(K.spectral_wide(K.spectral_stats(_two_columns(spark, sf))))
+
+
 @register("K5_select_matrices", with_views("manifests") + rsel("""
 SELECT model, name FROM manifests WHERE ends_with(name, 'intermediate.dense.weight') AND len(shape) = 2"""))
 def k5(spark, sf):

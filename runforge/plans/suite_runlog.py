@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runforge.functions.indexing import sorted_positions
 from runforge.operators import runlog as R
 from runforge.plans.oracle_views import with_views
 from runforge.plans.registry import register, rounded
@@ -35,14 +36,14 @@ def a2(spark, sf):
 
 
 _A3_COLS = ("final_loss mean_loss std_loss min_loss max_loss mean_sample_time mean_forward_time "
-            "mean_backward_time mean_optimizer_time total_tokens_b last_100_loss_mean").split()
+            "mean_backward_time mean_optimizer_time mean_step_time total_tokens_b last_100_loss_mean").split()
 
 
 @register("A3_log_statistics", with_views("steps") + rsel("""
 SELECT run_id, max(step) AS total_steps, arg_max(loss, step) AS final_loss, avg(loss) AS mean_loss,
        stddev_samp(loss) AS std_loss, min(loss) AS min_loss, max(loss) AS max_loss,
        avg(sample_time) AS mean_sample_time, avg(forward_time) AS mean_forward_time,
-       avg(backward_time) AS mean_backward_time, avg(optimizer_time) AS mean_optimizer_time,
+       avg(backward_time) AS mean_backward_time, avg(optimizer_time) AS mean_optimizer_time, avg(step_time) AS mean_step_time,
        sum(num_tokens) / 1e9 AS total_tokens_b,
        avg(loss) FILTER (WHERE rn <= 100) AS last_100_loss_mean
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rn FROM steps)
@@ -55,7 +56,7 @@ def a3(spark, sf):
 SELECT run_id, max(step) AS total_steps, arg_max(loss, step) AS final_loss, avg(loss) AS mean_loss,
        stddev_samp(loss) AS std_loss, min(loss) AS min_loss, max(loss) AS max_loss,
        avg(sample_time) AS mean_sample_time, avg(forward_time) AS mean_forward_time,
-       avg(backward_time) AS mean_backward_time, avg(optimizer_time) AS mean_optimizer_time,
+       avg(backward_time) AS mean_backward_time, avg(optimizer_time) AS mean_optimizer_time, avg(step_time) AS mean_step_time,
        sum(num_tokens) / 1e9 AS total_tokens_b,
        avg(loss) FILTER (WHERE rn <= 100) AS last_100_loss_mean
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rn FROM steps)
@@ -164,18 +165,20 @@ def a12(spark, sf):
 
 
 @register("A14_leaderboard", with_views("results") + rsel("""
-SELECT model_name, task_name, score FROM results""", "score"))
+SELECT model_name, task_name, score, row_number() OVER (ORDER BY task_name, score, model_name) - 1 AS pos
+FROM results""", "score"))
 def a14(spark, sf):
-    return rounded(R.leaderboard(X.results(spark, sf)))
+    """The board with each row's place in it."""
+    return rounded(sorted_positions(R.leaderboard(X.results(spark, sf)), [], ["task_name", "score", "model_name"], out="pos"))
 
 
 @register("A15_chart_series", with_views("steps", "evals") + rsel("""
-SELECT coalesce(s.run_id, e.run_id) AS run_id, coalesce(s.step, e.step) AS step, s.loss,
+SELECT coalesce(s.run_id, e.run_id) AS run_id, coalesce(s.step, e.step) AS step, s.lr, s.loss,
        e.svd_mean_ratio_1, e.svd_median_ratio_1
 FROM steps AS s FULL OUTER JOIN
      (SELECT run_id, step, avg(svd_mean_ratio_1) AS svd_mean_ratio_1, avg(svd_median_ratio_1) AS svd_median_ratio_1
       FROM evals GROUP BY run_id, step) AS e
-ON s.run_id = e.run_id AND s.step = e.step""", "loss", "svd_mean_ratio_1", "svd_median_ratio_1"))
+ON s.run_id = e.run_id AND s.step = e.step""", "lr", "loss", "svd_mean_ratio_1", "svd_median_ratio_1"))
 def a15(spark, sf):
     return rounded(R.chart_series(X.steps(spark, sf), X.evals(spark, sf)))
 
@@ -213,7 +216,7 @@ def a17(spark, sf):
 SELECT run_id, max(step) AS total_steps, arg_max(loss, step) AS final_loss, avg(loss) AS mean_loss,
        stddev_samp(loss) AS std_loss, min(loss) AS min_loss, max(loss) AS max_loss,
        avg(sample_time) AS mean_sample_time, avg(forward_time) AS mean_forward_time,
-       avg(backward_time) AS mean_backward_time, avg(optimizer_time) AS mean_optimizer_time,
+       avg(backward_time) AS mean_backward_time, avg(optimizer_time) AS mean_optimizer_time, avg(step_time) AS mean_step_time,
        sum(num_tokens) / 1e9 AS total_tokens_b,
        avg(loss) FILTER (WHERE rn <= 100) AS last_100_loss_mean
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rn

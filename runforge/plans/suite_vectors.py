@@ -1,7 +1,7 @@
 """Checked queries for embedding measurements (E1-E6) on the ``embeddings`` table.
 
-Quads come from S5 over the vectors: label = dataset, vec_id = document, one
-chunk per document.
+Quads come from S5 over the vectors: three consecutive vectors are the chunks of one
+document, and documents form ten datasets.
 """
 
 from __future__ import annotations
@@ -15,18 +15,25 @@ from runforge.plans.suite_runlog import rsel
 from runforge.plans.suite_sampling import quads_sql
 from runforge.sources import fixtures as X
 
-SLOTS = {"i1a": "doc_i1", "i1b": "doc_i1", "i2": "doc_i2", "j": "doc_j"}
+SLOTS = {"i1a": ("doc_i1", "chunk_i1a"), "i1b": ("doc_i1", "chunk_i1b"), "i2": ("doc_i2", "chunk_i2"),
+         "j": ("doc_j", "chunk_j")}
+KEY = ("doc_id", "chunk_idx")
 
 
 def vectors(spark, sf):
     return X.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
 
 
+def chunk_vectors(spark, sf):
+    """Three consecutive vectors are the chunks of one document; ten datasets of documents."""
+    doc = F.floor(F.col("vec_id") / 3).cast("bigint")
+    return vectors(spark, sf).select((doc % 10).alias("dataset"), doc.alias("doc_id"), (F.col("vec_id") % 3).alias("chunk_idx"), "vec")
+
+
 def vector_quads(spark, sf):
-    v = vectors(spark, sf)
-    docs = v.select(F.col("label").alias("dataset"), F.col("vec_id").alias("doc_id"))
-    chunks = v.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_idx"))
-    return S.contrastive_quads(docs, chunks, "dataset", "doc_id", 3, seed=13)
+    v = chunk_vectors(spark, sf)
+    return S.contrastive_quads(v.select("dataset", "doc_id").distinct(), v.select("doc_id", "chunk_idx"), "dataset", "doc_id", 3,
+                               seed=13)
 
 
 def _cos_sql(a: str, b: str) -> str:
@@ -35,15 +42,19 @@ def _cos_sql(a: str, b: str) -> str:
             f"greatest(sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))), 1e-8))")
 
 
-_QUADS = ("WITH vpool AS (SELECT label, vec_id AS doc_id, CAST(1 AS BIGINT) AS nch FROM embeddings)\n"
-          + quads_sql("vpool", "label", "'13'"))
+_QUADS = ("""WITH ch AS (SELECT vec_id // 3 AS doc_id, vec_id % 3 AS chunk_idx, embedding FROM embeddings),
+vpool AS (SELECT doc_id % 10 AS dataset, doc_id, count(*) AS nch FROM ch GROUP BY doc_id)
+""" + quads_sql("vpool", "dataset", "'13'"))
+_JOINED = """quads JOIN ch AS a ON a.doc_id = quads.doc_i1 AND a.chunk_idx = quads.chunk_i1a
+           JOIN ch AS z ON z.doc_id = quads.doc_i1 AND z.chunk_idx = quads.chunk_i1b
+           JOIN ch AS b ON b.doc_id = quads.doc_i2 AND b.chunk_idx = quads.chunk_i2
+           JOIN ch AS c ON c.doc_id = quads.doc_j AND c.chunk_idx = quads.chunk_j"""
 _SIMS = f""", sims AS (
-SELECT quads.*, {_cos_sql('a.embedding', 'a.embedding')} AS sim_same,
-       {_cos_sql('a.embedding', 'b.embedding')} AS sim_similar_a, {_cos_sql('a.embedding', 'b.embedding')} AS sim_similar_b,
-       {_cos_sql('a.embedding', 'c.embedding')} AS sim_diff_a, {_cos_sql('a.embedding', 'c.embedding')} AS sim_diff_b,
+SELECT quads.*, {_cos_sql('a.embedding', 'z.embedding')} AS sim_same,
+       {_cos_sql('a.embedding', 'b.embedding')} AS sim_similar_a, {_cos_sql('z.embedding', 'b.embedding')} AS sim_similar_b,
+       {_cos_sql('a.embedding', 'c.embedding')} AS sim_diff_a, {_cos_sql('z.embedding', 'c.embedding')} AS sim_diff_b,
        {_cos_sql('b.embedding', 'c.embedding')} AS sim_diff_c
-FROM quads JOIN embeddings AS a ON a.vec_id = quads.doc_i1 JOIN embeddings AS b ON b.vec_id = quads.doc_i2
-           JOIN embeddings AS c ON c.vec_id = quads.doc_j),
+FROM {_JOINED}),
 terms AS (SELECT *, 1.0 * (1.0 - sim_same) AS t1, 0.5 * (0.0 - sim_similar_a) AS t2, 0.5 * (0.0 - sim_similar_b) AS t3,
                  0.33 * (sim_diff_a + 1.0) AS t4, 0.33 * (sim_diff_b + 1.0) AS t5, 0.33 * (sim_diff_c + 1.0) AS t6
           FROM sims),
@@ -68,14 +79,14 @@ def e1(spark, sf):
 @register("E2_cosine_pairs", _QUADS + _SIMS + rsel(
     "SELECT dataset_i, dataset_j, q, doc_i1, doc_i2, doc_j, " + ", ".join(_SIM_COLS) + " FROM scored", *_SIM_COLS))
 def e2(spark, sf):
-    q = V.cosine_pairs(vector_quads(spark, sf), vectors(spark, sf), SLOTS)
+    q = V.cosine_pairs(vector_quads(spark, sf), chunk_vectors(spark, sf), SLOTS, KEY)
     return rounded(q.select("dataset_i", "dataset_j", "q", "doc_i1", "doc_i2", "doc_j", *_SIM_COLS))
 
 
 @register("E3_contrastive_loss", _QUADS + _SIMS + rsel(
     "SELECT dataset_i, dataset_j, q, loss FROM scored", "loss"))
 def e3(spark, sf):
-    q = V.contrastive_loss(V.cosine_pairs(vector_quads(spark, sf), vectors(spark, sf), SLOTS))
+    q = V.contrastive_loss(V.cosine_pairs(vector_quads(spark, sf), chunk_vectors(spark, sf), SLOTS, KEY))
     return rounded(q.select("dataset_i", "dataset_j", "q", "loss"))
 
 
@@ -86,7 +97,7 @@ SELECT dataset_i, avg(loss) AS mean_loss, avg(sim_same) AS mean_sim_same,
        count(*) AS num_quads
 FROM scored GROUP BY dataset_i""", "mean_loss", "mean_sim_same", "mean_sim_similar", "mean_sim_diff"))
 def e4(spark, sf):
-    q = V.contrastive_loss(V.cosine_pairs(vector_quads(spark, sf), vectors(spark, sf), SLOTS))
+    q = V.contrastive_loss(V.cosine_pairs(vector_quads(spark, sf), chunk_vectors(spark, sf), SLOTS, KEY))
     return rounded(V.contrastive_report(q, "dataset_i"))
 
 
@@ -111,13 +122,12 @@ def _trunc_sql(col: str, k: str) -> str:
 
 
 @register("E6_separation_by_dim", _QUADS + f""", kq AS (SELECT quads.*, k FROM quads, (VALUES (8), (16), (32)) AS t(k)),
-tv AS (SELECT kq.*, {_trunc_sql('a.embedding', 'k')} AS va, {_trunc_sql('b.embedding', 'k')} AS vb,
-              {_trunc_sql('c.embedding', 'k')} AS vc
-       FROM kq JOIN embeddings AS a ON a.vec_id = kq.doc_i1 JOIN embeddings AS b ON b.vec_id = kq.doc_i2
-               JOIN embeddings AS c ON c.vec_id = kq.doc_j),
-sims AS (SELECT k, {_cos_sql('va', 'va')} AS sim_same, {_cos_sql('va', 'vb')} AS sim_similar_a,
-                {_cos_sql('va', 'vb')} AS sim_similar_b, {_cos_sql('va', 'vc')} AS sim_diff_a,
-                {_cos_sql('va', 'vc')} AS sim_diff_b, {_cos_sql('vb', 'vc')} AS sim_diff_c FROM tv),
+tv AS (SELECT k, {_trunc_sql('a.embedding', 'k')} AS va, {_trunc_sql('z.embedding', 'k')} AS vz,
+              {_trunc_sql('b.embedding', 'k')} AS vb, {_trunc_sql('c.embedding', 'k')} AS vc
+       FROM {_JOINED.replace("quads", "kq")}),
+sims AS (SELECT k, {_cos_sql('va', 'vz')} AS sim_same, {_cos_sql('va', 'vb')} AS sim_similar_a,
+                {_cos_sql('vz', 'vb')} AS sim_similar_b, {_cos_sql('va', 'vc')} AS sim_diff_a,
+                {_cos_sql('vz', 'vc')} AS sim_diff_b, {_cos_sql('vb', 'vc')} AS sim_diff_c FROM tv),
 terms AS (SELECT *, 1.0 * (1.0 - sim_same) AS t1, 0.5 * (0.0 - sim_similar_a) AS t2, 0.5 * (0.0 - sim_similar_b) AS t3,
                  0.33 * (sim_diff_a + 1.0) AS t4, 0.33 * (sim_diff_b + 1.0) AS t5, 0.33 * (sim_diff_c + 1.0) AS t6
           FROM sims),
@@ -130,4 +140,4 @@ SELECT CAST(k AS INTEGER) AS k, avg(loss) AS mean_loss, avg(sim_same) AS mean_si
        count(*) AS num_quads
 FROM scored GROUP BY k""", "mean_loss", "mean_sim_same", "mean_sim_similar", "mean_sim_diff"))
 def e6(spark, sf):
-    return rounded(V.separation_by_dim(vectors(spark, sf), vector_quads(spark, sf), SLOTS, (8, 16, 32)))
+    return rounded(V.separation_by_dim(chunk_vectors(spark, sf), vector_quads(spark, sf), SLOTS, (8, 16, 32), KEY))

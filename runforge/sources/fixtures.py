@@ -85,6 +85,8 @@ def steps_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") / 500).alias("forward_time"),
         (F.col("value") / 250).alias("backward_time"),
         F.when(F.col("event_id") % 4 == 3, F.col("value") / 2000).alias("optimizer_time"),
+        (F.col("value") / 100).alias("step_time"),
+        (F.col("user_id") % 9 + 1).cast("double").alias("lr"),
         F.col("ts").alias("time"),
     )
     return position_within(base, ["run_id"], ["event_id"], out="step",
@@ -104,7 +106,7 @@ def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-sample eval losses: (run_id, step, sample_loss)."""
-    s = steps(spark, sf_dir).where(F.col("task") == "purchase")
+    s = steps(spark, sf_dir)
     return s.select("run_id", (F.floor(F.col("step") / 100).cast("bigint") * 100).alias("step"),
                     F.col("loss").alias("sample_loss"))
 
