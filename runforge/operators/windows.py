@@ -223,11 +223,16 @@ class _Fenwick:
 
 def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id: str = "run_id",
                    pos: str = "step", norm: str = "grad_norm", min_history: int = 100,
-                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int = CHUNK_ROWS, every: int = 1, session: str | None = None,
+                   each_step: bool = False) -> DataFrame:
     """Expanding-percentile clip threshold per logged step.
 
     Norms are recorded from step 1 on (step 0 records none and logs no
-    threshold). At step s the history holds the norms of steps 1..s, current
+    threshold), with gradient accumulation at the last step of ``every`` only;
+    other steps record and clip nothing. ``session`` names a column that numbers
+    a run's sessions: a resumed run starts with an empty history. ``each_step`` is
+    the other trainer's rule: steps that are multiples of ``every`` record, and all
+    steps clip by the history so far. Writes stages when called. At step s the history holds the norms of steps 1..s, current
     one included; with fewer than ``min_history`` the threshold is
     ``max_norm``, else exclusive cut point ``pct`` of the history. Falsy
     ``max_norm``: no clipping (null); falsy ``pct``: constant ``max_norm``.
@@ -242,6 +247,8 @@ def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id:
     blocks. Each chunk is finished in one pandas group holding its window and
     its own rows (a Fenwick tree over their sorted values).
     """
+    if session or every > 1 or each_step:
+        return _clip_gated(log, max_norm, pct, run_id, pos, norm, min_history, chunk_rows, every, session, each_step)
     C = max(int(chunk_rows), 2)
     base = log.select(run_id, pos, F.col(norm).cast("double").alias(norm))
     out_schema = f"{run_id} {dict(log.dtypes)[run_id]}, {pos} {dict(log.dtypes)[pos]}, " \
@@ -332,6 +339,26 @@ def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id:
     return done.unionByName(first)
 
 
+def _clip_gated(log: DataFrame, max_norm: float, pct: int, run_id: str, pos: str, norm: str, min_history: int,
+                chunk_rows: int, every: int, session: str | None, each_step: bool) -> DataFrame:
+    """:func:`clip_threshold` of the recorded steps, each session a history of its own, given back to all steps."""
+    own = F.struct(F.col(run_id).alias("run"), (F.col(session) if session else F.lit(0)).alias("session"))
+    base = log.select(F.to_json(own).alias("_rf_h"), run_id, pos, F.col(norm).cast("double").alias(norm))
+    step = F.col(pos)
+    recorded = (step > 0) & (F.pmod(step if each_step else step + 1, F.lit(every)) == 0)
+    made = materialize(clip_threshold(base.where(recorded).select("_rf_h", pos, norm), max_norm, pct, "_rf_h", pos, norm,
+                                      min_history, chunk_rows).select("_rf_h", pos, "clip_threshold"), "thresholds")
+    if each_step:
+        lines = base.select("_rf_h", F.col(pos).alias("step"))
+        known = made.select("_rf_h", F.col(pos).alias("step"), F.col("clip_threshold").alias("mean"), F.col(pos).alias("line_no"))
+        held = last_eval_asof(lines, known, "_rf_h", chunk_rows=chunk_rows)
+        start = F.lit(float(max_norm)) if max_norm else F.lit(None).cast("double")
+        made = held.select("_rf_h", F.col("step").alias(pos), F.when(F.col("last_eval") > 0, F.col("last_eval")).otherwise(start)
+                           .alias("clip_threshold"))
+    out = base.join(made, ["_rf_h", pos], "left")
+    return out.select(run_id, pos, norm, "clip_threshold", (F.col(norm) > F.col("clip_threshold")).alias("clipped"))
+
+
 # ---------------------------------------------------------------- W8, W9
 def derive_epoch(log: DataFrame, steps_per_epoch: int) -> DataFrame:
     """Epoch 0 at step 0, +1 after every step with step % E == 0 (= ceil(step / E))."""
@@ -391,35 +418,72 @@ def last_eval_asof(log: DataFrame, ev: DataFrame, run_id: str = "run_id", value:
 
 
 # ---------------------------------------------------------------- W11
-def expected_lr(step: Column, kind: str, params: dict, lag: int = 1) -> Column:
-    """Expected logged lr at ``step``: the schedule at max(step - lag, 0).
+def expected_lr(step: Column, kind: str, params: dict, lag: int = 1, every=1, resumed=0) -> Column:
+    """Expected logged lr at ``step``.
 
-    The trainer reads lr at the top of step s and steps the scheduler at its
-    end, so the linear and exponential logs lag one step (``lag=1``).
+    The trainer reads the rate at the top of a step and moves the scheduler at the end
+    of every ``every``-th one (gradient accumulation), telling it the step's number. So
+    a linear log shows the schedule at the last step that moved it, and at 0 until one
+    has since the run started or was ``resumed``. ``lag=0``: read at the end of the step.
     """
-    s = F.greatest(step - F.lit(lag), F.lit(0))
+    done = step + F.lit(1 - lag)  # training steps done when the rate is read
+    if kind == "exponential":
+        return S.exponential_warmup_cooldown(done, **params, every=every, resumed=resumed)
+    every, resumed = S._c(every), S._c(resumed)
+    moved = (F.floor(done / every) * every).cast("bigint") - 1
+    s = F.when(moved >= F.greatest(resumed, F.lit(0)), moved).otherwise(F.lit(0))
     if kind == "linear":
         return S.linear_warmup_cooldown(s, **params)
-    if kind == "exponential":
-        return S.exponential_warmup_cooldown(s, **params)
     if kind == "sinusoid":
         return S.trapezoid_sinusoid(s, **params)
     raise ValueError(f"unknown schedule kind {kind!r}")
 
 
+def _with_drift(log: DataFrame, rel_tol: float) -> DataFrame:
+    return log.withColumn("drift", F.abs(F.col("lr") - F.col("expected_lr")) >
+                          F.lit(rel_tol) * F.greatest(F.abs(F.col("expected_lr")), F.lit(1e-30)))
+
+
 def lr_audit(log: DataFrame, kind: str, params: dict, lag: int = 1, rel_tol: float = 1e-6,
-             run_id: str = "run_id") -> DataFrame:
+             run_id: str = "run_id", every=1, resumed=0) -> DataFrame:
     """Expected vs logged lr per step; ``drift`` where they differ by more
     than ``rel_tol`` relative. Filter on ``drift`` for the drift rows."""
-    exp = expected_lr(F.col("step"), kind, params, lag)
-    return log.select(run_id, "step", "lr", exp.alias("expected_lr")).withColumn(
-        "drift", F.abs(F.col("lr") - F.col("expected_lr")) >
-        F.lit(rel_tol) * F.greatest(F.abs(F.col("expected_lr")), F.lit(1e-30)))
+    exp = expected_lr(F.col("step"), kind, params, lag, every, resumed)
+    return _with_drift(log.select(run_id, "step", "lr", exp.alias("expected_lr")), rel_tol)
 
 
 def lr_audit_config(log: DataFrame, config: dict, rel_tol: float = 1e-6, run_id: str = "run_id") -> DataFrame:
-    """W11 from a training configuration: the schedule the trainer would build
-    (see :func:`runforge.functions.schedules.schedule_from_config`), logged one
-    step late."""
+    """W11 from one training configuration (see :func:`runforge.functions.schedules.schedule_from_config`)."""
     kind, params = S.schedule_from_config(config)
-    return lr_audit(log, kind, params, lag=1, rel_tol=rel_tol, run_id=run_id)
+    every = config.get("gradient_accumulation_steps") or 1
+    return lr_audit(log, kind, params, lag=1, rel_tol=rel_tol, run_id=run_id, every=every)
+
+
+def lr_audit_runs(log: DataFrame, configs: DataFrame, rel_tol: float = 1e-6, run_id: str = "run_id",
+                  resumed: str | None = None) -> DataFrame:
+    """W11 for many runs, each with its own settings, in one job.
+
+    ``configs`` has a row a run: ``scheduler_type`` (null: linear), the settings of its
+    schedule and ``gradient_accumulation_steps``; absent columns and nulls take the
+    trainer's defaults. ``resumed`` names a log column with the step at which the row's
+    session started (see :func:`token_rate`). A run without a configuration has no
+    expected rate.
+    """
+    have = set(configs.columns)
+    joined = log.join(configs.select(run_id, F.struct(*[c for c in configs.columns if c != run_id]).alias("_rf_cfg")), run_id, "left")
+
+    def given(name, default):
+        if name not in have:
+            return F.lit(default)
+        return F.coalesce(F.col("_rf_cfg")[name], F.lit(default)) if default is not None else F.col("_rf_cfg")[name]
+
+    every = given("gradient_accumulation_steps", 1)
+    start = F.col(resumed) if resumed else F.lit(0)
+    named = given("scheduler_type", "linear")
+    expected = F.lit(None).cast("double")
+    for kind, defaults in (("linear", S.LINEAR_DEFAULTS), ("exponential", S.EXPONENTIAL_DEFAULTS)):
+        settings = {k: given(k, v) for k, v in defaults.items()}
+        names = [n for n, k in S.KINDS.items() if k == kind]
+        expected = F.when(named.isin(names), expected_lr(F.col("step"), kind, settings, 1, every, start)).otherwise(expected)
+    known = F.when(F.col("_rf_cfg").isNotNull(), expected)
+    return _with_drift(joined.select(run_id, "step", "lr", known.alias("expected_lr")), rel_tol)

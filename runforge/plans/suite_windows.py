@@ -210,22 +210,26 @@ def _linear_sql(s: str, p: dict) -> str:
             f"ELSE greatest({_f(peak)} - (({s} - {_f(wu + pk)}) / {_f(cd)}) * {_f(peak - end)}, {_f(end)}) END")
 
 
+def _exponential_changes(p: dict, last: int) -> tuple[list[int], list[int]]:
+    """Steps after which the rate has doubled, and halved once more, walking period by period."""
+    K, M, C, Kc = (p["warmup_steps_per_period"], p["warmup_periods"], p["constant_steps"], p["cooldown_steps_per_period"])
+    ups = [j * (K + 1) - 1 for j in range(1, K * M + 2) if j * (K + 1) <= K * M + 1]
+    left = (K * M + 1) - len(ups) * (K + 1)
+    left = (C - 1) % (C + 1) if left > C else (left + C) % (C + 1)
+    downs, at = [], K * M + C + max(Kc + 1 - left, 1)
+    while at <= last:
+        downs.append(at)
+        at += Kc + 1
+    return ups, downs
+
+
 def _exp_sql(n: str, p: dict) -> str:
-    K, M, C, Kc = (p["warmup_steps_per_period"], p["warmup_periods"], p["constant_steps"],
-                   p["cooldown_steps_per_period"])
-    warm = f"(least({n}, {K * M}) + 1)"
-    dbl = f"floor({warm} / {K + 1})"
-    r0 = f"({warm} % {K + 1})"
-    c = f"least(greatest({n} - {K * M}, 0), {C})"
-    r1 = f"(CASE WHEN {c} <= 0 THEN {r0} WHEN {r0} > {C} THEN ({c} - 1) % {C + 1} ELSE ({r0} + {c}) % {C + 1} END)"
-    e = f"greatest({n} - {K * M + C}, 0)"
-    first = f"({e} > 0 AND {r1} > {Kc})"
-    e2 = f"(CASE WHEN {first} THEN {e} - 1 ELSE {e} END)"
-    r2 = f"(CASE WHEN {first} THEN 0 ELSE {r1} END)"
-    halv = f"((CASE WHEN {first} THEN 1 ELSE 0 END) + (CASE WHEN {e2} > 0 THEN floor(({r2} + {e2}) / {Kc + 1}) ELSE 0 END))"
-    lr0 = f"({_f(p['start_lr'])} * pow({_f(p['warmup_factor'])}, {dbl}))"
-    return (f"CASE WHEN {halv} > 0 THEN greatest({lr0} / pow({_f(p['cooldown_factor'])}, {halv}), "
-            f"{_f(p['end_lr'])}) ELSE {lr0} END")
+    ups, downs = _exponential_changes(p, 1_000_000)
+    up = f"len(list_filter({ups}, lambda x: x <= {n}))"
+    down = f"(CASE WHEN {n} < {downs[0]} THEN 0 ELSE ({n} - {downs[0]}) // {downs[1] - downs[0]} + 1 END)"
+    top = f"({_f(p['start_lr'])} * pow({_f(p['warmup_factor'])}, {up}))"
+    return (f"CASE WHEN {down} > 0 THEN greatest({top} / pow({_f(p['cooldown_factor'])}, {down}), "
+            f"{_f(p['end_lr'])}) ELSE {top} END")
 
 
 def _sin_sql(s: str, p: dict) -> str:
@@ -265,7 +269,7 @@ def w11a(spark, sf):
     return _audit(spark, sf, "linear", LINEAR, 1)
 
 
-@register("W11_lr_audit_exponential", _audit_sql(lambda s, n: _exp_sql(n, EXPONENTIAL), 1))
+@register("W11_lr_audit_exponential", _audit_sql(lambda s, n: _exp_sql("step", EXPONENTIAL), 1))
 def w11b(spark, sf):
     return _audit(spark, sf, "exponential", EXPONENTIAL, 1)
 
@@ -290,8 +294,70 @@ def w10b(spark, sf):
 
 def _shipped_linear():
     from runforge.functions.schedules import schedule_from_config
-    kind, params = schedule_from_config(X.TRAINING_CONFIG)
-    return params
+    return schedule_from_config(X.TRAINING_CONFIG)[1]
+
+
+# One configuration a run; nulls take the trainer's defaults.
+CONFIGS = [(0, "linear", 1e-5, 2e-4, 1e-4, 500, 1000, 3000, 1), (1, None, None, 1e-3, None, 300, 900, 2000, 4),
+           (2, "exponential", 1e-5, None, None, None, None, None, 1)]
+CONFIG_SCHEMA = ("run_id long, scheduler_type string, start_lr double, peak_lr double, end_lr double, warmup_steps long, "
+                 "peak_steps long, total_steps long, gradient_accumulation_steps long")
+_EXP_SHIPPED = dict(start_lr=1e-5, end_lr=1e-7, warmup_factor=2.0, warmup_steps_per_period=100, warmup_periods=8,
+                    constant_steps=100, cooldown_factor=2.0, cooldown_steps_per_period=100)
+
+
+def _moved(g: int, session: str) -> str:
+    """The last step that moved the scheduler before ``step``, listing the steps of the last accumulation."""
+    return f"coalesce(list_max(list_filter(range(greatest(step - {g}, {session}), step), lambda k: (k + 1) % {g} = 0)), 0)"
+
+
+@register("W11e_lr_audit_runs", with_views("steps") + f""", r AS (
+SELECT run_id, step, num_tokens, (step // 700) * 700 AS s0 FROM steps),
+e AS (SELECT run_id, step, num_tokens, CASE run_id
+  WHEN 0 THEN {_linear_sql("CAST(" + _moved(1, "s0") + " AS DOUBLE)", dict(start_lr=1e-5, peak_lr=2e-4, end_lr=1e-4, warmup_steps=500, peak_steps=1000, total_steps=3000))}
+  WHEN 1 THEN {_linear_sql("CAST(" + _moved(4, "s0") + " AS DOUBLE)", dict(start_lr=1e-5, peak_lr=1e-3, end_lr=1e-6, warmup_steps=300, peak_steps=900, total_steps=2000))}
+  END AS x FROM r WHERE run_id IN (0, 1)
+  UNION ALL SELECT run_id, step, num_tokens, {_exp_sql("step", _EXP_SHIPPED)} AS x FROM r WHERE run_id = 2 AND step < 700
+  UNION ALL SELECT run_id, step, num_tokens, NULL AS x FROM r WHERE run_id = 3)
+SELECT run_id, step, round(x * 1e6, 6) AS expected_lr_micro,
+       abs(x * (CASE WHEN num_tokens % 17 = 0 THEN 1.01 ELSE 1.0 END) - x) > 1e-6 * greatest(abs(x), 1e-30) AS drift
+FROM e""")
+def w11e(spark, sf):
+    """A configuration for each run, accumulation of four steps in one, and a resume every 700 steps. (Run 2: its
+    first session only. Run 3 has no configuration.)"""
+    log = X.steps(spark, sf).withColumn("s0", (F.floor(F.col("step") / 700) * 700).cast("long")) \
+        .where((F.col("run_id") != 2) | (F.col("step") < 700))
+    configs = spark.createDataFrame(CONFIGS, CONFIG_SCHEMA)
+    expected = W.lr_audit_runs(log.withColumn("lr", F.lit(0.0)), configs, resumed="s0").select("run_id", "step", "expected_lr")
+    noise = F.when(F.col("num_tokens") % 17 == 0, F.lit(1.01)).otherwise(F.lit(1.0))
+    logged = log.drop("lr").join(expected, ["run_id", "step"]).withColumn("lr", F.col("expected_lr") * noise).drop("expected_lr")
+    a = W.lr_audit_runs(logged, configs, resumed="s0")
+    return a.select("run_id", "step", F.round(F.col("expected_lr") * 1e6, 6).alias("expected_lr_micro"), "drift")
+
+
+@register("W7b_clip_threshold_sessions", with_views("steps") + """, r AS (
+SELECT run_id, step, grad_norm, step // 700 AS session, step > 0 AND (step + 1) % 3 = 0 AS rec FROM steps),
+h AS (SELECT run_id, step, list_sort(list(grad_norm) OVER (PARTITION BY run_id, session ORDER BY step
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS xs FROM r WHERE rec)
+""" + rsel(f"""
+SELECT r.run_id, r.step, r.grad_norm, thr AS clip_threshold, r.grad_norm > thr AS clipped
+FROM r LEFT JOIN (SELECT run_id, step, CASE WHEN len(xs) < 100 THEN 1.0 ELSE {exclusive_cut_sql(90, 'xs', 'len(xs)')} END AS thr
+                  FROM h) AS t ON r.run_id = t.run_id AND r.step = t.step""", "grad_norm", "clip_threshold"))
+def w7b(spark, sf):
+    """Gradients accumulated over three steps; every 700 steps a resume empties the history."""
+    log = X.steps(spark, sf).withColumn("session", F.floor(F.col("step") / 700))
+    return rounded(W.clip_threshold(log, 1.0, 90, chunk_rows=256, every=3, session="session"))
+
+
+@register("W7c_clip_threshold_each_step", with_views("steps") + """, h AS (
+SELECT run_id, step, list_sort(list(grad_norm) OVER (PARTITION BY run_id ORDER BY step
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS xs FROM steps WHERE step > 0 AND step % 2 = 0),
+t AS (SELECT run_id, step, CASE WHEN len(xs) < 100 THEN 1.0 ELSE """ + exclusive_cut_sql(90, 'xs', 'len(xs)') + """ END AS thr FROM h)
+""" + rsel("""
+SELECT s.run_id, s.step, s.grad_norm, coalesce(t.thr, 1.0) AS clip_threshold, s.grad_norm > coalesce(t.thr, 1.0) AS clipped
+FROM steps AS s ASOF LEFT JOIN t ON s.run_id = t.run_id AND s.step >= t.step""", "grad_norm", "clip_threshold"))
+def w7c(spark, sf):
+    return rounded(W.clip_threshold(X.steps(spark, sf), 1.0, 90, chunk_rows=256, every=2, each_step=True))
 
 
 @register("W11d_lr_audit_shipped_config", _audit_sql(lambda s, n: _linear_sql(s, _shipped_linear()), 1))
