@@ -39,8 +39,8 @@ SPACE = "▁"
 BASE = np.uint64(0x100000001B3)
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Cells of a length's matrices at once, and words that a worker remembers.
-CELLS = 1 << 21
-REMEMBERED = 1_000_000
+CELLS = 1 << 19
+REMEMBERED = 300_000
 
 
 def rolling(points: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def encode(df: DataFrame, vocabulary: str = "piece_bpe_32k.model", id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(resource(vocabulary))
-        for block in blocks(batches, 8 << 20):
+        for block in blocks(batches, 4 << 20):
             texts = one(block.column(1))
             ids, bounds = pieces.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
