@@ -66,8 +66,7 @@ def tokens_by_task(log: DataFrame, by=None) -> DataFrame:
 
 def tokens_per_step(log: DataFrame, run_id: str = "run_id") -> DataFrame:
     """Tokens per (run, step)."""
-    return (log.groupBy(run_id, "step").agg(F.sum("num_tokens").cast("bigint").alias("num_tokens"))
-            .orderBy(run_id, "step"))
+    return log.groupBy(run_id, "step").agg(F.sum("num_tokens").cast("bigint").alias("num_tokens"))
 
 
 # ---------------------------------------------------------------- A3, A13
@@ -132,7 +131,7 @@ def log_statistics(log: DataFrame, run_id: str = "run_id", tail: int = 100,
 
 def compare_runs(log: DataFrame, run_id: str = "run_id") -> DataFrame:
     """:func:`log_statistics` for every run of one table, in one job."""
-    return log_statistics(log, run_id).orderBy(run_id)
+    return log_statistics(log, run_id)
 
 
 # ---------------------------------------------------------------- A4, A5
@@ -163,9 +162,8 @@ def eval_statistics(ev: DataFrame, run_id: str = "run_id", order_col: str = "lin
 
 def eval_by_step(ev: DataFrame, run_id: str = "run_id") -> DataFrame:
     """A5: mean of p5, mean and p95 per eval step (several evals per step allowed)."""
-    return (ev.groupBy(run_id, "step").agg(F.avg("p5").alias("p5"), F.avg("mean").alias("mean"),
-                                           F.avg("p95").alias("p95"))
-            .orderBy(run_id, "step"))
+    return ev.groupBy(run_id, "step").agg(F.avg("p5").alias("p5"), F.avg("mean").alias("mean"),
+                                          F.avg("p95").alias("p95"))
 
 
 # ---------------------------------------------------------------- A8, A9
@@ -188,7 +186,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by=None) -> DataFrame:
         *by, "bin",
         (F.col("lo") + F.col("bin") * w).alias("bin_lo"),
         (F.col("lo") + (F.col("bin") + 1) * w).alias("bin_hi"),
-        "count").orderBy(*by, "bin")
+        "count")
 
 
 def loss_hist_by_task(log: DataFrame, bins: int = 50, by=None,
@@ -308,7 +306,7 @@ def chart_series(log: DataFrame, ev: DataFrame | None = None, run_id: str = "run
         val_cols = [c for c in pts.columns if c not in (run_id, "step")]
         pts = pts.groupBy(run_id, (F.floor(F.col("step") / bucket) * bucket).cast("bigint").alias("step")).agg(
             *[F.avg(c).alias(c) for c in val_cols])
-    return pts.orderBy(run_id, "step")
+    return pts
 
 
 def nan_steps(log: DataFrame, run_id: str = "run_id", after: int = 100) -> DataFrame:
@@ -327,6 +325,5 @@ def flag_eval_steps(log: DataFrame, steps_per_eval: int) -> DataFrame:
 
 def exclude_eval_steps(log: DataFrame, steps_per_eval: int) -> DataFrame:
     """Drop the rows that carry an eval sample's loss (see :func:`flag_eval_steps`).
-    Window operators expect dense positions: re-index with ``position_within``
-    after dropping rows."""
+    Window operators rank the rows that are left themselves."""
     return flag_eval_steps(log, steps_per_eval).where(~F.col("is_eval_step")).drop("is_eval_step")

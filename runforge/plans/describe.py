@@ -67,6 +67,7 @@ def describe_run(spark: SparkSession, log_path: str, eval_path: str | None = Non
         if name in ("log_statistics", "eval_statistics"):
             L.write_stats(df, path)
         else:
-            df.write.mode("overwrite").parquet(path)
+            order = [c for c in ("run_id", "task", "dataset", "step", "bin") if c in df.columns]
+            df.orderBy(*order).write.mode("overwrite").parquet(path)
         written.append(path)
     return written

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runforge.functions.indexing import sorted_positions
 from runforge.operators import corpus as C
 from runforge.operators import runlog as R
 from runforge.operators import sampling as S
@@ -98,11 +99,15 @@ RESULT_SCHEMA = T.StructType([T.StructField("model_name", T.StringType()), T.Str
 
 
 @register("IO7_write_results", with_views("results") + rsel("""
-SELECT model_name, task_name, score FROM results""", "score"))
+SELECT model_name, task_name, score, row_number() OVER (ORDER BY task_name, score, model_name) - 1 AS pos
+FROM results""", "score"))
 def io7(spark, sf):
+    """The exported lines with their place in the files, which shows the order they were written in."""
     path = L.scratch_dir(spark, "results")
     CIO.write_results(X.results(spark, sf), path)
-    return rounded(spark.read.schema(RESULT_SCHEMA).option("header", True).csv(path))
+    lines = spark.read.schema(RESULT_SCHEMA).option("header", True).csv(path).withColumns(
+        {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "line": F.monotonically_increasing_id()})
+    return rounded(sorted_positions(lines, [], ["file", "block", "line"], out="pos").drop("file", "block", "line"))
 
 
 @register("IO8_write_stats", ORACLE.get("A3_log_statistics"))

@@ -131,3 +131,16 @@ SELECT batch_id, dataset, count(*) AS samples, CAST(sum(n_words) AS BIGINT) AS t
 FROM (SELECT batch_id, n_words, unnest(dataset_id) AS dataset FROM batches) GROUP BY batch_id, dataset"""))
 def s6b(spark, sf):
     return S.batch_dataset_counts(X.batches(spark, sf))
+
+
+@register("S6c_batch_maps", with_views("batches") + rsel("""
+SELECT batch_id, string_agg(dataset || '=' || samples || '/' || tokens, ',' ORDER BY dataset) AS maps
+FROM (SELECT batch_id, dataset, count(*) AS samples, CAST(sum(n_words) AS BIGINT) AS tokens
+      FROM (SELECT batch_id, n_words, unnest(dataset_id) AS dataset FROM batches) GROUP BY batch_id, dataset)
+GROUP BY batch_id"""))
+def s6c(spark, sf):
+    m = S.batch_maps(S.batch_dataset_counts(X.batches(spark, sf)))
+    keys = F.array_sort(F.map_keys("samples_by_dataset"))
+    shown = F.transform(keys, lambda k: F.concat(k, F.lit("="), F.col("samples_by_dataset")[k].cast("string"), F.lit("/"),
+                                                 F.col("tokens_by_dataset")[k].cast("string")))
+    return m.select("batch_id", F.array_join(shown, ",").alias("maps"))

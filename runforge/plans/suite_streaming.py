@@ -20,8 +20,8 @@ ROTATE_AT = 1200
 
 
 def _lines(spark, sf):
-    s = X.steps(spark, sf)
-    line = F.to_json(F.struct("step", "task", "loss", "num_tokens",
+    s = X.steps(spark, sf).withColumn("total_time", (F.pmod(F.col("step"), F.lit(700)) + 1) * F.lit(0.25))
+    line = F.to_json(F.struct("step", "task", "loss", "num_tokens", "total_time",
                               F.create_map("dataset", "num_tokens").alias("tokens_by_dataset"), "time"))
     return s.select("run_id", "step", line.alias("value"))
 
@@ -31,7 +31,7 @@ def _rotation(lines, root, first: bool):
     part.select("run_id", "value").write.mode("append").partitionBy("run_id").text(root)
 
 
-def _drive(spark, sf, name, build, mode, duplicate_first=False):
+def _drive(spark, sf, name, build, mode, duplicate_first=False, between=None):
     root, sink, ckpt = (scratch_dir(spark, f"{name}-in"), scratch_dir(spark, f"{name}-out"),
                         scratch_dir(spark, f"{name}-ckpt"))
     lines = _lines(spark, sf)
@@ -40,6 +40,8 @@ def _drive(spark, sf, name, build, mode, duplicate_first=False):
     if duplicate_first:       # a resumed run rewrites steps it had already logged
         _rotation(lines, root, True)
     _rotation(lines, root, False)
+    if between:
+        between()
     T.run_available(build(T.stream_step_log(spark, root)), sink, ckpt, mode)
     return sink
 
@@ -69,20 +71,30 @@ def t2b(spark, sf):
     return out.select(F.col("run_id").cast("bigint").alias("run_id"), "dataset", "total_tokens")
 
 
-@register("T3_stream_trailing", with_views("steps") + rsel("""
-SELECT run_id, step, loss_100, loss_1000, total_tokens, steps_seen
-FROM (SELECT run_id, step,
-             avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS loss_100,
-             avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS loss_1000,
-             CAST(sum(num_tokens) OVER (PARTITION BY run_id) AS BIGINT) AS total_tokens,
-             count(*) OVER (PARTITION BY run_id) AS steps_seen,
-             max(step) OVER (PARTITION BY run_id) AS last_step
-      FROM steps) WHERE step = last_step""", "loss_100", "loss_1000"))
+@register("T3_stream_trailing", with_views("steps", "evals") + """, w AS (
+SELECT run_id, step, step // 700 AS session,
+       avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS loss_100,
+       avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS loss_1000,
+       CAST(sum(num_tokens) OVER (PARTITION BY run_id) AS BIGINT) AS total_tokens,
+       sum(num_tokens) OVER (PARTITION BY run_id, step // 700 ORDER BY step) / greatest((step % 700 + 1) * 0.25, 1.0) AS token_rate,
+       count(*) OVER (PARTITION BY run_id) AS steps_seen, max(step) OVER (PARTITION BY run_id) AS last_step FROM steps)
+""" + rsel("""
+SELECT run_id, step, loss_100, loss_1000, total_tokens, steps_seen, token_rate, e.last_eval
+FROM w JOIN (SELECT run_id, arg_max(mean, step) AS last_eval FROM evals WHERE step > 0 GROUP BY run_id) AS e USING (run_id)
+WHERE step = last_step""", "loss_100", "loss_1000", "token_rate", "last_eval"))
 def t3(spark, sf):
-    sink = _drive(spark, sf, "t3", T.stream_trailing, "update")
+    """Losses, tokens and evals of each run after two rotations of both logs."""
+    evals, root = X.evals(spark, sf), scratch_dir(spark, "t3-evals")
+    lines = evals.select("run_id", "step", F.to_json(F.struct("step", "mean")).alias("value"))
+
+    def build(steps):
+        return T.stream_trailing(steps, T.stream_eval_log(spark, root))
+
+    _rotation(lines, root, True)
+    sink = _drive(spark, sf, "t3", build, "update", between=lambda: _rotation(lines, root, False))
     out = T.latest(spark, sink, ["run_id"])
     return rounded(out.select(F.col("run_id").cast("bigint").alias("run_id"), "step", "loss_100", "loss_1000",
-                              "total_tokens", "steps_seen"))
+                              "total_tokens", "steps_seen", "token_rate", "last_eval"))
 
 
 @register("T4_stream_dedup", with_views("steps") + rsel("""

@@ -32,17 +32,13 @@ def read_selected(spark: SparkSession, path: str, selection: DataFrame, by: str
 
 
 def read_corpus(spark: SparkSession, paths: list[str], schema: T.StructType | None = None) -> DataFrame:
-    """IO5: read one or more parquet corpora (train split) into one frame by column name.
+    """IO5: read one or more parquet corpora (train split) into one frame by column name, in one scan.
 
     Corpora written partitioned by ``dataset`` get partition pruning for free
     when the caller filters on it.
     """
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    frames = [reader.parquet(p) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
+    return reader.parquet(*paths)
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
@@ -77,15 +73,14 @@ def decode_content(df: DataFrame, col: str = "content", out: str = "text") -> Da
             .drop("_rf_dec"))
 
 
-@F.pandas_udf(T.StringType())
-def _deflate_b64(text: pd.Series) -> pd.Series:
-    import base64
-    return text.map(lambda t: None if t is None else base64.b64encode(zlib.compress(t.encode("utf-8"))).decode())
+@F.pandas_udf(T.BinaryType())
+def _deflate(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else zlib.compress(t.encode("utf-8")))
 
 
 def encode_content(df: DataFrame, col: str = "text", out: str = "content") -> DataFrame:
     """Inverse of :func:`decode_content` (UTF-8 -> zlib -> base64), for round trips."""
-    return df.withColumn(out, _deflate_b64(F.col(col)))
+    return df.withColumn(out, F.base64(_deflate(F.col(col))))
 
 
 def sorted_results(df: DataFrame) -> DataFrame:

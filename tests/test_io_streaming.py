@@ -115,3 +115,20 @@ def test_run_id_from_parent_folder(spark):
     log = L.read_run_logs(spark, [os.path.join(root, "alpha"), os.path.join(root, "beta")])
     got = {r.run_id: r["count"] for r in log.groupBy("run_id").count().collect()}
     assert got == {"alpha": 3, "beta": 2}
+
+
+def test_stream_trailing_puts_late_lines_in_place(spark, tmp_path):
+    """A part file of older steps arrives last: totals grow, the newest step and its losses stay."""
+    import json
+    root, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    part = tmp_path / "in" / "run_id=1"
+    part.mkdir(parents=True)
+    lines = [json.dumps({"step": i, "loss": float(i), "num_tokens": 10, "total_time": float(i % 200 + 1)}) for i in range(400)]
+    (part / "part-1.json").write_text("\n".join(lines[150:]))
+    T.run_available(T.stream_trailing(T.stream_step_log(spark, root)), sink, str(tmp_path / "ckpt"), "update")
+    (part / "part-0.json").write_text("\n".join(lines[:150]))
+    T.run_available(T.stream_trailing(T.stream_step_log(spark, root)), sink, str(tmp_path / "ckpt"), "update")
+    row = T.latest(spark, sink, ["run_id"]).first()
+    assert (row.step, row.total_tokens, row.steps_seen) == (399, 4000, 400)
+    assert row.loss_100 == sum(range(300, 400)) / 100 and row.loss_1000 == sum(range(400)) / 400
+    assert row.token_rate == 2000 / 200 and row.last_eval == 0.0

@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB oracle at sf0.01 (the driver's gate)."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -18,7 +20,9 @@ def con():
 
 def test_every_query_has_oracle_or_is_declared():
     rows_only = {"K2_spectral_stats", "K3_aggregate_spectral", "K4_spectral_wide"}
-    assert set(QUERIES) - set(ORACLE) == rows_only
+    # the training-data queries (opN_, pipeline) have tests of their own, beside their subpackage
+    own = {n for n in QUERIES if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert own - set(ORACLE) == rows_only
     assert set(ORACLE) <= set(QUERIES)
 
 
