@@ -44,6 +44,18 @@ def schema_of(df: DataFrame, id_col: str, *fields: tuple[str, T.DataType]) -> T.
                         + [T.StructField(n, t) for n, t in fields])
 
 
+def hash_sample(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, the ones of low hash: all rows if they are few, and else about 95 % of ``most``.
+
+    Every task drops its other rows, so no task or driver sees more than the sample.
+    """
+    total = df.count()
+    if total <= most:
+        return df
+    low = int(0.95 * most / total * (1 << 62))
+    return df.where(F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1)) < low).limit(most)
+
+
 def resource(name: str) -> str:
     """Place of a public vocabulary file; a path is returned as it is."""
     if "/" in name:

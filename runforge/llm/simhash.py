@@ -18,8 +18,10 @@ repeated shingles count each time. Fingerprints that differ in at most
 4. The forests are joined by large-star and small-star rounds, whose tables are
    written to the shared folder each round.
 
-The tree has at most ``max_leaves`` leaves; beyond that the leaves grow and step 3
-cuts them further, so it bounds what is sent to the tasks, not what is found.
+Leaves hold about ``leaf_points`` points, a few MB with their visitors: the cuts that
+a task can make in its memory send no copies over the network. The tree has at most
+``max_leaves`` leaves; beyond that the leaves grow and step 3 cuts them further, so it
+bounds what is sent to the tasks, not what is found.
 
 Cases: null texts are empty; a text of no words has fingerprint zero and is linked
 like any other; fewer words than a shingle make one shingle; repeated rows have equal
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runforge.llm.common import id_and_text, one, prepare, schema_of
+from runforge.llm.common import hash_sample, id_and_text, one, prepare, schema_of
 from runforge.session import materialize
 
 #: Shingles whose bits are counted at once.
@@ -221,7 +223,7 @@ def near_links(points: DataFrame, max_distance: int, leaf_points: int, sample: i
     spark = points.sparkSession
     total = points.count()
     leaves = min(max(total // leaf_points, 1), max_leaves, sample // 16)
-    drawn = points.orderBy(F.xxhash64("_fp"), "_fp").limit(sample).toPandas() if leaves > 1 else None
+    drawn = hash_sample(points.select("_fp"), ["_fp"], sample).toPandas() if leaves > 1 else None
     fitted = fit_tree(drawn["_fp"].to_numpy(dtype=np.int64).view(np.uint64), leaves, max_distance) \
         if drawn is not None else np.zeros((0, 4), dtype=object)
     tree = spark.sparkContext.broadcast(fitted)
@@ -242,7 +244,7 @@ def near_links(points: DataFrame, max_distance: int, leaf_points: int, sample: i
             .groupBy("leaf").applyInArrow(search, "u long, v long"))
 
 
-def near_copies(df: DataFrame, shingle: int = 4, max_distance: int = 4, seed: int = 42, leaf_points: int = 4096,
+def near_copies(df: DataFrame, shingle: int = 4, max_distance: int = 4, seed: int = 42, leaf_points: int = 65536,
                 sample: int = 65536, max_leaves: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every row; ``fingerprint`` in 16 hex digits."""
     prepare(df.sparkSession)
@@ -259,8 +261,8 @@ def near_copies(df: DataFrame, shingle: int = 4, max_distance: int = 4, seed: in
 
 def drop_near_copies(df: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id",
                      text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its group, with the columns of ``df``."""
+    """The rows of ``df`` whose id is the smallest of its group, with the columns of ``df``; rows with a null id stay."""
     groups = near_copies(df, shingle, max_distance, id_col=id_col, text_col=text_col, **more)
-    lost = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_lost_id")).distinct()
+    lost = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_lost_id")).distinct()
     rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"))
-    return rows.join(lost, F.col("_doc").eqNullSafe(F.col("_lost_id")), "left_anti").select("_row.*")
+    return rows.join(lost, F.col("_doc") == F.col("_lost_id"), "left_anti").select("_row.*")
