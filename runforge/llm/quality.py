@@ -8,7 +8,7 @@ has length 1. A linear hinge-loss model is fitted by dual coordinate descent, bo
 classes weighing the same, and its margins become probabilities by a logistic curve
 fitted on a fifth of the examples, which the model does not see.
 
-Fitting takes a bounded sample: at most ``sample`` labelled rows, the ones of least id
+Fitting takes a bounded sample: at most ``sample`` labelled rows, the ones of low id
 hash, so that every labelled row is as likely. One task fits on their feature ids. The
 model (at most 2^20 weights) goes to the tasks that score every whole text; scoring
 shuffles nothing.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runforge.llm.common import blocks, id_and_text, mix, one, prepare, schema_of, word_hashes, words_of
+from runforge.llm.common import blocks, hash_sample, id_and_text, mix, one, prepare, schema_of, word_hashes, words_of
 
 BITS = 20
 
@@ -160,9 +160,9 @@ def held_out(id_col: str) -> Column:
 def train(df: DataFrame, labels: DataFrame, label_col: str, sample: int, alpha: float, cost: float, rounds: int,
           id_col: str, text_col: str):
     """The model, fitted on labelled rows that are not held out."""
-    chosen = (labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-              .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-              .orderBy(F.xxhash64("id"), "id", "label").limit(sample))
+    usable = (labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+              .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")))
+    chosen = hash_sample(usable, ["id"], sample)
     texts = id_and_text(df, id_col, text_col).toDF("id", "text")
     # at most ``sample`` rows of 12 bytes
     examples = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
