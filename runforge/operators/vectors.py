@@ -1,13 +1,14 @@
 """Embedding measurements over stored vectors.
 
-Vectors are ``array<float>`` columns keyed by an id. Pooling explodes the
-dimension axis and aggregates per (key, dim) with map-side partial sums;
-similarities are array expressions (``zip_with`` + ``aggregate``) evaluated
+Vectors are ``array<float>`` columns keyed by an id. Pooling is a vector mean,
+summed within each task before the shuffle; similarities are array expressions (``zip_with`` + ``aggregate``) evaluated
 inside whole-stage codegen, no Python.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +34,9 @@ def masked_mean_pool(df: DataFrame, key, mask: str, vec: str, out: str = "pooled
     hidden ``vec``. Output: one row per key with the pooled vector.
     """
     keys = _cols(key)
-    ex = df.select(*keys, F.col(mask).cast("double").alias("_rf_m"), F.posexplode(vec).alias("_rf_d", "_rf_x"))
-    per_dim = ex.groupBy(*keys, "_rf_d").agg(
-        (F.sum(F.col("_rf_m") * F.col("_rf_x")) / F.count(F.lit(1))).alias("_rf_v"))
-    return per_dim.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_rf_d", "_rf_v"))), lambda s: s["_rf_v"]).alias(out))
+    masked = array_to_vector(F.transform(vec, lambda x: F.coalesce(F.col(mask).cast("double") * x.cast("double"), F.lit(0.0))))
+    return (df.groupBy(*keys).agg(Summarizer.mean(masked).alias("_rf_mean"))
+            .select(*keys, vector_to_array("_rf_mean").alias(out)))
 
 
 # ---------------------------------------------------------------- E2

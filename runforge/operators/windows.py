@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions import schedules as S
-from runforge.functions.indexing import _prefix_offsets, position_within
+from runforge.functions.indexing import _prefix_offsets, position_within, sorted_positions
 from runforge.session import materialize
 
 CHUNK_ROWS = 1 << 16
@@ -261,7 +261,7 @@ def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id:
     rec = base.where(F.col(pos) > 0)
     # p: 0-based history position; g: 0-based global value rank within the run
     rec = position_within(rec, [run_id], [pos], out="_rf_p", slice_width=C)
-    rec = position_within(rec, [run_id], [norm, "_rf_p"], out="_rf_g")
+    rec = sorted_positions(rec, [run_id], [norm, "_rf_p"], out="_rf_g")
     rec = rec.withColumn("_rf_c", F.floor(F.col("_rf_p") / C).cast("bigint")) \
              .withColumn("_rf_b", F.floor(F.col("_rf_g") / C).cast("bigint"))
     # the ranked history feeds four branches below: store it once

@@ -95,12 +95,29 @@ def materialize(df, name: str = "stage"):
     survives executor loss. Never a machine-local checkpoint.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(_stages(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def _stages(spark: SparkSession) -> str:
+    """This application's folder of stage tables."""
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Delete the stage tables that this application has written.
+
+    For the end of a job, when no DataFrame that reads them is needed any more:
+    operators cannot know when their result has been consumed.
+    """
+    from runforge.sources import fixtures
+    jvm, folder = spark.sparkContext._jvm, _stages(spark)
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fixtures._STORED.clear()
+
+
 _SHIPPED: set = set()
 
 

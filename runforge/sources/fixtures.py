@@ -19,12 +19,6 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # The shipped training configuration (task weights and optimizer
 # settings of the reference model's training file), used as the audit target.
 TRAINING_CONFIG = {
-    "batch_size": 64,
-    "matroyshka_probability": 0.5,
-    "steps_per_epoch": 1000000,
-    "steps_per_save": 1000,
-    "steps_per_eval": 1000,
-    "num_eval_samples": 1000,
     "tasks": {"mlm": 0.75, "nsp": 0.1, "nlp": 0.1, "mhm": 0.05},
     "optimizer": {
         "start_lr": 0.00001,

@@ -125,3 +125,16 @@ def test_no_checkpoint_folder_on_a_cluster_is_an_error():
         with pytest.raises(RuntimeError, match="share"):
             _scratch_for(master)
     assert _scratch_for("local[4]")
+
+
+def test_stages_can_be_removed(spark, tmp_path, monkeypatch):
+    import os
+
+    from runforge import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(X, "_STORED", {"x": 1})
+    assert session.materialize(spark.range(3), "three").count() == 3
+    folder = session._stages(spark)
+    assert os.listdir(folder)
+    session.remove_stages(spark)
+    assert not os.path.exists(folder) and not X._STORED
