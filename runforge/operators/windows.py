@@ -196,29 +196,24 @@ def _cut_index(n: np.ndarray | int, i: int):
     return np.clip(m // 100, 1, np.asarray(n) - 1), m
 
 
-class _Fenwick:
-    """Order statistics over a fixed universe of ``size`` sorted slots."""
-
-    def __init__(self, size: int):
-        self.n = size
-        self.t = np.zeros(size + 1, dtype=np.int64)
-        self.top = 1 << max(size, 1).bit_length()
-
-    def add(self, i: int) -> None:  # 0-based slot
-        i += 1
-        while i <= self.n:
-            self.t[i] += 1
-            i += i & (-i)
-
-    def kth(self, k: int) -> int:  # 1-based k -> 0-based slot
-        idx, rem, step = 0, k, self.top
-        while step:
-            nxt = idx + step
-            if nxt <= self.n and self.t[nxt] < rem:
-                idx = nxt
-                rem -= self.t[nxt]
-            step >>= 1
-        return idx
+def prefix_kth(ranks: np.ndarray, upto: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each query the k-th smallest (from 0) of the first ``upto`` of ``ranks``, distinct numbers from 0.
+
+    A wavelet matrix, bit by bit from the highest: all queries step together, counting
+    the zeros of their range, in O((n + queries) log n).
+    """
+    row, lo, hi, k = ranks, np.zeros(len(k), dtype=np.int64), upto.copy(), k.copy()
+    found = np.zeros(len(k), dtype=np.int64)
+    for bit in range(max(int(len(ranks) - 1).bit_length(), 1) - 1, -1, -1):
+        one = (row >> bit) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        zlo, zhi = zeros[lo], zeros[hi]
+        up = k >= zhi - zlo
+        found = found * 2 + up
+        k = np.where(up, k - (zhi - zlo), k)
+        lo, hi = np.where(up, zeros[-1] + lo - zlo, zlo), np.where(up, zeros[-1] + hi - zhi, zhi)
+        row = np.concatenate([row[~one], row[one]])
+    return found
 
 
 def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id: str = "run_id",
@@ -245,7 +240,7 @@ def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id:
     window is found through a (chunk × value-block) count table: prefix counts
     over chunks, cumulative over blocks, then an equi-join on the covering
     blocks. Each chunk is finished in one pandas group holding its window and
-    its own rows (a Fenwick tree over their sorted values).
+    its own rows (a wavelet matrix over their ranks, see :func:`prefix_kth`).
     """
     if session or every > 1 or each_step:
         return _clip_gated(log, max_norm, pct, run_id, pos, norm, min_history, chunk_rows, every, session, each_step)
@@ -309,27 +304,23 @@ def clip_threshold(log: DataFrame, max_norm: float = 1.0, pct: int = 90, run_id:
 
     def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf[pdf["_rf_p"] >= 0].sort_values("_rf_p")
-        below = pdf["_rf_below"].dropna()
-        below = int(below.iloc[0]) if len(below) else 0
-        order = pdf.sort_values("_rf_g")
-        slot = {g: k for k, g in enumerate(order["_rf_g"].to_numpy())}
-        vals = order[norm].to_numpy()
-        fw = _Fenwick(len(vals))
-        for g in pdf.loc[pdf["_rf_p"] < 0, "_rf_g"]:
-            fw.add(slot[g])
-        thr = np.empty(len(mine))
-        for idx, (p, g) in enumerate(zip(mine["_rf_p"].to_numpy(), mine["_rf_g"].to_numpy())):
-            fw.add(slot[g])
-            n = int(p) + 1
-            if n < min_history:
-                thr[idx] = max_norm
-                continue
-            j, m = _cut_index(n, i)
-            j, m = int(j), int(m)
-            d = m - 100 * j
-            lo_v, hi_v = vals[fw.kth(j - below)], vals[fw.kth(j + 1 - below)]
-            thr[idx] = (lo_v * (100 - d) + hi_v * d) / 100.0
+        earlier = pdf[pdf["_rf_p"] < 0]
+        below = int(earlier["_rf_below"].iloc[0]) if len(earlier) else 0
+        g = np.concatenate([earlier["_rf_g"].to_numpy(), mine["_rf_g"].to_numpy()])
+        order = np.argsort(g)
+        ranks = np.empty(len(g), dtype=np.int64)
+        ranks[order] = np.arange(len(g))
         x = mine[norm].to_numpy()
+        vals = np.concatenate([earlier[norm].to_numpy(), x])[order]
+        n = mine["_rf_p"].to_numpy().astype(np.int64) + 1
+        thr = np.full(len(mine), float(max_norm))
+        full = np.flatnonzero(n >= min_history)
+        j, m = _cut_index(n[full], i)
+        upto = len(earlier) + full + 1
+        lo_v = vals[prefix_kth(ranks, upto, j - below - 1)]
+        hi_v = vals[prefix_kth(ranks, upto, j - below)]
+        d = m - 100 * j
+        thr[full] = (lo_v * (100 - d) + hi_v * d) / 100.0
         return pd.DataFrame({run_id: mine[run_id].to_numpy(), pos: mine[pos].to_numpy(), norm: x,
                              "clip_threshold": thr, "clipped": x > thr})
 

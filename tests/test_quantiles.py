@@ -108,3 +108,16 @@ def test_position_within_two_level_prefix(spark, monkeypatch):
         assert [pos[i] for i in ids] == list(range(len(ids)))
     got0 = I.position_within(df, [], ["id"], out="p", slice_width=5).collect()
     assert sorted((r.id, r.p) for r in got0) == [(i, i) for i in range(3000)]
+
+
+def test_prefix_order_statistics():
+    import numpy as np
+
+    from runforge.operators.windows import prefix_kth
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 64, 300):
+        ranks = rng.permutation(n)
+        upto = rng.integers(1, n + 1, size=200)
+        k = (rng.random(200) * upto).astype(np.int64)
+        want = [sorted(ranks[:u].tolist())[i] for u, i in zip(upto, k)]
+        assert prefix_kth(ranks, upto, k).tolist() == want
