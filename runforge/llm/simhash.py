@@ -120,7 +120,7 @@ def fit_tree(points: np.ndarray, leaves: int, reach: int) -> np.ndarray:
             waiting += [(part[near], here, 2), (part[~near], here, 3)]
         if parent is not None:
             nodes[parent][side] = here
-    return np.array(nodes, dtype=np.uint64 if not nodes else object).reshape(-1, 4)
+    return np.array(nodes, dtype=object).reshape(-1, 4)
 
 
 def place(points: np.ndarray, tree: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,32 +159,32 @@ def forest(home: np.ndarray, guests: np.ndarray, reach: int, small: int = 2048)
                 a, b = sorted((int(root), int(label[i])))
                 label[label == b] = a
 
-    waiting = [(np.arange(len(home)), np.arange(len(home), len(points)))]
-    while waiting:
-        own, came = waiting.pop()
-        cut = choose_cut(points[own[rng.integers(0, len(own), size=min(len(own), 2048))]], reach, rng) \
-            if len(own) > small else None
-        if cut is not None:
-            who = np.concatenate([own, came])
-            tree = np.array([[*cut, -1, -2]], dtype=object)
-            at, leaf, visits = place(points[own], tree, reach)
-            homes = [own[at[(leaf == k) & ~visits]] for k in (0, 1)]
-            d = distance(points[came], np.uint64(cut[0]))
-            guests_in, guests_out = came[d <= cut[1] + reach], came[d + reach > cut[1]]
-            waiting.append((homes[0], np.concatenate([own[at[(leaf == 0) & visits]], guests_in])))
-            waiting.append((homes[1], guests_out))
-            if max(map(len, homes)) < len(own):
-                continue
-            waiting = waiting[:-2]
-            del who
-        for rows, skip in ((own, True), (came, False)):
+    def compare(own: np.ndarray, came: np.ndarray) -> None:
+        for rows, at_home in ((own, True), (came, False)):
             for k in range(0, len(rows), 256):
                 some = rows[k:k + 256]
                 close = np.bitwise_count(points[some][:, None] ^ points[own][None, :]) <= reach
-                if skip:
+                if at_home:  # not a point and itself
                     close[np.arange(len(some)), np.arange(k, k + len(some))] = False
                 for i in np.flatnonzero(close.any(axis=1)).tolist():
                     join(int(some[i]), own[close[i]])
+
+    waiting = [(np.arange(len(home)), np.arange(len(home), len(points)))]
+    while waiting:
+        own, came = waiting.pop()
+        cut = choose_cut(points[own[rng.integers(0, len(own), size=2048)]], reach, rng) if len(own) > small else None
+        if cut is None:
+            compare(own, came)
+            continue
+        # as in the tree: points outside visit the inside, guests go wherever their ball reaches
+        d, g = distance(points[own], np.uint64(cut[0])), distance(points[came], np.uint64(cut[0]))
+        near = d <= cut[1]
+        visitors = own[~near & (d <= cut[1] + reach)]
+        if near.all() or not near.any():  # the sample had points on both sides, but they are too few
+            compare(own, came)
+            continue
+        waiting.append((own[near], np.concatenate([visitors, came[g <= cut[1] + reach]])))
+        waiting.append((own[~near], came[g + reach > cut[1]]))
     linked = np.flatnonzero(label != np.arange(len(points)))
     return np.stack([points[linked], points[label[linked]]], axis=1)
 
@@ -193,8 +193,6 @@ def forest(home: np.ndarray, guests: np.ndarray, reach: int, small: int = 2048)
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (u, v): its component's smallest node. Large-star and small-star rounds."""
-    spark = links.sparkSession
-
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -213,7 +211,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    del spark
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
