@@ -71,7 +71,7 @@ def chunked(rows: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
         chunk = TaskContext.get().partitionId() << 32
         for block in blocks(batches, size):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                 out.write_table(block)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
                                              names=["chunk", "rows"])
