@@ -32,26 +32,28 @@ from runforge.llm.common import mix, one, prepare, schema_of, whole_text, word_h
 
 
 class Grams:
-    """The n-grams of a chunk's texts: for each order the distinct keys, their counts, and the key of each place."""
+    """The words of a chunk's texts, and their n-grams one order at a time."""
 
-    def __init__(self, texts: pa.Array, order: int):
+    def __init__(self, texts: pa.Array):
         index, self.bounds, distinct = words_of(pc.ascii_lower(texts))
-        words = word_hashes(distinct)[index]
-        self.n = len(words)
-        # words from each place to its document's end
-        self.left = np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(self.n)
-        self.keys, self.counts = [np.zeros(1, dtype=np.uint64)], [np.array([self.n], dtype=np.int64)]
-        self.places, self.which = [np.arange(self.n)], [np.zeros(self.n, dtype=np.int64)]
-        gram = words
+        self.words = word_hashes(distinct)[index]
+        self.n = len(self.words)
+        sizes = np.diff(self.bounds)
+        # words from each place to its document's end, and before it in its document
+        self.left = np.repeat(self.bounds[1:], sizes) - np.arange(self.n)
+        self.before = np.arange(self.n) - np.repeat(self.bounds[:-1], sizes)
+
+    def orders(self, order: int):
+        """(order, places that start an n-gram, distinct keys, the key of each place, counts)."""
+        yield 0, np.arange(self.n), np.zeros(1, dtype=np.uint64), np.zeros(self.n, dtype=np.int64), np.array([self.n])
+        gram = self.words
         for k in range(1, order + 1):
             if k > 1:
-                gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([words[k - 1:], np.zeros(min(k - 1, self.n), dtype=np.uint64)])[:self.n])
+                after = np.concatenate([self.words[k - 1:], np.zeros(min(k - 1, self.n), dtype=np.uint64)])
+                gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + after)
             places = np.flatnonzero(self.left >= k)
             keys, which, counts = np.unique(gram[places], return_inverse=True, return_counts=True)
-            self.keys.append(keys)
-            self.counts.append(counts.astype(np.int64))
-            self.places.append(places)
-            self.which.append(which)
+            yield k, places, keys, which, counts
 
 
 def totals(asked: list[tuple[np.ndarray, bytes]]) -> list[bytes]:
@@ -64,18 +66,13 @@ def totals(asked: list[tuple[np.ndarray, bytes]]) -> list[bytes]:
     return [exchange.planes(summed[which[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def log_scores(grams: Grams, counts: list[np.ndarray], order: int, min_count: int, backoff: float) -> np.ndarray:
-    """ln S of each word, given the corpus count of each place's n-gram by order."""
-    # count of the n-gram that starts at a place; no place starts one over its document's end
-    at = [np.zeros(grams.n, dtype=np.int64) for _ in range(order + 1)]
-    for k in range(order + 1):
-        at[k][grams.places[k]] = counts[k][grams.which[k]]
+def log_scores(grams: Grams, at: list[np.ndarray], min_count: int, backoff: float) -> np.ndarray:
+    """ln S of each word; ``at[k]`` has the corpus count of the k-gram that starts at each place."""
     done = np.zeros(grams.n, dtype=bool)
     score = np.zeros(grams.n)
-    before = np.arange(grams.n) - np.repeat(grams.bounds[:-1], np.diff(grams.bounds))
-    for k in range(order, 0, -1):
+    for k in range(len(at) - 1, 0, -1):
         # words that have k - 1 words before them and no longer n-gram found
-        words = np.flatnonzero(~done & (before >= k - 1))
+        words = np.flatnonzero(~done & (grams.before >= k - 1))
         starts = words - (k - 1)
         found = at[k][starts] >= (min_count if k > 1 else 1)
         hit = words[found]
@@ -95,18 +92,23 @@ def score_documents(df: DataFrame, order: int = 3, min_count: int = 2, backoff:
                        ("mean_log_score", T.DoubleType()))
 
     def request(group: pa.Table) -> list[dict]:
-        grams = Grams(one(group.column("text")), order)
-        return [row for k, counts in enumerate(grams.counts)
-                for row in exchange.requests(k, grams.keys[k], lambda a, b: exchange.planes(counts[a:b]), buckets)]  # noqa: B023
+        rows: list[dict] = []
+        for k, _, keys, _, counts in Grams(one(group.column("text"))).orders(order):
+            rows += exchange.requests(k, keys, lambda a, b: exchange.planes(counts[a:b].astype(np.int64)), buckets)  # noqa: B023
+        return rows
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(one(group.column("text")), order)
-        counts = [np.concatenate([np.zeros(0, dtype=np.int64), *map(exchange.unplane, exchange.answers_of(answers, k))])
-                  for k in range(order + 1)]
+        grams, at = Grams(one(group.column("text"))), []
+        for k, places, _, which, _ in grams.orders(order):
+            counts = [exchange.unplane(x) for x in exchange.answers_of(answers, k)]
+            here = np.zeros(grams.n, dtype=np.int64)
+            if grams.n:
+                here[places] = np.concatenate(counts)[which] if len(places) else 0
+            at.append(here)
         words = np.diff(grams.bounds)
         score = np.zeros(len(words))
         if grams.n:  # each document by itself, so that its sum depends on no other
-            score[words > 0] = np.add.reduceat(log_scores(grams, counts, order, min_count, backoff),
+            score[words > 0] = np.add.reduceat(log_scores(grams, at, min_count, backoff),
                                                grams.bounds[:-1][words > 0])
         return pa.table({"id": group.column("id"), "n_words": pa.array(words), "log_score": pa.array(score),
                          "mean_log_score": pa.array(np.divide(score, words, where=words > 0, out=np.zeros(len(words))),
