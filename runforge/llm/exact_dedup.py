@@ -110,16 +110,14 @@ def exact_copies(df: DataFrame, bits_per_row: int = 64, id_col: str = "doc_id",
 def drop_copies(df: DataFrame, bits_per_row: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with the columns of ``df``; unique rows do not shuffle."""
     digest, known = _filtered(df, bits_per_row, id_col, text_col)
-    kept = (_copies(digest, known, id_col).where("group_size > 1 and kept")
-            .select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_same")).distinct())
-    lost = (_copies(digest, known, id_col).where("group_size > 1")
-            .select(F.col("text_sha256").alias("_same")).distinct())
+    # one row a document that has copies; with the id in the key a hot group spreads over all tasks
+    found = materialize(_copies(digest, known, id_col).where("group_size > 1")
+                        .groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_same")).agg(F.max("kept").alias("_kept")),
+                        "copies")
     own = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"),
                     F.sha2(normalised(whole_text(text_col)), 256).alias("_sha"))
     rows = probed(own, known)
-    straight, maybe = rows.where(~F.col("_maybe")), rows.where("_maybe")
-    same = F.col("_sha") == F.col("_same")
-    unique = maybe.join(lost, same, "left_anti")
-    firsts = (maybe.join(kept, same & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-              .dropDuplicates(["_doc", "_sha"]))
-    return straight.unionByName(unique).unionByName(firsts).select("_row.*")
+    member = (F.col("_sha") == F.col("_same")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    stay = (rows.where("_maybe").join(found, member, "left").where("_kept is null or _kept")
+            .dropDuplicates(["_doc", "_sha"]))
+    return rows.where(~F.col("_maybe")).select("_row.*").unionByName(stay.select("_row.*"))
