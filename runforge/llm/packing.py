@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from runforge.llm.common import blocks, id_and_text, one, prepare, ragged, resource, schema_of, words_of
 
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_500_000
+#: Words whose ids a worker remembers, in two generations: about 100 MB.
+REMEMBERED = 400_000
 
 
 class WordEncoder:
@@ -49,6 +49,7 @@ class WordEncoder:
         self.marker, self.separator = marker, separator
         self.between = self.tokenizer.token_to_id(separator)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # byte-level vocabularies write a byte that is no printable character as 256 and on
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
@@ -79,13 +80,15 @@ class WordEncoder:
                 self.known[word] = ids[a:b].tobytes()
 
     def words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED // 2:  # words that go on occurring come back from the older half
+            self.older, self.known = self.known, {}
         found = list(map(self.known.get, words))
         if missing := [i for i, x in enumerate(found) if x is None]:
             # a mark after a letter is a token of its own
             ended = {w for w in map(words.__getitem__, missing) if w[-1:] in (".", ",") and "a" <= w[-2:-1] <= "z"}
             new = {w[:-1] for w in ended} | {w[-1] for w in ended} | {words[i] for i in missing} - ended
+            again = {w: x for w in new if (x := self.older.get(w)) is not None}
+            self.known.update(again)
             self._learn([w for w in new if w not in self.known])
             for word in ended:
                 self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
@@ -190,7 +193,7 @@ def pack(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2,
             first, held = first + len(capacities(int(bounds[-1]), capacity)), []
             return out
 
-        for block in blocks(batches, 12 << 20):
+        for block in blocks(batches, 6 << 20):
             ids, bounds = code.encode(one(block.column(1)))
             lengths = np.diff(bounds)
             closed = np.full(len(ids) + len(lengths), end_id, dtype=np.uint32)  # the end stays where no id goes
