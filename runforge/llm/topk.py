@@ -8,8 +8,11 @@ it, and of those equal to it the smallest ids of each block, and a ranking over
 few rows breaks the ties.
 
 A block of queries times a block of candidates is scored as a matrix product, and
-only histograms (``bins`` counts a query) and winners leave a task. Queries are copied
-to each candidate block, which is the work asked for: all queries against all rows.
+only counts and winners leave a task. Of a query's histogram a task holds the non-zero
+bins down to the one where its own candidates reach the k-th place (k at most), adds up
+those of all its pairs of blocks, and Spark sums the rows (query, bin, count) of all
+tasks. Queries are copied to each candidate block, which is the work asked for: all
+queries against all rows.
 
 Components are ``floor(scale * x)`` with x as double; scores are exact integer inner
 products (components up to 2^26 or so in size).
@@ -34,6 +37,8 @@ from runforge.session import materialize
 
 #: Bits of the score that one pass settles.
 PASS_BITS = 9
+#: Bins that a task holds between two pairs of blocks.
+HELD = 1 << 21
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -84,6 +89,16 @@ def pairs(batches: Iterator[pa.RecordBatch]):
                 np.frombuffer(r["wanted"], dtype=np.int64), other, s, valid
 
 
+def leading(counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, count) of each query's non-zero bins from the top down to where ``wanted`` scores are reached.
+
+    Its k-th best score over all candidates is in none of the bins below.
+    """
+    over = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
+    at = np.flatnonzero((counts > 0) & (over < wanted[:, None]))
+    return at, counts.ravel()[at]
+
+
 def search(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, query_block: int = 512,
            candidate_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best candidates of each query, its own id left out.
@@ -132,26 +147,32 @@ def _refined(state: DataFrame, met: DataFrame, low: int, step: int, top: int, la
     bins = 1 << step
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-
-        def flush() -> pa.RecordBatch:
-            keys = list(held)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([q for q, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.int32()),
-                 pa.array([x.astype(np.int64).tobytes() for x in held.values()], pa.binary())], names=["q", "dim", "counts"])
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (q, dim), (at, n) in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), q)), pa.array(np.full(len(at), dim, dtype=np.int32)),
+                     pa.array((at // bins).astype(np.int32)), pa.array((at % bins).astype(np.int32)), pa.array(n)],
+                    names=["q", "dim", "query", "bin", "n"])
             held.clear()
-            return out
 
-        for key, ids, prefix, _, _, s, valid in pairs(batches):
+        entries = 0
+        for key, ids, prefix, wanted, _, s, valid in pairs(batches):
             shifted = (s + top) >> low
             valid &= (shifted >> step) == prefix[:, None]
             at = (np.arange(len(ids))[:, None] * bins + (shifted & (bins - 1)))[valid]
             found = np.bincount(at, minlength=len(ids) * bins)
-            held[key] = held[key] + found if key in held else found
-            if len(held) >= 16:
-                yield flush()
-        if held:
-            yield flush()
+            if key in held:
+                at, n = held[key]
+                found[at] += n
+                entries -= len(at)
+            held[key] = leading(found.reshape(len(ids), bins), wanted)
+            entries += len(held[key][0])
+            if entries > HELD:
+                yield from flush()
+                entries = 0
+        yield from flush()
 
     def settle(own: pa.Table, counted: pa.Table) -> pa.Table:
         if not own.num_rows:
@@ -159,8 +180,7 @@ def _refined(state: DataFrame, met: DataFrame, low: int, step: int, top: int, la
         r = own.to_pylist()[0]
         prefix, wanted = (np.frombuffer(r[c], dtype=np.int64) for c in ("prefix", "wanted"))
         counts = np.zeros((len(prefix), bins), dtype=np.int64)
-        for x in counted.column("counts"):
-            counts += np.frombuffer(x.as_py(), dtype=np.int64).reshape(counts.shape)
+        counts[np.asarray(one(counted.column("query"))), np.asarray(one(counted.column("bin")))] = one(counted.column("n"))
         above = np.cumsum(counts[:, ::-1], axis=1)  # scores in the topmost bins
         j = np.argmax(above >= wanted[:, None], axis=1)
         few = above[:, -1] < wanted  # not enough scores: the lowest bin, so that all are kept
@@ -170,7 +190,8 @@ def _refined(state: DataFrame, met: DataFrame, low: int, step: int, top: int, la
         return pa.Table.from_pylist([r], schema=pa.schema(
             [("q", pa.int64()), ("dim", pa.int32())] + [(c, pa.binary()) for c in ("q_ids", "q_m", "prefix", "wanted")]))
 
-    counted = met.mapInArrow(count, "q long, dim int, counts binary")
+    counted = (met.mapInArrow(count, "q long, dim int, query int, bin int, n long")
+               .groupBy("q", "dim", "query", "bin").agg(F.sum("n").alias("n")))
     return state.groupBy("q", "dim").cogroup(counted.groupBy("q", "dim")).applyInArrow(settle, layout)
 
 

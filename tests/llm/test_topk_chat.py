@@ -53,6 +53,35 @@ def test_topk_extremes(spark):
     assert sorted(map(tuple, got)) == best(same, 20)
 
 
+def shuffled(plan):
+    """Bytes that the exchanges of an executed plan have written."""
+    own = plan.metrics().get("dataSize") if plan.nodeName() == "Exchange" else None
+    below = "plan" if plan.nodeName().endswith("QueryStage") else {"AdaptiveSparkPlan": "executedPlan"}.get(plan.nodeName())
+    parts = [getattr(plan, below)()] if below else [plan.children().apply(i) for i in range(plan.children().size())]
+    return (own.get().value() if own is not None and own.isDefined() else 0) + sum(map(shuffled, parts))
+
+
+def test_topk_of_many_blocks(spark, monkeypatch):
+    """25 query blocks against 40 candidate blocks: their histograms meet as sums, not one by one."""
+    moved, write = [], topk.materialize
+
+    def spy(df, name):
+        if df.columns[-2:] == ["prefix", "wanted"]:
+            df.collect()
+            moved.append(shuffled(df._jdf.queryExecution().executedPlan()))
+        return write(df, name)
+
+    monkeypatch.setattr(topk, "materialize", spy)
+    rows = [(i, [math.sin(i * d + d) for d in range(1, 9)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for held in (1 << 21, 500):
+        monkeypatch.setattr(topk, "HELD", held, raising=False)
+        got = topk.search(df, F.col("id") % 20 == 0, 20, 64, 2, 25).collect()
+        assert sorted(map(tuple, got)) == best(rows, 20)
+    print("bytes", moved)  # dense histograms, at 8 bytes a bin, are 8 MB
+    assert len(moved) > 2 and max(moved) < 2e6
+
+
 NASTY = ["", "plain", "</turn>", "</turn>\n", r"<\/turn>", r"<\\/turn>", "### ", r"#\## x", "#### ", "### ### user\n", "<</turn>>", "\n### user\nhi</turn>\n",
          "\\", "\\\\", "a\n\nb", "é🙂 ### Assistant: ", r"\### Assistant: </turn> ok", "##", "# ", "</turn", ">"]
 
