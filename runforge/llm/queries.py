@@ -86,7 +86,7 @@ def op4_chat_formatting(spark, sf_dir):
 
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark, sf_dir):
-    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), word_runs=True)
     return done.select("doc_id", "_spans.n_sentences", "_spans.n_removed", "_spans.removed_chars", "_spans.first_ids", "text")
 
 

@@ -1,4 +1,4 @@
-"""Substring dedup: sentences that lie in a repeated run of sentences are removed.
+"""Substring dedup: repeated runs of sentences and repeated runs of words are removed.
 
 A text is cut into sentences, after ``.``, ``!`` or ``?`` before white space, and at
 line breaks. A span is a shortest run of consecutive sentences with at least
@@ -8,7 +8,15 @@ shortest one that ends there. Spans are compared by a 128-bit hash of their word
 The first occurrence of a span is the one of the smallest (id, sentence); all
 sentences that another occurrence covers are removed, with the white space after
 them. A repeated passage that holds a span is therefore removed everywhere but in its
-first place, whole sentences at a time, and shorter repeats stay.
+first place, whole sentences at a time.
+
+A repeat need not hold whole sentences: it may begin and end within some, lie next to
+an edited word or in a text without sentence ends. With ``word_runs`` (as the
+registered query has it) runs of ``long_words`` words are compared too, wherever they begin; of every ``DRAWN`` that follow each other the one
+of least hash, so that equal passages give equal runs. All words that a run covers
+outside its first place are removed, with the white space after them. A passage of
+``long_words + DRAWN - 1`` words that stands elsewhere always holds such a run, and
+less than ``DRAWN`` words of it stay at each edge. Other shorter repeats stay.
 
 Chunks ask for their distinct spans once (see ``exchange``), so that a passage that
 every document holds is one entry a chunk, not one a document. Texts shuffle once.
@@ -22,6 +30,7 @@ result; a text of one sentence is a span if it has ``long_words`` words.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +44,9 @@ from runforge.llm.common import mix, one, prepare, whole_text
 #: What ends a sentence, with the white space after it.
 END = re.compile(r"[.!?]\s+|\n\s*")
 BASE = 0x9E3779B97F4A7C15
+WORD = re.compile(r"\S+")
+#: Of so many runs of words that follow each other one is compared.
+DRAWN = 11
 INVERSE = pow(BASE, -1, 1 << 64)
 #: What a chunk says of a span beside its low hash: the high hash and its first place here.
 PLACE = np.dtype([("high", "<u8"), ("id", "<i8"), ("at", "<i4")])
@@ -69,10 +81,31 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, dtype=np.uint64)]), dtype=np.uint64)
 
 
+class Runs:
+    """Occurrences of runs in a chunk's texts: document, first and last unit, two 64-bit hashes."""
+
+    def __init__(self, ids: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.ids, self.doc, self.first, self.last, self.low, self.high = ids, doc, first, last, low, high
+        # occurrences in order of hash, then place; the first of each hash starts a group
+        self.order = np.lexsort((self.first, self.ids[self.doc], self.high, self.low))
+        lo, hi = self.low[self.order], self.high[self.order]
+        self.starts = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[:len(lo)])
+        self.group = np.cumsum(np.bincount(self.starts, minlength=len(lo))[:len(lo)]) - 1
+
+    def keys(self) -> np.ndarray:
+        return self.low[self.order[self.starts]]
+
+    def places(self) -> np.ndarray:
+        firsts = self.order[self.starts]
+        out = np.zeros(len(firsts), dtype=PLACE)
+        out["high"], out["id"], out["at"] = self.high[firsts], self.ids[self.doc[firsts]], self.first[firsts]
+        return out
+
+
 class Spans:
-    """The spans of a chunk's texts: document, first and last sentence, two 64-bit hashes."""
+    """A chunk's texts cut into sentences, and their spans and word runs."""
 
-    def __init__(self, group: pa.Table, rule: tuple[int, int, int]):
+    def __init__(self, group: pa.Table, rule: tuple[int, int, int], word_runs: bool):
         from xxhash import xxh3_128_intdigest, xxh64_intdigest
         texts = one(group.column("text")).to_pylist()
         self.cuts = [cut(x) for x in texts]
@@ -80,9 +113,13 @@ class Spans:
         self.ids = np.array([np.uint64(xxh64_intdigest(t)).astype(np.int64) if i is None else i
                              for i, t in zip(ids, texts)], dtype=np.int64)
         found, low, high, mask = [], [], [], (1 << 64) - 1
+        words: list[str] = []
+        self.sizes = []  # words of each sentence
         for d, sentences in enumerate(self.cuts):
             split = [x.split() for x in sentences]
-            a, b = minimal_runs(np.fromiter(map(len, split), dtype=np.int64, count=len(split)), *rule)
+            self.sizes.append(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
+            words += chain.from_iterable(split) if word_runs else ()
+            a, b = minimal_runs(self.sizes[-1], *rule)
             if not len(a):
                 continue
             whole = [xxh3_128_intdigest(" ".join(x)) for x in split]
@@ -93,20 +130,32 @@ class Spans:
                 out.append(mix((sums[b + 1] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
             found.append(np.stack([np.full(len(a), d), a, b]))
         none = np.zeros((3, 0), dtype=np.int64)
-        self.doc, self.first, self.last = np.concatenate(found, axis=1) if found else none
-        self.low = np.concatenate(low) if low else none[0].astype(np.uint64)
-        self.high = np.concatenate(high) if high else none[0].astype(np.uint64)
-        # occurrences in order of hash, then place; the first of each hash starts a group
-        self.order = np.lexsort((self.first, self.ids[self.doc], self.high, self.low))
-        lo, hi = self.low[self.order], self.high[self.order]
-        self.starts = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[:len(lo)])
-        self.group = np.cumsum(np.bincount(self.starts, minlength=len(lo))[:len(lo)]) - 1
+        doc, first, last = np.concatenate(found, axis=1) if found else none
+        self.sentences = Runs(self.ids, doc, first, last, np.concatenate(low) if low else none[0].astype(np.uint64),
+                              np.concatenate(high) if high else none[0].astype(np.uint64))
+        self.words = self.word_runs(words, rule[2])
 
-    def places(self) -> np.ndarray:
-        firsts = self.order[self.starts]
-        out = np.zeros(len(firsts), dtype=PLACE)
-        out["high"], out["id"], out["at"] = self.high[firsts], self.ids[self.doc[firsts]], self.first[firsts]
-        return out
+    def word_runs(self, words: list[str], length: int) -> Runs:
+        """Of every ``DRAWN`` runs of ``length`` words that follow each other, the one of least hash."""
+        from xxhash import xxh3_128_digest
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        halves = np.frombuffer(b"".join(map(xxh3_128_digest, coded.dictionary.to_pylist())), dtype=">u8").reshape(-1, 2)
+        index, n = np.asarray(coded.indices), max(len(words) - length + 1, 0)
+        up, down = powers(BASE, len(words)), powers(INVERSE, len(words))
+        hashes = []
+        for half in (halves[:, 1], halves[:, 0]):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(half.astype(np.uint64)[index] * up[:-1], dtype=np.uint64)])
+            hashes.append(mix((sums[length:] - sums[:-length])[:n] * down[:n]) if n else np.zeros(0, dtype=np.uint64))
+        bounds = np.cumsum([0] + [int(x.sum()) * bool(words) for x in self.sizes])
+        doc = np.repeat(np.arange(len(self.sizes)), np.diff(bounds))
+        windows = np.flatnonzero(bounds[doc + 1][:n] - np.arange(n) >= length + DRAWN - 1)
+        at = np.zeros(0, dtype=np.int64)
+        if len(windows):
+            least = np.lib.stride_tricks.sliding_window_view(hashes[0], DRAWN)
+            at = np.unique(np.concatenate([some + least[some].argmin(axis=1) for some in
+                                           (windows[k:k + 65536] for k in range(0, len(windows), 65536))]))
+        first = at - bounds[doc[at]]
+        return Runs(self.ids, doc[at], first, first + length - 1, hashes[0][at], hashes[1][at])
 
 
 def elsewhere(asked: list[tuple[np.ndarray, bytes]]) -> list[bytes]:
@@ -124,32 +173,48 @@ def elsewhere(asked: list[tuple[np.ndarray, bytes]]) -> list[bytes]:
     return [np.packbits(other[a:b]).tobytes() + ids[a:b][other[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def covered(spans: Spans, other: np.ndarray, first_ids: np.ndarray):
-    """For each document, which sentences go and the ids where their spans come first."""
-    gone = other[spans.group]
-    gone[np.setdiff1d(np.arange(len(gone)), spans.starts)] = True  # a later place in this chunk
-    home = np.where(other, first_ids, spans.ids[spans.doc[spans.order[spans.starts]]] if len(spans.starts) else 0)
-    rows = spans.order[gone]
-    sources = home[spans.group[gone]]
-    by = np.argsort(spans.doc[rows], kind="stable")
+def covered(runs: Runs, sizes: list[int], other: np.ndarray, first_ids: np.ndarray):
+    """For each document of so many units, which of them go and the ids where their runs come first."""
+    gone = other[runs.group]
+    gone[np.setdiff1d(np.arange(len(gone)), runs.starts)] = True  # a later place in this chunk
+    home = np.where(other, first_ids, runs.ids[runs.doc[runs.order[runs.starts]]] if len(runs.starts) else 0)
+    rows = runs.order[gone]
+    sources = home[runs.group[gone]]
+    by = np.argsort(runs.doc[rows], kind="stable")
     rows, sources = rows[by], sources[by]
-    bounds = np.searchsorted(spans.doc[rows], np.arange(len(spans.cuts) + 1))
-    for d, sentences in enumerate(spans.cuts):
+    bounds = np.searchsorted(runs.doc[rows], np.arange(len(sizes) + 1))
+    for d, n in enumerate(sizes):
         a, b = bounds[d], bounds[d + 1]
         if a == b:
-            yield np.zeros(len(sentences), dtype=bool), []
+            yield np.zeros(n, dtype=bool), []
             continue
-        depth = np.zeros(len(sentences) + 1, dtype=np.int64)
-        np.add.at(depth, spans.first[rows[a:b]], 1)
-        np.add.at(depth, spans.last[rows[a:b]] + 1, -1)
+        depth = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(depth, runs.first[rows[a:b]], 1)
+        np.add.at(depth, runs.last[rows[a:b]] + 1, -1)
         yield np.cumsum(depth[:-1]) > 0, np.unique(sources[a:b]).tolist()
 
 
+def without(sentence: str, gone: np.ndarray) -> str:
+    """A sentence less the words that go, each with the white space after it."""
+    starts = [m.start() for m in WORD.finditer(sentence)]
+    ends = [*starts[1:], len(sentence)]
+    return sentence[:starts[0]] + "".join(sentence[a:b] for a, b, g in zip(starts, ends, gone.tolist()) if not g)
+
+
+def kept(sentences: list[str], sizes: np.ndarray, gone: np.ndarray, words: np.ndarray) -> tuple[str, int]:
+    """What remains of a text, and the sentences that are removed or shortened."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    hit = np.diff(np.concatenate([[0], np.cumsum(words)])[bounds]) > 0
+    parts = [without(x, words[a:b]) if h else x for x, g, h, a, b in
+             zip(sentences, gone.tolist(), hit.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()) if not g]
+    return "".join(parts), int((gone | hit).sum())
+
+
 def remove_repeats(df: DataFrame, min_sentences: int = 3, min_words: int = 20, long_words: int = 40,
-                   chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   word_runs: bool = False, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with what remains of the text and a struct ``_spans``.
 
-    The id is an integer. ``_spans`` (replaced if ``df`` has it): n_sentences, n_removed, removed_chars, first_ids (the ids of the
+    With ``word_runs`` also without repeated passages inside sentences. The id is an integer. ``_spans`` (replaced if ``df`` has it): n_sentences, n_removed (in whole or part), removed_chars, first_ids (the ids of the
     documents where the removed spans come first, ascending, each once).
     """
     prepare(df.sparkSession)
@@ -167,29 +232,35 @@ def remove_repeats(df: DataFrame, min_sentences: int = 3, min_words: int = 20, l
                               ("first_ids", pa.list_(pa.int64()))])
 
     def request(group: pa.Table) -> list[dict]:
-        spans = Spans(group, rule)
-        places = spans.places()
-        return exchange.requests(0, spans.low[spans.order[spans.starts]],
-                                 lambda a, b: exchange.squeeze(places[a:b].tobytes()), buckets)
+        spans = Spans(group, rule, word_runs)
+        made = []
+        for kind, runs in enumerate((spans.sentences, spans.words)):
+            places = runs.places()
+            made += exchange.requests(kind, runs.keys(), lambda a, b: exchange.squeeze(places[a:b].tobytes()), buckets)  # noqa: B023
+        return made
 
-    def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        spans = Spans(group, rule)
-        n = len(spans.starts)
-        bounds = exchange.bucket_bounds(spans.low[spans.order[spans.starts]], buckets)
-        sizes = [x for x in np.diff(bounds).tolist() if x]
+    def told(runs: Runs, answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        bounds = exchange.bucket_bounds(runs.keys(), buckets)
+        n = len(runs.starts)
         other, ids = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
         at = 0
-        for size, data in zip(sizes, exchange.answers_of(answers, 0)):
+        for size, data in zip([x for x in np.diff(bounds).tolist() if x], exchange.answers_of(answers, kind)):
             bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=(size + 7) // 8))[:size].astype(bool)
             other[at:at + size] = bits
             ids[at:at + size][bits] = np.frombuffer(data, dtype=np.int64, offset=(size + 7) // 8)
             at += size
+        return other, ids
+
+    def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
+        spans = Spans(group, rule, word_runs)
         texts, reports = [], []
-        for sentences, (gone, firsts) in zip(spans.cuts, covered(spans, other, ids)):
-            kept = "".join(x for x, g in zip(sentences, gone.tolist()) if not g) if firsts else "".join(sentences)
-            texts.append(kept)
-            reports.append({"n_sentences": len(sentences), "n_removed": int(gone.sum()),
-                            "removed_chars": sum(map(len, sentences)) - len(kept), "first_ids": firsts})
+        by_sentence = covered(spans.sentences, [len(x) for x in spans.cuts], *told(spans.sentences, answers, 0))
+        by_word = covered(spans.words, [int(x.sum()) for x in spans.sizes], *told(spans.words, answers, 1))
+        for sentences, sizes, (gone, firsts), (words, more) in zip(spans.cuts, spans.sizes, by_sentence, by_word):
+            text, removed = kept(sentences, sizes, gone, words) if firsts or more else ("".join(sentences), 0)
+            texts.append(text)
+            reports.append({"n_sentences": len(sentences), "n_removed": removed,
+                            "removed_chars": sum(map(len, sentences)) - len(text), "first_ids": sorted({*firsts, *more})})
         return pa.table({"row": group.column("row"), "text": pa.array(texts, pa.string()),
                          "spans": pa.array(reports, arrow_report)})
 

@@ -10,7 +10,7 @@ import pytest
 from brute import LONG, PASSAGE, ROWS, groups, lm_scores, remove_repeats, simhash, words
 from pyspark.sql import functions as F
 
-from runforge.llm import exact_dedup, lm_scoring, packing, pieces, quality, simhash as sh, substring_dedup, token_counts
+from runforge.llm import exact_dedup, lm_scoring, packing, pieces, quality, queries, simhash as sh, substring_dedup, token_counts
 from runforge.llm.common import resource
 
 SF001, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -150,6 +150,41 @@ def test_substring_dedup(odd, none, docs):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def longest_shared(texts, n=50):
+    """Places of runs of ``n`` words that an earlier text or place holds too."""
+    seen, again = set(), 0
+    for t in texts:
+        w = t.split()
+        for i in range(len(w) - n + 1):
+            run = tuple(w[i:i + n])
+            again += run in seen
+            seen.add(run)
+    return again
+
+
+def test_substring_dedup_within_sentences(spark, tmp_path):
+    """Passages of 50 words and more inside other sentences, next to edits and without sentence ends."""
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    inside, plain, long = some(50), some(60), some(38) + ". " + some(38)
+    rows = [(1, f"{some(5)} {inside} {some(4)}. End."), (2, f"Begin. {some(7)}\xa0 {inside}  {some(3)} last."), (3, f"{some(300)} {plain} {some(300)}"),
+            (4, f"{some(20)} {plain} {some(900)}"), (5, f"One {long} two. {some(9)}"), (6, f"\n Other {long} too. {some(9)}"),
+            (7, some(49)), (8, f"{plain}, {plain}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for done in (queries.QUERIES["op5_substring_dedup"](spark, str(tmp_path)),
+                 substring_dedup.remove_repeats(df, word_runs=True, chunk_bytes=100).select("*", "_spans.*")):
+        got = {r.doc_id: r for r in done.collect()}
+        assert longest_shared([t for _, t in rows]) > 20 and longest_shared([r.text for r in got.values()]) == 0
+        assert all(got[i].text == t and not got[i].first_ids for i, t in rows if i in (1, 3, 5, 7))
+        assert [got[i].first_ids for i in (2, 4, 6, 8)] == [[1], [3], [5], [3]]
+        for i, t in rows:
+            own, own_kept = t.split(), got[i].text.split()
+            assert len(own) - len(own_kept) <= 130 and got[i].removed_chars == len(t) - len(got[i].text)
+            left = iter(own)
+            assert all(w in left for w in own_kept)  # in their order
+
+
 def test_token_counts(odd, none):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=resource("piece_bpe_32k.model"))
