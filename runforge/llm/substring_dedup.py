@@ -175,8 +175,9 @@ def elsewhere(asked: list[tuple[np.ndarray, bytes]]) -> list[bytes]:
 
 def covered(runs: Runs, sizes: list[int], other: np.ndarray, first_ids: np.ndarray):
     """For each document of so many units, which of them go and the ids where their runs come first."""
-    gone = other[runs.group]
-    gone[np.setdiff1d(np.arange(len(gone)), runs.starts)] = True  # a later place in this chunk
+    firsts = runs.order[runs.starts][runs.group]
+    # another place in this chunk; rows of one id have one first place
+    gone = other[runs.group] | (runs.ids[runs.doc[runs.order]] != runs.ids[runs.doc[firsts]]) | (runs.first[runs.order] != runs.first[firsts])
     home = np.where(other, first_ids, runs.ids[runs.doc[runs.order[runs.starts]]] if len(runs.starts) else 0)
     rows = runs.order[gone]
     sources = home[runs.group[gone]]

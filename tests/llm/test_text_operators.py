@@ -185,6 +185,16 @@ def test_substring_dedup_within_sentences(spark, tmp_path):
             assert all(w in left for w in own_kept)  # in their order
 
 
+def test_substring_dedup_of_repeated_rows(spark):
+    """Rows of one id, or of no id and one text, keep a passage's first place, in one chunk and in two."""
+    rows = [(1, PASSAGE), (1, PASSAGE), (2, "Start. " + PASSAGE), (None, PASSAGE[::-1]), (None, PASSAGE[::-1])]
+    for parts, size in ((1, 1 << 20), (5, 1)):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        for word_runs in (False, True):
+            got = substring_dedup.remove_repeats(df, word_runs=word_runs, chunk_bytes=size).select("doc_id", "text").collect()
+            assert sorted(map(str, map(tuple, got))) == sorted(map(str, [*rows[:2], (2, "Start. "), *rows[3:]]))
+
+
 def test_token_counts(odd, none):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=resource("piece_bpe_32k.model"))
