@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runforge.llm import (chat, exact_dedup, lm_scoring, packing, pieces, quality, simhash, substring_dedup,
+from runforge.llm import (chat, exact_dedup, filter_audit, lm_scoring, packing, pieces, quality, simhash, substring_dedup,
                           token_counts, topk)
 from runforge.llm.common import prepare, table
 
@@ -123,3 +123,37 @@ def op9_simhash(spark, sf_dir):
 @query("op10_token_counts")
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
+
+
+@query("op11_filter_audit", r"""
+WITH l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+           FROM labels GROUP BY doc_id),
+     w AS (SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     m AS (SELECT coalesce(source, '') AS part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                  CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END
+                  + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+                  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+                  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                  + CASE WHEN min(w.doc_id) OVER (PARTITION BY t) < w.doc_id THEN 16 ELSE 0 END AS fails
+           FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+     c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+     f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+     o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+           FROM f a JOIN f b ON b.x <> a.x JOIN f c ON c.x NOT IN (a.x, b.x) JOIN f d ON d.x NOT IN (a.x, b.x, c.x)
+           JOIN f e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+     s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS before
+           FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+     r AS (SELECT part, filter_order, step, bit,
+                  sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                  sum(CASE WHEN fails & before = 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS removed,
+                  sum(CASE WHEN fails & before <> 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS redundant,
+                  sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+                  sum(CASE WHEN fails & before = 0 AND fails & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+                  sum(CASE WHEN fails & before = 0 AND fails & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+           FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r""")
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(filter_audit.postings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
