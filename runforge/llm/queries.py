@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runforge.llm import (chat, exact_dedup, filter_audit, lm_scoring, packing, pieces, quality, simhash, substring_dedup,
+from runforge.llm import (chat, conversation_repair, exact_dedup, filter_audit, lm_scoring, packing, pieces, quality, simhash, substring_dedup,
                           token_counts, topk)
 from runforge.llm.common import prepare, table
 
@@ -157,3 +157,9 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 FROM r""")
 def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit(filter_audit.postings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    own = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(own, conversation_repair.damage(own))
