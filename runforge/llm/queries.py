@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runforge.llm import (chat, conversation_repair, exact_dedup, filter_audit, lm_scoring, packing, pieces, quality, simhash, substring_dedup,
+from runforge.llm import (chat, conversation_repair, exact_dedup, filter_audit, html_text, lm_scoring, packing, pieces, quality, simhash, substring_dedup,
                           token_counts, topk)
 from runforge.llm.common import prepare, table
 
@@ -163,3 +163,8 @@ def op11_filter_audit(spark, sf_dir):
 def op12_conversation_repair(spark, sf_dir):
     own = table(spark, sf_dir, "conversations")
     return conversation_repair.repair(own, conversation_repair.damage(own))
+
+
+@query("op13_html_extraction")
+def op13_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
