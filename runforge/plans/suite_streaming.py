@@ -13,6 +13,7 @@ from runforge.plans.oracle_views import with_views
 from runforge.plans.registry import register, rounded
 from runforge.plans.suite_runlog import rsel
 from runforge.sources import fixtures as X
+from runforge.sources import growing as G
 from runforge.sources.logs import scratch_dir
 from runforge.streaming import steplog as T
 
@@ -54,6 +55,47 @@ def t1(spark, sf):
     return rounded(out.select(F.col("run_id").cast("bigint").alias("run_id"), "step", "task", "loss", "num_tokens"))
 
 
+def _append(lines, root, until=None):
+    """One ``log.jsonl`` a run, up to the middle of the line of step ``until``; what is there stays and grows."""
+    whole = F.concat("value", F.lit("\n"))
+    if until is None:
+        pieces = lines.withColumn("piece", whole)
+    else:
+        half = F.expr("substring(value, 1, length(value) div 2)")
+        pieces = lines.where(F.col("step") <= until).withColumn("piece", F.when(F.col("step") == until, half).otherwise(whole))
+
+    def write(batches):
+        run = file = None
+        for rows in batches:
+            for own, piece in zip(rows["run_id"], rows["piece"]):
+                if own != run:
+                    if file:
+                        file.close()
+                    store, folder = G.open_store(f"{root}/{own}")
+                    store.create_dir(folder)
+                    run, file = own, store.open_output_stream(f"{folder}/log.jsonl")
+                file.write(piece.encode())
+        if file:
+            file.close()
+        yield from ()
+
+    ordered = pieces.select("run_id", "step", "piece").repartition("run_id").sortWithinPartitions("run_id", "step")
+    ordered.mapInPandas(write, "run_id long").write.format("noop").mode("overwrite").save()
+
+
+@register("T1b_stream_growing_log", with_views("steps") + rsel("""
+SELECT run_id, step, task, loss, num_tokens FROM steps""", "loss"))
+def t1b(spark, sf):
+    """One log a run, read while it ends in mid-line, and from the same checkpoint once it has grown."""
+    root, sink, ckpt = (scratch_dir(spark, f"t1b-{x}") for x in ("in", "out", "ckpt"))
+    lines = _lines(spark, sf)
+    for until in (ROTATE_AT, None):
+        _append(lines, root, until)
+        T.run_available(G.stream_growing_log(spark, root, partition_bytes=1 << 17), sink, ckpt)
+    out = spark.read.parquet(sink)
+    return rounded(out.select(F.col("run_id").cast("bigint").alias("run_id"), "step", "task", "loss", "num_tokens"))
+
+
 @register("T2_stream_totals", with_views("steps") + rsel("""
 SELECT run_id, task, count(*) AS steps, CAST(sum(num_tokens) AS BIGINT) AS total_tokens
 FROM steps GROUP BY run_id, task"""))

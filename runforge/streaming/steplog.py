@@ -2,8 +2,8 @@
 
 Contract (T1): a run writes its log as rotated, immutable part files under
 ``<root>/run_id=<id>/``. The file source lists new files per micro-batch; a
-file appended to after it was ingested is not read again, so a growing single
-file is not supported.
+file appended to after it was ingested is not read again. For one file a run that
+grows, take ``sources.growing.stream_growing_log``; all operators here work on either.
 """
 
 from __future__ import annotations
