@@ -290,7 +290,7 @@ def tokenised(pages: DataFrame) -> DataFrame:
 
 
 def token_vectors(tokens: DataFrame) -> DataFrame:
-    """(host, token, markup, pages, total, f0..f3): sums over pages; token 0 counts the pages."""
+    """(host, token, markup, pages, total, f0..f3): sums over pages."""
     names = ["host", "token", "markup", "pages", "total", "f0", "f1", "f2", "f3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +305,6 @@ def token_vectors(tokens: DataFrame) -> DataFrame:
         for batch in batches:
             for host, page, own, markup in zip(*[batch.column(k).to_pylist() for k in range(4)]):
                 counts, seen = Counter(zip(own, map(int, markup))), {}
-                counts[0, 1] = 1
                 for (token, element), n in counts.items():
                     if n not in seen:
                         h = xxh3_128_intdigest(page + str(n).encode())
@@ -325,11 +324,12 @@ def token_vectors(tokens: DataFrame) -> DataFrame:
     return rows.groupBy("host", "token", "markup").agg(*[F.sum(c).alias(c) for c in names[3:]])
 
 
-def classes(vectors: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, tokens): a row a host with its frequent tokens as (token, class, size, markup, once)."""
+def classes(tokens: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, tokens): a row a host of :func:`tokenised` pages with its frequent tokens as (token, class, size, markup, once)."""
     vector = ["pages", "total", "f0", "f1", "f2", "f3"]
-    sizes = vectors.where("token = 0").select("host", F.col("pages").alias("n")).where(F.col("n") >= min_pages)
-    often = vectors.where("token <> 0").join(sizes, "host").where("2 * pages >= n")
+    # a stored table: its size is known before the join is planned, so vectors are not dealt by host where it is small
+    sizes = materialize(tokens.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages), "hosts")
+    often = token_vectors(tokens).join(sizes, "host").where("2 * pages >= n")
     grouped = (often.groupBy("host", "n", *vector).agg(F.collect_list(F.struct("token", "markup")).alias("own"))
                .withColumn("class", F.xxhash64(*vector)))
     each = grouped.select("host", "class", F.size("own").alias("size"), ((F.col("pages") == F.col("n")) & (F.col("total") == F.col("n"))).alias("once"),
@@ -421,7 +421,7 @@ TEMPLATE = T.StructType([T.StructField("host", T.LongType()), T.StructField("mai
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, main, texts, classes): a stored row for each host with a template; ``host`` is a hash."""
     tokens = tokenised(pages)
-    known = materialize(classes(token_vectors(tokens), min_pages), "classes")
+    known = materialize(classes(tokens, min_pages), "classes")
 
     def run(key: tuple, told: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if own.empty:

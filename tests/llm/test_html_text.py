@@ -94,7 +94,7 @@ def test_classes_are_equal_vectors(spark):
             if groups:
                 want[host] = {frozenset(g) for g in groups.values()}
     got = {}
-    for r in ht.classes(ht.token_vectors(ht.tokenised(pages)), min_pages=4).collect():
+    for r in ht.classes(ht.tokenised(pages), min_pages=4).collect():
         groups = defaultdict(set)
         for t in r.tokens:
             groups[t["class"]].add(t["token"])
