@@ -13,6 +13,8 @@ from runforge.plans.oracle_views import with_views
 from runforge.plans.registry import register, rounded
 from runforge.plans.suite_runlog import rsel
 from runforge.sources import fixtures as X
+from runforge.sources import tensor_files as TF
+from runforge.sources.logs import scratch_dir
 
 
 def _model(spark, sf, name):
@@ -172,3 +174,70 @@ SELECT model, parameters,
 FROM (SELECT model, CAST(sum(numel) AS BIGINT) AS parameters FROM manifests WHERE trainable GROUP BY model)"""))
 def k9(spark, sf):
     return K.model_size(X.manifests(spark, sf))
+
+
+# ---------------------------------------------------------------- stored models
+def _stored_models(spark, sf):
+    """The models as tensor files: matrices, and per matrix a flat bias (its last row); model c stores layer.3 as float16."""
+    mm = X.model_matrices(spark, sf).withColumn("flat", F.lit(False))
+    biases = mm.groupBy("model", "matrix_id").agg(F.max_by("vec", "row_id").alias("vec")).select(
+        "model", F.regexp_replace("matrix_id", "weight$", "bias").alias("matrix_id"), F.lit(0).cast("long").alias("row_id"), "vec",
+        F.lit(True).alias("flat"))
+    half = (F.col("model") == "c") & (F.col("matrix_id") == "layer.3.intermediate.dense.weight")
+    root = scratch_dir(spark, "models")
+    TF.write_tensors(mm.unionByName(biases).withColumn("dtype", F.when(half, "float16").otherwise("float32")), root, shard_bytes=1 << 20)
+    return root
+
+
+@register("K6b_manifest_of_files", with_views("manifests") + rsel("""
+SELECT model, name, array_to_string(shape, ',') AS shape, dtype, numel FROM manifests"""))
+def k6b(spark, sf):
+    """Names, shapes and types from the files' headers alone."""
+    m = TF.read_manifest(spark, _stored_models(spark, sf))
+    return m.select("model", "name", F.array_join("shape", ",").alias("shape"), "dtype", "numel")
+
+
+@register("K7c_diff_stored_models", with_views("manifests") + _MODEL_D + _diff_sql("ma", "md"))
+def k7c(spark, sf):
+    """Two stored models compared by name, shape and type (the second is given the tensors it lacks)."""
+    m = TF.read_manifest(spark, _stored_models(spark, sf))
+    a = m.where(F.col("model") == "a")
+    return _diff_out(K.diff_manifests(a, m.where(F.col("model") == "c").unionByName(a.where(F.col("name").startswith("layer.9.")))))
+
+
+_DENSE = """, dense AS (SELECT model, matrix_id, row_number() OVER (PARTITION BY model, matrix_id ORDER BY row_id) - 1 AS row_id, vec
+FROM model_matrices)"""
+
+
+@register("K8b_average_stored_models", with_views("model_matrices") + _DENSE + rsel("""
+SELECT a.matrix_id, a.row_id, CAST(i - 1 AS INTEGER) AS dim,
+       CAST(CAST(a.vec[i] AS DOUBLE) * 0.3 + 0.5 * CAST(b.vec[i] AS DOUBLE) AS FLOAT) AS value
+FROM (SELECT *, generate_subscripts(vec, 1) AS i FROM dense WHERE model = 'a') AS a
+JOIN (SELECT * FROM dense WHERE model = 'b') AS b ON a.matrix_id = b.matrix_id AND a.row_id = b.row_id""", "value"))
+def k8b(spark, sf):
+    """Averaged from files, stored as a model again and read back; only the weights of two models are read."""
+    weights = spark.createDataFrame(K.parse_weights(["a:30", "b"]), "model string, weight double, ord int")
+    averaged = K.average_matrices(TF.read_tensors(spark, _stored_models(spark, sf), ["a", "b"], ["*weight"], partition_bytes=1 << 15), weights)
+    root = scratch_dir(spark, "averaged")
+    TF.write_tensors(averaged.withColumn("model", F.lit("average")), root)
+    return rounded(TF.read_tensors(spark, root).select("matrix_id", "row_id", F.posexplode("vec").alias("dim", "value")))
+
+
+@register("K9b_stored_model_size", with_views("manifests") + rsel("""
+SELECT model, parameters,
+       CASE WHEN parameters > 1000000000 THEN printf('%.2fB', parameters / 1e9)
+            WHEN parameters > 1000000 THEN printf('%.1fM', parameters / 1e6)
+            WHEN parameters > 1000 THEN printf('%.1fK', parameters / 1e3)
+            ELSE CAST(parameters AS VARCHAR) || 'B' END AS size
+FROM (SELECT model, CAST(sum(numel) AS BIGINT) AS parameters FROM manifests GROUP BY model)"""))
+def k9b(spark, sf):
+    return K.model_size(TF.read_manifest(spark, _stored_models(spark, sf)))
+
+
+@register("K1b_matrix_stats_of_files", with_views("model_matrices") + rsel("""
+SELECT model, matrix_id, count(*) AS parameters, sqrt(sum(x * x)) AS norm, avg(x) AS mean, min(x) AS min, max(x) AS max
+FROM (SELECT model, matrix_id, CAST(unnest(vec) AS DOUBLE) AS x FROM model_matrices WHERE model <> 'c') GROUP BY model, matrix_id""",
+                                                               "norm", "mean", "min", "max"))
+def k1b(spark, sf):
+    rows = TF.read_tensors(spark, _stored_models(spark, sf), ["a", "b"], ["*weight"])
+    return rounded(K.matrix_stats(rows, ["model", "matrix_id"]))
