@@ -16,6 +16,7 @@ from runforge.sources import fixtures as X
 from runforge.sources import growing as G
 from runforge.sources.logs import scratch_dir
 from runforge.streaming import steplog as T
+from runforge.streaming import timed as TS
 
 ROTATE_AT = 1200
 
@@ -32,18 +33,18 @@ def _rotation(lines, root, first: bool):
     part.select("run_id", "value").write.mode("append").partitionBy("run_id").text(root)
 
 
-def _drive(spark, sf, name, build, mode, duplicate_first=False, between=None):
+def _drive(spark, sf, name, build, mode, duplicate_first=False, between=None, run=T.run_available):
     root, sink, ckpt = (scratch_dir(spark, f"{name}-in"), scratch_dir(spark, f"{name}-out"),
                         scratch_dir(spark, f"{name}-ckpt"))
     lines = _lines(spark, sf)
     _rotation(lines, root, True)
-    T.run_available(build(T.stream_step_log(spark, root)), sink, ckpt, mode)
+    run(build(T.stream_step_log(spark, root)), sink, ckpt, mode)
     if duplicate_first:       # a resumed run rewrites steps it had already logged
         _rotation(lines, root, True)
     _rotation(lines, root, False)
     if between:
         between()
-    T.run_available(build(T.stream_step_log(spark, root)), sink, ckpt, mode)
+    run(build(T.stream_step_log(spark, root)), sink, ckpt, mode)
     return sink
 
 
@@ -113,7 +114,7 @@ def t2b(spark, sf):
     return out.select(F.col("run_id").cast("bigint").alias("run_id"), "dataset", "total_tokens")
 
 
-@register("T3_stream_trailing", with_views("steps", "evals") + """, w AS (
+_T3 = with_views("steps", "evals") + """, w AS (
 SELECT run_id, step, step // 700 AS session,
        avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS loss_100,
        avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS loss_1000,
@@ -123,22 +124,35 @@ SELECT run_id, step, step // 700 AS session,
 """ + rsel("""
 SELECT run_id, step, loss_100, loss_1000, total_tokens, steps_seen, token_rate, e.last_eval
 FROM w JOIN (SELECT run_id, arg_max(mean, step) AS last_eval FROM evals WHERE step > 0 GROUP BY run_id) AS e USING (run_id)
-WHERE step = last_step""", "loss_100", "loss_1000", "token_rate", "last_eval"))
-def t3(spark, sf):
+WHERE step = last_step""", "loss_100", "loss_1000", "token_rate", "last_eval")
+
+
+def _trailing(spark, sf, name, live, run):
     """Losses, tokens and evals of each run after two rotations of both logs."""
-    evals, root = X.evals(spark, sf), scratch_dir(spark, "t3-evals")
+    evals, root = X.evals(spark, sf), scratch_dir(spark, f"{name}-evals")
     lines = evals.select("run_id", "step", F.to_json(F.struct("step", "mean")).alias("value"))
 
     def build(steps):
-        return T.stream_trailing(steps, T.stream_eval_log(spark, root))
+        return live(steps, T.stream_eval_log(spark, root))
 
     _rotation(lines, root, True)
-    sink = _drive(spark, sf, "t3", build, "update", between=lambda: _rotation(lines, root, False))
+    sink = _drive(spark, sf, name, build, "update", between=lambda: _rotation(lines, root, False), run=run)
     out = T.latest(spark, sink, ["run_id"])
     return rounded(out.select(F.col("run_id").cast("bigint").alias("run_id"), "step", "loss_100", "loss_1000",
                               "total_tokens", "steps_seen", "token_rate", "last_eval"))
 
 
+@register("T3_stream_trailing", _T3)
+def t3(spark, sf):
+    return _trailing(spark, sf, "t3", T.stream_trailing, T.run_available)
+
+
+@register("T3b_stream_trailing_timed", _T3)
+def t3b(spark, sf):
+    """The same from blocks in map state, which a timer would end after a day without lines."""
+    return _trailing(spark, sf, "t3b", TS.stream_trailing_timed, TS.run_timed)
+
+
 @register("T4_stream_dedup", with_views("steps") + rsel("""
 SELECT run_id, count(*) AS steps, CAST(sum(num_tokens) AS BIGINT) AS total_tokens FROM steps GROUP BY run_id"""))
 def t4(spark, sf):

@@ -144,8 +144,8 @@ def stream_eval_log(spark: SparkSession, root: str, max_files_per_trigger: int |
     return stream_step_log(spark, root, EVAL_SCHEMA, max_files_per_trigger).drop("task")
 
 
-def run_available(sdf: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available now, then stop (restartable from ``checkpoint``).
+def run_available(sdf: DataFrame, sink: str, checkpoint: str, mode: str = "append", one_batch: bool = False) -> None:
+    """Process everything available now, then stop (restartable from ``checkpoint``); ``one_batch``: in a single batch.
 
     Each micro-batch is written to its own ``batch_id=<id>`` folder of ``sink``
     with overwrite, so a retried batch replaces its own output instead of
@@ -156,7 +156,7 @@ def run_available(sdf: DataFrame, sink: str, checkpoint: str, mode: str = "appen
         batch_df.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-         .foreachBatch(write).trigger(availableNow=True).start())
+         .foreachBatch(write).trigger(**({"once": True} if one_batch else {"availableNow": True})).start())
     q.awaitTermination()
 
 
