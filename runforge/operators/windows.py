@@ -58,21 +58,22 @@ def _drop_halo(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- W1, W2, W4
-def _trailing_sums(log: DataFrame, ks, run_id: str, pos: str, chunk_rows: int) -> DataFrame:
-    """Per row and k: sum and count of the non-NaN losses among the last k rows.
+def _trailing_sums(log: DataFrame, ks, run_id: str, pos: str, chunk_rows: int, x: Column) -> DataFrame:
+    """Per row and k: sum and count of the values ``x`` that are not null among the last k rows.
 
     Positions are cut into segments of k rows. The last k rows of any row are the
     end of one segment and the beginning of the next, so their sum is a sum from
-    the segment's end plus one from its beginning: O(n) whatever k is, and nothing
-    is subtracted, so an infinite or huge loss reaches just the k rows that hold it.
+    the segment's end plus one from its beginning, and nothing is subtracted: an infinite
+    or huge loss reaches just the k rows that hold it. Either sum is a running one, the
+    one from the end along descending positions (a frame from the current row to the
+    segment's end would be added up anew for every row), so k costs nothing.
     """
     c = _chunked(log.select(run_id, pos, "loss"), run_id, pos, max(ks), chunk_rows)
-    x = _nan_null("loss")
     cols = []
     for k in ks:
-        segment = Window.partitionBy(run_id, "_rf_chunk", F.floor(F.col("_rf_pos") / k)).orderBy("_rf_pos")
-        first = segment.rowsBetween(Window.unboundedPreceding, 0)
-        rest = segment.rowsBetween(0, Window.unboundedFollowing)
+        segment = Window.partitionBy(run_id, "_rf_chunk", F.floor(F.col("_rf_pos") / k))
+        first = segment.orderBy("_rf_pos").rowsBetween(Window.unboundedPreceding, 0)
+        rest = segment.orderBy(F.col("_rf_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
         c = (c.withColumn(f"_rf_a{k}", F.coalesce(F.sum(x).over(first), F.lit(0.0)))
              .withColumn(f"_rf_b{k}", F.coalesce(F.sum(x).over(rest), F.lit(0.0)))
              .withColumn(f"_rf_c{k}", F.count(x).over(first)).withColumn(f"_rf_d{k}", F.count(x).over(rest)))
@@ -92,7 +93,7 @@ def trailing_loss(log: DataFrame, ks=(100, 1000), run_id: str = "run_id", pos: s
                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Mean of the last k losses with NaN/null dropped after taking the k
     rows; null when none is left. One column ``loss_<k>`` per k."""
-    t = _trailing_sums(log, ks, run_id, pos, chunk_rows)
+    t = _trailing_sums(log, ks, run_id, pos, chunk_rows, _nan_null("loss"))
     cols = [F.when(F.col(f"_rf_n{k}") > 0, F.col(f"_rf_s{k}") / F.col(f"_rf_n{k}")).alias(f"loss_{k}")
             for k in ks]
     return _drop_halo(t.select(run_id, pos, "loss", *cols, "_rf_halo", "_rf_chunk"))
@@ -100,8 +101,13 @@ def trailing_loss(log: DataFrame, ks=(100, 1000), run_id: str = "run_id", pos: s
 
 def rolling_mean(log: DataFrame, window: int = 1000, run_id: str = "run_id", pos: str = "step",
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``window``-row rolling mean, null until the frame holds ``window`` non-NaN values."""
-    t = _trailing_sums(log, (window,), run_id, pos, chunk_rows)
+    """``window``-row rolling mean, null unless all ``window`` losses of the frame are finite numbers.
+
+    An infinite loss counts as missing, as NaN does, here and in W3 (the rule of
+    dataframe rolling windows); W1 drops only NaN.
+    """
+    finite = F.when(F.abs(_nan_null("loss")) < float("inf"), F.col("loss"))
+    t = _trailing_sums(log, (window,), run_id, pos, chunk_rows, finite)
     out = F.when(F.col(f"_rf_n{window}") == window, F.col(f"_rf_s{window}") / F.lit(float(window)))
     return _drop_halo(t.select(run_id, pos, "loss", out.alias("rolling_mean"), "_rf_halo", "_rf_chunk"))
 
@@ -118,7 +124,7 @@ def loss_diff(log: DataFrame, run_id: str = "run_id", pos: str = "step",
 def rolling_band(log: DataFrame, window: int = 1000, smooth: int = 10, qs=(0.05, 0.95),
                  run_id: str = "run_id", pos: str = "step", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``window``-row rolling linear quantiles of loss, then a ``smooth``-row
-    mean of each (both need full frames of non-NaN values).
+    mean of each (both need full frames of finite values, see W2).
 
     A quantile per row over a 1000-row frame is O(n·w) as a SQL frame
     aggregate; here each halo chunk is one pandas frame whose rolling quantile

@@ -79,37 +79,39 @@ def w1b(spark, sf):
     return t.select("run_id", "step", shown("loss_50"), shown("loss_200"))
 
 
-@register("W2b_rolling_mean_gaps", with_views("gapped") + f"""
-SELECT run_id, step, CASE WHEN len(xs) = 30 THEN CASE WHEN list_contains(xs, CAST('inf' AS DOUBLE)) THEN 1e300
-       ELSE round(list_avg(xs), 6) END END AS rolling_mean
+@register("W2b_rolling_mean_gaps", with_views("gapped") + """
+SELECT run_id, step, CASE WHEN len(xs) = 30 THEN round(list_avg(xs), 6) END AS rolling_mean
 FROM (SELECT run_id, step, list_filter(list(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 29 PRECEDING
-               AND CURRENT ROW), lambda x: NOT isnan(x)) AS xs FROM gapped)""")
+               AND CURRENT ROW), lambda x: isfinite(x)) AS xs FROM gapped)""")
 def w2b(spark, sf):
-    t = W.rolling_mean(X.gapped(spark, sf), 30, chunk_rows=256)
-    m = F.col("rolling_mean")
-    return t.select("run_id", "step", F.when(m == float("inf"), F.lit(1e300)).otherwise(F.round(m, 6)).alias("rolling_mean"))
+    return rounded(W.rolling_mean(X.gapped(spark, sf), 30, chunk_rows=256).select("run_id", "step", "rolling_mean"))
 
 
-@register("W3b_rolling_band_gaps", with_views("gapped") + """, f AS (SELECT * FROM gapped WHERE NOT isnan(loss) AND loss < 1e9),
+@register("W3b_rolling_band_gaps", with_views("gapped") + """, f AS (
+SELECT run_id, step, CASE WHEN isfinite(loss) THEN loss END AS loss FROM gapped),
 q AS (SELECT run_id, step,
-       CASE WHEN count(loss) OVER w = 100 THEN quantile_cont(loss, 0.05) OVER w END AS q05,
-       CASE WHEN count(loss) OVER w = 100 THEN quantile_cont(loss, 0.95) OVER w END AS q95
-FROM f WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+       CASE WHEN count(loss) OVER w = 20 THEN quantile_cont(loss, 0.05) OVER w END AS q05,
+       CASE WHEN count(loss) OVER w = 20 THEN quantile_cont(loss, 0.95) OVER w END AS q95
+FROM f WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 """ + rsel("""
-SELECT run_id, step, CASE WHEN count(q05) OVER v = 10 THEN avg(q05) OVER v END AS band_q05,
-       CASE WHEN count(q95) OVER v = 10 THEN avg(q95) OVER v END AS band_q95
-FROM q WINDOW v AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""", "band_q05", "band_q95"))
+SELECT run_id, step, CASE WHEN count(q05) OVER v = 4 THEN avg(q05) OVER v END AS band_q05,
+       CASE WHEN count(q95) OVER v = 4 THEN avg(q95) OVER v END AS band_q95
+FROM q WINDOW v AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""", "band_q05", "band_q95"))
 def w3b(spark, sf):
-    s = X.gapped(spark, sf).where(~F.isnan("loss") & (F.col("loss") < 1e9))
-    return rounded(W.rolling_band(s, 100, 10, chunk_rows=256))
+    """All rows: a frame that holds a NaN or an infinity has no value, one that holds the huge loss has."""
+    return rounded(W.rolling_band(X.gapped(spark, sf), 20, 4, chunk_rows=256))
 
 
-@register("W4b_loss_diff_gaps", with_views("gapped") + """, f AS (SELECT * FROM gapped WHERE NOT isnan(loss) AND loss < 1e9)
-""" + rsel("""
-SELECT run_id, step, loss, loss - lag(loss) OVER (PARTITION BY run_id ORDER BY step) AS loss_diff FROM f""", "loss", "loss_diff"))
+@register("W4b_loss_diff_gaps", with_views("gapped") + """, d AS (
+SELECT run_id, step, loss, loss - lag(loss) OVER (PARTITION BY run_id ORDER BY step) AS loss_diff FROM gapped)
+SELECT run_id, step, """ + ", ".join(f"""CASE WHEN isnan({c}) THEN -1e299 WHEN {c} = 'inf' THEN 1e300 WHEN {c} = '-inf' THEN -1e300
+       ELSE round({c}, 6) END AS {c}""" for c in ("loss", "loss_diff")) + " FROM d")
 def w4b(spark, sf):
-    s = X.gapped(spark, sf).where(~F.isnan("loss") & (F.col("loss") < 1e9))
-    return rounded(W.loss_diff(s, chunk_rows=256))
+    """All rows; NaN and infinities are shown as numbers of their own."""
+    t, inf = W.loss_diff(X.gapped(spark, sf), chunk_rows=256), float("inf")
+    shown = lambda c: (F.when(F.isnan(c), F.lit(-1e299)).when(F.col(c) == inf, F.lit(1e300))
+                       .when(F.col(c) == -inf, F.lit(-1e300)).otherwise(F.round(c, 6)).alias(c))
+    return t.select("run_id", "step", shown("loss"), shown("loss_diff"))
 
 
 @register("W6b_token_rate_gaps", with_views("gapped") + """, t AS (
@@ -311,22 +313,41 @@ def _moved(g: int, session: str) -> str:
     return f"coalesce(list_max(list_filter(range(greatest(step - {g}, {session}), step), lambda k: (k + 1) % {g} = 0)), 0)"
 
 
+def _resumed_rates(p: dict, start: int, last: int) -> str:
+    """SQL list of (steps since ``start``, rate) at which a session's rate is new, walking its scheduler call by call."""
+    K, C, Kc = p["warmup_steps_per_period"], p["constant_steps"], p["cooldown_steps_per_period"]
+    warm = K * p["warmup_periods"]
+    rate, counter, rates = p["start_lr"], 1, [(0, p["start_lr"])]  # one call before any step
+    for call in range(start, start + last):
+        if call < warm:
+            change, new = counter >= K, rate * p["warmup_factor"]
+        elif call < warm + C:
+            change, new = counter >= C, rate
+        else:
+            change, new = counter >= Kc, max(rate / p["cooldown_factor"], p["end_lr"])
+        rate, counter = (new, 0) if change else (rate, counter + 1)
+        if rate != rates[-1][1]:
+            rates.append((call + 1 - start, rate))
+    return "[" + ", ".join(f"{{'at': {n}, 'lr': {_f(x)}}}" for n, x in rates) + "]"
+
+
 @register("W11e_lr_audit_runs", with_views("steps") + f""", r AS (
 SELECT run_id, step, num_tokens, (step // 700) * 700 AS s0 FROM steps),
 e AS (SELECT run_id, step, num_tokens, CASE run_id
   WHEN 0 THEN {_linear_sql("CAST(" + _moved(1, "s0") + " AS DOUBLE)", dict(start_lr=1e-5, peak_lr=2e-4, end_lr=1e-4, warmup_steps=500, peak_steps=1000, total_steps=3000))}
   WHEN 1 THEN {_linear_sql("CAST(" + _moved(4, "s0") + " AS DOUBLE)", dict(start_lr=1e-5, peak_lr=1e-3, end_lr=1e-6, warmup_steps=300, peak_steps=900, total_steps=2000))}
   END AS x FROM r WHERE run_id IN (0, 1)
-  UNION ALL SELECT run_id, step, num_tokens, {_exp_sql("step", _EXP_SHIPPED)} AS x FROM r WHERE run_id = 2 AND step < 700
+  UNION ALL SELECT run_id, step, num_tokens, list_filter(CASE s0 WHEN 0 THEN {_resumed_rates(_EXP_SHIPPED, 0, 700)}
+    WHEN 700 THEN {_resumed_rates(_EXP_SHIPPED, 700, 700)} ELSE {_resumed_rates(_EXP_SHIPPED, 1400, 700)} END,
+    lambda c: c.at <= step - s0)[-1].lr AS x FROM r WHERE run_id = 2
   UNION ALL SELECT run_id, step, num_tokens, NULL AS x FROM r WHERE run_id = 3)
 SELECT run_id, step, round(x * 1e6, 6) AS expected_lr_micro,
        abs(x * (CASE WHEN num_tokens % 17 = 0 THEN 1.01 ELSE 1.0 END) - x) > 1e-6 * greatest(abs(x), 1e-30) AS drift
 FROM e""")
 def w11e(spark, sf):
-    """A configuration for each run, accumulation of four steps in one, and a resume every 700 steps. (Run 2: its
-    first session only. Run 3 has no configuration.)"""
-    log = X.steps(spark, sf).withColumn("s0", (F.floor(F.col("step") / 700) * 700).cast("long")) \
-        .where((F.col("run_id") != 2) | (F.col("step") < 700))
+    """A configuration for each run, accumulation of four steps in one, and a resume every 700 steps. (Run 3 has
+    no configuration.)"""
+    log = X.steps(spark, sf).withColumn("s0", (F.floor(F.col("step") / 700) * 700).cast("long"))
     configs = spark.createDataFrame(CONFIGS, CONFIG_SCHEMA)
     expected = W.lr_audit_runs(log.withColumn("lr", F.lit(0.0)), configs, resumed="s0").select("run_id", "step", "expected_lr")
     noise = F.when(F.col("num_tokens") % 17 == 0, F.lit(1.01)).otherwise(F.lit(1.0))
