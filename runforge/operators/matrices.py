@@ -3,18 +3,21 @@
 A model is a long table (model, matrix_id, row_id, vec array<float>); a
 manifest is (model, name, shape array<int>, dtype, numel[, trainable]).
 Matrices are never gathered on the driver: statistics are aggregations,
-spectra come from per-partition Gram partials added by ``groupBy``, and the
-weighted average combines at most one row per model for each (matrix, row).
+spectra come from triangular factors that meet in a tree, and the weighted average combines at most one row per model for each (matrix, row).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runforge.functions.text import human_size
+from runforge.session import materialize
 
 
 def _cols(x) -> list:
@@ -37,74 +40,117 @@ def matrix_stats(df: DataFrame, by="matrix_id", vec: str = "vec") -> DataFrame:
 
 
 # ---------------------------------------------------------------- K2
-#: Values of Gram partials that a task holds before it emits them.
-GRAM_HELD = 1 << 23
-
-
-def _gram_partials(by: list[str], vec: str):
-    def rows(acc: dict) -> pd.DataFrame:
-        out = []
-        for key, (gram, n) in acc.items():
-            part = pd.DataFrame({"_rf_i": np.arange(gram.size + 1, dtype=np.int64) - 1,
-                                 "_rf_v": np.concatenate([[float(n)], gram.ravel()])})
-            for c, v in zip(by, key):
-                part[c] = None if pd.isna(v) else v
-            out.append(part)
-        acc.clear()
-        return pd.concat(out, ignore_index=True)
+#: Values of triangular factors that a task holds before it emits them, and of one block of a transposed matrix.
+HELD = 1 << 22
+#: Factors that meet in one step of the reduction.
+FAN_IN = 8
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """The R of a QR decomposition: a small matrix with the singular values of the rows."""
+    return np.linalg.qr(rows, mode="r") if rows.shape[0] > 1 else rows
+
+
+def _factors(df: DataFrame, by: list[str], vec: str) -> DataFrame:
+    """(by..., side, part, r): for each task and matrix the R of its rows, flat, ``side`` columns wide."""
+    keys = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes)
+
+    def key_of(values) -> tuple:
+        return tuple(None if pd.isna(k) else k for k in values)
 
     def fn(batches):
-        acc: dict = {}
+        held: dict[tuple, np.ndarray] = {}
+        number = TaskContext.get().partitionId() << 32
+
+        def made() -> pd.DataFrame:
+            nonlocal number
+            out = pd.DataFrame([{**dict(zip(by, key)), "side": r.shape[1], "part": number + k, "r": r.ravel()}
+                                for k, (key, r) in enumerate(held.items())])
+            number += len(held)
+            held.clear()
+            return out
+
         for pdf in batches:
-            for key, g in pdf.groupby(by, sort=False, dropna=False):
-                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
-                m = np.stack([np.asarray(v, dtype=np.float64) for v in g[vec]])
-                gram, n = acc.get(key, (0.0, 0))
-                acc[key] = (gram + m.T @ m, n + m.shape[0])
-                if sum(x.size for x, _ in acc.values()) > GRAM_HELD:
-                    yield rows(acc)
-        if acc:
-            yield rows(acc)
-    return fn
+            for key, rows in pdf.groupby(by, sort=False, dropna=False)[vec]:
+                key = key_of(key if isinstance(key, tuple) else (key,))
+                block = np.stack([np.asarray(v, dtype=np.float64) for v in rows])
+                held[key] = _triangle(np.vstack([held[key], block]) if key in held else block)
+                if sum(r.size for r in held.values()) > HELD:
+                    yield made()
+        if held:
+            yield made()
+
+    return df.select(*by, vec).mapInPandas(fn, f"{keys}, side int, part long, r array<double>")
+
+
+def _transposed(df: DataFrame, by: list[str], vec: str) -> DataFrame:
+    """(by..., vec): the columns of matrices with fewer rows (``_rf_rows``) than columns, as rows, block by block."""
+    keys = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes)
+    width = F.greatest(F.lit(1), F.floor(F.lit(HELD) / F.col("_rf_rows"))).cast("int")
+    starts = F.sequence(F.lit(0), F.floor((F.size(vec) - 1) / width).cast("int"))
+    pieces = (df.select(*by, vec, width.alias("_rf_w"), F.explode(starts).alias("_rf_block"))
+              .select(*by, "_rf_block", F.slice(vec, F.col("_rf_block") * F.col("_rf_w") + 1, F.col("_rf_w")).alias(vec)))
+
+    def turn(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]]).T  # the order of rows does not matter
+        out = pd.DataFrame({vec: list(_triangle(columns) if columns.shape[0] > columns.shape[1] else columns)})
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out[[*by, vec]]
+
+    return pieces.groupBy(*by, "_rf_block").applyInPandas(turn, f"{keys}, {vec} array<double>")
 
 
 def spectral_stats(df: DataFrame, by="matrix_id", vec: str = "vec") -> DataFrame:
     """K2: singular values per matrix and scree_1, scree_2, mean_ratio_1, median_ratio_1.
 
-    Each task emits one d×d Gram partial (Σ rowᵀ·row, in float64) per matrix it
-    holds, plus its row count; ``groupBy`` adds the partials (d² values per
-    matrix, independent of the row count); one small symmetric eigen solve per
-    matrix gives σ = sqrt(max(λ, 0)), sorted descending, first min(n, d) kept.
-    A task holds partials of ``GRAM_HELD`` values at most, then emits them. Matrices with
-    fewer than two singular values are left out; a null key is a matrix like any other. The Gram route
-    squares the condition number: fine for well-conditioned weights, compare
-    tiny σ with an absolute tolerance.
+    A tall-skinny QR by tree reduction: each task keeps, for each matrix it holds, the
+    triangular factor R of the rows seen so far; the factors of a matrix meet ``FAN_IN`` at a time,
+    stacked and factored again, until one is left, whose singular values are the
+    matrix's (min(n, d) of them, descending). Nothing is squared, so small
+    singular values are as exact as those of a decomposition in memory. A matrix of fewer
+    rows than columns is transposed first, column block by column block, so a factor
+    has at most min(n, d)^2 values. The first factors are written once when this is called.
+
+    Matrices with fewer than two singular values are left out; a null key is a matrix like
+    any other.
     """
     by = _cols(by)
-    key_schema = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes)
-    partial = df.select(*by, vec).mapInPandas(_gram_partials(by, vec),
-                                              f"_rf_i long, _rf_v double, {key_schema}")
-    summed = partial.groupBy(*by, "_rf_i").agg(F.sum("_rf_v").alias("_rf_v"))
+    keys = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes)
+    shapes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rf_rows"), F.max(F.size(vec)).alias("_rf_columns")) \
+        .select(*[F.col(c).alias(f"_rf_{c}") for c in by], "_rf_rows", "_rf_columns")
+    shapes = materialize(shapes, "shapes")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_rf_{c}")) for c in by])
+    wide = shapes.where("_rf_rows < _rf_columns")
+    tall_rows = df.select(*by, vec).join(wide, same, "left_anti")
+    wide_rows = df.select(*by, vec).join(wide, same).select(*by, vec, "_rf_rows")
+    rs = materialize(_factors(tall_rows, by, vec).unionByName(_factors(_transposed(wide_rows, by, vec), by, vec)), "factors")
+    most = rs.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    numbered = Window.partitionBy(*by).orderBy("part")
+    rs = rs.withColumn("part", F.row_number().over(numbered) - 1)  # one row a task that holds the matrix
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = int(pdf["side"].iloc[0])
+        r = _triangle(np.vstack([np.asarray(x).reshape(-1, side) for x in pdf["r"]]))
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "side": side, "part": int(pdf["part"].iloc[0]) // FAN_IN, "r": r.ravel()}])
+
+    while most > FAN_IN:
+        rs = rs.groupBy(*by, F.floor(F.col("part") / FAN_IN)).applyInPandas(meet, f"{keys}, side int, part long, r array<double>")
+        most = -(-most // FAN_IN)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rf_i")
-        n = int(round(pdf["_rf_v"].iloc[0]))
-        flat = pdf["_rf_v"].to_numpy()[1:]
-        d = int(round(np.sqrt(len(flat))))
-        lam = np.linalg.eigvalsh(flat.reshape(d, d))
-        sv = np.sqrt(np.clip(lam, 0.0, None))[::-1][:min(n, d)]
+        side = int(pdf["side"].iloc[0])
+        sv = np.linalg.svd(_triangle(np.vstack([np.asarray(x).reshape(-1, side) for x in pdf["r"]])), compute_uv=False)
         if len(sv) < 2:
-            return pd.DataFrame(columns=[*by, "svd_values", "scree_1", "scree_2", "mean_ratio_1",
-                                         "median_ratio_1"])
+            return pd.DataFrame(columns=[*by, "svd_values", "scree_1", "scree_2", "mean_ratio_1", "median_ratio_1"])
         total, mean, med = sv.sum(), sv.mean(), np.nanmedian(sv)
         row = {c: pdf[c].iloc[0] for c in by}
         row.update(svd_values=[float(x) for x in sv], scree_1=sv[0] / total, scree_2=(sv[0] + sv[1]) / total,
                    mean_ratio_1=sv[0] / mean, median_ratio_1=sv[0] / med)
         return pd.DataFrame([row])
 
-    schema = f"{key_schema}, svd_values array<double>, scree_1 double, scree_2 double, " \
-             f"mean_ratio_1 double, median_ratio_1 double"
-    return summed.groupBy(*by).applyInPandas(solve, schema)
+    schema = f"{keys}, svd_values array<double>, scree_1 double, scree_2 double, mean_ratio_1 double, median_ratio_1 double"
+    return rs.groupBy(*by).applyInPandas(solve, schema)
 
 
 def layer_stats(df: DataFrame, by="matrix_id", vec: str = "vec") -> DataFrame:

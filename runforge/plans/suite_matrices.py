@@ -1,11 +1,12 @@
 """Checked queries for keyed-matrix and manifest operators (K1-K9).
 
-K2-K4 need an eigen solve, which SQL cannot express: they are registered
+K2-K4 need a decomposition, which SQL cannot express: on full matrices they are registered
 without oracle SQL and checked against NumPy in ``tests/test_matrices.py``.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runforge.operators import matrices as K
@@ -80,6 +81,28 @@ def k2c(spark, sf):
     return rounded(s.select("matrix_id", F.aggregate("svd_values", F.lit(0.0), lambda a, x: a + x * x).alias("squares")))
 
 
+# Pairs of rows as matrices of two rows and many columns.
+_PAIRS = """, pairs AS (SELECT matrix_id, (row_number() OVER (PARTITION BY matrix_id ORDER BY row_id) - 1) // 2 AS pair, row_id, vec FROM matrices),
+g AS (SELECT p.matrix_id, p.pair, list_inner_product(CAST(p.vec AS DOUBLE[]), CAST(p.vec AS DOUBLE[])) AS a,
+             list_inner_product(CAST(q.vec AS DOUBLE[]), CAST(q.vec AS DOUBLE[])) AS c,
+             list_inner_product(CAST(p.vec AS DOUBLE[]), CAST(q.vec AS DOUBLE[])) AS b
+      FROM pairs p JOIN pairs q ON p.matrix_id = q.matrix_id AND p.pair = q.pair AND p.row_id < q.row_id),
+sv AS (SELECT matrix_id, pair, sqrt((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2) AS s1,
+              sqrt((a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2) AS s2 FROM g)
+"""
+
+
+@register("K2d_spectral_stats_two_rows", with_views("matrices") + _PAIRS + rsel("""
+SELECT matrix_id, pair, s1, s2, s1 / (s1 + s2) AS scree_1, s1 / ((s1 + s2) / 2) AS mean_ratio_1 FROM sv""",
+                                                                             "s1", "s2", "scree_1", "mean_ratio_1"))
+def k2d(spark, sf):
+    """The short side of matrices with more columns than rows."""
+    place = F.row_number().over(Window.partitionBy("matrix_id").orderBy("row_id")) - 1
+    m = X.matrices(spark, sf).withColumn("pair", F.floor(place / 2).cast("bigint"))
+    s = K.spectral_stats(m, ["matrix_id", "pair"])
+    return rounded(s.select("matrix_id", "pair", F.col("svd_values")[0].alias("s1"), F.col("svd_values")[1].alias("s2"), "scree_1", "mean_ratio_1"))
+
+
 _K3 = ["scree_1", "scree_2", "mean_ratio_1", "median_ratio_1"]
 _K3_OUT = _K3 + [f"{r}_weighted" for r in _K3] + [f"{r}_param_mean" for r in _K3]
 

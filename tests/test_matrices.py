@@ -77,3 +77,41 @@ def test_diff_gate_same_sets_no_mismatch(spark):
     m = X.manifests(spark, SF01)
     a = m.where(F.col("model") == "a")
     assert K.diff_manifests(a, a).count() == 0
+
+
+def _rows(name, m, parts=None):
+    return [(name, i, [float(x) for x in row]) for i, row in enumerate(m)]
+
+
+def test_small_singular_values(spark, monkeypatch):
+    """Values down to 1e-10 of the largest, tall and wide, over many tasks and rounds of the reduction."""
+    rng = np.random.default_rng(5)
+    want, rows = {}, []
+    for name, (n, d) in {"tall": (700, 12), "wide": (9, 500), "square": (20, 20), None: (40, 6)}.items():
+        k = min(n, d)
+        u, v = (np.linalg.qr(rng.normal(size=(x, k)))[0] for x in (n, d))
+        m = u @ np.diag(np.logspace(0, -10, k)) @ v.T
+        want[name], rows = np.linalg.svd(m, compute_uv=False), rows + _rows(name, m)
+    df = spark.createDataFrame(rows, "matrix_id string, row_id long, vec array<double>").repartition(40, "row_id")
+    for held in (K.HELD, 300):
+        monkeypatch.setattr(K, "HELD", held)
+        got = {r.matrix_id: np.array(r.svd_values) for r in K.spectral_stats(df).collect()}
+        assert set(got) == set(want)
+        for name, sv in want.items():
+            assert len(got[name]) == len(sv)
+            assert np.all(np.abs(got[name] - sv) <= 1e-6 * sv + 2e-16), name
+
+
+def test_factors_are_bounded_by_the_short_side(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(_rows("w", rng.normal(size=(4, 30_000))), "matrix_id string, row_id long, vec array<double>")
+    turned = K._transposed(df.withColumn("_rf_rows", F.lit(4)), ["matrix_id"], "vec")
+    sizes = K._factors(turned, ["matrix_id"], "vec").select("side", F.size("r").alias("n")).collect()
+    assert all(r.side == 4 and r.n <= 16 for r in sizes)
+
+
+def test_spectra_of_few_rows(spark):
+    schema = "matrix_id string, row_id long, vec array<double>"
+    one = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("b", 0, [3.0, 0.0]), ("b", 1, [0.0, 4.0]), ("c", 0, [1.0])], schema)
+    assert [(r.matrix_id, [round(x, 9) for x in r.svd_values]) for r in K.spectral_stats(one).collect()] == [("b", [4.0, 3.0])]
+    assert K.spectral_stats(one.limit(0)).count() == 0
