@@ -103,6 +103,11 @@ def one(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
+def strings(texts: pa.Array) -> list[str]:
+    """The strings of an array without nulls (several times faster than ``to_pylist``)."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Whitespace words (runs free of ``[\\x20\\x09-\\x0D]``) of many texts at once.
 

@@ -20,6 +20,7 @@ empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from runforge.llm.common import blocks, id_and_text, one, prepare, ragged, resource, schema_of, words_of
+from runforge.llm.common import blocks, id_and_text, one, prepare, ragged, resource, schema_of, strings, words_of
 
 #: Words whose ids a worker remembers, in two generations: about 100 MB.
 REMEMBERED = 400_000
+#: ASCII marks that are a pre-token of their own behind letters (an apostrophe may begin another one).
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 class WordEncoder:
@@ -61,37 +64,54 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Adds unknown words, in ASCII lower case.
 
-        A word of Latin letters is normal, one pre-token, and goes to the vocabulary's
-        merges at once. The others are encoded many in one call, a special token between.
+        Latin letters are normal text and one pre-token, which goes to the vocabulary's merges
+        at once, and the marks behind them are another; so a word of both is its letters' ids
+        and its marks' ids. Other words are encoded many in one call, a special token between.
         """
-        merge, mixed = self.tokenizer.model.tokenize, []
+        known, merge = self.known, self.tokenizer.model.tokenize
+        mixed, marked = [], []
         for word in words:
-            low = word.lower()
-            if low.isalpha() and max(low) < "\u0250":
-                if not low.isascii():
-                    low = low.encode().decode("latin-1").translate(self.bytes)
-                self.known[word] = np.array([x.id for x in merge(low)], dtype=np.uint32).tobytes()
-            else:
+            letters = word.rstrip(MARKS)
+            if not letters.isalpha():
                 mixed.append(word)
+                continue
+            if (ids := known.get(letters)) is None:
+                shown = letters
+                if not letters.isascii():
+                    shown = letters.lower()
+                    if max(shown) >= "\u0250":
+                        mixed.append(word)
+                        continue
+                    shown = shown.encode().decode("latin-1").translate(self.bytes)
+                ids = known[letters] = array("I", [x.id for x in merge(shown)]).tobytes()
+            if len(letters) < len(word):
+                marks = word[len(letters):]
+                if (more := known.get(marks)) is not None:
+                    known[word] = ids + more
+                else:
+                    marked.append((word, ids, marks))
+                    mixed.append(marks)
+        mixed = list(dict.fromkeys(mixed))
         for k in range(0, len(mixed), 4096):
             ids = self.whole(self.separator.join(mixed[k:k + 4096]))
             cuts = np.concatenate([[-1], np.flatnonzero(ids == self.between), [len(ids)]])
             for word, a, b in zip(mixed[k:k + 4096], cuts[:-1] + 1, cuts[1:]):
                 self.known[word] = ids[a:b].tobytes()
+        for word, ids, marks in marked:
+            self.known[word] = ids + self.known[marks]
 
     def words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED // 2:  # words that go on occurring come back from the older half
             self.older, self.known = self.known, {}
         found = list(map(self.known.get, words))
         if missing := [i for i, x in enumerate(found) if x is None]:
-            # a mark after a letter is a token of its own
-            ended = {w for w in map(words.__getitem__, missing) if w[-1:] in (".", ",") and "a" <= w[-2:-1] <= "z"}
-            new = {w[:-1] for w in ended} | {w[-1] for w in ended} | {words[i] for i in missing} - ended
-            again = {w: x for w in new if (x := self.older.get(w)) is not None}
-            self.known.update(again)
-            self._learn([w for w in new if w not in self.known])
-            for word in ended:
-                self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
+            new = []
+            for i in missing:
+                if (ids := self.older.get(words[i])) is None:
+                    new.append(words[i])
+                else:
+                    self.known[words[i]] = ids
+            self._learn(new)
             for i in missing:
                 found[i] = self.known[words[i]]
         return found
@@ -101,11 +121,10 @@ class WordEncoder:
         special = np.asarray(pc.match_substring(texts, self.marker).fill_null(False))
         plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
         index, bounds, distinct = words_of(pc.ascii_lower(plain))
-        coded = self.words(distinct.to_pylist())
+        coded = self.words(strings(distinct))
         sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        ids = flat[ragged(starts[index], sizes[index])]
+        ids = flat[ragged((np.cumsum(sizes) - sizes)[index], sizes[index])]
         ends = np.concatenate([[0], np.cumsum(sizes[index])])[bounds]
         if not special.any():
             return ids, ends
