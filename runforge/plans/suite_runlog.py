@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runforge.functions.indexing import sorted_positions
+from runforge.operators import partials as P
 from runforge.operators import runlog as R
 from runforge.plans.oracle_views import with_views
 from runforge.plans.registry import register, rounded
 from runforge.sources import fixtures as X
+from runforge.sources.logs import scratch_dir
 
 
 def rsel(body: str, *cols: str) -> str:
@@ -52,6 +54,38 @@ def a3(spark, sf):
     return rounded(R.log_statistics(X.steps(spark, sf)))
 
 
+def _appended(spark, sf):
+    """The step log as part files that arrive in three appends, and its partial results after each."""
+    root, store = scratch_dir(spark, "appended"), scratch_dir(spark, "partials")
+    cols = ["step", "loss", "num_tokens", "sample_time", "forward_time", "backward_time", "optimizer_time", "step_time"]
+    lines = X.steps(spark, sf).select("run_id", "step", F.to_json(F.struct(*cols)).alias("value"))
+    for k in range(3):
+        low, high = F.col("step") >= 800 * k, F.col("step") < 800 * (k + 1)
+        lines.where(low & high if k < 2 else low).select("run_id", "value").write.mode("append").partitionBy("run_id").text(root)
+        P.update(spark, root, store)
+    return P.read(spark, store)
+
+
+@register("A3c_log_statistics_followed", with_views("steps") + rsel("""
+SELECT run_id, max(step) AS total_steps, arg_max(loss, step) AS final_loss, avg(loss) AS mean_loss,
+       stddev_samp(loss) AS std_loss, min(loss) AS min_loss, max(loss) AS max_loss,
+       avg(sample_time) AS mean_sample_time, avg(forward_time) AS mean_forward_time,
+       avg(backward_time) AS mean_backward_time, avg(optimizer_time) AS mean_optimizer_time, avg(step_time) AS mean_step_time,
+       sum(num_tokens) / 1e9 AS total_tokens_b,
+       avg(loss) FILTER (WHERE rn <= 100) AS last_100_loss_mean
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rn FROM steps)
+GROUP BY run_id""", *_A3_COLS))
+def a3b(spark, sf):
+    """A3 merged from the partial results of part files; each is read once."""
+    return rounded(P.statistics(_appended(spark, sf)).withColumn("run_id", F.col("run_id").cast("bigint")))
+
+
+@register("A8b_loss_bins_followed", with_views("steps") + """
+SELECT run_id, CAST(floor(loss / 0.25) AS BIGINT) AS bin, count(*) AS count FROM steps WHERE loss IS NOT NULL GROUP BY ALL""")
+def a8b(spark, sf):
+    return P.loss_bins(_appended(spark, sf)).select(F.col("run_id").cast("bigint").alias("run_id"), "bin", "count")
+
+
 @register("A13_compare_runs", with_views("steps") + rsel("""
 SELECT run_id, max(step) AS total_steps, arg_max(loss, step) AS final_loss, avg(loss) AS mean_loss,
        stddev_samp(loss) AS std_loss, min(loss) AS min_loss, max(loss) AS max_loss,
