@@ -1,15 +1,18 @@
 """Corpus projections, filters and per-record measures.
 
 Corpus rows carry ``dataset``, ``row_idx``, ``doc_id``, ``mime_type``, ``text``
-and, once tokenized, ``tokens`` (array<int>). Everything stays a DataFrame
-expression; the only shuffles are the vocabulary count and the regroup of
-looked-up token ids by document.
+and, once tokenized, ``tokens`` (array<int>). Everything but the vocabulary lookup
+is a DataFrame expression; the only shuffles are the vocabulary count and that lookup.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runforge.functions.indexing import sorted_positions
 from runforge.functions.text import (CLS_ID, FIRST_WORD_ID, MASK_ID, PAD_ID, SEP_ID, UNK_ID,
@@ -66,26 +69,45 @@ def build_vocab(df: DataFrame, text: str = "text", size: int | None = None) -> D
     return ranked.select("token", "count", (F.col("_rf_rank") + FIRST_WORD_ID).cast("int").alias("id"))
 
 
+#: Bytes of text in one block of documents that asks for its words together.
+BLOCK_BYTES = 4 << 20
+
+
 def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str = "tokens",
-             keep_text: bool = True) -> DataFrame:
+             keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Replace ``text`` words by vocabulary ids (unknown -> UNK) as ``out``.
 
-    Each document asks once for each of its distinct words, with the word's positions;
-    the answers are put in position order per document. Documents without words get an
-    empty array. ``keep_text=False`` leaves the text out of the result, so the join
-    back by key shuffles only the small columns.
+    Words are looked up where the documents are. Documents are dealt by key to blocks
+    of about ``block_bytes`` of text; a block asks the vocabulary once for each of its
+    distinct words, and the answers come back to it as one small table against which all
+    its words are matched, a column at a time. So what shuffles is each text once and a
+    row a block and distinct word, not a row for each word of each document. Documents
+    without words get an empty array; a null text has none. ``keep_text=False`` leaves the
+    text out of the result.
     """
     keys = _cols(key)
-    ex = df.select(*keys, F.posexplode(word_tokens(text)).alias("_rf_t", "token"))
-    asked = ex.groupBy(*keys, "token").agg(F.collect_list("_rf_t").alias("_rf_at"))
-    looked = asked.join(vocab.select("token", "id"), "token", "left").select(
-        *keys, "_rf_at", F.coalesce("id", F.lit(UNK_ID)).alias("_rf_id"))
-    placed = F.transform("_rf_s", lambda s: F.transform(
-        s["_rf_at"], lambda p: F.struct(p.alias("p"), s["_rf_id"].alias("id"))))
-    grouped = looked.groupBy(*keys).agg(F.collect_list(F.struct("_rf_at", "_rf_id")).alias("_rf_s"))
-    ids = grouped.select(*keys, F.transform(F.sort_array(F.flatten(placed)), lambda s: s["id"]).alias(out))
-    side = df if keep_text else df.drop(text)
-    return side.join(ids, keys, "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
+    spark = df.sparkSession
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
+    words = F.coalesce(word_tokens(text), F.array().cast("array<string>"))
+    block = F.pmod(F.xxhash64(*keys), F.lit(blocks))
+    rows = (df if keep_text else df.drop(text)).columns
+    dealt = df.select(block.alias("_rf_block"), *rows, words.alias("_rf_words"))
+    asked = df.select(block.alias("_rf_block"), F.explode(F.array_distinct(words)).alias("token")).distinct()
+    told = asked.join(vocab.select("token", "id"), "token").select("_rf_block", "token", F.col("id").cast("int").alias("id"))
+    schema = T.StructType([*[df.schema[c] for c in rows if c != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
+
+    def look_up(own: pa.Table, known: pa.Table) -> pa.Table:
+        lists = own.column("_rf_words").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at = pc.index_in(lists.flatten(), value_set=known.column("token"))
+        ids = pc.fill_null(known.column("id").combine_chunks().take(at), UNK_ID) if known.num_rows else pa.array([UNK_ID] * len(at), pa.int32())
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        return own.select([c for c in schema.names if c != out]).append_column(out, pa.ListArray.from_arrays(offsets, ids))
+
+    return dealt.groupBy("_rf_block").cogroup(told.groupBy("_rf_block")).applyInArrow(look_up, schema)
 
 
 # ---------------------------------------------------------------- C4
