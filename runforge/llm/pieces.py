@@ -16,9 +16,9 @@ Decoding joins the pieces' bytes and drops the space in front. It returns the te
 unless the text holds ``▁`` itself, which is read as a space, as the library does.
 
 Cases: null and empty texts have no pieces, and none decode to the empty text;
-repeated rows are encoded row by row; an empty table gives an empty result; words of
-any length are encoded, a word longer than ``LONG`` characters in steps that need no
-more memory than its pieces.
+repeated rows are encoded row by row; an empty table gives an empty result. A word takes
+some 45 bytes a character while it is encoded (a text without U+0020 is one word), and
+one of more than ``LONG`` characters is not remembered.
 """
 
 from __future__ import annotations
@@ -33,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runforge.llm.common import blocks, id_and_text, one, prepare, ragged, resource, schema_of
+from runforge.llm.common import blocks, id_and_text, one, prepare, ragged, resource, schema_of, strings
 
 SPACE = "▁"
 BASE = np.uint64(0x100000001B3)
+ODD, MAYBE_BITS = np.uint64(0x9E3779B97F4A7C15), 18
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Cells of a length's matrices at once, and words that a worker remembers.
 CELLS = 1 << 19
 REMEMBERED = 300_000
+LONG = 1000
 
 
 def rolling(points: np.ndarray) -> np.ndarray:
@@ -76,6 +78,8 @@ class Pieces:
             hashes[at] = rolling(code_points([names[normal[k]] for k in at]))[:, -1] + np.uint64(n) * BASE
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(normal)[order]
+        self.maybe = np.zeros(1 << MAYBE_BITS, dtype=bool)
+        self.maybe[hashes * ODD >> np.uint64(64 - MAYBE_BITS)] = True
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces have one hash")
         self.scores = np.array([sp.get_score(int(i)) for i in self.ids])
@@ -88,9 +92,12 @@ class Pieces:
         self.known: dict[str, bytes] = {}
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the piece with each hash, and whether there is one."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
+        """Place of the piece with each hash, and whether there is one; a bitmap spares most others the search."""
+        at, found = np.zeros(hashes.shape, dtype=np.int64), self.maybe[hashes * ODD >> np.uint64(64 - MAYBE_BITS)]
+        some = hashes[found]
+        place = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+        at[found], found[found] = place, self.hashes[place] == some
+        return at, found
 
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length, as bytes."""
@@ -113,17 +120,31 @@ class Pieces:
             choice = score.argmax(axis=1)
             best[:, end], back[:, end] = score[rows, choice], starts[choice]
             piece[:, end] = np.where(found[rows, choice], self.ids[at[rows, choice]], -1)
-        out: list[list[int]] = [[] for _ in words]
-        here = np.full(n, length)
-        while (live := np.flatnonzero(here > 0)).size:
-            for i, p, e in zip(live.tolist(), piece[live, here[live]].tolist(), here[live].tolist()):
-                if p >= 0:
-                    out[i].append(p)
+        # all words step back together; a step's pieces and ends are a column
+        taken, ends = np.full((n, length), -1, dtype=np.int32), np.zeros((n, length), dtype=np.int32)
+        here, count = np.full(n, length), np.zeros(n, dtype=np.int64)
+        live = rows
+        while live.size:
+            at = here[live]
+            taken[live, count[live]], ends[live, count[live]] = piece[live, at], at
+            count[live] += 1
+            here[live] = back[live, at]
+            live = live[here[live] > 0]
+        steps = ragged(np.zeros(n, dtype=np.int64), count)
+        row = np.repeat(rows, count)
+        flat = taken[row, np.repeat(count - 1, count) - steps]
+        data, bounds = flat.tobytes(), np.concatenate([[0], np.cumsum(count)]) * 4
+        out = [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in np.unique(row[flat < 0]).tolist():  # words with a character that no piece holds
+            ids: list[int] = []
+            for k in range(int(count[i]) - 1, -1, -1):
+                if taken[i, k] >= 0:
+                    ids.append(int(taken[i, k]))
                 else:
-                    spelled = words[i][e - 1].encode()
-                    out[i] += [self.bytes.get(b, self.unknown) for b in reversed(spelled)] if self.bytes else [self.unknown]
-            here[live] = back[live, here[live]]
-        return [np.array(x[::-1], dtype=np.int32).tobytes() for x in out]
+                    spelled = words[i][ends[i, k] - 1].encode()
+                    ids += [self.bytes.get(b, self.unknown) for b in spelled] if self.bytes else [self.unknown]
+            out[i] = np.array(ids, dtype=np.int32).tobytes()
+        return out
 
     def learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
@@ -134,6 +155,10 @@ class Pieces:
             for k in range(0, len(same), step):
                 self.known.update(zip(same[k:k + step], self.viterbi(same[k:k + step])))
 
+    def forget(self, words: list[str]) -> None:
+        for word in words:
+            self.known.pop(word, None)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of many texts, and the position of each text's first, with the total at the end."""
         # between single spaces a word is a space and a part; other texts are cut by the pattern
@@ -142,21 +167,24 @@ class Pieces:
         bounds = np.asarray(parts.offsets)[: len(parts) + 1].astype(np.int64)
         bounds = bounds - bounds[0]
         coded = parts.flatten().dictionary_encode()
-        words = [SPACE + x if x else "" for x in coded.dictionary.to_pylist()]
+        words = [SPACE + x if x else "" for x in strings(coded.dictionary)]
         cut = {i: WORD.findall(SPACE + texts[i].as_py().replace(" ", SPACE)) for i in np.flatnonzero(odd).tolist()}
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
         self.known[""] = b""
+        long = [w for x in ([words], cut.values()) for y in x for w in y if len(w) > LONG]
         self.learn(list({w for w in words if w not in self.known} | {w for x in cut.values() for w in x if w not in self.known}))
-        ids_of = [self.known[w] for w in words]
+        ids_of = list(map(self.known.__getitem__, words))
         sizes = np.fromiter(map(len, ids_of), dtype=np.int64, count=len(ids_of)) // 4
         flat = np.frombuffer(b"".join(ids_of), dtype=np.int32)
         index = np.asarray(coded.indices)
         ids = flat[ragged((np.cumsum(sizes) - sizes)[index], sizes[index])]
         ends = np.concatenate([[0], np.cumsum(sizes[index])])[bounds]
         if not cut:
+            self.forget(long)
             return ids, ends
         own = {i: np.frombuffer(b"".join(map(self.known.__getitem__, x)), dtype=np.int32) for i, x in cut.items()}
+        self.forget(long)
         every = [own[i] if i in own else ids[ends[i]:ends[i + 1]] for i in range(len(texts))]
         return np.concatenate(every), np.concatenate([[0], np.cumsum([len(x) for x in every])])
 
