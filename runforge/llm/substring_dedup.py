@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runforge.llm import exchange
-from runforge.llm.common import mix, one, prepare, whole_text
+from runforge.llm.common import mix, one, prepare, strings, whole_text
 
 #: What ends a sentence, with the white space after it.
 END = re.compile(r"[.!?]\s+|\n\s*")
@@ -73,8 +73,8 @@ def minimal_runs(words: np.ndarray, min_sentences: int, min_words: int, long_wor
     enough = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at - min_sentences + 1)
     first = np.maximum(enough, np.searchsorted(total, total[1:] - long_words, side="right") - 1)
     back = first >= 0
-    runs = np.unique(np.concatenate([np.stack([at[ahead], last[ahead]], 1), np.stack([first[back], at[back]], 1)]), axis=0)
-    return runs[:, 0], runs[:, 1]
+    runs = np.unique(np.concatenate([at[ahead] * n + last[ahead], first[back] * n + at[back]]))
+    return runs // max(n, 1), runs % max(n, 1)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -115,6 +115,8 @@ class Spans:
         found, low, high, mask = [], [], [], (1 << 64) - 1
         words: list[str] = []
         self.sizes = []  # words of each sentence
+        most = max(map(len, self.cuts), default=0)
+        ups, downs = powers(BASE, most), powers(INVERSE, most)
         for d, sentences in enumerate(self.cuts):
             split = [x.split() for x in sentences]
             self.sizes.append(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
@@ -123,10 +125,10 @@ class Spans:
             if not len(a):
                 continue
             whole = [xxh3_128_intdigest(" ".join(x)) for x in split]
-            up, down = powers(BASE, len(split)), powers(INVERSE, len(split))
+            up, down = ups[:len(split)], downs
             for half, out in (([x & mask for x in whole], low), ([x >> 64 for x in whole], high)):
                 # a run's hash: its sentences' hashes times powers from its own first sentence on
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(np.array(half, dtype=np.uint64) * up[:-1], dtype=np.uint64)])
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(np.array(half, dtype=np.uint64) * up, dtype=np.uint64)])
                 out.append(mix((sums[b + 1] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
             found.append(np.stack([np.full(len(a), d), a, b]))
         none = np.zeros((3, 0), dtype=np.int64)
@@ -139,7 +141,7 @@ class Spans:
         """Of every ``DRAWN`` runs of ``length`` words that follow each other, the one of least hash."""
         from xxhash import xxh3_128_digest
         coded = pa.array(words, pa.large_string()).dictionary_encode()
-        halves = np.frombuffer(b"".join(map(xxh3_128_digest, coded.dictionary.to_pylist())), dtype=">u8").reshape(-1, 2)
+        halves = np.frombuffer(b"".join(map(xxh3_128_digest, strings(coded.dictionary))), dtype=">u8").reshape(-1, 2)
         index, n = np.asarray(coded.indices), max(len(words) - length + 1, 0)
         up, down = powers(BASE, len(words)), powers(INVERSE, len(words))
         hashes = []
