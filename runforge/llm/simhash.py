@@ -154,10 +154,12 @@ def forest(home: np.ndarray, guests: np.ndarray, reach: int, small: int = 2048)
     rng = np.random.default_rng(11)
 
     def join(i: int, others: np.ndarray) -> None:
-        for root in np.unique(label[others]):
-            if root != label[i]:
-                a, b = sorted((int(root), int(label[i])))
-                label[label == b] = a
+        """Unite the trees of a point and of others; labels are parents, and smaller than their children."""
+        told = np.append(others, i)
+        top = label[told]
+        while (up := label[top]).tobytes() != top.tobytes():
+            top = up
+        label[np.unique(top)] = label[told] = top.min()
 
     def compare(own: np.ndarray, came: np.ndarray) -> None:
         for rows, at_home in ((own, True), (came, False)):
@@ -185,6 +187,8 @@ def forest(home: np.ndarray, guests: np.ndarray, reach: int, small: int = 2048)
             continue
         waiting.append((own[near], np.concatenate([visitors, came[g <= cut[1] + reach]])))
         waiting.append((own[~near], came[g + reach > cut[1]]))
+    while (up := label[label]).tobytes() != label.tobytes():
+        label = up
     linked = np.flatnonzero(label != np.arange(len(points)))
     return np.stack([points[linked], points[label[linked]]], axis=1)
 
