@@ -168,36 +168,43 @@ def eval_by_step(ev: DataFrame, run_id: str = "run_id") -> DataFrame:
 
 # ---------------------------------------------------------------- A8, A9
 def histogram(df: DataFrame, col: str, bins: int = 50, by=None) -> DataFrame:
-    """Equal-width histogram with ``bins`` bins over each group's own range.
+    """Equal-width histogram with ``bins`` bins over each group's own range of finite values.
 
     bin = least(floor((x - lo) / w), bins - 1); lo = hi puts every value in
-    bin 0. Only non-empty bins are returned, with their edges. Null/NaN skipped.
+    bin 0. Only non-empty bins are returned, with their edges. Null/NaN skipped. Infinite
+    values have bins of their own, -1 below the range and ``bins`` above it.
     """
     by = _cols(by)
     vals = df.select(*by, _nan_null(col).alias("_rf_x")).where(F.col("_rf_x").isNotNull())
-    rng = vals.groupBy(*by).agg(F.min("_rf_x").alias("lo"), F.max("_rf_x").alias("hi"))
+    finite = _finite("_rf_x")
+    rng = vals.groupBy(*by).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
     joined = vals.join(rng, by, "inner") if by else vals.crossJoin(rng)
     w = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_rf_x") - F.col("lo")) / w), F.lit(bins - 1))).cast("int")
+    inf = F.lit(float("inf"))
+    b = (F.when(F.col("_rf_x") == inf, F.lit(bins)).when(F.col("_rf_x") == -inf, F.lit(-1)).when(F.col("hi") == F.col("lo"), F.lit(0))
+         .otherwise(F.least(F.floor((F.col("_rf_x") - F.col("lo")) / w), F.lit(bins - 1)))).cast("int")
     counted = joined.withColumn("bin", b).groupBy(*by, "bin", "lo", "hi").agg(
         F.count(F.lit(1)).alias("count"))
     return counted.select(
         *by, "bin",
-        (F.col("lo") + F.col("bin") * w).alias("bin_lo"),
-        (F.col("lo") + (F.col("bin") + 1) * w).alias("bin_hi"),
+        F.when(F.col("bin") < 0, -inf).when(F.col("bin") == bins, F.col("hi")).otherwise(F.col("lo") + F.col("bin") * w).alias("bin_lo"),
+        F.when(F.col("bin") < 0, F.col("lo")).when(F.col("bin") == bins, inf).otherwise(F.col("lo") + (F.col("bin") + 1) * w).alias("bin_hi"),
         "count")
 
 
+def _finite(col: str) -> Column:
+    """The value, or null if it is NaN or infinite."""
+    return F.when(F.abs(_nan_null(col)) < float("inf"), F.col(col))
+
+
 def loss_hist_by_task(log: DataFrame, bins: int = 50, by=None,
                       exclude_eval_steps: int | None = None) -> DataFrame:
     """Per-task loss histogram on the task's own range, with the shared axis
-    (global min and max loss over all tasks) on every row."""
+    (global min and max finite loss over all tasks) on every row."""
     by = _cols(by)
     log = _maybe_exclude(log, exclude_eval_steps)
     h = histogram(log, "loss", bins, by=by + ["task"])
-    axis = log.groupBy(*by).agg(F.min(_nan_null("loss")).alias("axis_min"),
-                                F.max(_nan_null("loss")).alias("axis_max"))
+    axis = log.groupBy(*by).agg(F.min(_finite("loss")).alias("axis_min"), F.max(_finite("loss")).alias("axis_max"))
     return h.join(axis, by, "inner") if by else h.crossJoin(axis)
 
 

@@ -95,3 +95,16 @@ def test_last_k_slices(spark):
         got = sorted((r.g, r.s) for r in _last_k(df, ["g"], "s", k, width=width).collect())
         want = sorted((g, s) for g in range(3) for s in sorted([s for gg, s in rows if gg == g])[-k:])
         assert got == want, (k, width)
+
+
+def test_histogram_at_infinities(spark):
+    """Infinite losses have bins of their own and leave the range alone."""
+    from runforge.operators import runlog as R
+    inf = float("inf")
+    rows = [("a", "t", x) for x in (0.0, 1.0, 2.0, 4.0, inf, inf, -inf, float("nan"), None)] + [("b", "t", inf), ("b", "u", 3.0)]
+    df = spark.createDataFrame(rows, "run_id string, task string, loss double")
+    got = {tuple(r) for r in R.histogram(df, "loss", 4, by="run_id").collect()}
+    assert got == {("a", -1, -inf, 0.0, 1), ("a", 0, 0.0, 1.0, 1), ("a", 1, 1.0, 2.0, 1), ("a", 2, 2.0, 3.0, 1), ("a", 3, 3.0, 4.0, 1),
+                   ("a", 4, 4.0, inf, 2), ("b", 0, 3.0, 3.0, 1), ("b", 4, 3.0, inf, 1)}
+    by_task = R.loss_hist_by_task(df, 4, by="run_id").where("run_id = 'b'").collect()
+    assert {(r.task, r.bin, r.bin_lo, r.axis_min, r.axis_max) for r in by_task} == {("t", 4, None, 3.0, 3.0), ("u", 0, 3.0, 3.0, 3.0)}
