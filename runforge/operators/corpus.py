@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from runforge.functions.indexing import sorted_positions
 from runforge.functions.text import (CLS_ID, FIRST_WORD_ID, MASK_ID, PAD_ID, SEP_ID, UNK_ID,
                                      non_ws_chars, word_tokens)
+from runforge.session import materialize
 
 DEFAULT_MIME = ("text/markdown", "text/plain")
 
@@ -47,10 +49,12 @@ def density_ratio_counted(n_non_ws: str | Column, tokens: str | Column) -> Colum
 
 
 def density_gate(df: DataFrame, text: str = "text", tokens: str = "tokens",
-                 min_ratio: float = 2.5) -> DataFrame:
+                 min_ratio: float = 2.5, n_non_ws: str | None = None) -> DataFrame:
     """Keep records with ≥ ``min_ratio`` non-whitespace characters per token.
-    Empty token lists give a null ratio and are dropped (the reference skips them)."""
-    return df.where(density_ratio(text, tokens) >= F.lit(min_ratio))
+    Empty token lists give a null ratio and are dropped (the reference skips them).
+    ``n_non_ws`` names a column with the characters counted before, instead of the text."""
+    ratio = density_ratio(text, tokens) if n_non_ws is None else density_ratio_counted(n_non_ws, tokens)
+    return df.where(ratio >= F.lit(min_ratio))
 
 
 # ---------------------------------------------------------------- C3
@@ -69,45 +73,85 @@ def build_vocab(df: DataFrame, text: str = "text", size: int | None = None) -> D
     return ranked.select("token", "count", (F.col("_rf_rank") + FIRST_WORD_ID).cast("int").alias("id"))
 
 
-#: Bytes of text in one block of documents that asks for its words together.
+#: Bytes of words in one block of documents that asks for its words together.
 BLOCK_BYTES = 4 << 20
+#: Words of the lowest ids that every task is told, and the bytes that such a word may have.
+TOLD_WORDS, TOLD_BYTES = 1 << 17, 64
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str = "tokens",
              keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Replace ``text`` words by vocabulary ids (unknown -> UNK) as ``out``.
 
-    Words are looked up where the documents are. Documents are dealt by key to blocks
-    of about ``block_bytes`` of text; a block asks the vocabulary once for each of its
-    distinct words, and the answers come back to it as one small table against which all
-    its words are matched, a column at a time. So what shuffles is each text once and a
-    row a block and distinct word, not a row for each word of each document. Documents
-    without words get an empty array; a null text has none. ``keep_text=False`` leaves the
-    text out of the result.
+    Every task is told the words of the lowest ids (at most ``TOLD_WORDS``, the most
+    frequent ones of :func:`build_vocab`), which are most of any text. A first pass, stored
+    when this is called, turns them into ids where the documents lie; what is left of a
+    block (a run of rows with about ``block_bytes`` of words) is a list of its distinct
+    other words, whose places in the tokens hold negative numbers. Only these words
+    meet the vocabulary, and their ids come back to the block as one small table. What
+    shuffles is each document's tokens once and a row a block and distinct rare
+    word; neither words nor, with ``keep_text=False``, texts do. Documents without words get
+    an empty array; a null text has none. Rows may share a key or have none.
     """
-    keys = _cols(key)
-    spark = df.sparkSession
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
-    words = F.coalesce(word_tokens(text), F.array().cast("array<string>"))
-    block = F.pmod(F.xxhash64(*keys), F.lit(blocks))
     rows = (df if keep_text else df.drop(text)).columns
-    dealt = df.select(block.alias("_rf_block"), *rows, words.alias("_rf_words"))
-    asked = df.select(block.alias("_rf_block"), F.explode(F.array_distinct(words)).alias("token")).distinct()
-    told = asked.join(vocab.select("token", "id"), "token").select("_rf_block", "token", F.col("id").cast("int").alias("id"))
-    schema = T.StructType([*[df.schema[c] for c in rows if c != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
-
-    def look_up(own: pa.Table, known: pa.Table) -> pa.Table:
-        lists = own.column("_rf_words").combine_chunks()
+    kept = [c for c in rows if c != out]
+    words = F.coalesce(word_tokens(text), F.array().cast("array<string>"))
+    known = vocab.select("token", F.col("id").cast("int").alias("id"))
+    told = known.where((F.col("id") < FIRST_WORD_ID + TOLD_WORDS) & (F.octet_length("token") <= TOLD_BYTES)).limit(TOLD_WORDS).toArrow()
+    told_words, told_ids = told.column("token").combine_chunks(), told.column("id").to_numpy().astype(np.int32)
+
+    def first(batches):
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("_rf_words")
+            flat = lists.flatten()
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            size = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False))])
+            own = size[ends[:-1]] // block_bytes
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            at = pc.index_in(flat, value_set=told_words)
+            rare = pc.is_null(at).to_numpy(zero_copy_only=False)
+            ids = np.append(told_ids, np.int32(0))[pc.fill_null(at, -1).to_numpy(zero_copy_only=False)]
+            asked = [None] * batch.num_rows
+            for i, j in zip(starts, [*starts[1:], batch.num_rows]):
+                here = slice(ends[i], ends[j])
+                left = flat.slice(ends[i], ends[j] - ends[i]).filter(pa.array(rare[here])).dictionary_encode()
+                ids[here][rare[here]] = -1 - left.indices.to_numpy(zero_copy_only=False)
+                asked[i] = left.dictionary
+            none = pa.array([x is None for x in asked])
+            lengths = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in asked])])
+            lists_of = [x.cast(pa.string()) for x in asked if x is not None]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+                 pa.array(block + np.cumsum(np.isin(np.arange(batch.num_rows), starts)) - 1, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.concat_arrays(lists_of), mask=none)],
+                names=[*kept, out, "_rf_block", "_rf_asked"])
+            block += len(starts)
+
+    ids_type = T.StructField(out, T.ArrayType(T.IntegerType()))
+    stage = T.StructType([*[df.schema[c] for c in kept], ids_type, T.StructField("_rf_block", T.LongType()),
+                          T.StructField("_rf_asked", T.ArrayType(T.StringType()))])
+    stored = materialize(df.select(*kept, words.alias("_rf_words")).mapInArrow(first, stage), "asking")
+    asked = stored.where(F.col("_rf_asked").isNotNull()).select(F.col("_rf_block").alias("_rf_by"), F.posexplode("_rf_asked").alias("k", "token"))
+    answers = asked.join(known, "token").select("_rf_by", "k", "id")
+    schema = T.StructType([*[df.schema[c] for c in kept], ids_type])
+
+    def look_up(own: pa.Table, found: pa.Table) -> pa.Table:
+        lists = own.column(out).combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        at = pc.index_in(lists.flatten(), value_set=known.column("token"))
-        ids = pc.fill_null(known.column("id").combine_chunks().take(at), UNK_ID) if known.num_rows else pa.array([UNK_ID] * len(at), pa.int32())
-        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        ids = lists.flatten().to_numpy(zero_copy_only=False).copy()
         lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        open_ = np.flatnonzero(ids < 0)
+        if len(open_):
+            answer = np.full(-int(ids[open_].min()), UNK_ID, np.int32)
+            answer[found.column("k").to_numpy()] = found.column("id").to_numpy()
+            ids[open_] = answer[-1 - ids[open_]]
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-        return own.select([c for c in schema.names if c != out]).append_column(out, pa.ListArray.from_arrays(offsets, ids))
+        return own.select(kept).append_column(out, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())))
 
-    return dealt.groupBy("_rf_block").cogroup(told.groupBy("_rf_block")).applyInArrow(look_up, schema)
+    return stored.drop("_rf_asked").groupBy("_rf_block").cogroup(answers.groupBy("_rf_by")).applyInArrow(look_up, schema)
 
 
 # ---------------------------------------------------------------- C4

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runforge.functions.indexing import position_within
-from runforge.functions.text import WS_CLASS
+from runforge.functions.text import WS_CLASS, non_ws_chars
 from runforge.operators import corpus as C
 from runforge.operators import packing as P
 from runforge.plans import training_set as TS
@@ -25,12 +25,13 @@ def tokenized(spark, sf):
 
     The tokenized corpus is the reusable artifact of every corpus query: it is
     written once (reliable checkpoint) so later stages scan it, not the raw
-    documents again through each reuse of the plan.
+    documents again through each reuse of the plan. The density gate needs only the
+    text's non-whitespace count, which is taken here, so no text is dealt or written again.
     """
     def build():
         corp = X.corpus(spark, sf)
         vocab = C.build_vocab(corp, "text")
-        return C.tokenize(corp, vocab, "doc_id")
+        return C.tokenize(corp.withColumn("n_non_ws", non_ws_chars("text")), vocab, "doc_id", keep_text=False)
 
     return X.stored(spark, sf, "tokenized", build)
 
@@ -104,8 +105,8 @@ SELECT doc_id, length(regexp_replace(text, '{_WS}', '', 'g')) / len(tokens) AS r
 FROM tok WHERE len(tokens) > 0 AND length(regexp_replace(text, '{_WS}', '', 'g')) / len(tokens) >= 2.5""",
                                                                        "ratio"))
 def c2(spark, sf):
-    g = C.density_gate(tokenized(spark, sf))
-    return rounded(g.select("doc_id", C.density_ratio("text", "tokens").alias("ratio")))
+    g = C.density_gate(tokenized(spark, sf), n_non_ws="n_non_ws")
+    return rounded(g.select("doc_id", C.density_ratio_counted("n_non_ws", "tokens").alias("ratio")))
 
 
 @register("C3_build_vocab", with_views("corpus") + TOK_CTES + rsel("""
@@ -161,7 +162,7 @@ def _stream_by_doc(spark, sf):
     """Tokenized corpus in doc_id order with the packing gate as ``keep``."""
     t = tokenized(spark, sf)
     keep = (F.col("mime_type").isin(list(C.DEFAULT_MIME)) & (F.size("tokens") > 0)
-            & (C.density_ratio("text", "tokens") >= F.lit(2.5)))
+            & (C.density_ratio_counted("n_non_ws", "tokens") >= F.lit(2.5)))
     return position_within(t.withColumn("keep", keep), [], ["doc_id"], out="pos", slice_width=X.ID_SLICE)
 
 

@@ -30,3 +30,18 @@ def test_against_plain(spark, block_bytes, size):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc long, text string")
     assert C.tokenize(df, C.build_vocab(df, "text"), "doc").count() == 0
+
+
+@pytest.mark.parametrize("told", [0, 2, 1 << 17])
+def test_words_do_not_shuffle(spark, monkeypatch, told):
+    """Few, some or all words are told to every task; what is dealt to blocks holds ids only."""
+    monkeypatch.setattr(C, "TOLD_WORDS", told)
+    rows = [(i, " ".join(["the", f"w{i % 7}", f"only{i}", "the", f"only{i}"])) for i in range(300)] + [(None, "the w1"), (5, "the w1")]
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    vocab = C.build_vocab(df, "text")
+    ids = {r.token: r.id for r in vocab.collect()}
+    got = C.tokenize(df, vocab, "doc", keep_text=False, block_bytes=500)
+    want = sorted(((d, [ids[w] for w in t.split()]) for d, t in rows), key=str)
+    assert sorted(((r.doc, list(r.tokens)) for r in got.collect()), key=str) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_rf_words" not in plan and "split(" not in plan
