@@ -15,12 +15,16 @@ sits at position off + k, EOS (when placed) at off + l; record = pos div B.
 Record r is emitted when a document ends exactly at (r+1)·B (rule 2) or when
 some token lies at or beyond (r+1)·B (rule 1, SEP appended).
 
-Only document *lengths* are folded per batch (≤ ``batch_rows`` values); token
-arrays are cut into one slice a record and meet in groups of one record.
+Documents are dealt once, by batch, and sorted; a task reads them as a stream and
+holds, besides an Arrow batch of them, the ids of the record that is still open.
+:func:`pack_offsets` gives the places alone, from lengths.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,37 +81,63 @@ def pack_records(df: DataFrame, record_size: int, order: str = "position", token
     (MIME and density gates). Empty token lists are skipped.
     Returns (batch, record_idx, input_ids).
     """
-    B = record_size - 2
+    body = record_size - 2
     base = df.withColumn("batch", F.floor(F.col(order) / batch_rows).cast("bigint"))
-    cond = F.size(tokens) > 0
+    cond = (F.size(tokens) > 0) & F.col(order).isNotNull()
     if keep is not None:
         cond = cond & F.col(keep)
     kept = base.where(cond).select("batch", F.col(order).alias("pos"), F.col(tokens).alias("_rf_tok"))
-    folded = pack_offsets(kept.select("batch", "pos", F.size("_rf_tok").alias("len")), record_size)
-    starts = folded.select("batch", F.explode(F.arrays_zip(F.col("docs"), F.col("offs"))).alias("_rf_z")) \
-        .select("batch", F.col("_rf_z.docs.p").alias("pos"), F.col("_rf_z.offs").alias("off"))
-    placed = kept.join(starts, ["batch", "pos"], "inner")
-    n = F.size("_rf_tok")
-    with_eos = F.when(F.pmod(F.col("off") + n, F.lit(B)) != 0,
-                      F.concat(F.col("_rf_tok"), F.array(F.lit(eos)))).otherwise(F.col("_rf_tok"))
-    # each document is cut where records end; what shuffles is one slice for each record it touches
-    placed = placed.select("batch", "off", with_eos.alias("_rf_ids"))
-    last = F.col("off") + F.size("_rf_ids") - 1
-    cut = placed.select("*", F.explode(F.sequence(F.floor(F.col("off") / B).cast("bigint"),
-                                                  F.floor(last / B).cast("bigint"))).alias("record_idx"))
-    start = F.greatest(F.col("record_idx") * B, F.col("off"))
-    stop = F.least((F.col("record_idx") + 1) * B, F.col("off") + F.size("_rf_ids"))
-    slices = cut.select("batch", "record_idx", F.struct(
-        start.alias("p"), F.slice("_rf_ids", (start - F.col("off") + 1).cast("int"), (stop - start).cast("int")).alias("ids"))
-        .alias("_rf_x"))
-    recs = slices.groupBy("batch", "record_idx").agg(F.sort_array(F.collect_list("_rf_x")).alias("_rf_items"))
-    r = recs.join(folded.select("batch", "tmax", "rule2"), "batch", "inner") \
-        .withColumn("_rf_r2", F.array_contains("rule2", F.col("record_idx")))
-    emitted = r.where(F.col("_rf_r2") | (F.col("tmax") >= (F.col("record_idx") + 1) * B))
-    body = F.flatten(F.transform("_rf_items", lambda s: s["ids"]))
-    ids = F.when(F.col("_rf_r2"), F.concat(F.array(F.lit(cls)), body)) \
-        .otherwise(F.concat(F.array(F.lit(cls)), body, F.array(F.lit(sep))))
-    return emitted.select("batch", "record_idx", ids.alias("input_ids"))
+    ordered = kept.repartition("batch").sortWithinPartitions("batch", "pos")
+
+    def cut(docs: pa.RecordBatch, held: pa.Array, done: int):
+        """Records of documents behind ``held`` (ids of no record yet), what is held then, and the records done."""
+        lists = docs.column("_rf_tok")
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).tolist()
+        at, last, closed, ends = len(held), 0, [], []
+        for n in lengths:
+            at += n
+            last = at - 1
+            if at % body == 0:
+                closed.append(at // body - 1)
+            else:
+                ends.append(at)
+                at += 1
+        count = max(last // body, closed[-1] + 1 if closed else 0)
+        ids = pa.concat_arrays([held, lists.flatten(), pa.array([cls, sep, eos], pa.int32())])
+        specials = len(ids) - 3
+        line = np.full(at, specials + 2, np.int64)
+        token = np.ones(at, bool)
+        token[ends] = False
+        line[token] = np.arange(specials)
+        short = np.zeros(count, bool)
+        short[closed] = True
+        rows = np.empty((count, body + 2), np.int64)
+        rows[:, 0], rows[:, -1] = specials, specials + 1
+        rows[:, 1:-1] = line[:count * body].reshape(count, body)
+        filled = np.ones(rows.shape, bool)
+        filled[short, -1] = False
+        offsets = np.concatenate([[0], np.cumsum(filled.sum(axis=1))])
+        records = pa.RecordBatch.from_arrays(
+            [pa.repeat(docs.column("batch")[0], count), pa.array(np.arange(done, done + count), pa.int64()),
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids.take(pa.array(rows[filled])))],
+            names=["batch", "record_idx", "input_ids"])
+        return records, ids.take(pa.array(line[count * body:])), done + count
+
+    def pack(tables):
+        batch, held, done = None, pa.array([], pa.int32()), 0
+        for table in tables:
+            if not table.num_rows:
+                continue
+            own = table.column("batch").to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
+            for i, j in zip(starts[:-1], starts[1:]):
+                if own[i] != batch:
+                    batch, held, done = own[i], pa.array([], pa.int32()), 0
+                records, held, done = cut(table.slice(i, j - i), held, done)
+                if records.num_rows:
+                    yield records
+
+    return ordered.mapInArrow(pack, "batch bigint, record_idx bigint, input_ids array<int>")
 
 
 # ---------------------------------------------------------------- P2, P3

@@ -104,3 +104,22 @@ def test_interleave_block_split_equals_plain(spark):
     split = sorted((r.dataset, r.row_idx, r.position) for r in P.interleave(df, round_block=3).collect())
     assert plain == split
     assert [p for _, _, p in sorted(plain, key=lambda t: t[2])] == list(range(40 * 3))
+
+
+def test_documents_are_dealt_once(spark):
+    """Random documents with duplicates and unkept ones against the model, however few rows come at a time; one exchange."""
+    rng = random.Random(11)
+    docs = [[rng.randint(10, 99) for _ in range(rng.choice([0, 1, 3, 8, 9, 40, 200]))] for _ in range(90)]
+    rows = [(i if i != 5 else None, d if i != 9 else None, i % 7 != 3) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "position long, tokens array<int>, keep boolean").repartition(5)
+    recs = P.pack_records(df, 10, batch_rows=30, keep="keep")
+    used = [d if i not in (5, 9) and i % 7 != 3 else [] for i, d in enumerate(docs)]
+    want = [(b, k, ids) for b in range(3) for k, ids in enumerate(model_pack(used[30 * b:30 * b + 30], 10))]
+    for at_once in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+        try:
+            assert [(r.batch, r.record_idx, list(r.input_ids)) for r in recs.orderBy("batch", "record_idx").collect()] == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = P.pack_records(spark.createDataFrame(rows, "position long, tokens array<int>, keep boolean"), 10, keep="keep")
+    assert plan._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
