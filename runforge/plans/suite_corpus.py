@@ -309,7 +309,7 @@ ORDER BY {_draw_sql("'42'", "CAST(batch AS VARCHAR)", "CAST(record_idx AS VARCHA
 LIMIT 1000"""))
 def p6b(spark, sf):
     """Eval set: shuffle the packed records and keep k = 1000 (the reference's eval build)."""
-    recs = TS.build_training_set(spark, sf, prefix="src", record_size=RECORD_SIZE, seed=SEED)
+    recs = TS.pack_training_set(spark, sf, prefix="src", record_size=RECORD_SIZE)
     return TS.build_eval_set(recs, 1000, SEED).select(
         "batch", "record_idx", F.array_join("input_ids", " ").alias("ids"))
 

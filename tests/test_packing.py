@@ -123,3 +123,21 @@ def test_documents_are_dealt_once(spark):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = P.pack_records(spark.createDataFrame(rows, "position long, tokens array<int>, keep boolean"), 10, keep="keep")
     assert plan._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_eval_set_moves_keys(spark):
+    """The same rows in the same order as a shuffle of whole records; ids are not in what is ranked."""
+    from runforge.plans import training_set as TS
+    recs = spark.createDataFrame([(b, k, [b, k, 7], 3) for b in range(6) for k in range(9)], "batch long, record_idx long, input_ids array<int>, n_ids int")
+    got = TS.build_eval_set(recs, 10, seed=3)
+    want = P.sample_k(P.shuffle(recs, 3, ["batch", "record_idx"]), 10, 3, ["batch", "record_idx"])
+    rows = [(r.batch, r.record_idx, list(r.input_ids), r.shuffle_pos) for r in got.collect()]
+    assert rows == [(r.batch, r.record_idx, list(r.input_ids), r.shuffle_pos) for r in want.collect()] and len(rows) == 10
+    ranked = got._jdf.queryExecution().optimizedPlan().toString().split("GlobalLimit")[1]
+    assert not [x for x in ranked.splitlines() if "input_ids" in x and "LogicalRDD" not in x]
+
+
+def test_summary_needs_no_ids(spark):
+    from runforge.plans import training_set as TS
+    recs = spark.createDataFrame([(0, 0, [1, 2], 128), (0, 1, [1], 127)], "batch long, record_idx long, input_ids array<int>, n_ids int")
+    assert [tuple(r) for r in TS.summarize(recs, 128).collect()] == [(0, 2, 1, 1, 255)]
