@@ -60,22 +60,26 @@ def _factors(df: DataFrame, by: list[str], vec: str) -> DataFrame:
 
     def fn(batches):
         held: dict[tuple, np.ndarray] = {}
+        values = 0
         number = TaskContext.get().partitionId() << 32
 
         def made() -> pd.DataFrame:
-            nonlocal number
+            nonlocal number, values
             out = pd.DataFrame([{**dict(zip(by, key)), "side": r.shape[1], "part": number + k, "r": r.ravel()}
                                 for k, (key, r) in enumerate(held.items())])
             number += len(held)
             held.clear()
+            values = 0
             return out
 
         for pdf in batches:
             for key, rows in pdf.groupby(by, sort=False, dropna=False)[vec]:
                 key = key_of(key if isinstance(key, tuple) else (key,))
                 block = np.stack([np.asarray(v, dtype=np.float64) for v in rows])
+                values -= held[key].size if key in held else 0
                 held[key] = _triangle(np.vstack([held[key], block]) if key in held else block)
-                if sum(r.size for r in held.values()) > HELD:
+                values += held[key].size
+                if values > HELD:
                     yield made()
         if held:
             yield made()
@@ -124,7 +128,7 @@ def spectral_stats(df: DataFrame, by="matrix_id", vec: str = "vec") -> DataFrame
     wide = shapes.where("_rf_rows < _rf_columns")
     tall_rows = df.select(*by, vec).join(wide, same, "left_anti")
     wide_rows = df.select(*by, vec).join(wide, same).select(*by, vec, "_rf_rows")
-    rs = materialize(_factors(tall_rows, by, vec).unionByName(_factors(_transposed(wide_rows, by, vec), by, vec)), "factors")
+    stored = rs = materialize(_factors(tall_rows, by, vec).unionByName(_factors(_transposed(wide_rows, by, vec), by, vec)), "factors")
     most = rs.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     numbered = Window.partitionBy(*by).orderBy("part")
     rs = rs.withColumn("part", F.row_number().over(numbered) - 1)  # one row a task that holds the matrix
@@ -138,18 +142,29 @@ def spectral_stats(df: DataFrame, by="matrix_id", vec: str = "vec") -> DataFrame
         rs = rs.groupBy(*by, F.floor(F.col("part") / FAN_IN)).applyInPandas(meet, f"{keys}, side int, part long, r array<double>")
         most = -(-most // FAN_IN)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = int(pdf["side"].iloc[0])
-        sv = np.linalg.svd(_triangle(np.vstack([np.asarray(x).reshape(-1, side) for x in pdf["r"]])), compute_uv=False)
+    schema = f"{keys}, svd_values array<double>, scree_1 double, scree_2 double, mean_ratio_1 double, median_ratio_1 double"
+    names = [*by, "svd_values", "scree_1", "scree_2", "mean_ratio_1", "median_ratio_1"]
+
+    def stats_of(factors, side: int) -> list | None:
+        sv = np.linalg.svd(_triangle(np.vstack([np.asarray(x).reshape(-1, side) for x in factors])), compute_uv=False)
         if len(sv) < 2:
-            return pd.DataFrame(columns=[*by, "svd_values", "scree_1", "scree_2", "mean_ratio_1", "median_ratio_1"])
+            return None
         total, mean, med = sv.sum(), sv.mean(), np.nanmedian(sv)
-        row = {c: pdf[c].iloc[0] for c in by}
-        row.update(svd_values=[float(x) for x in sv], scree_1=sv[0] / total, scree_2=(sv[0] + sv[1]) / total,
-                   mean_ratio_1=sv[0] / mean, median_ratio_1=sv[0] / med)
-        return pd.DataFrame([row])
+        return [[float(x) for x in sv], sv[0] / total, (sv[0] + sv[1]) / total, sv[0] / mean, sv[0] / med]
 
-    schema = f"{keys}, svd_values array<double>, scree_1 double, scree_2 double, mean_ratio_1 double, median_ratio_1 double"
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        stats = stats_of(pdf["r"], int(pdf["side"].iloc[0]))
+        return pd.DataFrame([] if stats is None else [[*(pdf[c].iloc[0] for c in by), *stats]], columns=names)
+
+    def solve_rows(batches):
+        for pdf in batches:
+            rows = [(i, stats_of([r], side)) for i, (r, side) in enumerate(zip(pdf["r"], pdf["side"]))]
+            kept = [i for i, stats in rows if stats is not None]
+            out = pd.DataFrame([stats for _, stats in rows if stats is not None], columns=names[len(by):])
+            yield pd.concat([pdf[by].iloc[kept].reset_index(drop=True), out], axis=1)
+
+    if most <= 1:  # each matrix lies in one task: nothing is left to meet
+        return stored.mapInPandas(solve_rows, schema)
     return rs.groupBy(*by).applyInPandas(solve, schema)
 
 

@@ -115,3 +115,22 @@ def test_spectra_of_few_rows(spark):
     one = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("b", 0, [3.0, 0.0]), ("b", 1, [0.0, 4.0]), ("c", 0, [1.0])], schema)
     assert [(r.matrix_id, [round(x, 9) for x in r.svd_values]) for r in K.spectral_stats(one).collect()] == [("b", [4.0, 3.0])]
     assert K.spectral_stats(one.limit(0)).count() == 0
+
+
+def test_whole_matrices_need_no_meeting(spark, monkeypatch):
+    """Many small matrices in one task, some of one row, with a null key: as NumPy has them, also when factors leave early."""
+    import numpy as np
+
+    from runforge.operators import matrices as K
+    rng = np.random.default_rng(5)
+    data = {k: rng.normal(size=(1 if k == 3 else 4 + (k or 0) % 3, 3)) for k in [None, *range(40)]}
+    rows = [(k, [float(x) for x in v]) for k, m in data.items() for v in m]
+    df = spark.createDataFrame(rows, "m long, vec array<double>").coalesce(1)
+    want = {k: np.linalg.svd(m, compute_uv=False) for k, m in data.items() if k != 3}
+    for held in (1 << 22, 20):
+        monkeypatch.setattr(K, "HELD", held)
+        stats = K.spectral_stats(df, "m")
+        got = {r.m: r.svd_values for r in stats.collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k]) for k in want)
+        assert "FlatMapGroupsInPandas" not in stats._jdf.queryExecution().optimizedPlan().toString()
