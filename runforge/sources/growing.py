@@ -33,6 +33,8 @@ from runforge.sources.logs import CORRUPT, EVAL_SCHEMA, STEP_SCHEMA
 
 #: Bytes read at once from a file.
 BLOCK = 1 << 20
+#: Bytes read first where only the end of a line is looked for; each further read takes twice as many.
+TAIL = 1 << 12
 #: Lines in one Arrow batch.
 LINES = 2000
 
@@ -76,11 +78,11 @@ def lines_of(file, part: Range) -> Iterator[tuple[int, bytes]]:
     """(place, line) of the lines that begin in a range; all of the file's bytes up to ``part.last`` end with a line break."""
     at = part.start
     file.seek(max(at - 1, part.first))
-    held = b""
+    held, tail = b"", TAIL
     if at > part.first:  # the line that reaches into the range belongs to the one before
         held = file.read(1)
         while not held.endswith(b"\n"):
-            more = file.read(min(BLOCK, part.last - at))
+            more, tail = file.read(min(tail, part.last - at)), min(tail * 2, BLOCK)
             if not more:
                 return
             cut = more.find(b"\n")
@@ -89,10 +91,13 @@ def lines_of(file, part: Range) -> Iterator[tuple[int, bytes]]:
                 at, held = at + cut + 1, b"\n"
             else:
                 at += len(more)
-        held = b""
+        held, tail = b"", TAIL
     read = at
     while at < part.end:
-        more = file.read(min(BLOCK, part.last - read))
+        if read < part.end:
+            more = file.read(min(BLOCK, part.end - read))
+        else:  # the last line ends in a range behind this one
+            more, tail = file.read(min(tail, part.last - read)), min(tail * 2, BLOCK)
         read += len(more)
         parts = (held + more).split(b"\n")
         held = parts.pop()

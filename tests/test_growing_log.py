@@ -102,3 +102,30 @@ def test_evals(spark, tmp_path):
     (tmp_path / "r" / "x" / "eval.jsonl").write_text('{"step": 5, "mean": 2.5}\n{"step": 6, "mea')
     T.run_available(G.stream_growing_evals(spark, str(tmp_path / "r")), str(tmp_path / "o"), str(tmp_path / "c"))
     assert [(r.run_id, r.step, r["mean"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("x", 5, 2.5)]
+
+
+def test_a_range_reads_little_more_than_itself():
+    """Every line once from ranges of any size, and of the bytes behind a range only the end of its last line."""
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.taken += len(got)
+            return got
+
+    rng = random.Random(3)
+    text = b"".join(bytes(rng.choice(b"abc") for _ in range(rng.choice([0, 5, 200, 9000]))) + b"\n" for _ in range(700))
+    want, at = [], 0
+    for line in text.split(b"\n")[:-1]:
+        want.append((at, line))
+        at += len(line) + 1
+    for size in (700, 100_000, len(text)):
+        got, taken = [], 0
+        for start in range(0, len(text), size):
+            file = Counted(text)
+            got += G.lines_of(file, G.Range("f", 0, start, min(start + size, len(text)), len(text)))
+            taken = max(taken, file.taken)
+        assert got == want
+        assert taken <= size + 2 * (9001 + 3 * G.TAIL) + 2
