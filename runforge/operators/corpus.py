@@ -7,6 +7,8 @@ is a DataFrame expression; the only shuffles are the vocabulary count and that l
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 
 from runforge.functions.indexing import sorted_positions
 from runforge.functions.text import (CLS_ID, FIRST_WORD_ID, MASK_ID, PAD_ID, SEP_ID, UNK_ID,
-                                     non_ws_chars, word_tokens)
+                                     arrow_words, non_ws_chars)
 from runforge.session import materialize
 
 DEFAULT_MIME = ("text/markdown", "text/plain")
@@ -62,11 +64,17 @@ def build_vocab(df: DataFrame, text: str = "text", size: int | None = None) -> D
     """Word vocabulary ranked by (count desc, token asc): (token, count, id).
 
     ids start after the special ids; all words are kept unless ``size`` asks for the
-    top entries. Counting is a partial+final aggregation; the ranking is a sort over
+    top entries. The words of an Arrow batch of texts are counted where they lie, and
+    these counts are summed by a partial+final aggregation; the ranking is a sort over
     all tasks that is stored once, so the long tail of rare words is spread evenly.
     """
-    toks = df.select(F.explode(word_tokens(text)).alias("token"))
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    def count(batches):
+        for batch in batches:
+            own = pc.value_counts(arrow_words(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([own.field("values"), own.field("counts")], names=["token", "count"])
+
+    toks = df.select(F.col(text).cast("string")).mapInArrow(count, "token string, count bigint")
+    counts = toks.groupBy("token").agg(F.sum("count").alias("count"))
     ranked = sorted_positions(counts, [], [F.desc("count"), "token"], out="_rf_rank")
     if size is not None:
         ranked = ranked.where(F.col("_rf_rank") < size)
@@ -80,7 +88,7 @@ TOLD_WORDS, TOLD_BYTES = 1 << 17, 64
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str = "tokens",
-             keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+             keep_text: bool = True, block_bytes: int = BLOCK_BYTES, chars: str | None = None) -> DataFrame:
     """Replace ``text`` words by vocabulary ids (unknown -> UNK) as ``out``.
 
     Every task is told the words of the lowest ids (at most ``TOLD_WORDS``, the most
@@ -91,11 +99,13 @@ def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str
     meet the vocabulary, and their ids come back to the block as one small table. What
     shuffles is each document's tokens once and a row a block and distinct rare
     word; neither words nor, with ``keep_text=False``, texts do. Documents without words get
-    an empty array; a null text has none. Rows may share a key or have none.
+    an empty array; a null text has none. Rows may share a key or have none. ``chars``
+    names a column to add with the number of characters of a text's words
+    (:func:`non_ws_chars`, null for a null text).
     """
     rows = (df if keep_text else df.drop(text)).columns
-    kept = [c for c in rows if c != out]
-    words = F.coalesce(word_tokens(text), F.array().cast("array<string>"))
+    kept = [c for c in rows if c not in (out, chars)]
+    added = [] if chars is None else [T.StructField(chars, T.IntegerType())]
     known = vocab.select("token", F.col("id").cast("int").alias("id"))
     told = known.where((F.col("id") < FIRST_WORD_ID + TOLD_WORDS) & (F.octet_length("token") <= TOLD_BYTES)).limit(TOLD_WORDS).toArrow()
     told_words, told_ids = told.column("token").combine_chunks(), told.column("id").to_numpy().astype(np.int32)
@@ -105,9 +115,8 @@ def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("_rf_words")
-            flat = lists.flatten()
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            texts = batch.column("_rf_text")
+            flat, ends = arrow_words(texts)
             size = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False))])
             own = size[ends[:-1]] // block_bytes
             starts = np.flatnonzero(np.diff(own, prepend=-1))
@@ -123,20 +132,25 @@ def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str
             none = pa.array([x is None for x in asked])
             lengths = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in asked])])
             lists_of = [x.cast(pa.string()) for x in asked if x is not None]
+            counted = []
+            if chars is not None:
+                n = np.concatenate([[0], np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False))])[ends]
+                counted = [pa.array(np.diff(n), pa.int32(), mask=pc.is_null(texts).to_numpy(zero_copy_only=False))]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+                [*[batch.column(c) for c in kept], *counted, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
                  pa.array(block + np.cumsum(np.isin(np.arange(batch.num_rows), starts)) - 1, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.concat_arrays(lists_of), mask=none)],
-                names=[*kept, out, "_rf_block", "_rf_asked"])
+                names=[*kept, *[f.name for f in added], out, "_rf_block", "_rf_asked"])
             block += len(starts)
 
     ids_type = T.StructField(out, T.ArrayType(T.IntegerType()))
-    stage = T.StructType([*[df.schema[c] for c in kept], ids_type, T.StructField("_rf_block", T.LongType()),
+    held = [*[df.schema[c] for c in kept], *added]
+    stage = T.StructType([*held, ids_type, T.StructField("_rf_block", T.LongType()),
                           T.StructField("_rf_asked", T.ArrayType(T.StringType()))])
-    stored = materialize(df.select(*kept, words.alias("_rf_words")).mapInArrow(first, stage), "asking")
+    stored = materialize(df.select(*kept, F.col(text).cast("string").alias("_rf_text")).mapInArrow(first, stage), "asking")
     asked = stored.where(F.col("_rf_asked").isNotNull()).select(F.col("_rf_block").alias("_rf_by"), F.posexplode("_rf_asked").alias("k", "token"))
     answers = asked.join(known, "token").select("_rf_by", "k", "id")
-    schema = T.StructType([*[df.schema[c] for c in kept], ids_type])
+    schema = T.StructType([*held, ids_type])
 
     def look_up(own: pa.Table, found: pa.Table) -> pa.Table:
         lists = own.column(out).combine_chunks()
@@ -149,7 +163,7 @@ def tokenize(df: DataFrame, vocab: DataFrame, key, text: str = "text", out: str
             answer[found.column("k").to_numpy()] = found.column("id").to_numpy()
             ids[open_] = answer[-1 - ids[open_]]
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-        return own.select(kept).append_column(out, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())))
+        return own.select([f.name for f in held]).append_column(out, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())))
 
     return stored.drop("_rf_asked").groupBy("_rf_block").cogroup(answers.groupBy("_rf_by")).applyInArrow(look_up, schema)
 
@@ -211,26 +225,34 @@ def mask_tokens(df: DataFrame, key, seed, p: float = 0.15, vocab_size: int = 655
     ``labels`` hold the original id where selected and -100 elsewhere.
     One md5 digest of (seed, key, position, 'mask') per token gives the three
     draws as disjoint 32-bit slices (hex 1-8 select, 9-16 action, 17-24 word);
-    the digest is built once per element and reused.
+    the digest is built once per element. Draws are compared as the hex digits they
+    are, so only the words of replaced tokens become numbers.
     """
     keys = _cols(key)
     kc = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
     spec = F.array(*[F.lit(s) for s in special])
 
-    def u(h, start):
-        return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") / F.lit(float(2 ** 32))
-
-    hashed = F.transform(ids, lambda x, i: F.struct(
-        x.alias("x"), F.md5(F.concat_ws("|", F.lit(str(seed)), kc, i.cast("string"), F.lit("mask"))).alias("h")))
-
+    def below(h, start, share):
+        """The draw (8 hex digits from ``start``) is below ``share`` of 2^32."""
+        bound = math.ceil(share * 2 ** 32)
+        if not 0 < bound < 2 ** 32:
+            return F.lit(bound > 0)
+        return F.substring(h, start, 8) < F.lit(f"{bound:08x}")
+
+    def word(h):
+        u = F.conv(F.substring(h, 17, 8), 16, 10).cast("bigint") / F.lit(float(2 ** 32))
+        return (F.lit(FIRST_WORD_ID) + F.floor(u * F.lit(vocab_size))).cast("int")
+
+    # the key's part of the digested string is a lambda's variable, so that it is built once a row
+    head = F.array(F.concat(F.concat_ws("|", F.lit(str(seed)), kc), F.lit("|")))
+    hashed = F.transform(head, lambda own: F.transform(ids, lambda x, i: F.struct(
+        x.alias("x"), F.md5(F.concat(own, i.cast("string"), F.lit("|mask"))).alias("h"))))[0]
     drawn = F.transform(hashed, lambda s: F.struct(
-        s["x"].alias("x"), ((u(s["h"], 1) < F.lit(p)) & ~F.array_contains(spec, s["x"])).alias("chosen"),
-        u(s["h"], 9).alias("act"),
-        (F.lit(FIRST_WORD_ID) + F.floor(u(s["h"], 17) * F.lit(vocab_size))).cast("int").alias("word")))
+        s["x"].alias("x"), s["h"].alias("h"), (below(s["h"], 1, p) & ~F.array_contains(spec, s["x"])).alias("chosen")))
 
     def corrupt(s):
-        return (F.when(~s["chosen"], s["x"]).when(s["act"] < 0.8, F.lit(MASK_ID)).when(s["act"] < 0.9, s["word"])
-                .otherwise(s["x"]))
+        return (F.when(~s["chosen"], s["x"]).when(below(s["h"], 9, 0.8), F.lit(MASK_ID))
+                .when(below(s["h"], 9, 0.9), word(s["h"])).otherwise(s["x"]))
 
     return (df.withColumn("_rf_h", drawn)
             .withColumn("labels", F.transform("_rf_h", lambda s: F.when(s["chosen"], s["x"]).otherwise(F.lit(-100))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runforge.functions.indexing import position_within
-from runforge.functions.text import WS_CLASS, non_ws_chars
+from runforge.functions.text import WS_CLASS
 from runforge.operators import corpus as C
 from runforge.operators import packing as P
 from runforge.plans import training_set as TS
@@ -31,7 +31,7 @@ def tokenized(spark, sf):
     def build():
         corp = X.corpus(spark, sf)
         vocab = C.build_vocab(corp, "text")
-        return C.tokenize(corp.withColumn("n_non_ws", non_ws_chars("text")), vocab, "doc_id", keep_text=False)
+        return C.tokenize(corp, vocab, "doc_id", keep_text=False, chars="n_non_ws")
 
     return X.stored(spark, sf, "tokenized", build)
 
