@@ -34,6 +34,8 @@ TRAINING_CONFIG = {
 
 # integer ids are spread evenly: cut row-number slices of this many id values
 ID_SLICE = 1 << 16
+# documents carry long texts, and one source may hold many of them: short slices spread it
+DOC_SLICE = 1 << 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,7 +135,7 @@ def corpus_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("doc_id") % 5 == 1, "text/markdown")
          .otherwise("text/plain").alias("mime_type"),
         "text")
-    return position_within(d, ["dataset"], ["doc_id"], out="row_idx", slice_width=ID_SLICE)
+    return position_within(d, ["dataset"], ["doc_id"], out="row_idx", slice_width=DOC_SLICE)
 
 
 def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:

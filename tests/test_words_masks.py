@@ -65,3 +65,21 @@ def test_masks(spark, p):
     for k, part, ids in rows[:3]:
         assert got[k] == plain_mask(7, ":".join([str(k), *([part] if part else [])]), ids, p, 1000, range(6))
     assert got[4] == (None, None)
+
+
+def documents(spark, folder, n=400):
+    """One source holds most rows and its ids lie in many slices."""
+    rows = spark.range(n).select((F.col("id") * 1001).alias("doc_id"), F.when(F.col("id") % 10 == 0, "src1").otherwise("src0").alias("source"),
+                                 F.concat(F.lit("words of text "), F.col("id").cast("string")).alias("text"))
+    rows.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_one_source_is_cut_into_slices(spark, tmp_path):
+    sf = documents(spark, tmp_path)
+    rows = X.corpus_plan(spark, sf)
+    for source in ("src0", "src1"):
+        got = [(r.doc_id, r.row_idx) for r in rows.where(F.col("dataset") == source).orderBy("doc_id").collect()]
+        assert [i for _, i in got] == list(range(len(got)))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert f"/ {float(X.DOC_SLICE)}" in plan and 400_000 // X.DOC_SLICE > 50
