@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runforge.functions.text import non_ws_chars
 from runforge.operators import corpus as C
 from runforge.operators import packing as P
 from runforge.session import materialize
@@ -35,15 +34,13 @@ def pack_training_set(spark: SparkSession, sf_dir: str, prefix: str = "src", rec
                       vocab_size: int | None = None, batch_rows: int = 1000, min_ratio: float = 2.5,
                       mime_types=C.DEFAULT_MIME) -> DataFrame:
     """Packed training records before their shuffle, stored: (batch, record_idx, input_ids, n_ids)."""
-    selected = CIO.select_corpora(X.catalog(spark, sf_dir), prefix)
+    # stored, so that its size is known before the join: a short list is sent, no text is dealt
+    selected = materialize(CIO.select_corpora(X.catalog(spark, sf_dir), prefix), "selected")
     corp = X.corpus(spark, sf_dir).join(selected.withColumnRenamed("dataset_id", "dataset"), "dataset", "left_semi")
     vocab = C.build_vocab(corp, "text", vocab_size)
-    # the density gate needs only the text's non-whitespace count: take it before
-    # tokenizing so the text never travels through the regroup and the join back
-    counted = corp.withColumn("n_non_ws", non_ws_chars("text"))
-    # stage boundary: the tokenized corpus is the reusable artifact; write it once
-    tok = materialize(C.tokenize(counted, vocab, "doc_id", keep_text=False),
-                      "tokenized")
+    # stage boundary: the tokenized corpus is the reusable artifact; write it once. The density gate
+    # needs only the text's non-whitespace count, so the text travels through no regroup
+    tok = materialize(C.tokenize(corp, vocab, "doc_id", keep_text=False, chars="n_non_ws"), "tokenized")
     stream = P.interleave(tok)
     keep = (F.col("mime_type").isin(list(mime_types)) & (F.size("tokens") > 0)
             & (C.density_ratio_counted("n_non_ws", "tokens") >= F.lit(min_ratio)))

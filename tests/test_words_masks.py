@@ -75,6 +75,20 @@ def documents(spark, folder, n=400):
     return str(folder)
 
 
+def test_selected_sources_deal_no_text(spark, tmp_path, monkeypatch):
+    sf, plans = documents(spark, tmp_path), []
+
+    def keep_plan(df, name="stage"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    kept = C.materialize
+    monkeypatch.setattr(C, "materialize", keep_plan)
+    recs = TS.pack_training_set(spark, sf, prefix="src", min_ratio=0.0)
+    assert recs.count() > 0
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
 def test_one_source_is_cut_into_slices(spark, tmp_path):
     sf = documents(spark, tmp_path)
     rows = X.corpus_plan(spark, sf)
