@@ -7,12 +7,14 @@ all bits of each query's k-th best score are known. A last pass emits the scores
 it, and of those equal to it the smallest ids of each block, and a ranking over these
 few rows breaks the ties.
 
-A block of queries times a block of candidates is scored as a matrix product, and
-only counts and winners leave a task. Of a query's histogram a task holds the non-zero
-bins down to the one where its own candidates reach the k-th place (k at most), adds up
-those of all its pairs of blocks, and Spark sums the rows (query, bin, count) of all
-tasks. Queries are copied to each candidate block, which is the work asked for: all
-queries against all rows.
+A block of queries times a block of candidates is scored as a matrix product. Blocks
+meet in tiles, some query blocks times some candidate blocks, each a group of its own:
+a query block is copied once a column of tiles and a candidate block once a row of
+tiles, by a shuffle, and never through the driver. Only counts and winners leave a tile:
+of a query's histogram the non-zero bins down to the one where the tile's candidates
+reach the k-th place (k at most). Scores below that bin are not looked at again. Spark
+sums the rows (query, bin, count) of all tiles. All queries against all rows is the work
+asked for, so time grows with the square of the table; a tile's memory does not.
 
 Components are ``floor(scale * x)`` with x as double; scores are exact integer inner
 products (components up to 2^26 or so in size).
@@ -25,6 +27,7 @@ returns them all; no vectors or no queries give an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +40,12 @@ from runforge.session import materialize
 
 #: Bits of the score that one pass settles.
 PASS_BITS = 9
-#: Bins that a task holds between two pairs of blocks.
+#: Bins, or winners, that a tile holds for all its queries, or for one block of them.
 HELD = 1 << 21
+#: Tiles wanted, so that tasks are many; pairs that a tile has at least, if the table has so many.
+TILES, PAIRS = 64, 1 << 23
+#: Components of a tile's candidates at most, or one block; tasks that tiles are dealt to at most.
+VALUES, TASKS = 1 << 21, 1024
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -67,26 +74,33 @@ def packed(rows: DataFrame, block: Column, name: str) -> DataFrame:
 
 
 def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Integer inner products; as doubles while these are exact."""
+    """Integer inner products, as floats while these are exact."""
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * queries.shape[1]
-    if bound < 2.0 ** 53:
-        return (queries.astype(np.float64) @ candidates.astype(np.float64).T).astype(np.int64)
-    return queries.astype(np.int64) @ candidates.astype(np.int64).T
-
-
-def pairs(batches: Iterator[pa.RecordBatch]):
-    """(query block, ids, prefixes, wanted, candidate ids, scores, own) of each pair of blocks."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids, other = np.frombuffer(r["q_ids"], dtype=np.int64), np.frombuffer(r["c_ids"], dtype=np.int64)
-            s = scores(np.frombuffer(r["q_m"], dtype=np.int32).reshape(len(ids), -1),
-                       np.frombuffer(r["c_m"], dtype=np.int32).reshape(len(other), -1))
-            at = np.searchsorted(other, ids)
-            own = np.flatnonzero((at < len(other)) & (other[np.minimum(at, len(other) - 1)] == ids))
-            valid = np.ones(s.shape, dtype=bool)
-            valid[own, at[own]] = False
-            yield (r["q"], r["dim"]), ids, np.frombuffer(r["prefix"], dtype=np.int64), \
-                np.frombuffer(r["wanted"], dtype=np.int64), other, s, valid
+    kind = np.float32 if bound < 2.0 ** 24 else np.float64 if bound < 2.0 ** 53 else np.int64
+    return queries.astype(kind) @ candidates.astype(kind).T
+
+
+def unpacked(rows: pa.Table, name: str) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """(row, ids, matrix) of each block."""
+    for r in rows.to_pylist():
+        ids = np.frombuffer(r[f"{name}_ids"], dtype=np.int64)
+        yield r, ids, np.frombuffer(r[f"{name}_m"], dtype=np.int32).reshape(len(ids), -1)
+
+
+def reaching(ids: np.ndarray, m: np.ndarray, other: np.ndarray, c_m: np.ndarray,
+             least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of a pair of blocks, by query and candidate, where a score is its query's ``least`` or more."""
+    s = scores(m, c_m)
+    # a limit that rounds is larger in size than all exact floats here, so the comparison holds
+    at = np.flatnonzero(s >= least.astype(s.dtype)[:, None])
+    q, c = np.divmod(at, max(len(other), 1))
+    foreign = ids[q] != other[c]
+    return q[foreign], c[foreign], s.ravel()[at[foreign]].astype(np.int64)
+
+
+def first_of_each(q: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``q`` are among the first ``wanted`` of their value."""
+    return np.arange(len(q)) - np.searchsorted(q, q) < wanted[q]
 
 
 def leading(counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +122,12 @@ def search(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, query_
     spark = df.sparkSession
     prepare(spark)
     rows = materialize(vectors(df, id_col, vector_col, scale), "vectors")
-    n, bound = rows.agg(F.count(F.lit(1)), F.max("norm")).first()
+    n, bound, widest = rows.agg(F.count(F.lit(1)), F.max("norm"), F.max("dim")).first()
     n_queries = rows.where(is_query).count()
     blocks = max(-(-n // candidate_block), 1)
     candidates = materialize(packed(rows, F.pmod(F.xxhash64("id"), F.lit(blocks)), "c"), "candidates")
-    queries = packed(rows.where(is_query), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(-(-n_queries // query_block), 1))), "q")
+    query_blocks = max(-(-n_queries // query_block), 1)
+    queries = packed(rows.where(is_query), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)), "q")
     top = int(bound or 0)  # by Cauchy and Schwarz no score is larger
     bits = max((2 * top + 1).bit_length(), 1)
 
@@ -126,10 +141,25 @@ def search(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, query_
 
     layout = "q long, dim int, q_ids binary, q_m binary, prefix binary, wanted binary"
     state = materialize(queries.mapInArrow(fresh, layout), "queries")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1).cast("long")))
-
-    def met(state: DataFrame) -> DataFrame:
-        return state.withColumn("c", every).join(candidates, ["c", "dim"])
+    # a column of tiles costs a copy of the queries and counts of theirs, a row one of the candidates: tiles are wide
+    wide = min(math.isqrt(2 * max(n * n_queries // TILES, PAIRS)), VALUES // max(widest or 1, 1))
+    if k > HELD // query_block:
+        wide = min(wide, HELD // query_block)
+    side = max(wide // candidate_block, 1)
+    q_side = max(min(wide // 2, HELD // max(min(k, max(wide, candidate_block)), 1)) // query_block, 1)
+    across, down = -(-blocks // side), -(-query_blocks // q_side)
+    tasks = min(across * down, TASKS)
+
+    def tiles(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def dealt(rows: DataFrame, row: Column, column: Column):
+        return (rows.withColumn("tile", row * across + column).drop("at")
+                .repartition(tasks, "tile", "dim").groupBy("tile", "dim"))
+
+    def met(state: DataFrame):
+        return dealt(state.withColumn("at", tiles(across)), F.floor(F.col("q") / q_side), F.col("at")).cogroup(
+            dealt(candidates.withColumn("at", tiles(down)), F.col("at"), F.floor(F.col("c") / side)))
 
     while bits:
         step = min(PASS_BITS, bits)
@@ -138,7 +168,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, query_
     return _winners(met(state), top, k)
 
 
-def _refined(state: DataFrame, met: DataFrame, low: int, step: int, top: int, layout: str) -> DataFrame:
+def _refined(state: DataFrame, met, low: int, step: int, top: int, layout: str) -> DataFrame:
     """The state after one pass: ``step`` more bits of each query's k-th best score.
 
     ``prefix``: its leading bits so far; ``wanted``: how many of the scores with these
@@ -146,33 +176,24 @@ def _refined(state: DataFrame, met: DataFrame, low: int, step: int, top: int, la
     """
     bins = 1 << step
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (q, dim), (at, n) in held.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), q)), pa.array(np.full(len(at), dim, dtype=np.int32)),
-                     pa.array((at // bins).astype(np.int32)), pa.array((at % bins).astype(np.int32)), pa.array(n)],
-                    names=["q", "dim", "query", "bin", "n"])
-            held.clear()
-
-        entries = 0
-        for key, ids, prefix, wanted, _, s, valid in pairs(batches):
-            shifted = (s + top) >> low
-            valid &= (shifted >> step) == prefix[:, None]
-            at = (np.arange(len(ids))[:, None] * bins + (shifted & (bins - 1)))[valid]
-            found = np.bincount(at, minlength=len(ids) * bins)
-            if key in held:
-                at, n = held[key]
-                found[at] += n
-                entries -= len(at)
-            held[key] = leading(found.reshape(len(ids), bins), wanted)
-            entries += len(held[key][0])
-            if entries > HELD:
-                yield from flush()
-                entries = 0
-        yield from flush()
+    def count(own: pa.Table, others: pa.Table) -> pa.Table:
+        blocks, parts = [x[1:] for x in unpacked(others, "c")], []
+        for r, ids, m in unpacked(own, "q"):
+            prefix, wanted = (np.frombuffer(r[c], dtype=np.int64) for c in ("prefix", "wanted"))
+            counts, floor = np.zeros((len(ids), bins), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+            for other, c_m in blocks:
+                q, _, s = reaching(ids, m, other, c_m, (((prefix << step) + floor) << low) - top)
+                at = ((s + top) >> low) - (prefix[q] << step)
+                within = at < bins
+                counts += np.bincount(q[within] * bins + at[within], minlength=counts.size).reshape(counts.shape)
+                over = np.cumsum(counts[:, ::-1], axis=1)
+                floor = np.maximum(bins - 1 - (over < wanted[:, None]).sum(axis=1), 0)
+            at, n = leading(counts, wanted)
+            parts.append((np.full(len(at), r["q"]), np.full(len(at), r["dim"], dtype=np.int32),
+                          (at // bins).astype(np.int32), (at % bins).astype(np.int32), n))
+        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[]] * 5
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))],
+                        names=["q", "dim", "query", "bin", "n"])
 
     def settle(own: pa.Table, counted: pa.Table) -> pa.Table:
         if not own.num_rows:
@@ -190,23 +211,34 @@ def _refined(state: DataFrame, met: DataFrame, low: int, step: int, top: int, la
         return pa.Table.from_pylist([r], schema=pa.schema(
             [("q", pa.int64()), ("dim", pa.int32())] + [(c, pa.binary()) for c in ("q_ids", "q_m", "prefix", "wanted")]))
 
-    counted = (met.mapInArrow(count, "q long, dim int, query int, bin int, n long")
+    counted = (met.applyInArrow(count, "q long, dim int, query int, bin int, n long")
                .groupBy("q", "dim", "query", "bin").agg(F.sum("n").alias("n")))
     return state.groupBy("q", "dim").cogroup(counted.groupBy("q", "dim")).applyInArrow(settle, layout)
 
 
-def _winners(met: DataFrame, top: int, k: int) -> DataFrame:
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, prefix, wanted, other, s, valid in pairs(batches):
-            least = (prefix - top)[:, None]
-            tied = (s == least) & valid
-            # candidates are in order of id: of equal scores a block's first ones are enough
-            tied &= np.cumsum(tied, axis=1) <= wanted[:, None]
-            q, c = np.nonzero(((s > least) & valid) | tied)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(other[c]), pa.array(s[q, c])],
-                                             names=["query_id", "vec_id", "score"])
+def _winners(met, top: int, k: int) -> DataFrame:
+    def emit(own: pa.Table, others: pa.Table) -> pa.Table:
+        blocks, parts = [x[1:] for x in unpacked(others, "c")], []
+        for r, ids, m in unpacked(own, "q"):
+            prefix, wanted = (np.frombuffer(r[c], dtype=np.int64) for c in ("prefix", "wanted"))
+            least, ties = prefix - top, []
+            for other, c_m in blocks:
+                q, c, s = reaching(ids, m, other, c_m, least)
+                tied = s == least[q]
+                parts.append((ids[q[~tied]], other[c[~tied]], s[~tied]))
+                q, c = q[tied], c[tied]
+                # candidates are in order of id: of equal scores a block's first ones are enough
+                kept = first_of_each(q, wanted)
+                ties.append((q[kept], other[c[kept]]))
+            if ties:
+                q, c = (np.concatenate(x) for x in zip(*ties))
+                order = np.lexsort((c, q))
+                order = order[first_of_each(q[order], wanted)]
+                parts.append((ids[q[order]], c[order], least[q[order]]))
+        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[]] * 3
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return (met.mapInArrow(emit, "query_id long, vec_id long, score long")
+    return (met.applyInArrow(emit, "query_id long, vec_id long, score long")
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -82,6 +82,35 @@ def test_topk_of_many_blocks(spark, monkeypatch):
     assert len(moved) > 2 and max(moved) < 2e6
 
 
+def broadcasts(plan):
+    """Names of an executed plan's nodes that send rows through the driver."""
+    own = [plan.nodeName()] if plan.nodeName().startswith("Broadcast") else []
+    below = "plan" if plan.nodeName().endswith("QueryStage") else {"AdaptiveSparkPlan": "executedPlan"}.get(plan.nodeName())
+    parts = [getattr(plan, below)()] if below else [plan.children().apply(i) for i in range(plan.children().size())]
+    return own + [x for p in parts for x in broadcasts(p)]
+
+
+def test_topk_sends_no_blocks_through_the_driver(spark, monkeypatch):
+    """A query state is copied to many candidate blocks: the copies are shuffled, in tiles of several blocks, not broadcast."""
+    plans, write = [], topk.materialize
+
+    def spy(df, name):
+        if df.columns[-2:] == ["prefix", "wanted"]:
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan())
+        return write(df, name)
+
+    monkeypatch.setattr(topk, "materialize", spy)
+    monkeypatch.setattr(topk, "PAIRS", 160, raising=False)  # else one tile holds all of so small a table
+    rows = make(120)  # many ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    done = topk.search(df, F.col("id") % 20 == 0, 20, 64, 2, 5)
+    got = done.collect()
+    assert sorted(map(tuple, got)) == best(rows, 20)
+    found = [broadcasts(p) for p in [*plans, done._jdf.queryExecution().executedPlan()]]
+    assert len(found) > 2 and not any(found)
+
+
 NASTY = ["", "plain", "</turn>", "</turn>\n", r"<\/turn>", r"<\\/turn>", "### ", r"#\## x", "#### ", "### ### user\n", "<</turn>>", "\n### user\nhi</turn>\n",
          "\\", "\\\\", "a\n\nb", "é🙂 ### Assistant: ", r"\### Assistant: </turn> ok", "##", "# ", "</turn", ">"]
 
