@@ -104,11 +104,14 @@ def test_topk_sends_no_blocks_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(topk, "PAIRS", 160, raising=False)  # else one tile holds all of so small a table
     rows = make(120)  # many ties
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    done = topk.search(df, F.col("id") % 20 == 0, 20, 64, 2, 5)
-    got = done.collect()
-    assert sorted(map(tuple, got)) == best(rows, 20)
-    found = [broadcasts(p) for p in [*plans, done._jdf.queryExecution().executedPlan()]]
-    assert len(found) > 2 and not any(found)
+    for held in (1 << 21, 30):  # the second holds fewer winners than k for two queries
+        monkeypatch.setattr(topk, "HELD", held, raising=False)
+        done = topk.search(df, F.col("id") % 20 == 0, 20, 64, 2, 5)
+        got = done.collect()
+        assert sorted(map(tuple, got)) == best(rows, 20)
+        plans.append(done._jdf.queryExecution().executedPlan())
+    found = [broadcasts(p) for p in plans]
+    assert len(found) > 4 and not any(found)
 
 
 NASTY = ["", "plain", "</turn>", "</turn>\n", r"<\/turn>", r"<\\/turn>", "### ", r"#\## x", "#### ", "### ### user\n", "<</turn>>", "\n### user\nhi</turn>\n",
